@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidewrack.llm import simhash
+from tidewrack.llm import licenses, mixing, simhash
 from tidewrack.llm.common import read_table
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"), k=3, radius=2)
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash_near_dedup": op6_simhash_near_dedup}
-ORACLES: dict[str, str] = {}
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op5_license_scan, op6_simhash_near_dedup, op9_source_mixing)}
+ORACLES = {"op5_license_scan": licenses.ORACLE, "op9_source_mixing": mixing.ORACLE}
