@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewrack.llm import licenses, mixing, simhash
+from tidewrack.llm import decontaminate, licenses, mixing, simhash, toxicity
 from tidewrack.llm.common import read_table
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -17,10 +22,17 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(documents, read_table(spark, sf_dir, "labels")))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scan, op6_simhash_near_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op5_license_scan, op6_simhash_near_dedup, op7_toxicity, op9_source_mixing)}
 ORACLES = {"op5_license_scan": licenses.ORACLE, "op9_source_mixing": mixing.ORACLE}
