@@ -37,7 +37,9 @@ TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 3000, 5000, 40_000_000
 SEQUENCE, FEATURES, PREFIXES, SUFFIXES = 64, 1 << 18, range(3, 9), (3,)
 #: A feature marks tokens if so many independent toxic documents have it, and so large a share of all that do is toxic.
 SUPPORT, PRECISION = 4, 0.75
-STEPS, RATE, RIDGE = 60, 0.3, 2e-5
+STEPS, RATE, RIDGE = 80, 0.5, 1e-5
+#: Marginals below this add nothing to the expected count, or long clean texts would gather one.
+FLOOR = 0.2
 #: Words whose weight a worker keeps, and tokens that are decoded together.
 KEPT, SLICE = 400_000, 200_000
 WORD = re.compile(r"[^\W_]+")
@@ -100,7 +102,7 @@ class Model:
     weights: np.ndarray
     step: np.ndarray
     start: float
-    fit: np.ndarray  # of the logistic score: intercept, log expected count, log odds of the largest
+    fit: np.ndarray  # of the logistic score, in the order of summary()
     kept: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -152,8 +154,10 @@ class Model:
 
 
 def summary(p: np.ndarray) -> np.ndarray:
+    """Intercept, log expected count, log odds of the largest, and the first and the next two of the expected count."""
     most = float(np.clip(p.max(), 1e-6, 1 - 1e-6)) if len(p) else 1e-6
-    return np.array([1.0, np.log(p.sum() + 1e-3), np.log(most / (1 - most))])
+    count = p[p >= FLOOR].sum()
+    return np.array([1.0, np.log(count + 1e-3), np.log(most / (1 - most)), min(count, 1.0), min(max(count - 1, 0.0), 2.0)])
 
 
 def independent(texts: list[list[str]]) -> list[int]:
@@ -228,17 +232,17 @@ def train(texts: list[list[str]], tags: list[list[bool]]) -> Model:
         slope = truth[:, 0].sum() - (p[:, 0] * weight).sum()
         speed_start += slope**2
         start += 0.1 * slope / np.sqrt(speed_start + 1e-8)
-    return Model(theta.astype(np.float32), step, float(start), np.zeros(3))
+    return Model(theta.astype(np.float32), step, float(start), np.zeros(5))
 
 
 def calibrate(model: Model, texts: list[list[str]], toxic: list[bool], weights: np.ndarray) -> None:
     """A logistic fit of document labels on the marginals' summary (Newton steps)."""
     x = np.stack([summary(p) for p in model.token_probabilities(texts)])
-    y, beta = np.array(toxic, float), np.zeros(3)
+    y, beta = np.array(toxic, float), np.zeros(5)
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         slope = x.T @ (weights * (y - q)) - 1e-2 * beta
-        curve = (x * (weights * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(3)
+        curve = (x * (weights * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(5)
         beta = beta + np.linalg.solve(curve, slope)
     model.fit = beta
 
@@ -258,7 +262,7 @@ def fit(labelled: DataFrame) -> Model:
     texts, toxic = [x[0] for x in sample], [x[1] for x in sample]
     total = sum(count.values())
     if not any(toxic) or all(toxic) or not any(texts):
-        return Model(np.zeros(FEATURES, np.float32), np.zeros((2, 2)), 0.0, np.array([count.get(True, 0) / total if total else 0.0, 0, 0]))
+        return Model(np.zeros(FEATURES, np.float32), np.zeros((2, 2)), 0.0, np.array([count.get(True, 0) / total if total else 0.0, 0, 0, 0, 0]))
     scale = (count[False] / toxic.count(False)) / (count[True] / toxic.count(True))
     model = train(texts, label_tokens(texts, toxic, scale))
     calibrate(model, texts, toxic, np.where(toxic, 1.0, scale))
