@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import decontaminate, licenses, mixing, simhash, toxicity
+from tidewrack.llm import decontaminate, licenses, media, mixing, simhash, tokens, toxicity
 from tidewrack.llm.common import read_table
 
 
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_columns(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.attribute(read_table(spark, sf_dir, "documents"), rule="majority")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -34,5 +42,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op5_license_scan, op6_simhash_near_dedup, op7_toxicity, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_media_chunks, op3_benchmark_decontamination, op4_token_counts, op5_license_scan, op6_simhash_near_dedup, op7_toxicity, op9_source_mixing)}
 ORACLES = {"op5_license_scan": licenses.ORACLE, "op9_source_mixing": mixing.ORACLE}
