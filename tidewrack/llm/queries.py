@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import decontaminate, htmltext, licenses, media, mixing, repeats, simhash, tokens, toxicity
+from tidewrack.llm import decontaminate, htmltext, licenses, media, mixing, repeats, secrets, simhash, tokens, toxicity
 from tidewrack.llm.common import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_columns(spark, read_table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_chunks, op3_benchmark_decontamination, op4_token_counts, op5_license_scan, op6_simhash_near_dedup, op7_toxicity, op8_repeated_bytes, op9_source_mixing, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_chunks, op3_benchmark_decontamination, op4_token_counts, op5_license_scan, op6_simhash_near_dedup, op7_toxicity, op8_repeated_bytes, op9_source_mixing, op10_main_text)}
 ORACLES = {"op5_license_scan": licenses.ORACLE, "op9_source_mixing": mixing.ORACLE}
