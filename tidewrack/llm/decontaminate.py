@@ -188,3 +188,18 @@ def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         out = part if out is None else out.union(part)
     best = [F.max(c).alias(c) for c in ("score", "shingle_overlap", "question_overlap", "answer_overlap")]
     return out.groupBy("doc_id", "item_id").agg(*best)
+
+
+def keep_clean(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of `df`, all columns, whose text matches no item."""
+    for index in build(items):
+        shared = df.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                texts = [x.as_py() or "" for x in batch.column(batch.schema.get_field_index("text"))]
+                hit = {d for d, *_ in shared.value.scan(texts, threshold, overlap)}
+                yield batch.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
+
+        df = df.mapInArrow(run, df.schema)
+    return df

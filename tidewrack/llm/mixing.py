@@ -48,18 +48,18 @@ def sampling_key(doc_id, weight, seed: int):
     return -F.log((bits + 1) / F.lit(float(2**52 + 1))) / weight
 
 
-def mix(df: DataFrame, quality: DataFrame | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = SOURCE_WEIGHTS, seed: int = 9) -> DataFrame:
+def mix(df: DataFrame, quality: DataFrame | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = SOURCE_WEIGHTS, seed: int = 9, carry: tuple[str, ...] = ()) -> DataFrame:
     """Adds size, source_size, target, copies (complete epochs), partial (in the last epoch) and taken to (doc_id, source, text).
 
-    quality: (doc_id, quality) rows, 1 good and 0 poor."""
+    quality: (doc_id, quality) rows, 1 good and 0 poor. carry: further columns of df to keep."""
     work = WorkArea(df.sparkSession, "mixing")
-    sized = df.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = df.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry)
     if quality is None:
         sized = sized.withColumn("w", F.lit(DEFAULT_QUALITY))
     else:
         best = quality.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("q"))
         rated = F.when(F.col("q") == 1, QUALITY_WEIGHTS[1]).when(F.col("q") == 0, QUALITY_WEIGHTS[0]).otherwise(DEFAULT_QUALITY)
-        sized = sized.join(best, "doc_id", "left").select("doc_id", "source", "size", rated.alias("w"))
+        sized = sized.join(best, "doc_id", "left").select("doc_id", "source", "size", rated.alias("w"), *carry)
     keyed = sized.withColumn("key", sampling_key(F.col("doc_id"), F.col("w"), seed))
     # exp(-key) falls from 1 to 0 as the key grows, so the buckets follow the order of the keys.
     keyed = work.write(keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")).drop("w"), "keyed")
@@ -77,7 +77,7 @@ def mix(df: DataFrame, quality: DataFrame | None = None, share: float = 1.5, mos
     last = last.withColumn("partial", F.col("prior") + F.col("size") / 2 <= F.col("budget")).drop("prior")
     out = placed.where("state <> 2").withColumn("partial", F.col("state") == 1).unionByName(last)
     taken = F.col("copies") * F.col("size") + F.when(F.col("partial"), F.col("size")).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "partial", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "partial", taken.cast("long").alias("taken"), *carry)
 
 
 ORACLE = f"""

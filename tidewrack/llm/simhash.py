@@ -196,5 +196,16 @@ def near_duplicates(spark: SparkSession, df: DataFrame, k: int = 5, radius: int
     return docs.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_one(spark: SparkSession, df: DataFrame, k: int = 5, radius: int = 2) -> DataFrame:
+    """The rows of `df`, all columns, less all but the smallest id of each component; rows with null ids stay."""
+    found = WorkArea(spark, "keep-one").write(near_duplicates(spark, df, k, radius), "found")
+    # Only where ids repeat does a row need more than its id to be told from the one that stays.
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        unique = df
+    else:
+        unique = df.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(df.where("doc_id is null"))
+    return unique.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(df.columns)
+
+
 def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
