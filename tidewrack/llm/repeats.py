@@ -1,10 +1,10 @@
 """Removal of long repeated byte strings, by prefix-free parsing.
 
 A byte is removed if some LENGTH-byte string that covers it also starts elsewhere in the corpus, in the same
-document or another. Documents are parsed into phrases at triggers, places where a rolling hash of WINDOW
-bytes is small. A trigger is seen in the string itself, so equal strings are cut alike, whatever stands
-around them. The suffixes that start in one phrase form a unit: all of them run through the trigger that ends
-the phrase and into the same stretch of the parse.
+document or another. Documents are parsed into phrases at triggers: a string's trigger is the first place, of
+its first REACH + 1, where a rolling hash of WINDOW bytes is least. It is seen in the string itself, so equal
+strings are cut alike, whatever stands around them. The strings that start in one phrase, up to the trigger
+that ends it, form a unit: all of them run through that trigger and into the same stretch of the parse.
 
 In place of a sorted suffix array of the dictionary and one of the parse, whose order below depth LENGTH is
 not needed here, suffixes are grouped into classes of equal ones, from coarse to fine:
@@ -12,12 +12,13 @@ not needed here, suffixes are grouped into classes of equal ones, from coarse to
 1. by the stretch behind the trigger that every string of the unit holds: a unit whose stretch is unlike
    any other has no repeated string;
 2. by the phrase and all that its strings run into: two units alike in that repeat as a whole;
-3. where units share the stretch only, one unit for each distinct phrase and context sends a hash of each
-   string, and equal hashes are repeats.
+3. where units share the stretch only, one unit for each distinct phrase and context is cut into pieces of
+   PIECE strings, and these are grouped by the same two steps;
+4. where pieces share the stretch only, one for each distinct context sends its strings' hashes, and equal
+   ones are repeats.
 
-A string with no trigger in its first REACH bytes is a unit of its own. Step 3 sees each distinct context
-once, so the many copies of a text cost one row for each phrase and not for each byte. Hashes are 128 bits
-where they decide.
+Later steps see each distinct context once, so the many copies of a text cost one row for each phrase and not
+for each byte. Two hashes of 64 bits each agree wherever equality decides.
 
 Edge cases: a null or empty text, and one shorter than LENGTH, keeps all its bytes; a repeated row is another
 document, so its copies remove each other; rows are told apart by id and text, and ids may be null or
@@ -36,39 +37,31 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.common import WorkArea, utf8
 
-LENGTH, WINDOW, ONE_IN, REACH = 400, 32, 40, 224
+LENGTH, WINDOW, REACH, PIECE = 400, 32, 160, 8
 GEAR = np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: Rows that a worker gathers before it sends them on.
-ROWS = 200_000
-
-
-def triggers(raw: np.ndarray) -> np.ndarray:
-    """Starts of the windows whose rolling hash is below 1 / ONE_IN of its range."""
-    h, span = GEAR[raw], 1
-    while span < WINDOW:
-        h[span:] += h[:-span] << np.uint32(span)
-        span *= 2
-    return np.nonzero(h[WINDOW - 1 :] < np.uint32((1 << 32) // ONE_IN))[0]
+ROWS = 100_000
 
 
 def units(raw: np.ndarray, length: int = LENGTH, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, trigger) of each unit of strings; the trigger is -1 where none is in reach."""
+    """(first start, last start, trigger) of each unit of strings, in order."""
     last = len(raw) - length
     if last < 0:
         return (np.zeros(0, np.int64),) * 3
-    at = triggers(raw)
-    low = np.concatenate([[0], at[:-1] + 1]) if len(at) else at
-    lo = np.maximum(low, at - reach)
-    hi = np.minimum(at, last)
-    keep = lo <= hi
-    lo, hi, seen = lo[keep], hi[keep], at[keep]
-    free = np.ones(last + 1, bool)
-    edges = np.zeros(last + 2, np.int64)
-    np.add.at(edges, lo, 1)
-    np.add.at(edges, hi + 1, -1)
-    free = np.cumsum(edges[:-1]) == 0
-    alone = np.nonzero(free)[0]
-    return np.concatenate([lo, alone]), np.concatenate([hi, alone]), np.concatenate([seen, np.full(len(alone), -1)])
+    h, span = GEAR[raw], 1
+    while span < WINDOW:  # the sum of gear[byte i places back] << i, by doubling
+        h[span:] += h[:-span] << np.uint32(span)
+        span *= 2
+    need = last + reach + 1
+    wide = np.full(-(-need // (reach + 1)) * (reach + 1), np.iinfo(np.uint64).max, np.uint64)
+    wide[:need] = (h[WINDOW - 1 : WINDOW - 1 + need].astype(np.uint64) << np.uint64(32)) | np.arange(need, dtype=np.uint64)
+    # Least value of each run of reach + 1 places: the least to the block's end, and to the run's end from the next block's start.
+    blocks = wide.reshape(-1, reach + 1)
+    head = np.minimum.accumulate(blocks, axis=1).ravel()
+    tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = (np.minimum(tail[: last + 1], head[reach : reach + last + 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    lo = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1])
+    return lo, np.append(lo[1:] - 1, last), at[lo]
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -76,8 +69,8 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def unit_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
-    """(stretch, context, doc, lo, hi) of every unit."""
-    names = ["stretch", "context", "doc", "lo", "hi"]
+    """(stretch, context, doc, lo, hi, at) of every unit."""
+    names = ["stretch", "context", "doc", "lo", "hi", "at"]
     digest = xxhash.xxh3_64_intdigest
 
     def run(batches):
@@ -85,7 +78,7 @@ def unit_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
             out: list[list] = [[] for _ in names]
 
             def flush(out=out):
-                made = pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())], names)
+                made = pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.int64()), *(pa.array(x, pa.int32()) for x in out[3:])], names)
                 for x in out:
                     x.clear()
                 return made
@@ -94,48 +87,67 @@ def unit_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
                 b = data.as_py()
                 lo, hi, at = units(np.frombuffer(b, np.uint8), length, reach)
                 lo, hi, at = lo.tolist(), hi.tolist(), at.tolist()
-                # A unit without a trigger is one string; the seed keeps it apart from stretches.
-                out[0] += [digest(b[t : t + length - reach]) if t >= 0 else digest(b[i : i + length], 1) for i, t in zip(lo, at, strict=True)]
-                out[1] += [digest(b[i : j + length], 2) for i, j in zip(lo, hi, strict=True)]
+                out[0] += [digest(b[t : t + length - reach]) for t in at]
+                out[1] += [digest(b[i : j + length], 1) for i, j in zip(lo, hi, strict=True)]
                 out[2] += [doc] * len(lo)
                 out[3] += lo
                 out[4] += hi
+                out[5] += at
                 if len(out[0]) >= ROWS:
                     yield flush()
             yield flush()
 
-    return docs.mapInArrow(run, "stretch long, context long, doc long, lo int, hi int")
+    return docs.mapInArrow(run, "stretch long, context long, doc long, lo int, hi int, at int")
+
 
+def piece_rows(docs: DataFrame, length: int) -> DataFrame:
+    """(stretch, context, doc, lo, strings): the units listed with each document (doc, data, units), cut into pieces of PIECE strings.
 
-def string_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, doc, start): every string of the units listed with each document (doc, data, units)."""
-    names = ["h1", "h2", "doc", "start"]
-    digest = xxhash.xxh3_128_digest
+    Pieces lie at fixed distances from the trigger, so equal strings fall into like pieces."""
+    names = ["stretch", "context", "doc", "lo", "strings"]
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches):
         for batch in batches:
-            hashes, owner, at = [], [], []
+            out: list[list] = [[] for _ in names]
 
-            def flush(hashes=hashes, owner=owner, at=at):
-                raw = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                made = pa.RecordBatch.from_arrays([pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(owner, pa.int64()), pa.array(at, pa.int32())], names)
-                for x in (hashes, owner, at):
+            def flush(out=out):
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in out[4]])])
+                strings = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed([h for x in out[4] for h in x]))
+                made = pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), strings], names)
+                for x in out:
                     x.clear()
                 return made
 
             for doc, data, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 b = data.as_py()
                 for u in listed.as_py():
-                    starts = range(u["lo"], u["hi"] + 1)
-                    hashes += [digest(b[i : i + length]) for i in starts]
-                    owner += [doc] * len(starts)
-                    at += starts
-                    if len(hashes) >= ROWS:
-                        yield flush()
-            if hashes:
-                yield flush()
+                    lo, hi, at = u["lo"], u["hi"], u["at"]
+                    for k in range((at - hi) // PIECE, (at - lo) // PIECE + 1):
+                        start, stop = at - PIECE * k - PIECE + 1, at - PIECE * k
+                        first, last = max(lo, start), min(hi, stop)
+                        out[0].append(digest(b[stop : start + length], 2 + k))
+                        out[1].append(digest(b[first : last + length], 1))
+                        out[2].append(doc)
+                        out[3].append(first)
+                        out[4].append([digest(b[i : i + length]) for i in range(first, last + 1)])
+                if len(out[0]) >= ROWS // PIECE:
+                    yield flush()
+            yield flush()
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc long, start int")
+    return docs.mapInArrow(run, "stretch long, context long, doc long, lo int, strings array<long>")
+
+
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """The rows whose stretch another row has too."""
+    shared = rows.groupBy("stretch").agg(F.count("*").alias("n")).where("n > 1").select("stretch")
+    return rows.join(shared, "stretch")
+
+
+def mixed_classes(classes: DataFrame) -> DataFrame:
+    """The classes (stretch, context, ...) whose stretch another class has too."""
+    mixed = classes.groupBy("stretch").agg(F.count("*").alias("contexts")).where("contexts > 1").select("stretch")
+    return classes.join(mixed, "stretch", "left_semi")
 
 
 def repeated(df: DataFrame, length: int = LENGTH, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
@@ -144,22 +156,25 @@ def repeated(df: DataFrame, length: int = LENGTH, reach: int = REACH) -> tuple[D
         raise ValueError("a stretch must hold a trigger's window")
     work = WorkArea(df.sparkSession, "repeats")
     docs = df.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
-    rows = unit_rows(docs.where(F.octet_length("data") >= length).select("doc", "data"), length, reach)
-    rows = work.write(rows, "units")
-    shared = rows.groupBy("stretch").agg(F.count("*").alias("n")).where("n > 1").select("stretch")
-    kept = work.write(rows.join(shared, "stretch"), "shared")
+    rows = work.write(unit_rows(docs.where(F.octet_length("data") >= length).select("doc", "data"), length, reach), "units")
+    kept = work.write(shared_rows(rows), "shared")
     work.drop("units")
-    classes = work.write(kept.groupBy("stretch", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "hi")).alias("u")), "classes")
+    classes = work.write(kept.groupBy("stretch", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "hi", "at")).alias("u")), "classes")
     whole = classes.where("n > 1").select("stretch", "context")
-    spans = kept.join(whole, ["stretch", "context"], "left_semi").select("doc", F.struct(F.col("lo").alias("start"), (F.col("hi") + length).alias("end")).alias("span"))
-    mixed = classes.groupBy("stretch").agg(F.count("*").alias("contexts")).where("contexts > 1").select("stretch")
-    picked = classes.join(mixed, "stretch", "left_semi").groupBy("u.doc").agg(F.collect_list(F.struct("u.lo", "u.hi")).alias("units"))
-    strings = work.write(string_rows(docs.select("doc", "data").join(picked, "doc"), length), "strings")
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    single = strings.join(twice, ["h1", "h2"], "left_semi").select("doc", F.struct("start", (F.col("start") + length).alias("end")).alias("span"))
-    found = work.write(spans.union(single).groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
-    work.drop("strings")
-    return docs, found
+    span = lambda first, end: F.struct(first.alias("start"), end.cast("int").alias("end")).alias("span")
+    spans = kept.join(whole, ["stretch", "context"], "left_semi").select("doc", span(F.col("lo"), F.col("hi") + length))
+    picked = mixed_classes(classes).groupBy("u.doc").agg(F.collect_list(F.struct("u.lo", "u.hi", "u.at")).alias("units"))
+    pieces = work.write(piece_rows(docs.select("doc", "data").join(picked, "doc"), length), "pieces")
+    pieces = work.write(shared_rows(pieces), "shared-pieces")
+    work.drop("pieces")
+    alike = pieces.groupBy("stretch", "context").agg(F.count("*").alias("n")).where("n > 1").select("stretch", "context")
+    in_pieces = pieces.join(alike, ["stretch", "context"], "left_semi").select("doc", span(F.col("lo"), F.col("lo") + F.size("strings") - 1 + length))
+    one = pieces.groupBy("stretch", "context").agg(F.min(F.struct("doc", "lo", "strings")).alias("p"))
+    single = mixed_classes(one).select("stretch", F.col("p.doc").alias("doc"), F.col("p.lo").alias("lo"), F.posexplode("p.strings").alias("place", "h"))
+    twice = single.groupBy("stretch", "h").agg(F.count("*").alias("n")).where("n > 1").select("stretch", "h")
+    in_single = single.join(twice, ["stretch", "h"], "left_semi").select("doc", span(F.col("lo") + F.col("place"), F.col("lo") + F.col("place") + length))
+    found = spans.union(in_pieces).union(in_single).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    return docs, work.write(found, "spans")
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
