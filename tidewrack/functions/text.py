@@ -91,7 +91,7 @@ def says_absent(text: Column) -> Column:
 
 def enumeration(text: Column, least: int = 3) -> Column:
     """The trimmed items of a list parted by semicolons, or null if there are fewer than `least`."""
-    items = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(items) >= least, items)
 
 

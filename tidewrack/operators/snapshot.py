@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tidewrack.functions.numbers import percent
 
@@ -166,9 +168,6 @@ def check_document(value: Any, schema: dict, root: dict | None = None, path: str
 
 def contract_violations(documents: DataFrame, schema: dict, body: str = "body") -> DataFrame:
     """Adds `violations` to rows of JSON text; unreadable text is a violation of its own."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, StringType
-
     def judge(texts: pd.Series) -> pd.Series:
         def one(text):
             try:

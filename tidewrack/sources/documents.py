@@ -23,7 +23,7 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 def front_matter(text: Column) -> Column:
     """The `key: value` lines between the two rulers as a map; comments are skipped, and any other line is an error."""
     body = F.regexp_extract(text, r"(?s)\A﻿?---\r?\n(.*?)\r?\n---", 1)
-    lines = F.filter(F.transform(F.split(body, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     checked = F.transform(lines, lambda x: F.when(x.rlike(r"^[A-Za-z_][\w-]*\s*:"), x).otherwise(F.raise_error(F.concat(F.lit("not a front-matter line: "), x)).cast("string")))
     pairs = F.transform(checked, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+)\s*:", 1).alias("key"), F.regexp_extract(x, r"^[\w-]+\s*:\s*(.*)$", 1).alias("value")))
     return F.map_from_entries(pairs)
@@ -43,7 +43,7 @@ def table_rows(texts: DataFrame, text: str, cells: int) -> DataFrame:
     w = Window.partitionBy("_file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     heading = F.nullif(F.regexp_extract("value", r"^##\s+\d{1,2}\.\s+(.+?)\s*(?:—|--).*$", 1), F.lit(""))
     rows = lines.withColumn("section", F.last(heading, ignorenulls=True).over(w)).where(F.col("value").rlike(r"^\|\s*\d{1,2}\s*\|"))
-    own = F.transform(F.split(F.regexp_replace("value", r"^\||\|\s*$", ""), r"\|"), F.trim)
+    own = F.transform(F.split(F.regexp_replace("value", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     own = F.when(F.size(own) == cells, own).otherwise(F.raise_error(F.concat(F.lit("a row is not of the table's width: "), "value")).cast("array<string>"))
     return rows.select("line", "section", own.alias("cells"))
 
