@@ -36,7 +36,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training_rows(documents, read_table(spark, sf_dir, "labels")))
+    model = toxicity.fit(documents, read_table(spark, sf_dir, "labels"))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 

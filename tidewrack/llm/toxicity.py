@@ -12,7 +12,7 @@ number of toxic tokens, are turned into a document score by a logistic fit on th
 offsets are the character spans of tokens that are likelier toxic than not.
 
 The training sample is bounded: at most TOXIC_ROWS and CLEAN_ROWS labelled rows, the first in the order of a
-hash of their ids, up to TRAIN_CHARS characters. Every text is scored whole.
+hash of their ids, up to TRAIN_CHARS characters in that proportion. Every text is scored whole.
 
 Edge cases: a null or empty text has no tokens and gets the score of an expected count of 0; without labelled
 rows of both kinds every score is the share of toxic labels (0 without labels); a document with several
@@ -22,18 +22,18 @@ labels counts as toxic if one of them says so; repeated rows get equal scores; a
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import utf8
 
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 3000, 5000, 40_000_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1200, 2000, 16_000_000
 SEQUENCE, FEATURES, PREFIXES, SUFFIXES = 64, 1 << 18, range(3, 9), (3,)
 #: A feature marks tokens if so many independent toxic documents have it, and so large a share of all that do is toxic.
 SUPPORT, PRECISION = 4, 0.75
@@ -118,12 +118,16 @@ class Model:
         return np.fromiter(map(kept.__getitem__, words), np.float64, len(words))
 
     def token_probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
-        lengths = [len(x) for x in texts]
+        emit = self.emissions([w for x in texts for w in x])
+        return self.decode(np.split(emit, np.cumsum([len(x) for x in texts])[:-1])) if texts else []
+
+    def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        lengths = [len(x) for x in emissions]
         if not sum(lengths):
-            return [np.zeros(0) for _ in texts]
+            return [np.zeros(0) for _ in lengths]
         row, place = pad(lengths)
         emit, mask = np.zeros((row[-1] + 1, SEQUENCE)), np.zeros((row[-1] + 1, SEQUENCE), bool)
-        emit[row, place] = self.emissions([w for x in texts for w in x])
+        emit[row, place] = np.concatenate(emissions)
         mask[row, place] = True
         p = marginals(emit, mask, self.step, self.start)[0][row, place]
         return np.split(p, np.cumsum(lengths)[:-1])
@@ -160,7 +164,19 @@ def summary(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, np.log(count + 1e-3), np.log(most / (1 - most)), min(count, 1.0), min(max(count - 1, 0.0), 2.0)])
 
 
-def independent(texts: list[list[str]]) -> list[int]:
+class Sample:
+    """Texts as numbers of word forms, which cost a driver far less memory than strings."""
+
+    def __init__(self):
+        self.forms: dict[str, int] = {}
+        self.texts: list[np.ndarray] = []
+
+    def add(self, words: list[str]) -> None:
+        forms = self.forms
+        self.texts.append(np.fromiter((forms.setdefault(w, len(forms)) for w in words), np.int32, len(words)))
+
+
+def independent(texts: list[np.ndarray]) -> list[int]:
     """A group number for each text; texts that agree in one of four min-hashes of word 3-shingles share one, as copies do."""
     parent = list(range(len(texts)))
 
@@ -171,35 +187,48 @@ def independent(texts: list[list[str]]) -> list[int]:
         return x
 
     seen: dict[tuple[int, int], int] = {}
-    for i, words in enumerate(texts):
-        grams = {" ".join(words[j : j + 3]) for j in range(max(1, len(words) - 2))}
-        h = np.array([xxhash.xxh64_intdigest(g.encode("utf-8", "replace")) for g in grams], np.uint64)
-        for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)):
-            j = seen.setdefault((k, int((h * np.uint64(odd)).min())), i)
+    odd = np.random.default_rng(7).integers(1, 1 << 63, 7, dtype=np.uint64) | np.uint64(1)
+    for i, text in enumerate(texts):
+        x = text.astype(np.uint64) + np.uint64(1)
+        h = x[:-2] * odd[0] + x[1:-1] * odd[1] + x[2:] * odd[2] if len(x) > 2 else x.sum(keepdims=True) * odd[0]
+        h ^= h >> np.uint64(29)
+        for k in range(4):
+            g = h * odd[3 + k]
+            j = seen.setdefault((k, int((g ^ (g >> np.uint64(32))).min())), i)
             parent[root(i)] = root(j)
     return [root(i) for i in range(len(texts))]
 
 
-def label_tokens(texts: list[list[str]], toxic: list[bool], scale: float = 1.0) -> list[list[bool]]:
+def label_tokens(sample: Sample, toxic: list[bool], scale: float = 1.0) -> list[np.ndarray]:
     """Token labels from document labels. scale: clean documents that each sampled one stands for."""
-    groups = independent(texts)
-    by: dict[str, tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
-    for words, bad, g in zip(texts, toxic, groups, strict=True):
-        for f in {f for w in set(words) for f in word_features(w) if f[0] != "$"}:
-            by[f][not bad].add(g)
-    marks = {f for f, (bad, good) in by.items() if len(bad) >= SUPPORT and len(bad) / (len(bad) + scale * len(good)) >= PRECISION and (f[0] == "=" or len(bad) >= 2 * SUPPORT)}
-    hit = {w: any(f in marks for f in word_features(w)) for w in {w for words in texts for w in words}}
-    return [[bad and hit[w] for w in words] for words, bad in zip(texts, toxic, strict=True)]
-
-
-def train(texts: list[list[str]], tags: list[list[bool]]) -> Model:
+    own = [[f for f in word_features(w) if f[0] != "$"] for w in sample.forms]
+    ends = np.cumsum([len(x) for x in own])
+    starts = ends - [len(x) for x in own]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(f.encode("utf-8", "replace")) for x in own for f in x), np.uint64)
+    whole = np.fromiter((f[0] == "=" for x in own for f in x), bool)
+    features, at = np.unique(hashes, return_inverse=True)
+    counts = np.zeros((2, len(features)))
+    members: dict[tuple[bool, int], list[int]] = defaultdict(list)
+    for i, g in enumerate(independent(sample.texts)):
+        members[toxic[i], g].append(i)
+    for (bad, _), texts in members.items():
+        forms = np.unique(np.concatenate([sample.texts[i] for i in texts]))
+        size = ends[forms] - starts[forms]
+        places = np.repeat(starts[forms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        counts[int(bad), np.unique(at[places])] += 1
+    good, bad = counts
+    sure = (bad >= SUPPORT) & (bad / np.maximum(bad + scale * good, 1) >= PRECISION)
+    marks = sure[at] & (whole | (bad[at] >= 2 * SUPPORT))
+    hit = np.add.reduceat(marks, starts) > 0 if len(starts) else np.zeros(0, bool)
+    return [hit[x] & b for x, b in zip(sample.texts, toxic, strict=True)]
+
+
+def train(sample: Sample, tags: list[np.ndarray]) -> Model:
     """Fits weights and transitions to labelled tokens."""
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for x in texts for w in x))}
-    ids = [feature_ids(w) for w in vocabulary]
+    ids = [feature_ids(w) for w in sample.forms]
     flat, owner = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    form = np.fromiter((vocabulary[w] for x in texts for w in x), np.int64)
-    gold = np.fromiter((t for x in tags for t in x), bool)
-    row, place = pad([len(x) for x in texts])
+    form, gold = np.concatenate(sample.texts).astype(np.int64), np.concatenate(tags)
+    row, place = pad([len(x) for x in sample.texts])
     rows = row[-1] + 1
     mask, truth = np.zeros((rows, SEQUENCE), bool), np.zeros((rows, SEQUENCE), bool)
     mask[row, place], truth[row, place] = True, gold
@@ -235,9 +264,17 @@ def train(texts: list[list[str]], tags: list[list[bool]]) -> Model:
     return Model(theta.astype(np.float32), step, float(start), np.zeros(5))
 
 
-def calibrate(model: Model, texts: list[list[str]], toxic: list[bool], weights: np.ndarray) -> None:
+def calibrate(model: Model, sample: Sample, toxic: list[bool], weights: np.ndarray) -> None:
     """A logistic fit of document labels on the marginals' summary (Newton steps)."""
-    x = np.stack([summary(p) for p in model.token_probabilities(texts)])
+    of_form = np.fromiter((model.weights[feature_ids(w)].sum() for w in sample.forms), np.float64, len(sample.forms))
+    rows, batch, held = [], [], 0
+    for i, text in enumerate(sample.texts):
+        batch.append(of_form[text])
+        held += len(text)
+        if held >= SLICE or i == len(sample.texts) - 1:
+            rows += [summary(p) for p in model.decode(batch)]
+            batch, held = [], 0
+    x = np.stack(rows)
     y, beta = np.array(toxic, float), np.zeros(5)
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -247,25 +284,30 @@ def calibrate(model: Model, texts: list[list[str]], toxic: list[bool], weights:
     model.fit = beta
 
 
-def fit(labelled: DataFrame) -> Model:
-    """labelled: (doc_id, text, toxic). Learns from a bounded sample of its rows."""
-    rows = labelled.where("toxic in (0, 1)").select(F.xxhash64(F.col("doc_id")).alias("o"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic"))
-    count = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample, chars = [], 0
-    for bad, most in ((True, TOXIC_ROWS), (False, CLEAN_ROWS)):
-        share = TRAIN_CHARS * most / (TOXIC_ROWS + CLEAN_ROWS)
-        for r in rows.where(F.col("toxic") == bad).orderBy("o", "doc_id", "text").limit(most).collect():
-            chars += len(r["text"])
-            if chars > share * (1 if bad else TRAIN_CHARS / share):
-                break
-            sample.append((WORD.findall(r["text"].lower()), bad))
-    texts, toxic = [x[0] for x in sample], [x[1] for x in sample]
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    """Learns from (doc_id, text) and (doc_id, toxic): a bounded sample of the labelled rows, none of them held out.
+
+    Ids are sampled before any text is read, so texts are neither shuffled nor sorted."""
+    toxic_of = labels.where("toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    listed = documents.select("doc_id").distinct().join(toxic_of, "doc_id").withColumn("o", F.xxhash64("doc_id"))
+    count = {r["toxic"]: r["n"] for r in listed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    picked = {bad: [r["doc_id"] for r in listed.where(F.col("toxic") == bad).orderBy("o", "doc_id").limit(most).collect()] for bad, most in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))}
+    place = [(i, n, bad) for bad, ids in picked.items() for n, i in enumerate(ids)]
+    wanted = documents.sparkSession.createDataFrame(place, "doc_id long, place int, toxic boolean")  # TOXIC_ROWS + CLEAN_ROWS rows at most
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
+    budget = {bad: TRAIN_CHARS * most // (TOXIC_ROWS + CLEAN_ROWS) for bad, most in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))}
+    used = Window.partitionBy("toxic").orderBy("place", F.xxhash64("text"))
+    rows = rows.withColumn("size", F.sum(F.length("text")).over(used)).where(F.col("size") <= F.when(F.col("toxic"), budget[True]).otherwise(budget[False]))
+    sample, toxic = Sample(), []
+    for r in rows.orderBy(F.desc("toxic"), "place", F.xxhash64("text")).toLocalIterator():
+        sample.add(WORD.findall(r["text"].lower()))
+        toxic.append(r["toxic"])
     total = sum(count.values())
-    if not any(toxic) or all(toxic) or not any(texts):
+    if not any(toxic) or all(toxic) or not sample.forms:
         return Model(np.zeros(FEATURES, np.float32), np.zeros((2, 2)), 0.0, np.array([count.get(True, 0) / total if total else 0.0, 0, 0, 0, 0]))
     scale = (count[False] / toxic.count(False)) / (count[True] / toxic.count(True))
-    model = train(texts, label_tokens(texts, toxic, scale))
-    calibrate(model, texts, toxic, np.where(toxic, 1.0, scale))
+    model = train(sample, label_tokens(sample, toxic, scale))
+    calibrate(model, sample, toxic, np.where(toxic, 1.0, scale))
     return model
 
 
@@ -285,11 +327,18 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, "doc_id long, score double, spans array<struct<start: int, end: int, probability: double>>")
 
 
+def keep_clean(df: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of `df`, all columns, whose text scores below the threshold."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            texts = [x.as_py() or "" for x in batch.column(batch.schema.get_field_index("text"))]
+            yield batch.filter(pa.array([s < threshold for s, _ in shared.value.score_texts(texts)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id="doc_id"):
     """Rows whose label is never learned from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    toxic = labels.where("toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return documents.select("doc_id", "text").join(toxic, "doc_id")
