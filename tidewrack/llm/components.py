@@ -9,7 +9,7 @@ from tidewrack.llm.common import WorkArea
 
 
 def connected_components(edges: DataFrame, work: WorkArea, name: str = "cc", max_rounds: int = 60) -> DataFrame:
-    """(a, b) long edges -> (node, root): root is the smallest node reachable; nodes without an edge to another are left out.
+    """(a, b) long edges -> (node, root): root is the smallest node reachable; a root itself and nodes without an edge to another are left out.
 
     Each round writes its edges to the shared folder, so lineage stays one round long. A node with very many
     neighbours meets one row of minima, a join that adaptive execution can split."""

@@ -88,7 +88,7 @@ class Index:
                 idf = math.log(1 + (n - frequency[w] + 0.5) / (frequency[w] + 0.5))
                 impacts[self.terms[w], i] = idf * tf * (K1 + 1) / (tf + norm)
         self.impacts = impacts / np.maximum(impacts.sum(axis=0), 1e-9)
-        self.bounds = self.impacts.reshape(len(self.terms), -1, BLOCK).max(axis=2)
+        self.bounds = self.impacts.reshape(len(self.terms), size // BLOCK, BLOCK).max(axis=2, initial=0)
         self.stride = max((len(p[0]) for p in self.parts), default=1)
 
     def retrieve(self, docs: list[np.ndarray], threshold: float):

@@ -386,6 +386,8 @@ class Generator:
             body = f"<main{k}>{body}{self.noise('side') if r.random() < 0.3 else ''}</main>"
         tops = [self.noise(x) for x in r.choice([["nav", "ad"], ["nav"], ["header"], ["header", "nav"], ["nav", "ad"], ["notice", "header"], ["header", "nav", "ad"], ["nav", "notice", "form"], []])]
         ends = [self.noise(x) for x in r.choice([["footer"], ["footer"], ["side", "footer"], ["share", "footer"], ["ad", "footer"], ["side", "form", "footer"], ["footer", "notice"], []])]
+        if r.random() < 0.06:  # a page without a main text
+            body = "" if tops or ends else self.noise("nav")
         body = "".join(tops) + body + "".join(ends)
         for _ in range(r.choice([0, 0, 1, 2])):
             body = f"<div{k}{self.attr('wrapper', 'container', 'page', 'row', 'layout', 'site')}>{body}</div>"

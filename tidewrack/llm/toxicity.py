@@ -46,7 +46,8 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def word_features(word: str) -> list[str]:
-    return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if n < len(word)), *(f"${word[-n:]}" for n in SUFFIXES if n < len(word))]
+    """The whole word, its prefixes and suffixes, and one feature that all words share, which speaks for words not seen."""
+    return ["*", f"={word}", *(f"^{word[:n]}" for n in PREFIXES if n < len(word)), *(f"${word[-n:]}" for n in SUFFIXES if n < len(word))]
 
 
 def feature_ids(word: str) -> list[int]:
@@ -201,7 +202,7 @@ def independent(texts: list[np.ndarray]) -> list[int]:
 
 def label_tokens(sample: Sample, toxic: list[bool], scale: float = 1.0) -> list[np.ndarray]:
     """Token labels from document labels. scale: clean documents that each sampled one stands for."""
-    own = [[f for f in word_features(w) if f[0] != "$"] for w in sample.forms]
+    own = [[f for f in word_features(w) if f[0] in "=^"] for w in sample.forms]
     ends = np.cumsum([len(x) for x in own])
     starts = ends - [len(x) for x in own]
     hashes = np.fromiter((xxhash.xxh64_intdigest(f.encode("utf-8", "replace")) for x in own for f in x), np.uint64)
