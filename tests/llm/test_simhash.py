@@ -96,7 +96,9 @@ def test_edge_rows(spark):
     df = frame(spark, rows, ", fp int").withColumn("component_id", F.lit("clash"))
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark, df, k=3).collect()), key=str)
     assert got == [(1, 1), (1, 1), (2, 2), (None, None)]
-    kept = simhash.keep_one(spark, df, k=3)
+    kept = simhash.keep_one(spark, df, simhash.near_duplicates(spark, df, k=3))
+    copies = simhash.near_copies(spark, df)
+    assert sorted(((r["doc_id"], r["component_id"]) for r in copies.collect()), key=str) == got and simhash.near_copies(spark, df.where("false")).count() == 0
     assert kept.columns == df.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, None]
     assert simhash.near_duplicates(spark, df.where("false"), k=3).count() == 0
 

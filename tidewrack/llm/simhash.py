@@ -26,6 +26,8 @@ from tidewrack.llm.common import WorkArea, utf8
 from tidewrack.llm.components import connected_components
 
 SEED, BITS, CHUNK = 42, 64, 1 << 16
+LANES = 8
+MIX = np.random.default_rng(6).integers(1, 1 << 63, LANES, dtype=np.uint64) | np.uint64(1)
 #: Relative cost of shuffling one probe row and of verifying one candidate pair.
 PROBE_COST, PAIR_COST = 1.0, 0.25
 #: Larger buckets are linked through one-bit variants instead of by pairs (exact for a radius of 2 or less).
@@ -196,9 +198,104 @@ def near_duplicates(spark: SparkSession, df: DataFrame, k: int = 5, radius: int
     return docs.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(spark: SparkSession, df: DataFrame, k: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of `df`, all columns, less all but the smallest id of each component; rows with null ids stay."""
-    found = WorkArea(spark, "keep-one").write(near_duplicates(spark, df, k, radius), "found")
+# --- wider fingerprints, for copies that differ in more than a few bits ---
+
+
+def wide_fingerprint(data: bytes, k: int) -> np.ndarray:
+    """LANES words of 64 bits: each shingle's hash is mixed with LANES odd constants, and each mix votes on 64 bits."""
+    words = data.lower().split()
+    total = max(1, len(words) - k + 1) if words else 0
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else iter([b" ".join(words)])
+    votes, left = np.zeros(LANES * 64, np.int64), total
+    while left > 0:
+        n = min(CHUNK // 8, left)
+        h = np.frombuffer(b"".join([xxhash.xxh64_digest(next(shingles), SEED) for _ in range(n)]), ">u8").astype(np.uint64)
+        mixed = h[:, None] * MIX[None, :]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        votes += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        left -= n
+    return np.packbits(votes * 2 > total).view(np.int64)
+
+
+def wide_fingerprints(df: DataFrame, k: int) -> DataFrame:
+    """(doc_id, f0, f1, ...)."""
+    names = [f"f{i}" for i in range(LANES)]
+
+    def run(batches):
+        for batch in batches:
+            lanes = np.array([wide_fingerprint(x.as_py(), k) for x in batch.column(1)], np.int64).reshape(-1, LANES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in lanes.T)], ["doc_id", *names])
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+
+
+def partition_keys(fps: DataFrame, width: int) -> DataFrame:
+    """(key, id) of each fingerprint (id, f0, ...): one key for each run of `width` bits, with the run's number."""
+    parts = LANES * 64 // width
+
+    def run(batches):
+        for batch in batches:
+            lanes = np.stack([batch.column(i + 1).to_numpy() for i in range(LANES)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1)[:, : parts * width].reshape(len(lanes), parts, width)
+            keys = bits.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << np.int64(40))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), parts))], ["key", "id"])
+
+    return fps.mapInArrow(run, "key long, id long")
+
+
+def near_copies(spark: SparkSession, df: DataFrame, k: int = 2, share: float = 0.12) -> DataFrame:
+    """(doc_id, component_id): documents whose wide fingerprints differ in at most `share` of the bits are linked.
+
+    With shingles of two words a share of 0.12 stands for a Jaccard similarity of about 0.8 on shingles of five.
+    The bits are cut into as many runs of equal width as they give, the width growing with the logarithm of the
+    number of fingerprints, so that unrelated texts seldom agree in a run. By the pigeonhole principle a pair
+    with fewer differing bits than runs agrees in one; pairs beyond that are found with the recall that the
+    README gives. Candidates are verified on all bits.
+
+    Members of a bucket of more than BUCKET are compared with its smallest member, those that are not linked to
+    it with the smallest of the rest, and so on, so no bucket gives all its pairs and every member is compared
+    until it is linked or few are left. Edge cases are those of near_duplicates."""
+    work = WorkArea(spark, "copies")
+    names = [f"f{i}" for i in range(LANES)]
+    docs = work.write(wide_fingerprints(df, k), "docs")
+    groups = work.write(docs.groupBy(*names).agg(F.min("doc_id").alias("id")), "groups")
+    known = groups.where("id is not null").select("id", *names)
+    n = known.count()
+    width = min(32, max(16, math.ceil(math.log2(n + 1)) + 3))
+    rows, radius = partition_keys(known, width), int(share * LANES * 64)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        a, b = (known.select(F.col("id").alias(s), *[F.col(f).alias(f"{s}{f}") for f in names]) for s in "ab")
+        differ = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in names[1:]), F.bit_count(F.col("af0").bitwiseXOR(F.col("bf0"))))
+        return pairs.join(a, "a").join(b, "b").where(differ <= radius).select(*pairs.columns)
+
+    edges, turn = [], 0
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
+        met = work.write(rows.join(sizes, "key"), f"met-{turn}")
+        small = met.where(F.col("n") <= BUCKET).select("key", "id")
+        pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+        edges.append(work.write(close(pairs), f"pairs-{turn}"))
+        large = met.where((F.col("n") > BUCKET) & (F.col("id") > F.col("low")))
+        if large.isEmpty():
+            break
+        star = work.write(close(large.select("key", F.col("low").alias("a"), F.col("id").alias("b"))), f"star-{turn}")
+        edges.append(star.select("a", "b").distinct())
+        rows = work.write(large.select("key", "id").join(star.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti"), f"rest-{turn}")
+        turn += 1
+    linked = edges[0]
+    for e in edges[1:]:
+        linked = linked.union(e)
+    roots = connected_components(linked, work)
+    named = groups.join(roots, groups["id"] == roots["node"], "left").select(*names, F.coalesce("root", "id").alias("component_id"))
+    return docs.join(named, names).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(spark: SparkSession, df: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `df`, all columns, less all but the smallest id of each component of found (doc_id, component_id); rows with null ids stay."""
+    found = WorkArea(spark, "keep-one").write(found.select("doc_id", "component_id"), "found")
     # Only where ids repeat does a row need more than its id to be told from the one that stays.
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         unique = df
