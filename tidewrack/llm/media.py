@@ -34,7 +34,7 @@ RATE, UNIT = 8000, 64
 SMALLEST, LARGEST, CUT_BITS, WINDOW = 1024, 32768, 12, 32
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: The dictionary's size, the rows whose chunks it is fitted to, and their bytes at most.
-DICTIONARY, SAMPLE_ROWS, SAMPLE_BYTES, LEVEL = 112_640, 2000, 8_000_000, 6
+DICTIONARY, SAMPLE_ROWS, SAMPLE_BYTES, LEVEL = 112_640, 2000, 8_000_000, 15
 #: Digests that a task remembers, to send each chunk once.
 REMEMBERED = 200_000
 
