@@ -162,4 +162,7 @@ def test_shards_give_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, decontaminate.contaminated(df, items(spark, ITEM, *OTHERS)).select("doc_id", "item_id").collect()))
     monkeypatch.setattr(decontaminate, "SHARD", 8)
     parts = sorted(map(tuple, decontaminate.contaminated(df, items(spark, ITEM, *OTHERS)).select("doc_id", "item_id").collect()))
-    assert whole == parts == [(1, 0), (2, 8)]
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 1)
+    alone = sorted(map(tuple, decontaminate.contaminated(df, items(spark, ITEM, *OTHERS)).select("doc_id", "item_id").collect()))
+    assert whole == parts == alone == [(1, 0), (2, 8)]
+    assert decontaminate.keep_clean(df, items(spark, ITEM, *OTHERS)).count() == 0

@@ -13,8 +13,9 @@ Retrieved pairs are verified on words: the passage must hold at least OVERLAP of
 and of the words of its question and of its answer. The answer is what follows the item's last line break,
 or else its last sentence, or else the second half of its words.
 
-The index is built for at most SHARD items at a time (statistics are of all items); a larger benchmark is
-queried shard by shard, so what is broadcast has a bound.
+The index is built for at most SHARD items at a time (statistics are of all items). Shards are broadcast in
+groups of PASS_BYTES at most, and the texts are scanned once for each group, so what is broadcast has a bound
+and a benchmark of any size is queried whole.
 
 Edge cases: null or empty items and texts have no words and match nothing; items shorter than 5 words have
 one shingle; words of one item that repeat count by BM25's term frequency; repeated rows give one result;
@@ -36,7 +37,9 @@ from tidewrack.llm.common import utf8
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.65, 0.8, 5
-BLOCK, SHARD = 8, 4096
+BLOCK, SHARD = 8, 512
+#: Bytes of indexes that are broadcast for one scan of the texts.
+PASS_BYTES = 64_000_000
 #: Tokens that are scored together.
 SLICE = 400_000
 find_words = re.compile(r"[^\W_]+").findall
@@ -169,18 +172,33 @@ def build(items: DataFrame) -> list[Index]:
     return out
 
 
+def passes(indexes: list[Index]) -> list[list[Index]]:
+    """Groups of indexes of PASS_BYTES at most, or of a single one."""
+    out: list[list[Index]] = []
+    held = 0
+    for index in indexes:
+        size = index.impacts.nbytes + index.bounds.nbytes
+        if not out or held + size > PASS_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(index)
+        held += size
+    return out
+
+
 def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, shingle_overlap, question_overlap, answer_overlap): one row for each verified pair."""
     spark = df.sparkSession
     out = None
     schema = "doc_id long, item_id long, score double, shingle_overlap double, question_overlap double, answer_overlap double"
-    for index in build(items):
-        shared = spark.sparkContext.broadcast(index)
+    for group in passes(build(items)):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = shared.value.scan([x.as_py().decode("utf-8", "replace") for x in batch.column(1)], threshold, overlap)
+                texts = [x.as_py().decode("utf-8", "replace") for x in batch.column(1)]
+                found = [f for index in shared.value for f in index.scan(texts, threshold, overlap)]
                 columns = list(zip(*found, strict=True)) if found else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap"])
 
@@ -192,13 +210,13 @@ def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def keep_clean(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of `df`, all columns, whose text matches no item."""
-    for index in build(items):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    for group in passes(build(items)):
+        shared = df.sparkSession.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
             for batch in batches:
                 texts = [x.as_py() or "" for x in batch.column(batch.schema.get_field_index("text"))]
-                hit = {d for d, *_ in shared.value.scan(texts, threshold, overlap)}
+                hit = {d for index in shared.value for d, *_ in index.scan(texts, threshold, overlap)}
                 yield batch.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)
