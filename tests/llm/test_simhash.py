@@ -107,3 +107,24 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges, WorkArea(spark, "cc")).collect()}
     assert len(got) == 201 and {got[i] for i in range(1, 201)} == {0} and got[501] == 500
+
+
+def test_near_copies_of_large_groups(spark, monkeypatch):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+
+    def edited(base, n):
+        out = list(base)
+        for _ in range(n):
+            out[r.randrange(len(out))] = r.choice(words)
+        return " ".join(out)
+
+    bases = [[r.choice(words) for _ in range(200)] for _ in range(4)]
+    rows = [(i, edited(bases[0], r.randint(0, 4))) for i in range(150)]
+    rows += [(200 + 10 * b + i, edited(bases[b], i)) for b in (1, 2, 3) for i in range(3)]
+    rows += [(900 + i, " ".join(r.choice(words) for _ in range(150))) for i in range(40)]
+    want = {i: 0 if i < 150 else 200 + (i - 200) // 10 * 10 if i < 900 else i for i, _ in rows}
+    for bucket in (128, 8):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark, frame(spark, rows)).collect()}
+        assert got == want

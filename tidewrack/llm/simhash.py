@@ -245,6 +245,37 @@ def partition_keys(fps: DataFrame, width: int) -> DataFrame:
     return fps.mapInArrow(run, "key long, id long")
 
 
+def _stars(members: DataFrame, names: list[str], radius: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(key, a, b) links of members (key, id, n, f0, ...) to heads of their bucket, and the heads (key, id).
+
+    A head is the member nearest to the majority of about 64 members' bits, and from the second turn on 2, 4, 8, ...
+    more, so that a bucket of many clusters is worn down in few turns."""
+    some = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("n") / 64), F.lit(1)))
+    sample = members.where(some == 0).groupBy("key").agg(F.collect_list(F.array(*names)).alias("fps"))
+
+    def majority(batches):
+        for batch in batches:
+            out = []
+            for fps in batch.column(1):
+                bits = np.unpackbits(np.array(fps.as_py(), np.int64).view(np.uint8).reshape(-1, LANES * 8), axis=1)
+                out.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).view(np.int64))
+            lanes = np.array(out, np.int64).reshape(-1, LANES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in lanes.T)], ["key", *(f"c{f}" for f in names)])
+
+    middle = sample.mapInArrow(majority, ", ".join(["key long", *(f"c{f} long" for f in names)]))
+
+    def differ(x: str, y: str):
+        return sum((F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in names[1:]), F.bit_count(F.col(f"{x}f0").bitwiseXOR(F.col(f"{y}f0"))))
+
+    heads = members.join(middle, "key").groupBy("key").agg(F.min_by("id", F.struct(differ("", "c"), "id")).alias("a"))
+    if turn:
+        more = F.pmod(F.xxhash64("id", F.lit(-turn)), F.greatest(F.floor(F.col("n") / 2**turn), F.lit(1)))
+        heads = heads.union(members.where(more == 0).select("key", F.col("id").alias("a"))).distinct()
+    whole = heads.join(members.select("key", F.col("id").alias("a"), *[F.col(f).alias(f"h{f}") for f in names]), ["key", "a"])
+    met = members.join(whole, "key").where((F.col("id") != F.col("a")) & (differ("", "h") <= radius))
+    return met.select("key", "a", F.col("id").alias("b")), heads.select("key", F.col("a").alias("id"))
+
+
 def near_copies(spark: SparkSession, df: DataFrame, k: int = 2, share: float = 0.12) -> DataFrame:
     """(doc_id, component_id): documents whose wide fingerprints differ in at most `share` of the bits are linked.
 
@@ -254,9 +285,9 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 2, share: float = 0
     with fewer differing bits than runs agrees in one; pairs beyond that are found with the recall that the
     README gives. Candidates are verified on all bits.
 
-    Members of a bucket of more than BUCKET are compared with its smallest member, those that are not linked to
-    it with the smallest of the rest, and so on, so no bucket gives all its pairs and every member is compared
-    until it is linked or few are left. Edge cases are those of near_duplicates."""
+    Members of a bucket of more than BUCKET are compared with its middle member, those that are not linked to it
+    with the middle one and some others of the rest, and so on: each member is compared until it is linked or few
+    are left, and no bucket gives all its pairs. Edge cases are those of near_duplicates."""
     work = WorkArea(spark, "copies")
     names = [f"f{i}" for i in range(LANES)]
     docs = work.write(wide_fingerprints(df, k), "docs")
@@ -278,12 +309,14 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 2, share: float = 0
         small = met.where(F.col("n") <= BUCKET).select("key", "id")
         pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
         edges.append(work.write(close(pairs), f"pairs-{turn}"))
-        large = met.where((F.col("n") > BUCKET) & (F.col("id") > F.col("low")))
+        large = met.where(F.col("n") > BUCKET).select("key", "id", "n")
         if large.isEmpty():
             break
-        star = work.write(close(large.select("key", F.col("low").alias("a"), F.col("id").alias("b"))), f"star-{turn}")
+        star, heads = _stars(large.join(known, "id"), names, radius, turn)
+        star = work.write(star, f"star-{turn}")
         edges.append(star.select("a", "b").distinct())
-        rows = work.write(large.select("key", "id").join(star.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti"), f"rest-{turn}")
+        linked_here = star.select("key", F.col("b").alias("id")).union(heads).distinct()
+        rows = work.write(large.select("key", "id").join(linked_here, ["key", "id"], "left_anti"), f"rest-{turn}")
         turn += 1
     linked = edges[0]
     for e in edges[1:]:
