@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 QUEUE_FACTOR = 5
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Ends the lineage with a reliable checkpoint where the session names a folder for it, else keeps it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -25,15 +25,15 @@ def click_depth(edges: DataFrame, root: DataFrame, max_depth: int | None = None)
     edges: (src, dst); root: (node). One join of the frontier with the edges for each level; only the visited
     set and the frontier live between levels, and each level cuts its lineage."""
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    frontier = _cut(root.select("node").distinct().withColumn("depth", F.lit(0)))
+    frontier = cut_lineage(root.select("node").distinct().withColumn("depth", F.lit(0)))
     visited, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut_lineage(reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        visited = _cut(visited.unionByName(frontier))
+        visited = cut_lineage(visited.unionByName(frontier))
     return visited
 
 

@@ -54,9 +54,9 @@ def one_page_each(pages: DataFrame, query: str, depth: str, deepest: int = 2) ->
 
 
 def money_pages_in_top_decile(pages: DataFrame, links: str, money: str) -> DataFrame:
-    """Share of money pages in the tenth of pages that most links name. One row for each page is ranked."""
-    place = F.percent_rank().over(Window.orderBy(F.desc(links)))
-    return share_meeting(pages.withColumn("_p", place).where(F.col(money)), F.col("_p") < 0.1, least=1.0)
+    """Share of money pages in the tenth of pages that most links name."""
+    cut = pages.agg(F.percentile(links, 0.9).alias("_c"))
+    return share_meeting(pages.where(F.col(money)).join(F.broadcast(cut)), F.col(links) >= F.col("_c"), least=1.0)
 
 
 def money_depth(pages: DataFrame, depth: str, money: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.numbers import half_even
 from tidewrack.functions.text import ids_in_cell
+from tidewrack.operators.table import global_rank
 
 #: Closed vocabularies and required fields of an action.
 VOCABULARIES = {
@@ -53,7 +54,7 @@ def duplicate_ids(actions: DataFrame) -> DataFrame:
 def scored(actions: DataFrame, position: str) -> DataFrame:
     """Valid actions with score and place, best first, equals in their given order."""
     rows = actions.withColumn("score", score(F.col("gain"), F.col("confiance"), F.col("effort")))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), position)))
+    return global_rank(rows, [F.desc("score"), F.col(position)], "place")
 
 
 def refuse_invalid(actions: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.numbers import first_number
 from tidewrack.functions.text import fold_accents
+from tidewrack.operators.graph import cut_lineage
 
 #: Tables with fewer rows get no column filters.
 FILTER_ROWS = 5
@@ -28,6 +29,29 @@ def sort(df: DataFrame, by: str, numeric: bool, descending: bool, group: str | N
     return df.orderBy(*first, order, *([key] if key else []))
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row in a total order, from 1.
+
+    Rows are sorted by range over all partitions and kept; a row's place is its place in its partition plus the
+    rows of the partitions before it. Only one row for each partition meets in one task."""
+    placed = cut_lineage(df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()))
+    part = F.shiftright("_i", 33).alias("_p")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = placed.groupBy(part).agg(F.count("*").alias("_n")).select(F.col("_p").alias("_q"), before.alias("_o"))
+    place = F.col("_o") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(offsets, F.shiftright("_i", 33) == F.col("_q")).withColumn(name, place).drop("_i", "_q", "_o")
+
+
+def tiles(df: DataFrame, order: list[Column], name: str, k: int = 10) -> DataFrame:
+    """Adds the tile, 1 to k, of each row in a total order; the first tiles hold the rows that don't divide."""
+    n = F.col("_t")
+    q, r = F.floor(n / k), n % k
+    wide = r * (q + 1)
+    tile = F.when(F.col("_r") <= wide, F.ceil(F.col("_r") / (q + 1))).otherwise(r + F.ceil((F.col("_r") - wide) / F.greatest(q, F.lit(1))))
+    ranked = global_rank(df, order, "_r")
+    return ranked.join(F.broadcast(ranked.agg(F.count("*").alias("_t")))).withColumn(name, tile.cast("int")).drop("_r", "_t")
+
+
 def filter_values(df: DataFrame, column: str) -> DataFrame:
     """Values of a column and how often they occur, none if the table is small."""
     n = F.sum("n").over(Window.partitionBy())

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions import numbers, text, urls
@@ -477,14 +477,14 @@ def accent_search(spark, sf_dir):
 SELECT CAST(row_number() OVER (ORDER BY d ASC NULLS LAST, s_name) AS INT) AS place, s_name FROM (SELECT s_name, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 9 END AS d FROM supplier)""")
 def page_sort(spark, sf_dir):
     rows = read(spark, sf_dir, "supplier").select("s_name", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") % 9).alias("d"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("d"), "s_name"))).select("place", "s_name")
+    return table.global_rank(rows, [F.asc_nulls_last("d"), F.col("s_name")], "place").select(F.col("place").cast("int").alias("place"), "s_name")
 
 
 @query("SELECT s_suppkey, CAST(ntile(10) OVER (ORDER BY coalesce(n, 0) DESC, s_suppkey) AS INT) AS decile FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey")
 def link_deciles(spark, sf_dir):
     edges = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("dst"))
     nodes = graph.with_in_degree(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")), edges)
-    return nodes.select(F.col("node").alias("s_suppkey"), F.ntile(10).over(Window.orderBy(F.desc("links"), "node")).alias("decile"))
+    return table.tiles(nodes, [F.desc("links"), F.col("node")], "decile").select(F.col("node").alias("s_suppkey"), "decile")
 
 
 @query("""
