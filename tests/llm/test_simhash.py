@@ -125,6 +125,6 @@ def test_near_copies_of_large_groups(spark, monkeypatch):
     rows += [(900 + i, " ".join(r.choice(words) for _ in range(150))) for i in range(40)]
     want = {i: 0 if i < 150 else 200 + (i - 200) // 10 * 10 if i < 900 else i for i, _ in rows}
     for bucket in (128, 8):
-        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        monkeypatch.setattr(simhash, "PAIRED", bucket)
         got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark, frame(spark, rows)).collect()}
         assert got == want

@@ -32,6 +32,8 @@ MIX = np.random.default_rng(6).integers(1, 1 << 63, LANES, dtype=np.uint64) | np
 PROBE_COST, PAIR_COST = 1.0, 0.25
 #: Larger buckets are linked through one-bit variants instead of by pairs (exact for a radius of 2 or less).
 BUCKET = 128
+#: The same for wide fingerprints, where larger buckets are compared with heads.
+PAIRED = 32
 
 
 def fingerprint(data: bytes, k: int) -> int:
@@ -248,7 +250,7 @@ def partition_keys(fps: DataFrame, width: int) -> DataFrame:
 def _stars(members: DataFrame, names: list[str], radius: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """(key, a, b) links of members (key, id, n, f0, ...) to heads of their bucket, and the heads (key, id).
 
-    A head is the member nearest to the majority of about 64 members' bits, and from the second turn on 2, 4, 8, ...
+    A head is the member nearest to the majority of about 64 members' bits, and from the second turn on 4, 16, 64, ...
     more, so that a bucket of many clusters is worn down in few turns."""
     some = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("n") / 64), F.lit(1)))
     sample = members.where(some == 0).groupBy("key").agg(F.collect_list(F.array(*names)).alias("fps"))
@@ -269,7 +271,7 @@ def _stars(members: DataFrame, names: list[str], radius: int, turn: int) -> tupl
 
     heads = members.join(middle, "key").groupBy("key").agg(F.min_by("id", F.struct(differ("", "c"), "id")).alias("a"))
     if turn:
-        more = F.pmod(F.xxhash64("id", F.lit(-turn)), F.greatest(F.floor(F.col("n") / 2**turn), F.lit(1)))
+        more = F.pmod(F.xxhash64("id", F.lit(-turn)), F.greatest(F.floor(F.col("n") / 4**turn), F.lit(1)))
         heads = heads.union(members.where(more == 0).select("key", F.col("id").alias("a"))).distinct()
     whole = heads.join(members.select("key", F.col("id").alias("a"), *[F.col(f).alias(f"h{f}") for f in names]), ["key", "a"])
     met = members.join(whole, "key").where((F.col("id") != F.col("a")) & (differ("", "h") <= radius))
@@ -285,7 +287,7 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 2, share: float = 0
     with fewer differing bits than runs agrees in one; pairs beyond that are found with the recall that the
     README gives. Candidates are verified on all bits.
 
-    Members of a bucket of more than BUCKET are compared with its middle member, those that are not linked to it
+    Members of a bucket of more than PAIRED are compared with its middle member, those that are not linked to it
     with the middle one and some others of the rest, and so on: each member is compared until it is linked or few
     are left, and no bucket gives all its pairs. Edge cases are those of near_duplicates."""
     work = WorkArea(spark, "copies")
@@ -306,10 +308,10 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 2, share: float = 0
     while True:
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
         met = work.write(rows.join(sizes, "key"), f"met-{turn}")
-        small = met.where(F.col("n") <= BUCKET).select("key", "id")
+        small = met.where(F.col("n") <= PAIRED).select("key", "id")
         pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
         edges.append(work.write(close(pairs), f"pairs-{turn}"))
-        large = met.where(F.col("n") > BUCKET).select("key", "id", "n")
+        large = met.where(F.col("n") > PAIRED).select("key", "id", "n")
         if large.isEmpty():
             break
         star, heads = _stars(large.join(known, "id"), names, radius, turn)
@@ -334,7 +336,9 @@ def keep_one(spark: SparkSession, df: DataFrame, found: DataFrame) -> DataFrame:
         unique = df
     else:
         unique = df.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(df.where("doc_id is null"))
-    return unique.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(df.columns)
+    # Which ids go grows with the documents, so they are never broadcast.
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct().hint("merge")
+    return unique.join(gone, "doc_id", "left_anti").select(df.columns)
 
 
 def hex_fingerprint(fp: str = "fp"):
