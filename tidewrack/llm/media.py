@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import WorkArea, shuffle_cleanup, utf8
 
 RATE, UNIT = 8000, 64
-SMALLEST, LARGEST, CUT_BITS, WINDOW = 1024, 32768, 12, 32
+SMALLEST, LARGEST, CUT_BITS, WINDOW = 2048, 65536, 13, 32
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: The dictionary's size, the rows whose chunks it is fitted to, and their bytes at most.
 DICTIONARY, SAMPLE_ROWS, SAMPLE_BYTES, LEVEL = 112_640, 2000, 8_000_000, 15
+#: The store is written for one part of the digests after another, so that no more than a part is shuffled at once.
+PARTS = 2
 #: Digests that a task remembers, to send each chunk once.
 REMEMBERED = 200_000
 
@@ -130,8 +132,8 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def chunk_rows(df: DataFrame, dictionary: bytes) -> DataFrame:
-    """(digest, data): compressed chunks; a task sends each that it remembers once."""
+def chunk_rows(df: DataFrame, dictionary: bytes, part: int = 0, parts: int = 1) -> DataFrame:
+    """(digest, data): compressed chunks, those of one part of the digests; a task sends each that it remembers once."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
@@ -141,7 +143,7 @@ def chunk_rows(df: DataFrame, dictionary: bytes) -> DataFrame:
             for x in batch.column(0):
                 for c in _chunks(encode(x.as_py())):
                     d = hashlib.sha256(c).digest()
-                    if d in seen:
+                    if d[0] % parts != part or d in seen:
                         continue
                     if len(seen) >= REMEMBERED:
                         seen.clear()
@@ -160,13 +162,14 @@ def chunk_rows(df: DataFrame, dictionary: bytes) -> DataFrame:
 def store(df: DataFrame, dictionary: bytes, known: DataFrame | None = None) -> DataFrame:
     """Writes the chunks of (doc_id, text) that are not in `known` (digest, data) to a table of the warehouse, bucketed by digest."""
     spark = df.sparkSession
-    new = chunk_rows(df, dictionary).groupBy("digest").agg(F.first("data").alias("data"))
-    if known is not None:
-        new = new.join(known.select("digest"), "digest", "left_anti")
     name, n = f"tidewrack_chunks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with shuffle_cleanup(spark):
-        # The chunks are compressed already.
-        new.write.format("parquet").option("compression", "uncompressed").bucketBy(n, "digest").sortBy("digest").saveAsTable(name)
+    for part in range(PARTS):
+        new = chunk_rows(df, dictionary, part, PARTS).groupBy("digest").agg(F.first("data").alias("data"))
+        if known is not None:
+            new = new.join(known.select("digest"), "digest", "left_anti")
+        with shuffle_cleanup(spark):
+            # The chunks are compressed already.
+            new.write.format("parquet").option("compression", "uncompressed").bucketBy(n, "digest").sortBy("digest").mode("append").saveAsTable(name)
     return spark.table(name)
 
 
