@@ -41,7 +41,7 @@ STEPS, RATE, RIDGE = 80, 0.5, 1e-5
 #: Marginals below this add nothing to the expected count, or long clean texts would gather one.
 FLOOR = 0.2
 #: Words whose weight a worker keeps, and tokens that are decoded together.
-KEPT, SLICE = 400_000, 200_000
+KEPT, SLICE = 150_000, 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
