@@ -22,6 +22,7 @@ labels counts as toxic if one of them says so; repeated rows get equal scores; a
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -54,6 +55,16 @@ def feature_ids(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(f.encode("utf-8", "replace")) % FEATURES for f in word_features(word)]
 
 
+def flat(forms, values) -> tuple[np.ndarray, np.ndarray]:
+    """values(form) of all forms in one array, and how many each form has."""
+    out, sizes = array("Q"), array("i")
+    for w in forms:
+        found = values(w)
+        sizes.append(len(found))
+        out.extend(found)
+    return np.array(out, np.uint64), np.array(sizes, np.int64)
+
+
 def marginals(emit: np.ndarray, mask: np.ndarray, step: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over padded rows.
 
@@ -202,11 +213,11 @@ def independent(texts: list[np.ndarray]) -> list[int]:
 
 def label_tokens(sample: Sample, toxic: list[bool], scale: float = 1.0) -> list[np.ndarray]:
     """Token labels from document labels. scale: clean documents that each sampled one stands for."""
-    own = [[f for f in word_features(w) if f[0] in "=^"] for w in sample.forms]
-    ends = np.cumsum([len(x) for x in own])
-    starts = ends - [len(x) for x in own]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(f.encode("utf-8", "replace")) for x in own for f in x), np.uint64)
-    whole = np.fromiter((f[0] == "=" for x in own for f in x), bool)
+    hashes, sizes = flat(sample.forms, lambda w: [xxhash.xxh64_intdigest(f.encode("utf-8", "replace")) for f in word_features(w) if f[0] in "=^"])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    whole = np.zeros(len(hashes), bool)
+    whole[starts] = True  # a word's first feature here is the word itself
     features, at = np.unique(hashes, return_inverse=True)
     counts = np.zeros((2, len(features)))
     members: dict[tuple[bool, int], list[int]] = defaultdict(list)
@@ -226,8 +237,8 @@ def label_tokens(sample: Sample, toxic: list[bool], scale: float = 1.0) -> list[
 
 def train(sample: Sample, tags: list[np.ndarray]) -> Model:
     """Fits weights and transitions to labelled tokens."""
-    ids = [feature_ids(w) for w in sample.forms]
-    flat, owner = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    flat_ids, sizes = flat(sample.forms, feature_ids)
+    flat_ids, owner, n_forms = flat_ids.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), len(sizes)
     form, gold = np.concatenate(sample.texts).astype(np.int64), np.concatenate(tags)
     row, place = pad([len(x) for x in sample.texts])
     rows = row[-1] + 1
@@ -246,13 +257,13 @@ def train(sample: Sample, tags: list[np.ndarray]) -> Model:
     np.add.at(seen, (truth[:, :-1][pairs].astype(int), truth[:, 1:][pairs].astype(int)), 1.0)
     theta, step, start = np.zeros(FEATURES), np.zeros((2, 2)), -4.0
     speed, speed_step, speed_start = np.zeros(FEATURES), np.zeros((2, 2)), 0.0
-    of_form = np.bincount(form, weights=gold.astype(float), minlength=len(ids))
+    of_form = np.bincount(form, weights=gold.astype(float), minlength=n_forms)
     for _ in range(STEPS):
         emit = np.zeros(mask.shape)
-        emit[row, place] = np.bincount(owner, weights=theta[flat], minlength=len(ids))[form]
+        emit[row, place] = np.bincount(owner, weights=theta[flat_ids], minlength=n_forms)[form]
         p, moves, _z = marginals(emit, mask, step, start)
-        slope = of_form - np.bincount(form, weights=p[row, place] * weight[row], minlength=len(ids))
-        slope = np.bincount(flat, weights=slope[owner], minlength=FEATURES) - RIDGE * len(form) * theta
+        slope = of_form - np.bincount(form, weights=p[row, place] * weight[row], minlength=n_forms)
+        slope = np.bincount(flat_ids, weights=slope[owner], minlength=FEATURES) - RIDGE * len(form) * theta
         speed += slope**2
         theta += RATE * slope / np.sqrt(speed + 1e-8)
         slope = seen - moves
