@@ -314,7 +314,8 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 2, share: float = 0
         large = met.where(F.col("n") > PAIRED).select("key", "id", "n")
         if large.isEmpty():
             break
-        star, heads = _stars(large.join(known, "id"), names, radius, turn)
+        members = work.write(large.join(known, "id"), f"members-{turn}")
+        star, heads = _stars(members, names, radius, turn)
         star = work.write(star, f"star-{turn}")
         edges.append(star.select("a", "b").distinct())
         linked_here = star.select("key", F.col("b").alias("id")).union(heads).distinct()
