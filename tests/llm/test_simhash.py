@@ -128,3 +128,34 @@ def test_near_copies_of_large_groups(spark, monkeypatch):
         monkeypatch.setattr(simhash, "PAIRED", bucket)
         got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark, frame(spark, rows)).collect()}
         assert got == want
+
+
+def jaccard_roots(rows, k=5, least=0.8):
+    def grams(text):
+        words = text.encode().lower().split()
+        return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+    sets = {i: grams(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9]
+    return roots(near, list(sets))
+
+
+def fresh(r, n):
+    return [f"v{r.randrange(10**6)}" for _ in range(n)]
+
+
+def same_as_jaccard(spark, texts):
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark, frame(spark, rows)).collect()}
+    want = jaccard_roots(rows)
+    assert got == want, f"{sum(got[i] != want[i] for i in want)} of {len(want)} rows in another component"
+
+
+def test_near_copies_under_any_edit_shape(spark):
+    """Appended, cut and replaced passages on both sides of 0.8."""
+    r, texts = random.Random(23), []
+    for _ in range(20):
+        base, n = fresh(r, 300), r.randint(50, 80)
+        texts += [base]
+        texts += [r.choice([base + fresh(r, n), base[: 300 - n], base[:100] + fresh(r, n // 2) + base[100 + n // 2 :]])]
+    same_as_jaccard(spark, texts)

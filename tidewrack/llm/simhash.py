@@ -19,7 +19,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import WorkArea, utf8
@@ -32,8 +32,10 @@ MIX = np.random.default_rng(6).integers(1, 1 << 63, LANES, dtype=np.uint64) | np
 PROBE_COST, PAIR_COST = 1.0, 0.25
 #: Larger buckets are linked through one-bit variants instead of by pairs (exact for a radius of 2 or less).
 BUCKET = 128
-#: The same for wide fingerprints, where larger buckets are compared with heads.
-PAIRED = 32
+#: The same for near copies, where larger buckets are compared with HEADS heads before the pairs that are left.
+PAIRED, HEADS = 32, 3
+#: How often the order of shingles is made anew with common ones last, and how many those are at most. Results do not depend on them.
+REORDERED, COMMON = 2, 1 << 17
 
 
 def fingerprint(data: bytes, k: int) -> int:
@@ -221,112 +223,166 @@ def wide_fingerprint(data: bytes, k: int) -> np.ndarray:
     return np.packbits(votes * 2 > total).view(np.int64)
 
 
-def wide_fingerprints(df: DataFrame, k: int) -> DataFrame:
-    """(doc_id, f0, f1, ...)."""
-    names = [f"f{i}" for i in range(LANES)]
+# --- copies by the similarity of their shingles ---
+
+
+def shingle_set(data: bytes, k: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a whole text."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    hashed = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    total = len(words) - k + 1
+    h = np.zeros(total, np.uint64)
+    for i in range(k):
+        h = (h ^ hashed[i : i + total]) * MIX[0]
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
+def _node(hashes: np.ndarray) -> int:
+    return (xxhash.xxh64_intdigest(hashes.tobytes(), SEED) ^ (1 << 63)) - (1 << 63)
+
+
+def _least(n: float, share: float) -> int:
+    """The least whole number that is not under share * n."""
+    return math.ceil(share * n - 1e-9)
+
+
+def _nodes(df: DataFrame, k: int) -> DataFrame:
+    """(doc_id, node) of every row: equal nodes have equal sets of shingles."""
 
     def run(batches):
         for batch in batches:
-            lanes = np.array([wide_fingerprint(x.as_py(), k) for x in batch.column(1)], np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in lanes.T)], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(shingle_set(x.as_py(), k)) for x in batch.column(1)], pa.int64())], ["doc_id", "node"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, "doc_id long, node long")
 
 
-def partition_keys(fps: DataFrame, width: int) -> DataFrame:
-    """(key, id) of each fingerprint (id, f0, ...): one key for each run of `width` bits, with the run's number."""
-    parts = LANES * 64 // width
+def _prefixes(df: DataFrame, k: int, jaccard: float, common: np.ndarray) -> DataFrame:
+    """(key, node, place, size): of each set of `size` shingles the first ones in one order of all shingles, that of
+    their hashes with the `common` ones last, as many that two sets of at least the Jaccard similarity share one."""
+    shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
+        late = shared.value
         for batch in batches:
-            lanes = np.stack([batch.column(i + 1).to_numpy() for i in range(LANES)], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1)[:, : parts * width].reshape(len(lanes), parts, width)
-            keys = bits.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64)) + (np.arange(parts, dtype=np.int64) << np.int64(40))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), parts))], ["key", "id"])
+            keys, nodes, places, sizes = [], [], [], []
+            for x in batch.column(0):
+                hashes = shingle_set(x.as_py(), k)
+                node, n = _node(hashes), len(hashes)
+                if not n:
+                    continue
+                if len(late):
+                    last = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+                    hashes = np.concatenate([hashes[~last], hashes[last]])
+                first = n - _least(n, jaccard) + 1
+                keys.append(hashes[:first].view(np.int64))
+                nodes.append(np.full(first, node, np.int64))
+                places.append(np.arange(first, dtype=np.int32))
+                sizes.append(np.full(first, n, np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, places, sizes)], ["key", "node", "place", "size"])
+
+    return df.where("doc_id is not null").select(utf8().alias("data")).mapInArrow(run, "key long, node long, place int, size int")
+
+
+def _sets(df: DataFrame, k: int) -> DataFrame:
+    """(node, hashes) of every row."""
 
-    return fps.mapInArrow(run, "key long, id long")
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(x.as_py(), k) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["node", "hashes"])
 
+    return df.select(utf8().alias("data")).mapInArrow(run, "node long, hashes binary")
 
-def _stars(members: DataFrame, names: list[str], radius: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(key, a, b) links of members (key, id, n, f0, ...) to heads of their bucket, and the heads (key, id).
 
-    A head is the member nearest to the majority of about 64 members' bits, and from the second turn on 4, 16, 64, ...
-    more, so that a bucket of many clusters is worn down in few turns."""
-    some = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("n") / 64), F.lit(1)))
-    sample = members.where(some == 0).groupBy("key").agg(F.collect_list(F.array(*names)).alias("fps"))
+def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets have at least the Jaccard similarity."""
 
-    def majority(batches):
+    def run(batches):
         for batch in batches:
-            out = []
-            for fps in batch.column(1):
-                bits = np.unpackbits(np.array(fps.as_py(), np.int64).view(np.uint8).reshape(-1, LANES * 8), axis=1)
-                out.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).view(np.int64))
-            lanes = np.array(out, np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in lanes.T)], ["key", *(f"c{f}" for f in names)])
-
-    middle = sample.mapInArrow(majority, ", ".join(["key long", *(f"c{f} long" for f in names)]))
-
-    def differ(x: str, y: str):
-        return sum((F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in names[1:]), F.bit_count(F.col(f"{x}f0").bitwiseXOR(F.col(f"{y}f0"))))
-
-    heads = members.join(middle, "key").groupBy("key").agg(F.min_by("id", F.struct(differ("", "c"), "id")).alias("a"))
-    if turn:
-        more = F.pmod(F.xxhash64("id", F.lit(-turn)), F.greatest(F.floor(F.col("n") / 4**turn), F.lit(1)))
-        heads = heads.union(members.where(more == 0).select("key", F.col("id").alias("a"))).distinct()
-    whole = heads.join(members.select("key", F.col("id").alias("a"), *[F.col(f).alias(f"h{f}") for f in names]), ["key", "a"])
-    met = members.join(whole, "key").where((F.col("id") != F.col("a")) & (differ("", "h") <= radius))
-    return met.select("key", "a", F.col("id").alias("b")), heads.select("key", F.col("a").alias("id"))
-
-
-def near_copies(spark: SparkSession, df: DataFrame, k: int = 2, share: float = 0.12) -> DataFrame:
-    """(doc_id, component_id): documents whose wide fingerprints differ in at most `share` of the bits are linked.
-
-    With shingles of two words a share of 0.12 stands for a Jaccard similarity of about 0.8 on shingles of five.
-    The bits are cut into as many runs of equal width as they give, the width growing with the logarithm of the
-    number of fingerprints, so that unrelated texts seldom agree in a run. By the pigeonhole principle a pair
-    with fewer differing bits than runs agrees in one; pairs beyond that are found with the recall that the
-    README gives. Candidates are verified on all bits.
-
-    Members of a bucket of more than PAIRED are compared with its middle member, those that are not linked to it
-    with the middle one and some others of the rest, and so on: each member is compared until it is linked or few
-    are left, and no bucket gives all its pairs. Edge cases are those of near_duplicates."""
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= _least(len(p) + len(q) - both, jaccard))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"h{s}")) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+
+
+def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of k-word shingles have at least the Jaccard similarity are linked.
+
+    Exact at every size of the input, but for equal 64-bit hashes of unequal shingles or sets. Fingerprints cannot do
+    that: a pair at 0.8 whose edits stand together differs in about 77 of 512 bits, more than a pigeonhole plan can
+    promise. So candidates come from prefixes: with all shingles in one order, two sets that are similar enough share one of
+    the first n - ceil(jaccard * n) + 1 of each. Bounds on size and place leave most candidates out, and whole sets
+    decide the rest. Shingles of many prefixes are put last in the order, which may be any.
+
+    Sets in a prefix bucket of PAIRED at most are compared with each other. In larger buckets they are first compared
+    with a few heads; then every two sets of one bucket that are not in one component yet are compared, linked ones
+    included, so no component is missed. Edge cases are those of near_duplicates; texts without words are copies."""
     work = WorkArea(spark, "copies")
-    names = [f"f{i}" for i in range(LANES)]
-    docs = work.write(wide_fingerprints(df, k), "docs")
-    groups = work.write(docs.groupBy(*names).agg(F.min("doc_id").alias("id")), "groups")
-    known = groups.where("id is not null").select("id", *names)
-    n = known.count()
-    width = min(32, max(16, math.ceil(math.log2(n + 1)) + 3))
-    rows, radius = partition_keys(known, width), int(share * LANES * 64)
-
-    def close(pairs: DataFrame) -> DataFrame:
-        a, b = (known.select(F.col("id").alias(s), *[F.col(f).alias(f"{s}{f}") for f in names]) for s in "ab")
-        differ = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in names[1:]), F.bit_count(F.col("af0").bitwiseXOR(F.col("bf0"))))
-        return pairs.join(a, "a").join(b, "b").where(differ <= radius).select(*pairs.columns)
-
-    edges, turn = [], 0
-    while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
-        met = work.write(rows.join(sizes, "key"), f"met-{turn}")
-        small = met.where(F.col("n") <= PAIRED).select("key", "id")
-        pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-        edges.append(work.write(close(pairs), f"pairs-{turn}"))
-        large = met.where(F.col("n") > PAIRED).select("key", "id", "n")
-        if large.isEmpty():
+    docs = work.write(_nodes(df, k), "docs")
+    groups = work.write(docs.groupBy("node").agg(F.min("doc_id").alias("id")), "groups")
+    common = np.zeros(0, np.uint64)
+    for turn in range(REORDERED + 1):
+        rows = _prefixes(df, k, jaccard, common).repartition("key").dropDuplicates(["key", "node"])
+        met = work.write(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), f"met-{turn}")
+        if turn == REORDERED:
+            break
+        top = met.where(F.col("n") > PAIRED).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON - len(common)).select("key")
+        found = np.union1d(common, np.array([r["key"] for r in top.collect()], np.int64).view(np.uint64))
+        if len(found) == len(common):
             break
-        members = work.write(large.join(known, "id"), f"members-{turn}")
-        star, heads = _stars(members, names, radius, turn)
-        star = work.write(star, f"star-{turn}")
-        edges.append(star.select("a", "b").distinct())
-        linked_here = star.select("key", F.col("b").alias("id")).union(heads).distinct()
-        rows = work.write(large.select("key", "id").join(linked_here, ["key", "id"], "left_anti"), f"rest-{turn}")
-        turn += 1
-    linked = edges[0]
-    for e in edges[1:]:
-        linked = linked.union(e)
-    roots = connected_components(linked, work)
-    named = groups.join(roots, groups["id"] == roots["node"], "left").select(*names, F.coalesce("root", "id").alias("component_id"))
-    return docs.join(named, names).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        common = found
+        work.drop(f"met-{turn}")
+    ids = met.select("node").distinct().join(groups, "node").select(F.col("id").alias("doc_id")).distinct()
+    wanted = met.select("node").distinct()
+    sets = work.write(_sets(df.join(ids, "doc_id", "left_semi"), k).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "place", "size", *more)])
+
+    # The shared shingle is the first of each prefix that both have or a later one; the bound holds for the first.
+    share = jaccard / (1 + jaccard)
+    possible = (F.least("size_a", "size_b") >= jaccard * F.greatest("size_a", "size_b") - 1e-6) & (1 + F.least(F.col("size_a") - F.col("place_a") - 1, F.col("size_b") - F.col("place_b") - 1) >= share * (F.col("size_a") + F.col("size_b")) - 1e-6)
+
+    def checked(joined: DataFrame, name: str) -> DataFrame:
+        pairs = joined.where(possible).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        return work.write(_similar(pairs, sets, jaccard), name)
+
+    small, large = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
+    linked = checked(side(small, "a").join(side(small, "b"), "key").where("node_a < node_b"), "pairs")
+    roots = connected_components(linked, work, "cc")
+    if not large.isEmpty():
+        for turn in range(HEADS + 1):
+            named = large.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+            spread = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+            large = work.write(named.join(spread, "key"), f"large-{turn}")
+            if large.isEmpty():
+                break
+            if turn < HEADS:
+                order = F.struct(F.xxhash64("root", F.lit(turn)) if turn else F.lit(0), "node")
+                other = large.groupBy("key").agg(F.min_by(F.struct("node", "place", "size", "root"), order).alias("h")).select("key", "h.*")
+            else:
+                other = large
+            met_again = side(large, "a", "root").join(side(other, "b", "root"), "key").where("root_a <> root_b")
+            linked = linked.union(checked(met_again if turn < HEADS else met_again.where("node_a < node_b"), f"links-{turn}"))
+            roots = connected_components(linked, work, f"cc-{turn}")
+            large = large.drop("root")
+    whole = groups.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    whole = work.write(whole, "roots")
+    named = whole.join(whole.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
+    return docs.join(named, "node").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, df: DataFrame, found: DataFrame) -> DataFrame:
