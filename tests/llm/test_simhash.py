@@ -159,3 +159,15 @@ def test_near_copies_under_any_edit_shape(spark):
         texts += [base]
         texts += [r.choice([base + fresh(r, n), base[: 300 - n], base[:100] + fresh(r, n // 2) + base[100 + n // 2 :]])]
     same_as_jaccard(spark, texts)
+
+
+def test_near_copies_with_scattered_edits(spark):
+    """Single words on both sides of 0.8; what is found does not depend on how many other texts there are."""
+    r, texts = random.Random(29), []
+    for _ in range(100):
+        base = fresh(r, 300)
+        copy = list(base)
+        for i in r.sample(range(300), r.randint(5, 9)):
+            copy[i] = fresh(r, 1)[0]
+        texts += [base, copy]
+    same_as_jaccard(spark, texts)
