@@ -171,3 +171,16 @@ def test_near_copies_with_scattered_edits(spark):
             copy[i] = fresh(r, 1)[0]
         texts += [base, copy]
     same_as_jaccard(spark, texts)
+
+
+def test_near_copies_in_large_buckets(spark, monkeypatch):
+    """Copies of copies, each near its parent only, and a passage that many other texts share."""
+    monkeypatch.setattr(simhash, "PAIRED", 4)
+    r = random.Random(31)
+    chain, passage = [fresh(r, 200)], fresh(r, 60)
+    for _ in range(150):
+        parent = list(r.choice(chain))
+        at = r.randrange(180)
+        parent[at : at + 15] = fresh(r, 15)
+        chain.append(parent)
+    same_as_jaccard(spark, chain + [fresh(r, 40) + passage + fresh(r, 40) for _ in range(60)])
