@@ -161,3 +161,18 @@ def test_decoding_never_contradicts_itself():
 @pytest.mark.parametrize("html", ["<p>" * 300 + "x", "</div></p></html>text", "<table><tr><td>a<td>b<tr><td>c</table>", "<script>var x='<p>no</p>'</script><p>yes</p>", "<a href='<'>&#x110000;&nope;", "<!-- open", "<div hidden><p>no</p></div>"])
 def test_broken_markup_does_not_crash(html):
     assert isinstance(next(htmltext.texts([html], htmltext.train())), str)
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title></head>", "<head><title>t</title>", "<head><meta charset=x><title>t</title><script>var a = '<p>';</script>", "<title>t</title>"])
+@pytest.mark.parametrize("odd", ["", "<svg><path>", "<object>", "<button>", "<iframe></iframe>", "<option>", "<button><button>", "<noscript>", "<math><mi>"])
+def test_elements_without_an_end_keep_the_text(head, odd):
+    text = "One long sentence, with words. " * 6
+    want = [" ".join(text.split())] * 2
+    for page in (f"<html>{head}<body><article>{odd}<p>{text}</p><p>{text}</p></article></body></html>", f"<html>{head}<article><div>{odd}</div><p>{text}</p><p>{text}"):
+        assert [t for _, t in htmltext.parse(page).blocks] == want
+
+
+def test_silent_elements_with_an_end_stay_silent():
+    page = "<head><title>t</title><noscript><p>n</p></noscript></head><body><p>a</p><svg><g>s</g><svg>t</svg></svg><select><option>o<option>p</select><button><div>b</div></button><p>z</p><script>x"
+    assert [t for _, t in htmltext.parse(page).blocks] == ["a", "z"]
+    assert [t for _, t in htmltext.parse("<body><div><p>a</p>" + "<svg></div><div>b" * 50).blocks][:2] == ["a", "b"]

@@ -33,7 +33,12 @@ SLICE = 60_000
 #: Elements that begin and end a block, hold no content, or hold no text of the page.
 BLOCKS = frozenset("html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption form fieldset legend address details summary dialog hr center menu hgroup search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video textarea select option datalist button".split())
+SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video textarea select option datalist button".split())
+#: Elements that may stand in a head, and those of SILENT whose text never is given back.
+HEADED = frozenset("title base basefont link meta script style noscript template".split())
+GONE = frozenset("head script style".split())
+#: Readings of a page to find its elements without an end; after them all of their tags are left open.
+READINGS = 6
 #: An element of the key closes an open one of the values, up to an element of the third set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -68,8 +73,14 @@ class Node:
 class Parser(HTMLParser):
     """Block elements as a list of nodes in page order, and text blocks as (node, text)."""
 
-    def __init__(self):
+    def __init__(self, endless: frozenset[int] = frozenset(), open_tags: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.endless, self.open_tags = endless, open_tags  # silent elements without an end, by number, and tags that count as such
+        self.found: set[int] = set()  # more of them
+        self.seen: set[str] = set()
+        self.starts: list[int] = []  # the numbers of `silent`
+        self.inside: list[str] = []  # blocks that began in `silent`
+        self.number = 0
         self.nodes = [Node("html", -1, 0)]
         self.blocks: list[tuple[int, str]] = []
         self.open: list[tuple[str, int]] = [("html", 0)]  # block elements only
@@ -96,14 +107,22 @@ class Parser(HTMLParser):
         self.linked = 0
 
     def handle_starttag(self, tag, attrs):
+        if self.silent == ["head"] and tag not in HEADED and tag != "head":
+            self.unsilence(0)  # the end tag of a head may be left out
+        if tag in SILENT:
+            self.number += 1
         if self.silent:
-            if tag == self.silent[-1] and tag not in VOID:
+            if tag == self.silent[-1] or (self.silent[-1] == "head" and tag in SILENT):
                 self.silent.append(tag)
+                self.starts.append(self.number)
+            elif tag in BLOCKS and tag not in VOID:
+                self.inside.append(tag)
             return
         if tag in SILENT:
-            if tag == "head" and len(self.nodes) > 1:
+            if (tag == "head" and len(self.nodes) > 1) or self.number in self.endless or tag in self.open_tags:
                 return
             self.silent.append(tag)
+            self.starts.append(self.number)
             return
         if tag in ("html", "body"):
             for name, place in self.open:
@@ -163,9 +182,15 @@ class Parser(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            return
+            if tag in self.silent:
+                self.unsilence(len(self.silent) - 1 - self.silent[::-1].index(tag))
+                return
+            if tag in self.inside:
+                del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+                return
+            if tag not in BLOCKS or all(tag != name for name, _ in self.open[1:]):
+                return
+            self.lost()  # the end of a block around it
         if tag in BLOCKS:
             if tag in ("html", "body"):
                 return
@@ -182,7 +207,21 @@ class Parser(HTMLParser):
             if tag == "a":
                 self.linked = max(0, self.linked - 1)
 
+    def unsilence(self, place: int) -> None:
+        del self.silent[place:], self.starts[place:]
+        self.inside.clear()
+
+    def lost(self) -> None:
+        """The open silent elements have no end."""
+        for tag, number in zip(self.silent, self.starts, strict=True):
+            if tag not in GONE:
+                self.found.add(number)
+                self.seen.add(tag)
+        self.unsilence(0)
+
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self.unsilence(0)
         if not self.silent:
             self.buffer.append(data)
             if self.linked:
@@ -190,11 +229,18 @@ class Parser(HTMLParser):
 
 
 def parse(html: str) -> Parser:
-    p = Parser()
-    p.feed(html)
-    # An element whose end is missing at the end of the page must not hide what the parser still holds back.
-    p.close()
-    p.flush()
+    endless, tags = frozenset(), frozenset()
+    for reading in range(READINGS + 1):
+        p = Parser(endless, tags if reading == READINGS else frozenset())
+        p.feed(html)
+        # An element whose end is missing at the end of the page must not hide what the parser still holds back.
+        p.close()
+        p.lost()
+        p.flush()
+        if not p.found:
+            break
+        # What elements without an end held is read again as text of the page.
+        endless, tags = endless | p.found, tags | p.seen
     return p
 
 
