@@ -176,3 +176,23 @@ def test_silent_elements_with_an_end_stay_silent():
     page = "<head><title>t</title><noscript><p>n</p></noscript></head><body><p>a</p><svg><g>s</g><svg>t</svg></svg><select><option>o<option>p</select><button><div>b</div></button><p>z</p><script>x"
     assert [t for _, t in htmltext.parse(page).blocks] == ["a", "z"]
     assert [t for _, t in htmltext.parse("<body><div><p>a</p>" + "<svg></div><div>b" * 50).blocks][:2] == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('{"password": "Tr0ub4dor&3x"}', "Tr0ub4dor&3x"),
+        ("{'api_key': 'p@ss-W0rd!x9'}", "p@ss-W0rd!x9"),
+        ('auth = "kd83jd!kd9s"', "kd83jd!kd9s"),
+        ('private_key = "abcDEFghiJKLmnopQRST"', "abcDEFghiJKLmnopQRST"),
+        ("DB_PASSWORD_PROD=Hunter2!xyz", "Hunter2!xyz"),
+        ('password: "two words 9!"', "two words 9!"),
+        (r'"{\"token\": \"kd83jd!kd9sQ\"}"', "kd83jd!kd9sQ"),
+        (r'token = "abcdefgh9\"ijk"', r"abcdefgh9\"ijk"),
+        ("Authorization: Bearer abc.DEF-123_xyz~9", "abc.DEF-123_xyz~9"),
+        ("x " + "a" * 100 + "9zz", "a" * 100 + "9zz"),
+        (f"-----BEGIN PRIVATE KEY-----\n{'Ab1/' * 16}\n{'Ab1/' * 16}\nAb1=\n\nThe rest of the text.", f"-----BEGIN PRIVATE KEY-----\n{'Ab1/' * 16}\n{'Ab1/' * 16}\nAb1="),
+    ],
+)
+def test_candidates_are_whole(text, want):
+    assert [text[a:b] for a, b, _ in secrets.candidates(text)] == [want]

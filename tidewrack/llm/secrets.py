@@ -36,11 +36,14 @@ NAMES = "token secret password passwd pwd apikey api_key api-key access_key acce
 HARMLESS = "sha sha1 sha256 md5 checksum digest hash commit revision rev uuid guid etag version build id isbn doi serial example sample placeholder test dummy public integrity fingerprint".split()
 #: A small dictionary of common words and parts of names.
 DICTIONARY = "the and for that with this from have not are was but all can had her one our out day get has him his how man new now old see two way who did its let put say she too use about after again also back because been before being between both came come could each even find first give good great hand here high home into just know large last life like line little live long look made make many more most much must name never next number only other over part people place right same should small some such take tell than them then there these they thing think time under until very water well went were what when where which while will work world would write year your user file data page list item type value index config default local system server client image style class main content".split()
+_NAMED = "|".join(sorted({re.sub("[_-]", "[_-]?", n) for n in NAMES}, key=lambda n: (-len(n), n)))
+_FIRST = "".join(sorted({c for n in NAMES for c in n[0] + n[0].upper()}))
 PATTERN = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN).)*?-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Z][A-Za-z-]*: [^\n]*)*(?:(?:\\[rn]|\s)+[A-Za-z0-9+/=]{32,})*(?:(?:\\[rn]|\s)+[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*(?:\n|\Z)))?)"
     r"|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bxox[abpr]-[A-Za-z0-9-]{10,}|\bsk[-_][A-Za-z0-9_-]{20,}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
-    r"|(?i:(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|credential)s?)[^\w\s\"']*\s*[:=][^\w\s\"']*\s*(?:\"([^\"\s]{8,})\"|'([^'\s]{8,})'|([^\s\"',;]{8,}))"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,80}[0-9])[A-Za-z0-9+/_=-]{16,}",
+    r"|(?=[" + _FIRST + r"])(?i:(?:" + _NAMED + r")s?(?:[_-][a-z0-9_-]{0,64}|[0-9]{1,9})?\\?[\"']?)[^\w\s\"']*\s*[:=][^\w\s\"'\\]*\s*(?i:(?:bearer|basic)\s+)?(?:\\\"((?:[^\"\\\n]|\\[^\"\n]){8,})\\\"|\"((?:[^\"\\\n]|\\.){8,})\"|'((?:[^'\\\n]|\\.){8,})'|([^\s\"',;]{8,}))"
+    r"|(?i:\bbearer)[ \t]+([A-Za-z0-9._~+/=-]{8,})"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})(?=[A-Za-z+/_=-]*[0-9])(?!(?i:[a-z0-9_-]*?(?:" + _NAMED + r")s?(?:[_-][a-z0-9_-]{0,64}|[0-9]{1,9})?=[^\s,;]{8}))[A-Za-z0-9+/_=-]{16,}",
     re.DOTALL,
 )
 KINDS = ((re.compile(r"-----BEGIN"), "private-key"), (re.compile(r"(?:AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk[-_])"), "prefixed"), (re.compile(r"eyJ"), "web-token"))
@@ -50,7 +53,7 @@ WORD = re.compile(r"[a-z][a-z0-9_-]*")
 def candidates(text: str):
     """(start, end, kind) of disjoint candidates."""
     for m in PATTERN.finditer(text):
-        group = next((g for g in (1, 2, 3) if m[g]), 0)
+        group = next((g for g in range(1, 6) if m[g]), 0)
         start, end = m.span(group)
         yield start, end, "assigned" if group else next((kind for p, kind in KINDS if p.match(text, start)), "run")
 
