@@ -196,3 +196,17 @@ def test_silent_elements_with_an_end_stay_silent():
 )
 def test_candidates_are_whole(text, want):
     assert [text[a:b] for a, b, _ in secrets.candidates(text)] == [want]
+
+
+def test_a_long_document_does_not_end_the_sample(spark):
+    r, rows, labels = random.Random(8), [], []
+    for i in range(300):
+        w = [r.choice("bdglmn") + r.choice("aeiou") + r.choice("bdglmn") for _ in range(r.randint(10, 80))]
+        rows.append((i, " ".join(w + ["zzgrim", "zzvile", "zzfoul"] * (i % 3 == 0))))
+        labels.append((i, int(i % 3 == 0)))
+    # One that is longer than all characters of its class, and that the sample takes first.
+    first = spark.range(1000, 50_000).selectExpr("id as doc_id", "xxhash64(id) as o").where(~toxicity.held_out()).orderBy("o").first()["doc_id"]
+    documents = spark.createDataFrame([*rows, (first, "ba be bo " * 1_200_000)], "doc_id long, text string")
+    model = toxicity.fit(documents, spark.createDataFrame([*labels, (first, 0)], "doc_id long, toxic int"))
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(documents.where("doc_id < 300"), model).collect()}
+    assert min(got[i] for i in got if i % 3 == 0) > 0.5 > max(got[i] for i in got if i % 3)

@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import utf8
 
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1200, 2000, 16_000_000
+#: One document of the sample gives at most this part of the characters of its class: its first ones.
+PARTS = 20
 SEQUENCE, FEATURES, PREFIXES, SUFFIXES = 64, 1 << 18, range(3, 9), (3,)
 #: A feature marks tokens if so many independent toxic documents have it, and so large a share of all that do is toxic.
 SUPPORT, PRECISION = 4, 0.75
@@ -308,6 +310,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     wanted = documents.sparkSession.createDataFrame(place, "doc_id long, place int, toxic boolean")  # TOXIC_ROWS + CLEAN_ROWS rows at most
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
     budget = {bad: TRAIN_CHARS * most // (TOXIC_ROWS + CLEAN_ROWS) for bad, most in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))}
+    # A document gives a bounded part of its class's characters, so that no long one ends the sample.
+    most = F.when(F.col("toxic"), budget[True] // PARTS).otherwise(budget[False] // PARTS)
+    rows = rows.withColumn("text", F.substring("text", F.lit(1), most))
     used = Window.partitionBy("toxic").orderBy("place", F.xxhash64("text"))
     rows = rows.withColumn("size", F.sum(F.length("text")).over(used)).where(F.col("size") <= F.when(F.col("toxic"), budget[True]).otherwise(budget[False]))
     sample, toxic = Sample(), []
