@@ -15,6 +15,7 @@ get a fingerprint but join no component (their component is null); an empty tabl
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ PROBE_COST, PAIR_COST = 1.0, 0.25
 BUCKET = 128
 #: The same for near copies, where larger buckets are compared with HEADS heads before the pairs that are left.
 PAIRED, HEADS = 32, 3
+#: Pairs are compared in so many turns.
+SLICES = 4
 #: How often the order of shingles is made anew with common ones last, and how many those are at most. Results do not depend on them.
 REORDERED, COMMON = 2, 1 << 17
 
@@ -345,10 +348,6 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
             break
         common = found
         work.drop(f"met-{turn}")
-    ids = met.select("node").distinct().join(groups, "node").select(F.col("id").alias("doc_id")).distinct()
-    wanted = met.select("node").distinct()
-    sets = work.write(_sets(df.join(ids, "doc_id", "left_semi"), k).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-
     def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
         return rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "place", "size", *more)])
 
@@ -358,7 +357,14 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
 
     def checked(joined: DataFrame, name: str) -> DataFrame:
         pairs = joined.where(possible).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        return work.write(_similar(pairs, sets, jaccard), name)
+        pairs = work.write(pairs, f"{name}-all")
+        # Whole sets of the pairs' members only, and a slice of the pairs at a time, so that little of them is on disk at once.
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = wanted.join(groups, "node").select(F.col("id").alias("doc_id")).distinct()
+        sets = work.write(_sets(df.join(ids, "doc_id", "left_semi"), k).join(wanted, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+        parts = [work.write(_similar(pairs.where(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == i), sets, jaccard), f"{name}-{i}") for i in range(SLICES)]
+        work.drop(f"{name}-sets")
+        return reduce(DataFrame.union, parts)
 
     small, large = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
     linked = checked(side(small, "a").join(side(small, "b"), "key").where("node_a < node_b"), "pairs")
