@@ -57,3 +57,33 @@ def test_no_rows(spark):
     assert repeats.deduplicate(df).count() == 0
     rows = spark.createDataFrame([(None, "z" * 500), (7, "q" * 10), (7, "r" * 10)], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in repeats.deduplicate(rows).collect()) == [0, 0, 500]
+
+
+def test_all_documents_against_brute_force(spark):
+    """The registered query over the whole table of sf0.01."""
+    from tidewrack.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = repeats.brute_force([(r["text"] or "").encode() for r in rows])
+    got = {r["doc_id"]: r for r in queries.op8_repeated_bytes(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for r, (removed, spans, digest) in zip(rows, want, strict=True):
+        g = got[r["doc_id"]]
+        assert (g["n_removed"], g["n_spans"], g["kept_sha256"], g["repeated"]) == (removed, spans, digest, removed > 0)
+    assert sum(n > 0 for n, _, _ in want) > 50
+
+
+def test_rows_that_share_an_id_or_a_text(spark):
+    r = random.Random(12)
+    a, b = words(r, 120), words(r, 120)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " tail"), (None, b[:300]), (None, "x" + b)], "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_removed"]) for r in repeats.deduplicate(df).collect())
+    texts = [a, b, a + " tail", b[:300], "x" + b]
+    assert got == sorted((len(t), n) for t, (n, _, _) in zip(texts, repeats.brute_force([t.encode() for t in texts]), strict=True))
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(13)
+    passage = words(r, 120)
+    check(spark, [words(r, 40_000) + passage, passage, words(r, 10)])

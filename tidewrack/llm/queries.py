@@ -43,7 +43,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.deduplicate(read_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,14 @@ not needed here, suffixes are grouped into classes of equal ones, from coarse to
    ones are repeats.
 
 Later steps see each distinct context once, so the many copies of a text cost one row for each phrase and not
-for each byte. Two hashes of 64 bits each agree wherever equality decides.
+for each byte. Two hashes of 64 bits each agree wherever equality decides. The keys that occur more than once are
+written before they are joined, so that a join reads nothing but its two inputs and adaptive execution can split
+a stretch that a third of all rows share.
 
 Edge cases: a null or empty text, and one shorter than LENGTH, keeps all its bytes; a repeated row is another
-document, so its copies remove each other; rows are told apart by id and text, and ids may be null or
-repeat; an empty table gives no rows.
+document, so its copies remove each other; rows are told apart by their id and a hash of their text, and ids may be
+null or repeat; a very long text is parsed whole, in memory that grows with that text alone; other columns, whatever
+their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,8 +72,8 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def unit_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
-    """(stretch, context, doc, lo, hi, at) of every unit."""
-    names = ["stretch", "context", "doc", "lo", "hi", "at"]
+    """(stretch, context, doc, own, lo, hi, at) of every unit of (doc, own, data); doc and own tell rows apart."""
+    names = ["stretch", "context", "doc", "own", "lo", "hi", "at"]
     digest = xxhash.xxh3_64_intdigest
 
     def run(batches):
@@ -78,33 +81,34 @@ def unit_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
             out: list[list] = [[] for _ in names]
 
             def flush(out=out):
-                made = pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.int64()), *(pa.array(x, pa.int32()) for x in out[3:])], names)
+                made = pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), *(pa.array(x, pa.int32()) for x in out[4:])], names)
                 for x in out:
                     x.clear()
                 return made
 
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 b = data.as_py()
                 lo, hi, at = units(np.frombuffer(b, np.uint8), length, reach)
                 lo, hi, at = lo.tolist(), hi.tolist(), at.tolist()
                 out[0] += [digest(b[t : t + length - reach]) for t in at]
                 out[1] += [digest(b[i : j + length], 1) for i, j in zip(lo, hi, strict=True)]
                 out[2] += [doc] * len(lo)
-                out[3] += lo
-                out[4] += hi
-                out[5] += at
+                out[3] += [own] * len(lo)
+                out[4] += lo
+                out[5] += hi
+                out[6] += at
                 if len(out[0]) >= ROWS:
                     yield flush()
             yield flush()
 
-    return docs.mapInArrow(run, "stretch long, context long, doc long, lo int, hi int, at int")
+    return docs.mapInArrow(run, "stretch long, context long, doc long, own long, lo int, hi int, at int")
 
 
 def piece_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(stretch, context, doc, lo, strings): the units listed with each document (doc, data, units), cut into pieces of PIECE strings.
+    """(stretch, context, doc, own, lo, strings): the units listed with each row (doc, own, data, units), cut into pieces of PIECE strings.
 
     Pieces lie at fixed distances from the trigger, so equal strings fall into like pieces."""
-    names = ["stretch", "context", "doc", "lo", "strings"]
+    names = ["stretch", "context", "doc", "own", "lo", "strings"]
     digest = xxhash.xxh3_64_intdigest
 
     def run(batches):
@@ -112,14 +116,14 @@ def piece_rows(docs: DataFrame, length: int) -> DataFrame:
             out: list[list] = [[] for _ in names]
 
             def flush(out=out):
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in out[4]])])
-                strings = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed([h for x in out[4] for h in x]))
-                made = pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), strings], names)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in out[5]])])
+                strings = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed([h for x in out[5] for h in x]))
+                made = pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), strings], names)
                 for x in out:
                     x.clear()
                 return made
 
-            for doc, data, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, own, data, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 b = data.as_py()
                 for u in listed.as_py():
                     lo, hi, at = u["lo"], u["hi"], u["at"]
@@ -129,52 +133,55 @@ def piece_rows(docs: DataFrame, length: int) -> DataFrame:
                         out[0].append(digest(b[stop : start + length], 2 + k))
                         out[1].append(digest(b[first : last + length], 1))
                         out[2].append(doc)
-                        out[3].append(first)
-                        out[4].append([digest(b[i : i + length]) for i in range(first, last + 1)])
+                        out[3].append(own)
+                        out[4].append(first)
+                        out[5].append([digest(b[i : i + length]) for i in range(first, last + 1)])
                 if len(out[0]) >= ROWS // PIECE:
                     yield flush()
             yield flush()
 
-    return docs.mapInArrow(run, "stretch long, context long, doc long, lo int, strings array<long>")
+    return docs.mapInArrow(run, "stretch long, context long, doc long, own long, lo int, strings array<long>")
 
 
-def shared_rows(rows: DataFrame) -> DataFrame:
-    """The rows whose stretch another row has too."""
-    shared = rows.groupBy("stretch").agg(F.count("*").alias("n")).where("n > 1").select("stretch")
-    return rows.join(shared, "stretch")
-
-
-def mixed_classes(classes: DataFrame) -> DataFrame:
-    """The classes (stretch, context, ...) whose stretch another class has too."""
-    mixed = classes.groupBy("stretch").agg(F.count("*").alias("contexts")).where("contexts > 1").select("stretch")
-    return classes.join(mixed, "stretch", "left_semi")
+def recurring(rows: DataFrame, keys: list[str], work: WorkArea, name: str) -> DataFrame:
+    """The keys that more than one row has, written: counts are taken before the shuffle, so a frequent key is one row for each task."""
+    return work.write(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), name)
 
 
 def repeated(df: DataFrame, length: int = LENGTH, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc, doc_id, data), and (doc, spans): the byte ranges, unmerged, that repeated strings cover."""
+    """Rows (doc, own, doc_id, data), and (doc, own, spans): the byte ranges, unmerged, that repeated strings cover."""
     if not WINDOW <= length - reach:
         raise ValueError("a stretch must hold a trigger's window")
     work = WorkArea(df.sparkSession, "repeats")
-    docs = df.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
-    rows = work.write(unit_rows(docs.where(F.octet_length("data") >= length).select("doc", "data"), length, reach), "units")
-    kept = work.write(shared_rows(rows), "shared")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), "text"))
+    docs = df.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), own.alias("own"), F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
+    rows = work.write(unit_rows(docs.where(F.octet_length("data") >= length).select("doc", "own", "data"), length, reach), "units")
+    kept = work.write(rows.join(recurring(rows, ["stretch"], work, "stretches"), "stretch", "left_semi"), "shared")
     work.drop("units")
-    classes = work.write(kept.groupBy("stretch", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "hi", "at")).alias("u")), "classes")
+    # Each step looks at the classes of equal contexts, one row each, that share a stretch.
+    classes = work.write(kept.groupBy("stretch", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "own", "lo", "hi", "at")).alias("u")), "classes")
     whole = classes.where("n > 1").select("stretch", "context")
     span = lambda first, end: F.struct(first.alias("start"), end.cast("int").alias("end")).alias("span")
-    spans = kept.join(whole, ["stretch", "context"], "left_semi").select("doc", span(F.col("lo"), F.col("hi") + length))
-    picked = mixed_classes(classes).groupBy("u.doc").agg(F.collect_list(F.struct("u.lo", "u.hi", "u.at")).alias("units"))
-    pieces = work.write(piece_rows(docs.select("doc", "data").join(picked, "doc"), length), "pieces")
-    pieces = work.write(shared_rows(pieces), "shared-pieces")
+    spans = work.write(kept.join(whole, ["stretch", "context"], "left_semi").select("doc", "own", span(F.col("lo"), F.col("hi") + length)), "whole")
+    work.drop("shared")
+    mixed = classes.join(recurring(classes, ["stretch"], work, "mixed"), "stretch", "left_semi")
+    picked = mixed.groupBy("u.doc", "u.own").agg(F.collect_list(F.struct("u.lo", "u.hi", "u.at")).alias("units"))
+    pieces = work.write(piece_rows(docs.select("doc", "own", "data").join(picked, ["doc", "own"]), length), "pieces")
+    work.drop("classes")
+    kept = work.write(pieces.join(recurring(pieces, ["stretch"], work, "piece-stretches"), "stretch", "left_semi"), "shared-pieces")
     work.drop("pieces")
-    alike = pieces.groupBy("stretch", "context").agg(F.count("*").alias("n")).where("n > 1").select("stretch", "context")
-    in_pieces = pieces.join(alike, ["stretch", "context"], "left_semi").select("doc", span(F.col("lo"), F.col("lo") + F.size("strings") - 1 + length))
-    one = pieces.groupBy("stretch", "context").agg(F.min(F.struct("doc", "lo", "strings")).alias("p"))
-    single = mixed_classes(one).select("stretch", F.col("p.doc").alias("doc"), F.col("p.lo").alias("lo"), F.posexplode("p.strings").alias("place", "h"))
-    twice = single.groupBy("stretch", "h").agg(F.count("*").alias("n")).where("n > 1").select("stretch", "h")
-    in_single = single.join(twice, ["stretch", "h"], "left_semi").select("doc", span(F.col("lo") + F.col("place"), F.col("lo") + F.col("place") + length))
-    found = spans.union(in_pieces).union(in_single).groupBy("doc").agg(F.collect_list("span").alias("spans"))
-    return docs, work.write(found, "spans")
+    alike = recurring(kept, ["stretch", "context"], work, "alike")
+    in_pieces = work.write(kept.join(alike, ["stretch", "context"], "left_semi").select("doc", "own", span(F.col("lo"), F.col("lo") + F.size("strings") - 1 + length)), "in-pieces")
+    one = work.write(kept.groupBy("stretch", "context").agg(F.min(F.struct("doc", "own", "lo", "strings")).alias("p")), "one")
+    work.drop("shared-pieces")
+    single = one.join(recurring(one, ["stretch"], work, "mixed-pieces"), "stretch", "left_semi")
+    single = single.select("stretch", F.col("p.doc").alias("doc"), F.col("p.own").alias("own"), F.col("p.lo").alias("lo"), F.posexplode("p.strings").alias("place", "h"))
+    twice = recurring(single, ["stretch", "h"], work, "twice")
+    in_single = single.join(twice, ["stretch", "h"], "left_semi").select("doc", "own", span(F.col("lo") + F.col("place"), F.col("lo") + F.col("place") + length))
+    found = work.write(spans.union(in_pieces).union(in_single).groupBy("doc", "own").agg(F.collect_list("span").alias("spans")), "spans")
+    for name in ("stretches", "whole", "mixed", "piece-stretches", "alike", "in-pieces", "one", "mixed-pieces", "twice"):
+        work.drop(name)
+    return docs, found
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,18 +211,20 @@ def deduplicate(df: DataFrame, length: int = LENGTH, reach: int = REACH) -> Data
                 runs.append(len(spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return docs.join(found, "doc", "left").select("doc_id", "data", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.join(found, ["doc", "own"], "left").select("doc_id", "data", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, str]]:
     """(n_removed, n_spans, kept_sha256) of each text, by counting every string: for tests."""
-    seen: dict[bytes, int] = {}
+    seen: dict[int, int] = {}
+    digest = xxhash.xxh3_128_intdigest
     for t in texts:
         for i in range(len(t) - length + 1):
-            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+            h = digest(t[i : i + length])
+            seen[h] = seen.get(h, 0) + 1
     out = []
     for t in texts:
-        spans = merge([(i, i + length) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1])
+        spans = merge([(i, i + length) for i in range(len(t) - length + 1) if seen[digest(t[i : i + length])] > 1])
         edges = [0, *(x for s in spans for x in s), len(t)]
         kept = b"".join(t[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
         out.append((len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
