@@ -134,35 +134,113 @@ def test_planted_items_are_found(spark):
     assert decontaminate.contaminated(df.where("false"), items(spark, ITEM)).count() == 0
 
 
-def test_retrieval_against_every_score():
-    r = random.Random(2)
-    vocabulary = [f"w{i}" for i in range(60)]
-    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(5, 25))) for _ in range(50)]
+def every_score(texts, n, mean, count):
+    """Impacts of all items by word, in plain Python: item -> word -> share of the item's own score."""
+    import math
+
+    out = []
+    for t in texts:
+        words = decontaminate.tokens(t)
+        raw = {w: math.log(1 + (n - count[w] + 0.5) / (count[w] + 0.5)) * words.count(w) * 2.2 / (words.count(w) + 1.2 * (0.25 + 0.75 * len(words) / mean)) for w in set(words)}
+        out.append({w: v / sum(raw.values()) for w, v in raw.items()})
+    return out
+
+
+@pytest.mark.parametrize("vocabulary, items", [(60, 50), (400, 300), (25, 9)])
+def test_retrieval_against_every_score(vocabulary, items):
+    import numpy as np
+
+    r = random.Random(items)
+    words = [f"w{i}" for i in range(vocabulary)]
+    texts = [" ".join(r.choices(words, weights=[1 / (i + 1) for i in range(vocabulary)], k=r.randint(5, 25))) for _ in range(items)]
     count = {}
     for t in texts:
         for w in set(t.split()):
             count[w] = count.get(w, 0) + 1
-    index = decontaminate.Index(list(enumerate(texts)), 50, sum(len(t.split()) for t in texts) / 50, count)
+    mean = sum(len(t.split()) for t in texts) / len(texts)
+    index = decontaminate.Index(list(enumerate(texts)), len(texts), mean, count, stride=25)
+    scores = every_score(texts, len(texts), mean, count)
+    docs = [" ".join([*r.choices(words, k=r.randint(0, 90)), r.choice(texts), *r.choices(words, k=r.randint(0, 30))]).split() for _ in range(40)] + [[]]
+    ids = [np.array([index.terms.get(w, -1) for w in d], np.int32) for d in docs]
+    some = 0
+    for threshold in (0.3, 0.5, 0.65, 0.8):
+        got = {(d, s, i): x for d, s, i, x in index.retrieve(ids, threshold)}
+        want = {}
+        for d, t in enumerate(docs):
+            for s in range(0, max(1, len(t) - 25), 25):
+                have = set(t[s : s + 50])
+                for i, own in enumerate(scores):
+                    x = sum(v for w, v in own.items() if w in have)
+                    if x >= threshold - decontaminate.EPSILON:
+                        want[d, s, i] = x
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+        # The cursors alone, without the batch's bounds, give the same.
+        alone = {(d, s, i) for d, t in enumerate(ids) for s in range(0, max(1, len(t) - 25), 25) if len(k := np.unique(t[s : s + 50][t[s : s + 50] >= 0])) for i, _ in index.wand(k, threshold)}
+        assert alone == set(want)
+        some += len(want)
+    assert some > 40
+
+
+def test_blocks_are_skipped():
+    """The pivot leaves most items of common words unscored."""
+    r = random.Random(3)
+    texts = [f"common word {' '.join(f'rare{i}x{j}' for j in range(12))}" for i in range(400)]
+    count = {}
+    for t in texts:
+        for w in t.split():
+            count[w] = count.get(w, 0) + 1
+    index = decontaminate.Index(list(enumerate(texts)), 400, 14, count)
     import numpy as np
 
-    docs = [np.array([index.terms.get(r.choice(vocabulary), -1) for _ in range(r.randint(0, 90))], np.int32) for _ in range(30)]
-    for threshold in (0.4, 0.6, 0.8):
-        got = {(d, s, i) for d, s, i, _ in index.retrieve(docs, threshold)}
-        want = set()
-        for d, t in enumerate(docs):
-            for s in range(0, max(1, len(t) - index.stride), index.stride):
-                terms = {x for x in t[s : s + 2 * index.stride] if x >= 0}
-                scores = index.impacts[sorted(terms)].sum(axis=0)
-                want |= {(d, s, i) for i in range(len(texts)) if scores[i] >= threshold - 1e-4}
-        assert got == want
+    words = texts[77].split() + ["common"] * 5 + [f"rare{r.randrange(400)}x{j}" for j in range(6)]
+    query = np.unique([index.terms[w] for w in words])
+    assert [i for i, _ in index.wand(query, 0.65)] == [77]
+    assert len(index.possible([query, query[:2]], 0.65)) == 1
 
 
 def test_shards_give_the_same(spark, monkeypatch):
-    df = frame(spark, [(1, f"a b {ITEM} c"), (2, OTHERS[7])])
-    whole = sorted(map(tuple, decontaminate.contaminated(df, items(spark, ITEM, *OTHERS)).select("doc_id", "item_id").collect()))
-    monkeypatch.setattr(decontaminate, "SHARD", 8)
-    parts = sorted(map(tuple, decontaminate.contaminated(df, items(spark, ITEM, *OTHERS)).select("doc_id", "item_id").collect()))
-    monkeypatch.setattr(decontaminate, "PASS_BYTES", 1)
-    alone = sorted(map(tuple, decontaminate.contaminated(df, items(spark, ITEM, *OTHERS)).select("doc_id", "item_id").collect()))
-    assert whole == parts == alone == [(1, 0), (2, 8)]
+    df = frame(spark, [(1, f"a b {ITEM} c"), (2, OTHERS[7]), (None, OTHERS[7]), (None, f"x {OTHERS[8]}")])
+    pairs = lambda: sorted(map(str, decontaminate.contaminated(df, items(spark, ITEM, *OTHERS)).select("doc_id", "item_id").collect()))
+    whole = pairs()
+    monkeypatch.setattr(decontaminate, "SHARD_CHARACTERS", 500)
+    parts = pairs()
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 8000)
+    made = decontaminate.build(items(spark, ITEM, *OTHERS), decontaminate.WorkArea(spark, "test"))
+    groups = list(decontaminate.passes(made))
+    # Nothing that is broadcast at once is larger than the bound, and every item is in one index.
+    assert len(groups) > 2 and all(sum(map(len, g)) <= 8000 for g in groups)
+    import pickle
+
+    assert sorted(i for g in groups for x in g for i in pickle.loads(x).ids) == list(range(41))
+    alone = pairs()
+    assert whole == parts == alone and len(whole) == 4
     assert decontaminate.keep_clean(df, items(spark, ITEM, *OTHERS)).count() == 0
+
+
+def test_long_items_and_long_texts(spark):
+    long_item = filler(300, 700)
+    df = frame(spark, [(1, f"{filler(301, 30_000)} {long_item} {filler(302, 500)}"), (2, filler(303, 2000)), (3, ITEM)])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items(spark, ITEM, long_item, *OTHERS)).collect()}
+    assert got == {(1, 1), (3, 0)}
+
+
+def test_query_against_plain_search(spark):
+    """The registered query over the whole tables, against every shingle of every item in every passage."""
+    from tidewrack.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    found = {(r["doc_id"], r["item_id"]) for r in queries.op3_benchmark_decontamination(spark, folder).collect()}
+    docs = [(r["doc_id"], decontaminate.tokens(r["text"] or "")) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = set()
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        whole = decontaminate.tokens(r["text"])
+        question, answer = decontaminate.split_item(r["text"])
+        own = decontaminate.shingles(whole)
+        for doc_id, words in docs:
+            for s in range(0, max(1, len(words) - 64), 64):
+                passage = words[s : s + 128]
+                count = decontaminate.Counter(passage)
+                if len(own & decontaminate.shingles(passage)) >= 0.8 * len(own) and decontaminate.held(question, count) >= 0.8 and decontaminate.held(answer, count) >= 0.8:
+                    want.add((doc_id, r["item_id"]))
+    assert found == want and want

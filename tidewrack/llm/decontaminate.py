@@ -1,47 +1,63 @@
-"""Benchmark decontamination: a block-max BM25 index of test items, queried by every training passage.
+"""Benchmark decontamination: a block-max BM25 inverted index of test items, queried by every training passage.
 
 Each item is an indexed document of BM25; impacts are divided by the item's score for its own words, so a
 passage scores 1 when it holds every word of the item and one threshold serves all items. A text is cut into
-overlapping passages, twice as long as the longest item and half overlapping, so that any copy of an item
-lies wholly in one passage. Items sit in blocks; a term's block maximum bounds what it can add to any item
-of the block. A passage whose bounds for a block sum to less than the threshold skips the block, as
-block-max WAND does, and every item of the remaining blocks is scored in full: all items at or above the
-threshold are retrieved, not a top k. Bounds and scores are taken for a batch of passages at a time with
-array operations instead of by moving cursors for each passage; the retrieved set is the same.
+overlapping passages, at least twice as long as an item and half overlapping, so that any copy of the item
+lies wholly in one passage. Items of up to STRIDE words share their passages; each doubling of the length has its own.
+
+The index holds a posting list for each term, in the order of the items, cut into blocks of BLOCK items with
+the largest impact of each. Every passage is a query, and all items at or above the threshold are retrieved,
+not a top k:
+
+1. The block maxima of a passage's terms are summed by block, for a batch of passages at a time. A passage
+   of which no block reaches the threshold can hold no item and is done; nearly all are.
+2. The others run block-max WAND: cursors on their terms' lists stand in the order of their items, and the pivot is
+   the first at which the lists' largest impacts sum up to the threshold. If the maxima of the pivot's blocks
+   cannot reach it, all cursors before it move behind the nearest block end; else they move to the pivot's item,
+   which is scored once all have come there.
 
 Retrieved pairs are verified on words: the passage must hold at least OVERLAP of the item's 5-word shingles,
 and of the words of its question and of its answer. The answer is what follows the item's last line break,
 or else its last sentence, or else the second half of its words.
 
-The index is built for at most SHARD items at a time (statistics are of all items). Shards are broadcast in
-groups of PASS_BYTES at most, and the texts are scanned once for each group, so what is broadcast has a bound
-and a benchmark of any size is queried whole.
+Indexes are built on the executors, each of SHARD_BYTES at most (a single item may exceed that), and written. The
+driver holds and broadcasts groups of PASS_BYTES at most, one after another; texts are scanned once for each
+group, so a benchmark of any size is queried whole.
 
 Edge cases: null or empty items and texts have no words and match nothing; items shorter than 5 words have
-one shingle; words of one item that repeat count by BM25's term frequency; repeated rows give one result;
-no items give no rows; rows with null ids keep their null id.
+one shingle; words of one item that repeat count by BM25's term frequency; each pair of a document's row and an
+item (id and text, repeated ones once) gives one result, so documents that repeat, or share an id, or have none, give theirs each; very
+long texts are scanned whole, SLICE tokens at a time; other columns, whatever their names, are not read, and
+pass keep_clean as they are; no items, or no documents, give no rows.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import utf8
+from tidewrack.llm.common import WorkArea, utf8
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.65, 0.8, 5
-BLOCK, SHARD = 8, 512
-#: Bytes of indexes that are broadcast for one scan of the texts.
-PASS_BYTES = 64_000_000
+BLOCK = 8
+#: Bytes of one index, and of the indexes that are broadcast for one scan of the texts.
+SHARD_BYTES, PASS_BYTES = 8_000_000, 64_000_000
+#: Characters of items that make about one index; words up to which items share their passages.
+SHARD_CHARACTERS, STRIDE = 1_000_000, 64
 #: Tokens that are scored together.
 SLICE = 400_000
+EPSILON = 1e-4
 find_words = re.compile(r"[^\W_]+").findall
 
 
@@ -72,46 +88,93 @@ def held(part: list[str], words: Counter) -> float:
 
 
 class Index:
-    """Impacts of one shard of items, and their block maxima."""
+    """Posting lists of some items with words, and their block maxima.
+
+    Lists lie one behind another: those of term t are items[first[t] : first[t + 1]], their impacts beside them,
+    and its blocks are blocks[first_block[t] : first_block[t + 1]] with the largest impacts beside them."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, mean: float, frequency: dict[str, int]):
-        self.ids, self.parts, counts = [], [], []
+    def __init__(self, items: list[tuple[int, str]], n: int, mean: float, frequency: dict[str, int], stride: int = STRIDE):
+        self.ids, self.parts, rows = [], [], []
+        self.terms: dict[str, int] = {}
         for item_id, text in items:
             words = tokens(text or "")
-            if words:
-                self.ids.append(item_id)
-                self.parts.append((words, *split_item(text)))
-                counts.append(Counter(words))
-        self.terms = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
-        size = math.ceil(len(counts) / BLOCK) * BLOCK
-        impacts = np.zeros((len(self.terms), size), np.float32)
-        for i, c in enumerate(counts):
-            norm = K1 * (1 - B + B * c.total() / mean)
-            for w, tf in c.items():
-                idf = math.log(1 + (n - frequency[w] + 0.5) / (frequency[w] + 0.5))
-                impacts[self.terms[w], i] = idf * tf * (K1 + 1) / (tf + norm)
-        self.impacts = impacts / np.maximum(impacts.sum(axis=0), 1e-9)
-        self.bounds = self.impacts.reshape(len(self.terms), size // BLOCK, BLOCK).max(axis=2, initial=0)
-        self.stride = max((len(p[0]) for p in self.parts), default=1)
+            if not words:
+                continue
+            count = Counter(words)
+            norm = K1 * (1 - B + B * len(words) / mean)
+            impacts = {w: math.log(1 + (n - frequency[w] + 0.5) / (frequency[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in count.items()}
+            own = sum(impacts.values())
+            rows += [(self.terms.setdefault(w, len(self.terms)), len(self.ids), x / own) for w, x in impacts.items()]
+            self.ids.append(item_id)
+            self.parts.append((words, *split_item(text)))
+        term, item, impact = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        order = np.lexsort((item, term))
+        term, self.items, self.impacts = term[order], item[order].astype(np.int32), impact[order].astype(np.float32)
+        self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.n_blocks = math.ceil(len(self.ids) / BLOCK)
+        key, starts = np.unique(term * max(self.n_blocks, 1) + self.items // BLOCK, return_index=True)
+        self.blocks = (key % max(self.n_blocks, 1)).astype(np.int32)
+        self.maxima = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.zeros(0, np.float32)
+        self.first_block = np.searchsorted(key // max(self.n_blocks, 1), np.arange(len(self.terms) + 1))
+        self.largest = np.maximum.reduceat(self.impacts, self.first[:-1]) if len(self.terms) else np.zeros(0, np.float32)
+        self.stride = stride
+
+    def possible(self, keys: list[np.ndarray], threshold: float) -> np.ndarray:
+        """Which of some queries (arrays of distinct terms) have a block whose maxima sum to the threshold."""
+        flat = np.concatenate(keys)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        width = (self.first_block[1:] - self.first_block[:-1])[flat]
+        at = np.repeat(self.first_block[flat] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        sums = np.bincount(np.repeat(owner, width) * self.n_blocks + self.blocks[at], weights=self.maxima[at], minlength=len(keys) * self.n_blocks)
+        return np.nonzero((sums.reshape(len(keys), self.n_blocks) >= threshold - EPSILON).any(axis=1))[0]
+
+    def wand(self, query: np.ndarray, threshold: float):
+        """(item, score) of all items at or above the threshold, by block-max WAND over the query's posting lists."""
+        least = threshold - EPSILON
+        lists = [(self.items[a:b].tolist(), self.impacts[a:b].tolist(), self.blocks[c:d].tolist(), self.maxima[c:d].tolist(), float(self.largest[t])) for t, a, b, c, d in zip(query.tolist(), self.first[query], self.first[query + 1], self.first_block[query], self.first_block[query + 1], strict=True)]
+        place = [0] * len(lists)
+        live = sorted(range(len(lists)), key=lambda i: lists[i][0][0])
+        while live:
+            bound = 0.0
+            for p, i in enumerate(live):
+                bound += lists[i][4]
+                if bound >= least:
+                    break
+            else:
+                return
+            pivot = lists[live[p]][0][place[live[p]]]
+            while p + 1 < len(live) and lists[live[p + 1]][0][place[live[p + 1]]] == pivot:
+                p += 1
+            before, block = live[: p + 1], pivot // BLOCK
+            bound, following = 0.0, lists[live[p + 1]][0][place[live[p + 1]]] if p + 1 < len(live) else math.inf
+            for i in before:
+                k = bisect_left(lists[i][2], block)
+                if k < len(lists[i][2]) and lists[i][2][k] == block:
+                    bound += lists[i][3][k]
+            if bound < least:  # no item of the pivot's block can do it: go on behind the block, or at the next list's item
+                target, moved = min((block + 1) * BLOCK, following), before
+            elif lists[live[0]][0][place[live[0]]] == pivot:
+                score = sum(lists[i][1][place[i]] for i in before)
+                if score >= least:
+                    yield pivot, score
+                target, moved = pivot + 1, before
+            else:
+                target, moved = pivot, [i for i in before if lists[i][0][place[i]] < pivot]
+            for i in moved:
+                place[i] = bisect_left(lists[i][0], target, place[i])
+            live = sorted((i for i in live if place[i] < len(lists[i][0])), key=lambda i: lists[i][0][place[i]])
 
     def retrieve(self, docs: list[np.ndarray], threshold: float):
         """(doc, passage start, item, score) of all passages of the given term id arrays (-1: not an index term)."""
         starts = [(d, s) for d, t in enumerate(docs) for s in range(0, max(1, len(t) - self.stride), self.stride)]
-        if not self.ids or not starts:
-            return
         keys = [np.unique(docs[d][s : s + 2 * self.stride]) for d, s in starts]
         keys = [k[1:] if len(k) and k[0] < 0 else k for k in keys]
-        sizes = np.array([len(k) for k in keys])
-        full = np.nonzero(sizes)[0]
-        if not len(full):
+        full = [p for p, k in enumerate(keys) if len(k)]
+        if not self.ids or not full:
             return
-        flat, at = np.concatenate([keys[p] for p in full]), np.concatenate([[0], np.cumsum(sizes[full])])
-        bounds = np.add.reduceat(self.bounds[flat], at[:-1], axis=0)
-        for row, block in zip(*np.nonzero(bounds >= threshold - 1e-4), strict=True):
-            lo = block * BLOCK
-            scores = self.impacts[flat[at[row] : at[row + 1]], lo : lo + BLOCK].sum(axis=0)
-            for i in np.nonzero(scores >= threshold - 1e-4)[0]:
-                yield (*starts[full[row]], int(lo + i), float(scores[i]))
+        for row in self.possible([keys[p] for p in full], threshold):
+            for item, score in self.wand(keys[full[row]], threshold):
+                yield (*starts[full[row]], item, score)
 
     def verify(self, item: int, words: list[str]) -> tuple[float, float, float]:
         """Overlap of the item's shingles, question and answer with a passage's words."""
@@ -124,100 +187,129 @@ class Index:
             together = len(own & have) / len(own)
         return together, held(question, count), held(answer, count)
 
-    def scan(self, texts: list[str], threshold: float, overlap: float):
-        """(doc, item id, score, shingles, question, answer): the best passage of each verified pair."""
-        lookup = self.terms.get
-        best: dict[tuple[int, int], tuple] = {}
-        words, ids, first, held_back = [], [], 0, 0
-
-        def flush():
-            for d, s, i, score in self.retrieve(ids, threshold):
-                found = self.verify(i, words[d][s : s + 2 * self.stride])
-                if min(found) >= overlap:
-                    key = (first + d, i)
-                    best[key] = max(best.get(key, ()), (score, *found))
-
-        for k, text in enumerate(texts):
-            w = tokens(text)
-            words.append(w)
-            ids.append(np.fromiter((lookup(x, -1) for x in w), np.int32, len(w)))
-            held_back += len(w)
-            if held_back >= SLICE:
-                flush()
-                words, ids, first, held_back = [], [], k + 1, 0
-        flush()
-        return [(d, self.ids[i], *v) for (d, i), v in sorted(best.items())]
-
-
-def build(items: DataFrame) -> list[Index]:
-    """One index for each shard of (item_id, text)."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = max(1, math.ceil(items.count() / SHARD))
-    placed = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-
-    def postings(batches):
-        for batch in batches:
-            rows = [(w, tf) for x in batch.column(0) for w, tf in Counter(tokens(x.as_py())).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "tf"])
-
-    terms = items.select("text").mapInArrow(postings, "term string, tf long").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    n = max(1, items.where("text <> ''").count())
-    total = terms.agg(F.sum("tf")).first()[0] or 1
-    out = []
-    for shard in range(shards):
-        rows = [(r["item_id"], r["text"]) for r in placed.where(F.col("shard") == shard).orderBy("item_id", "text").collect()]
-        own = {w for _, t in rows for w in tokens(t)}
-        table = terms if shards == 1 else terms.join(items.sparkSession.createDataFrame([(w,) for w in own], "term string"), "term", "left_semi")
-        out.append(Index(rows, n, total / n, {r["term"]: r["df"] for r in table.collect()}))
-    return out
+    def matches(self, texts: list[list[str]], threshold: float, overlap: float) -> dict[tuple[int, int], tuple]:
+        """(text, item) -> (score, shingles, question, answer) of the best passage of each verified pair. texts: lists of words."""
+        lookup, best = self.terms.get, {}
+        ids = [np.fromiter((lookup(x, -1) for x in words), np.int32, len(words)) for words in texts]
+        for d, s, i, score in self.retrieve(ids, threshold):
+            found = self.verify(i, texts[d][s : s + 2 * self.stride])
+            if min(found) >= overlap:
+                best[d, i] = max(best.get((d, i), ()), (score, *found))
+        return best
+
+
+def scan(texts: Iterator[str], indexes: list[Index], threshold: float, overlap: float):
+    """(text, item id, score, shingles, question, answer) of each verified pair; about SLICE tokens are held at a time."""
+    first, words, held_back = 0, [], 0
+
+    def flush():
+        for index in indexes:
+            for (d, i), found in sorted(index.matches(words, threshold, overlap).items()):
+                yield (first + d, index.ids[i], *found)
 
+    for text in texts:
+        words.append(tokens(text))
+        held_back += len(words[-1])
+        if held_back >= SLICE:
+            yield from flush()
+            first, words, held_back = first + len(words), [], 0
+    yield from flush()
 
-def passes(indexes: list[Index]) -> list[list[Index]]:
-    """Groups of indexes of PASS_BYTES at most, or of a single one."""
-    out: list[list[Index]] = []
+
+def length_class(n_words: int) -> int:
+    """The passage step of an item: STRIDE, doubled until the item fits."""
+    return max(STRIDE, 1 << max(n_words - 1, 0).bit_length())
+
+
+def build(items: DataFrame, work: WorkArea) -> DataFrame:
+    """(shard, part, bytes, data): pickled indexes of (item_id, text), built on the executors and written."""
+
+    def described(batches):
+        for batch in batches:
+            words = [tokens(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([length_class(len(w)) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["item_id", "text", "words", "step", "terms"])
+
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = work.write(rows.mapInArrow(described, "item_id long, text string, words long, step long, terms array<string>").where("words > 0"), "items")
+    total = rows.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum(F.length("text")).alias("characters")).first()
+    n, mean, limit = max(total["n"], 1), (total["words"] or 1) / max(total["n"], 1), SHARD_BYTES
+    shards = max(1, math.ceil((total["characters"] or 0) / SHARD_CHARACTERS))
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    frequency = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    needed = placed.select(F.col("step").alias("to_step"), F.col("shard").alias("to_shard"), F.explode("terms").alias("term")).distinct().join(frequency, "term")
+
+    def make(own: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        df = dict(zip(terms["term"].tolist(), terms["df"].tolist(), strict=True))
+        own = own.sort_values(["item_id", "text"])
+        out, waiting = [], [[(None if i != i else int(i), t) for i, t in zip(own["item_id"].tolist(), own["text"].tolist(), strict=True)]]
+        while waiting:
+            part = waiting.pop()
+            data = pickle.dumps(Index(part, n, mean, df, int(own["step"].iloc[0])), protocol=5)
+            if len(data) > limit and len(part) > 1:
+                waiting += [part[len(part) // 2 :], part[: len(part) // 2]]
+            else:
+                out.append((int(own["step"].iloc[0]), int(own["shard"].iloc[0]), len(out), len(data), data))
+        return pd.DataFrame(out, columns=["step", "shard", "part", "bytes", "data"])
+
+    made = placed.select("step", "shard", "item_id", "text").groupBy("step", "shard").cogroup(needed.groupBy("to_step", "to_shard")).applyInPandas(make, "step long, shard long, part long, bytes long, data binary")
+    return work.write(made, "indexes", codec="uncompressed")
+
+
+def passes(indexes: DataFrame) -> Iterator[list[bytes]]:
+    """The pickled indexes in groups of PASS_BYTES at most, or of a single one; the driver reads one group at a time."""
+    listed = [(r["step"], r["shard"], r["part"], r["bytes"]) for r in indexes.select("step", "shard", "part", "bytes").orderBy("step", "shard", "part").collect()]
+    groups: list[list[tuple]] = []
     held = 0
-    for index in indexes:
-        size = index.impacts.nbytes + index.bounds.nbytes
-        if not out or held + size > PASS_BYTES:
-            out.append([])
+    for *key, size in listed:
+        if not groups or held + size > PASS_BYTES:
+            groups.append([])
             held = 0
-        out[-1].append(index)
+        groups[-1].append(tuple(key))
         held += size
-    return out
+    for group in groups:
+        wanted = indexes.sparkSession.createDataFrame(group, "step long, shard long, part long")
+        yield [bytes(r["data"]) for r in indexes.join(F.broadcast(wanted), ["step", "shard", "part"]).orderBy("step", "shard", "part").collect()]
+
+
+def _loaded(shared) -> list[Index]:
+    return [pickle.loads(x) for x in shared.value]
 
 
 def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, shingle_overlap, question_overlap, answer_overlap): one row for each verified pair."""
     spark = df.sparkSession
-    out = None
+    names = ["doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap"]
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
     schema = "doc_id long, item_id long, score double, shingle_overlap double, question_overlap double, answer_overlap double"
-    for group in passes(build(items)):
+    out = spark.createDataFrame([], schema)
+    for group in passes(build(items, WorkArea(spark, "benchmark"))):
         shared = spark.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
+            indexes = _loaded(shared)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                texts = [x.as_py().decode("utf-8", "replace") for x in batch.column(1)]
-                found = [f for index in shared.value for f in index.scan(texts, threshold, overlap)]
-                columns = list(zip(*found, strict=True)) if found else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap"])
+                found = [(ids[d], *rest) for d, *rest in scan((x.as_py().decode("utf-8", "replace") for x in batch.column(1)), indexes, threshold, overlap)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
 
-        part = df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    best = [F.max(c).alias(c) for c in ("score", "shingle_overlap", "question_overlap", "answer_overlap")]
-    return out.groupBy("doc_id", "item_id").agg(*best)
+        out = out.union(df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, schema))
+    return out
 
 
 def keep_clean(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of `df`, all columns, whose text matches no item."""
-    for group in passes(build(items)):
+    work = WorkArea(df.sparkSession, "decontaminate")
+    for n, group in enumerate(passes(build(items, work))):
+        if n:  # one group's indexes are loaded in a worker at a time
+            df = work.write(df, f"pass-{n}")
         shared = df.sparkSession.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
+            indexes = _loaded(shared)
             for batch in batches:
-                texts = [x.as_py() or "" for x in batch.column(batch.schema.get_field_index("text"))]
-                hit = {d for index in shared.value for d, *_ in index.scan(texts, threshold, overlap)}
-                yield batch.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
+                texts = (x.as_py() or "" for x in batch.column(batch.schema.get_field_index("text")))
+                hit = {d for d, *_ in scan(texts, indexes, threshold, overlap)}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)
     return df
