@@ -32,7 +32,7 @@ def test_fingerprints_ignore_blanks_and_ascii_case(words):
     text = " ".join(words)
     other = "\n\n".join(text.split(" ")).replace("a", "A")
     assert simhash.fingerprint(text.encode(), 3) == simhash.fingerprint(other.encode(), 3)
-    assert (simhash.wide_fingerprint(text.encode(), 2) == simhash.wide_fingerprint(other.encode(), 2)).all()
+    assert (simhash.shingle_set(text.encode(), 2) == simhash.shingle_set(other.encode(), 2)).all()
 
 
 @settings(max_examples=100, deadline=None)

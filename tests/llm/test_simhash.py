@@ -99,10 +99,39 @@ def test_edge_rows(spark):
     kept = simhash.keep_one(spark, df, simhash.near_duplicates(spark, df, k=3))
     copies = simhash.near_copies(spark, df)
     assert sorted(((r["doc_id"], r["component_id"]) for r in copies.collect()), key=str) == got and simhash.near_copies(spark, df.where("false")).count() == 0
-    assert kept.columns == df.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, None]
+    # A copy without an id goes, since a row with one stands for it.
+    assert kept.columns == df.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2]
     assert simhash.near_duplicates(spark, df.where("false"), k=3).count() == 0
 
 
+@pytest.mark.parametrize("how", [simhash.near_copies, lambda s, d: simhash.near_duplicates(s, d, k=3)])
+def test_rows_are_told_apart_by_more_than_their_id(spark, how):
+    """Unlike texts under one id all stay; of copies without an id one does; of rows alike in all, one."""
+    rows = [(1, "a b c d e f g h", "x"), (1, "quite other words stand here now and then", "y"), (1, "quite other words stand here now and then", "y")]
+    rows += [(None, "nobody gave this text a number so far", "z")] * 3 + [(None, "nor this one which is not like it", "z"), (7, "a b c d e f g h", "v"), (8, None, "n"), (9, "", "n")]
+    df = frame(spark, rows, ", keep string").withColumn("text_hash", F.lit(5)).withColumn("node", F.lit("n"))
+    kept = simhash.keep_one(spark, df, how(spark, df))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    want = [(1, "a b c d e f g h"), (1, "quite other words stand here now and then"), (8, None), (None, "nobody gave this text a number so far"), (None, "nor this one which is not like it")]
+    assert got == sorted(want, key=str) and kept.columns == df.columns
+    assert simhash.keep_one(spark, df.where("false"), how(spark, df.where("false"))).count() == 0
+
+
+def test_similar_sets_have_close_fingerprints():
+    """The distance under which pairs are read whole leaves room: 400 pairs at 0.8 stay far below it."""
+    import numpy as np
+
+    r, most = np.random.default_rng(5), 0
+    for i in range(400):
+        n = 64 + 8 * i
+        both = round(0.8 * 2 * n / 1.8) + 1
+        a, b, c = (r.integers(0, 1 << 63, k, dtype=np.uint64) for k in (both, n - both, n - both))
+        p, q = simhash.wide_fingerprint(np.concatenate([a, b])), simhash.wide_fingerprint(np.concatenate([a, c]))
+        most = max(most, sum(bin(int(x) & (1 << 64) - 1).count("1") for x in p ^ q))
+    assert most < simhash.sketch_radius(0.8) - 10
+    assert simhash.sketch_radius(0.8) < 140
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges, WorkArea(spark, "cc")).collect()}

@@ -8,19 +8,22 @@ agrees within the threshold in some partition. Each fingerprint is indexed under
 with every variant within the threshold, and each candidate is verified on all 64 bits.
 
 Edge cases: a null or empty text has no words and fingerprint zero, linked like any other; a text shorter
-than k words is one shingle; repeated rows share a fingerprint and so a component; rows with a null id
-get a fingerprint but join no component (their component is null); an empty table gives no rows.
+than k words is one shingle; repeated rows share a fingerprint and so a component; components are made of
+fingerprints, so unlike texts that share an id are not mixed; a component's id is the smallest of its rows, null where
+none has one, and a row with a null id has a null component_id; ties between rows that could stay go to the smallest
+id and then the smallest hash of the text; very long texts are read whole, CHUNK shingles at a time; other columns,
+whatever their names, are passed on or not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import WorkArea, utf8
@@ -35,10 +38,10 @@ PROBE_COST, PAIR_COST = 1.0, 0.25
 BUCKET = 128
 #: The same for near copies, where larger buckets are compared with HEADS heads before the pairs that are left.
 PAIRED, HEADS = 32, 3
-#: Pairs are compared in so many turns.
-SLICES = 4
-#: How often the order of shingles is made anew with common ones last, and how many those are at most. Results do not depend on them.
-REORDERED, COMMON = 2, 1 << 17
+#: How many common shingles are put last in the order of shingles, at most. Results do not depend on it.
+COMMON = 1 << 17
+#: Sets of fewer shingles are compared without a look at their fingerprints; deviations by which similar sets may differ in bits.
+SKETCHED, DEVIATIONS = 64, 6
 
 
 def fingerprint(data: bytes, k: int) -> int:
@@ -61,15 +64,19 @@ def fingerprint(data: bytes, k: int) -> int:
     return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
 
 
+def text_hash(text_col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            fps = [(fingerprint(x.as_py(), k) ^ (1 << 63)) - (1 << 63) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [(fingerprint(x.as_py(), k) ^ (1 << 63)) - (1 << 63) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), utf8(text_col).alias("data")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -192,38 +199,54 @@ def _variant_links(fps: DataFrame, radius: int, work: WorkArea) -> DataFrame:
     return variants.join(shared, "v").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
 
 
+def _row(id_col: str = "doc_id") -> Column:
+    """What orders rows and tells them apart: a row with an id comes before one without."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.col("text_hash"))
+
+
+def _with_components(docs: DataFrame, groups: DataFrame, roots: DataFrame, key: str, work: WorkArea) -> DataFrame:
+    """Rows (doc_id, text_hash, key) with component_id and `keep`, whether the row is its component's first.
+
+    groups: (key, rep) of each key; roots: (node, root) of the keys that have links."""
+    whole = groups.join(roots.withColumnRenamed("node", "of"), F.col(key) == F.col("of"), "left").select(key, "rep", F.coalesce("root", key).alias("root"))
+    whole = work.write(whole, "roots")
+    first = whole.groupBy("root").agg(F.min("rep").alias("first"))
+    named = whole.join(first, "root").select(key, "first")
+    found = docs.join(named, key)
+    return found.select("doc_id", "text_hash", key, F.when(F.col("doc_id").isNotNull(), F.col("first.doc_id")).alias("component_id"), (_row() == F.col("first")).alias("keep"))
+
+
 def near_duplicates(spark: SparkSession, df: DataFrame, k: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the smallest id reachable over links."""
+    """(doc_id, text_hash, fp, component_id, keep) for every row: component_id is the smallest id reachable over links."""
     work = WorkArea(spark, "simhash")
     docs = work.write(fingerprints(df, k, id_col, text_col), "docs")
-    groups = work.write(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
-    edges = work.write(links(groups.select("fp"), radius, work), "links")
-    by_id = edges.join(groups.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(groups.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    roots = connected_components(by_id.where("ra is not null and rb is not null").select(F.col("ra").alias("a"), F.col("rb").alias("b")), work)
-    # The root of a fingerprint without links is its own smallest id.
-    named = groups.join(roots, groups["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return docs.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    groups = work.write(docs.groupBy("fp").agg(F.min(_row()).alias("rep")), "groups")
+    roots = connected_components(links(groups.select("fp"), radius, work), work)
+    return _with_components(docs, groups, roots, "fp", work)
 
 
 # --- wider fingerprints, for copies that differ in more than a few bits ---
 
 
-def wide_fingerprint(data: bytes, k: int) -> np.ndarray:
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """LANES words of 64 bits: each shingle's hash is mixed with LANES odd constants, and each mix votes on 64 bits."""
-    words = data.lower().split()
-    total = max(1, len(words) - k + 1) if words else 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else iter([b" ".join(words)])
-    votes, left = np.zeros(LANES * 64, np.int64), total
-    while left > 0:
-        n = min(CHUNK // 8, left)
-        h = np.frombuffer(b"".join([xxhash.xxh64_digest(next(shingles), SEED) for _ in range(n)]), ">u8").astype(np.uint64)
-        mixed = h[:, None] * MIX[None, :]
+    votes = np.zeros(LANES * 64, np.int64)
+    for i in range(0, len(hashes), CHUNK // 8):
+        mixed = hashes[i : i + CHUNK // 8, None] * MIX[None, :]
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
         votes += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-        left -= n
-    return np.packbits(votes * 2 > total).view(np.int64)
+    return np.packbits(votes * 2 > len(hashes)).view(np.int64)
+
+
+def sketch_radius(jaccard: float) -> int:
+    """Bits in which the wide fingerprints of two sets of this similarity differ, DEVIATIONS above the mean.
+
+    A bit differs with the angle between the sets over pi, and the angle is widest where both are of one size."""
+    p = math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+    n = LANES * 64
+    return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
 # --- copies by the similarity of their shingles ---
@@ -257,13 +280,13 @@ def _least(n: float, share: float) -> int:
 
 
 def _nodes(df: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node) of every row: equal nodes have equal sets of shingles."""
+    """(doc_id, text_hash, node) of every row: equal nodes have equal sets of shingles."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(shingle_set(x.as_py(), k)) for x in batch.column(1)], pa.int64())], ["doc_id", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(shingle_set(x.as_py(), k)) for x in batch.column(2)], pa.int64())], ["doc_id", "text_hash", "node"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, "doc_id long, node long")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), utf8().alias("data")).mapInArrow(run, "doc_id long, text_hash long, node long")
 
 
 def _prefixes(df: DataFrame, k: int, jaccard: float, common: np.ndarray) -> DataFrame:
@@ -291,22 +314,31 @@ def _prefixes(df: DataFrame, k: int, jaccard: float, common: np.ndarray) -> Data
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, places, sizes)], ["key", "node", "place", "size"])
 
-    return df.where("doc_id is not null").select(utf8().alias("data")).mapInArrow(run, "key long, node long, place int, size int")
+    # Rows of one key and node are the same: shuffled by both, a frequent key spreads over all tasks.
+    return df.select(utf8().alias("data")).mapInArrow(run, "key long, node long, place int, size int").dropDuplicates(["key", "node"])
 
 
 def _sets(df: DataFrame, k: int) -> DataFrame:
-    """(node, hashes) of every row."""
+    """(node, f0..., hashes) of every row: its wide fingerprint and its set."""
+    names = ["node", *FP, "hashes"]
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(x.as_py(), k) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["node", "hashes"])
+            wide = np.stack([wide_fingerprint(h) for h in found]) if found else np.zeros((0, LANES), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found], pa.int64()), *(pa.array(wide[:, i]) for i in range(LANES)), pa.array([h.tobytes() for h in found], pa.binary())], names)
+
+    return df.select(utf8().alias("data")).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", hashes binary")
 
-    return df.select(utf8().alias("data")).mapInArrow(run, "node long, hashes binary")
+
+FP = [f"f{i}" for i in range(LANES)]
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets have at least the Jaccard similarity."""
+    """The pairs (a, b) whose whole sets have at least the Jaccard similarity.
+
+    Fingerprints come first: a pair whose bits differ by more than DEVIATIONS deviations above what similar sets show is
+    not read whole (odds of a wrong one: one in a billion), and neither are most pairs that are no copies."""
 
     def run(batches):
         for batch in batches:
@@ -317,37 +349,39 @@ def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
                 keep.append(both >= _least(len(p) + len(q) - both, jaccard))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    size = F.octet_length("hashes") / 8
+    fps = {s: sets.select(F.col("node").alias(s), size.alias(f"n{s}"), *[F.col(c).alias(f"{c}{s}") for c in FP]) for s in "ab"}
+    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in FP[1:]), F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))))
+    close = pairs.join(fps["a"], "a").join(fps["b"], "b").where((F.least("na", "nb") < SKETCHED) | (apart <= sketch_radius(jaccard))).select("a", "b")
     a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"h{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return close.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
 def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents whose sets of k-word shingles have at least the Jaccard similarity are linked.
+    """(doc_id, text_hash, node, component_id, keep): documents whose sets of k-word shingles have at least the Jaccard similarity are linked.
 
-    Exact at every size of the input, but for equal 64-bit hashes of unequal shingles or sets. Fingerprints cannot do
+    Exact at every size of the input, but for equal 64-bit hashes of unequal shingles or sets. Fingerprints alone cannot do
     that: a pair at 0.8 whose edits stand together differs in about 77 of 512 bits, more than a pigeonhole plan can
     promise. So candidates come from prefixes: with all shingles in one order, two sets that are similar enough share one of
-    the first n - ceil(jaccard * n) + 1 of each. Bounds on size and place leave most candidates out, and whole sets
-    decide the rest. Shingles of many prefixes are put last in the order, which may be any.
+    the first n - ceil(jaccard * n) + 1 of each. Bounds on size and place, and the distance of wide SimHash fingerprints,
+    leave most candidates out, and whole sets decide the rest. Shingles of many prefixes are put last in the order,
+    which may be any.
 
     Sets in a prefix bucket of PAIRED at most are compared with each other. In larger buckets they are first compared
     with a few heads; then every two sets of one bucket that are not in one component yet are compared, linked ones
     included, so no component is missed. Edge cases are those of near_duplicates; texts without words are copies."""
     work = WorkArea(spark, "copies")
     docs = work.write(_nodes(df, k), "docs")
-    groups = work.write(docs.groupBy("node").agg(F.min("doc_id").alias("id")), "groups")
-    common = np.zeros(0, np.uint64)
-    for turn in range(REORDERED + 1):
-        rows = _prefixes(df, k, jaccard, common).repartition("key").dropDuplicates(["key", "node"])
-        met = work.write(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), f"met-{turn}")
-        if turn == REORDERED:
-            break
-        top = met.where(F.col("n") > PAIRED).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON - len(common)).select("key")
-        found = np.union1d(common, np.array([r["key"] for r in top.collect()], np.int64).view(np.uint64))
-        if len(found) == len(common):
-            break
-        common = found
-        work.drop(f"met-{turn}")
+    groups = work.write(docs.groupBy("node").agg(F.min(_row()).alias("rep")), "groups")
+    often = _prefixes(df, k, jaccard, np.zeros(0, np.uint64)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED)
+    top = often.orderBy(F.desc("n"), "key").limit(COMMON).select("key").collect()
+    common = np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
+    rows = work.write(_prefixes(df, k, jaccard, common), "prefixes")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Counts are written first: a join of two plain tables is one that adaptive execution can split at a frequent key.
+    met = work.write(rows.join(work.write(counts, "counts"), "key"), "met")
+    work.drop("prefixes")
+
     def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
         return rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "place", "size", *more)])
 
@@ -355,53 +389,54 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
     share = jaccard / (1 + jaccard)
     possible = (F.least("size_a", "size_b") >= jaccard * F.greatest("size_a", "size_b") - 1e-6) & (1 + F.least(F.col("size_a") - F.col("place_a") - 1, F.col("size_b") - F.col("place_b") - 1) >= share * (F.col("size_a") + F.col("size_b")) - 1e-6)
 
-    def checked(joined: DataFrame, name: str) -> DataFrame:
-        pairs = joined.where(possible).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        pairs = work.write(pairs, f"{name}-all")
-        # Whole sets of the pairs' members only, and a slice of the pairs at a time, so that little of them is on disk at once.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = wanted.join(groups, "node").select(F.col("id").alias("doc_id")).distinct()
-        sets = work.write(_sets(df.join(ids, "doc_id", "left_semi"), k).join(wanted, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
-        parts = [work.write(_similar(pairs.where(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == i), sets, jaccard), f"{name}-{i}") for i in range(SLICES)]
-        work.drop(f"{name}-sets")
-        return reduce(DataFrame.union, parts)
+    def paired(joined: DataFrame) -> DataFrame:
+        return joined.where(possible).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
     small, large = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
-    linked = checked(side(small, "a").join(side(small, "b"), "key").where("node_a < node_b"), "pairs")
+    pairs = work.write(paired(side(small, "a").join(side(small, "b"), "key").where("node_a < node_b")), "pairs")
+    # One row of each set that is compared; a set's first row is told by its id and its text's hash.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    rep = wanted.join(groups, "node").select("rep.*").select(F.col("doc_id").alias("of"), "text_hash").distinct()
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    texts = texts.join(rep, texts["doc_id"].eqNullSafe(rep["of"]) & (texts["text_hash"] == rep["text_hash"]), "left_semi")
+    sets = work.write(_sets(texts, k).dropDuplicates(["node"]), "sets")
+    linked = work.write(_similar(pairs, sets, jaccard), "linked")
     roots = connected_components(linked, work, "cc")
-    if not large.isEmpty():
-        for turn in range(HEADS + 1):
-            named = large.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
-            spread = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-            large = work.write(named.join(spread, "key"), f"large-{turn}")
-            if large.isEmpty():
-                break
-            if turn < HEADS:
-                order = F.struct(F.xxhash64("root", F.lit(turn)) if turn else F.lit(0), "node")
-                other = large.groupBy("key").agg(F.min_by(F.struct("node", "place", "size", "root"), order).alias("h")).select("key", "h.*")
-            else:
-                other = large
-            met_again = side(large, "a", "root").join(side(other, "b", "root"), "key").where("root_a <> root_b")
-            linked = linked.union(checked(met_again if turn < HEADS else met_again.where("node_a < node_b"), f"links-{turn}"))
-            roots = connected_components(linked, work, f"cc-{turn}")
-            large = large.drop("root")
-    whole = groups.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    whole = work.write(whole, "roots")
-    named = whole.join(whole.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
-    return docs.join(named, "node").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    for turn in range(2):
+        named = large.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+        spread = work.write(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), f"spread-{turn}")
+        if spread.isEmpty():
+            break
+        named = work.write(named.join(spread, "key"), f"large-{turn}")
+        if turn == 0:  # heads: the least members in some orders
+            order = lambda i: F.struct(F.xxhash64("root", F.lit(i)) if i else F.lit(0).cast("long"), F.col("node"))
+            heads = named.groupBy("key").agg(*[F.min_by(F.struct("node", "place", "size", "root"), order(i)).alias(f"h{i}") for i in range(HEADS)])
+            other = heads.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("h")).select("key", "h.*")
+        else:
+            other = named
+        met_again = side(named, "a", "root").join(side(other, "b", "root"), "key").where("root_a <> root_b")
+        more = work.write(paired(met_again if turn == 0 else met_again.where("node_a < node_b")), f"pairs-{turn}")
+        linked = linked.union(work.write(_similar(more, sets, jaccard), f"linked-{turn}"))
+        roots = connected_components(linked, work, f"cc-{turn}")
+    return _with_components(docs, groups, roots, "node", work)
 
 
 def keep_one(spark: SparkSession, df: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of `df`, all columns, less all but the smallest id of each component of found (doc_id, component_id); rows with null ids stay."""
-    found = WorkArea(spark, "keep-one").write(found.select("doc_id", "component_id"), "found")
-    # Only where ids repeat does a row need more than its id to be told from the one that stays.
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        unique = df
-    else:
-        unique = df.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(df.where("doc_id is null"))
-    # Which ids go grows with the documents, so they are never broadcast.
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct().hint("merge")
-    return unique.join(gone, "doc_id", "left_anti").select(df.columns)
+    """The rows of `df`, all columns, that found (doc_id, text_hash, keep) keeps: of each component the one with the smallest
+    id, or the smallest hash of its text among rows that share that id or have none; of rows alike in both, one."""
+    work, tag = WorkArea(spark, "keep-one"), uuid.uuid4().hex[:8]
+    found = work.write(found.select(F.col("doc_id").alias(f"id_{tag}"), F.col("text_hash").alias(f"hash_{tag}"), "keep"), "found")
+    key = [f"id_{tag}", f"hash_{tag}"]
+    # Which rows go, or repeat, grows with the documents, so they are never broadcast.
+    gone = found.where("not keep").select(*key).distinct().hint("merge")
+    alike = work.write(found.where("keep").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "alike")
+    rows = df.withColumns({f"own_id_{tag}": F.col("doc_id").cast("long"), f"own_hash_{tag}": text_hash()})
+    same = lambda other: rows[f"own_id_{tag}"].eqNullSafe(other[key[0]]) & (rows[f"own_hash_{tag}"] == other[key[1]])
+    kept = rows.join(gone, same(gone), "left_anti")
+    if alike.isEmpty():
+        return kept.select(df.columns)
+    once = rows.join(alike, same(alike), "left_semi").dropDuplicates([f"own_id_{tag}", f"own_hash_{tag}"])
+    return kept.join(alike, same(alike), "left_anti").unionByName(once).select(df.columns)
 
 
 def hex_fingerprint(fp: str = "fp"):
