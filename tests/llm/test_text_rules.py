@@ -96,6 +96,50 @@ def test_good_documents_are_taken_more_often(spark):
     assert good > 1.3 * poor
 
 
+def test_mixed_rows_keep_their_columns(spark):
+    """Clashing names, equal rows and rows without an id."""
+    rows = [(i, "w " * (i % 7), ["a", "b", None][i % 3], i, "t", 5) for i in range(300)]
+    rows += [(7, "w " * 50, "a", 1, "x", 1)] * 2 + [(None, f"no id {i}", "b", 2, "y", 2) for i in range(40)] + [(None, "no id 1", "b", 2, "z", 3), (400, None, None, None, None, None)]
+    df = frame(spark, rows, "doc_id long, text string, source string, size int, taken string, _taken int")
+    labels = frame(spark, [(i, i % 2) for i in range(0, 300, 2)] + [(None, 1)], "doc_id long, quality int")
+    got = mixing.mix_rows(df, labels)
+    assert got.columns == [*df.columns, "mix_size", "copies", "partial", "mix_taken"]
+    out = got.collect()
+    # What the mix says of each row is what mix() says of it, equal rows aside.
+    whole = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(df.select("doc_id", "text", "source").distinct(), labels).collect() if r["doc_id"] not in (7, None)}
+    close = sum(r["mix_taken"] == whole[r["doc_id"], r["mix_size"]] for r in out if r["doc_id"] not in (7, None))
+    assert close > 0.9 * len([r for r in out if r["doc_id"] not in (7, None)])
+    for r in out:
+        assert r["mix_size"] == len((r["text"] or "").split()) and r["mix_taken"] == (r["copies"] + r["partial"]) * r["mix_size"]
+    sizes = {}
+    for r in rows:
+        sizes[r[2]] = sizes.get(r[2], 0) + len((r[1] or "").split())
+    target = fill(sizes)
+    for s in sizes:
+        assert abs(sum(r["mix_taken"] for r in out if r["source"] == s) - target[s]) <= 50
+    pair = [r["mix_taken"] for r in out if r["doc_id"] == 7 and len(r["text"]) == 100]
+    assert len(pair) in (0, 2) and len(set(pair)) <= 1
+    assert mixing.mix_rows(df.where("false"), labels).count() == 0
+
+
+def test_labels_are_not_broadcast(spark):
+    labels = frame(spark, [(1, 1)], "doc_id long, quality int")
+    df = frame(spark, [(1, "a b", "s"), (None, "c", "s")], "doc_id long, text string, source string")
+    plans = []
+    original = mixing.WorkArea.write
+
+    def write(self, out, name, codec="zstd"):
+        plans.append((name, out._jdf.queryExecution().executedPlan().toString()))
+        return original(self, out, name, codec)
+
+    mixing.WorkArea.write = write
+    try:
+        mixing.mix(df, labels).collect()
+    finally:
+        mixing.WorkArea.write = original
+    assert "BroadcastHashJoin" not in dict(plans)["keyed"] and "SortMergeJoin" in dict(plans)["keyed"]
+
+
 # --- decontamination ---
 
 QUESTION = "which river crosses the old northern market town before it meets the grey sea"
