@@ -53,6 +53,31 @@ def test_damage_is_noticed(spark):
         media.rebuild(listed.select("media", "digests"), chunks.where("false"), b"").collect()
 
 
+def test_the_dictionary_needs_few_bytes_of_a_long_text(spark):
+    """One id that many rows share, rows without an id and a very long text: the sample stays small, the store whole."""
+    rows = [(1, "same id " * 50 + str(i)) for i in range(50)] + [(None, f"no id {i}") for i in range(50)] + [(i, " ".join(str(j * i) for j in range(60_000))) for i in (2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert isinstance(media.fit_dictionary(df), bytes) and media.fit_dictionary(df.where("false")) == b""
+    before = {t.name for t in spark.catalog.listTables()}
+    got = media.digest_columns(spark, df).collect()
+    assert sorted((r["n_bytes"], r["payload_sha256"]) for r in got) == sorted((len(t), hashlib.sha256(t.encode() + bytes(-len(t) % 64)).hexdigest()) for _, t in rows)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_query_against_plain_reading(spark):
+    """The registered query over every document of sf0.01."""
+    from tidewrack.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op2_media_chunks(spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        data = texts[r["doc_id"]]
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+
+
 def test_empty_table(spark):
     assert media.digest_columns(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -11,7 +11,8 @@ that it had when it was cut. Features come from the samples of the rebuilt file.
 The store is bucketed by digest, so rebuilding moves a file's chunks only where it has several.
 
 Edge cases: a null or empty text is 64 zero samples; equal texts share all chunks and are rebuilt once; ids
-may be null or repeat; texts of any length are chunked whole; an empty table gives no rows and an empty store.
+may be null or repeat; texts of any length are chunked whole; other columns, whatever their names, are not read; an empty
+table gives no rows and an empty store.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from tidewrack.llm.common import WorkArea, shuffle_cleanup, utf8
 RATE, UNIT = 8000, 64
 SMALLEST, LARGEST, CUT_BITS, WINDOW = 2048, 65536, 13, 32
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: The dictionary's size, the rows whose chunks it is fitted to, and their bytes at most.
-DICTIONARY, SAMPLE_ROWS, SAMPLE_BYTES, LEVEL = 112_640, 2000, 8_000_000, 15
+#: The dictionary's size, the ids whose chunks it is fitted to, their bytes at most, and those of one id.
+DICTIONARY, SAMPLE_ROWS, SAMPLE_BYTES, ROW_BYTES, LEVEL = 112_640, 2000, 8_000_000, 16_384, 15
 #: The store is written for one part of the digests after another, so that no more than a part is shuffled at once.
 PARTS = 2
 #: Digests that a task remembers, to send each chunk once.
@@ -115,9 +116,15 @@ def manifests(df: DataFrame) -> DataFrame:
 
 
 def fit_dictionary(df: DataFrame) -> bytes:
-    """A compression dictionary for chunks; empty where the sample is too small for one."""
+    """A compression dictionary for chunks; empty where the sample is too small for one.
+
+    Ids are sampled before any text is read: the first SAMPLE_ROWS in the order of a hash, and of each at most ROW_BYTES. What
+    is stored does not depend on it, only how small it gets."""
+    ids = df.select(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("of")).where("of is not null").distinct().orderBy("o", "of").limit(SAMPLE_ROWS)
+    # SAMPLE_ROWS ids at most, so the broadcast has a bound.
+    met = df.select("doc_id", F.substring(utf8(), 1, ROW_BYTES).alias("data")).join(F.broadcast(ids), F.col("doc_id") == F.col("of"))
     samples, held = [], 0
-    for r in df.select(F.xxhash64("doc_id").alias("o"), "doc_id", utf8().alias("data")).orderBy("o", "doc_id").limit(SAMPLE_ROWS).toLocalIterator():
+    for r in met.groupBy("o", "of").agg(F.min("data").alias("data")).orderBy("o", "of").collect():
         held += len(r["data"])
         if held > SAMPLE_BYTES:
             break
@@ -159,10 +166,10 @@ def chunk_rows(df: DataFrame, dictionary: bytes, part: int = 0, parts: int = 1)
     return df.select(utf8().alias("bytes")).mapInArrow(run, "digest binary, data binary")
 
 
-def store(df: DataFrame, dictionary: bytes, known: DataFrame | None = None) -> DataFrame:
+def store(df: DataFrame, dictionary: bytes, known: DataFrame | None = None, name: str | None = None) -> DataFrame:
     """Writes the chunks of (doc_id, text) that are not in `known` (digest, data) to a table of the warehouse, bucketed by digest."""
     spark = df.sparkSession
-    name, n = f"tidewrack_chunks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, n = name or f"tidewrack_chunks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     for part in range(PARTS):
         new = chunk_rows(df, dictionary, part, PARTS).groupBy("digest").agg(F.first("data").alias("data"))
         if known is not None:
@@ -200,11 +207,14 @@ def rebuild(files: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame
 
 
 def digest_columns(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Stores every text of (doc_id, text), reads it back, and returns one row for each."""
-    work = WorkArea(spark, "media")
+    """Stores every text of (doc_id, text), reads it back, and returns one row for each.
+
+    The store of this call goes when all has been read back."""
+    work, name = WorkArea(spark, "media"), f"tidewrack_chunks_{uuid.uuid4().hex}"
     dictionary = fit_dictionary(df)
     listed = work.write(manifests(df), "manifests")
-    chunks = store(df, dictionary)
+    chunks = store(df, dictionary, name=name)
     files = listed.groupBy("media").agg(F.first("digests").alias("digests"))
     read = work.write(rebuild(files, chunks, dictionary), "read")
+    spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
     return listed.drop("digests").join(read, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
