@@ -36,7 +36,42 @@ def test_marginals_against_enumeration():
             for t in range(n - 1):
                 total[s[t], s[t + 1]] += w / z
     assert moves == pytest.approx(total)
-    assert toxicity.marginals(emit[:, :3], mask[:, :3], step, start)[2] <= z_sum + 5
+    assert log_z == pytest.approx(z_sum)
+
+
+@pytest.mark.parametrize("lengths", [[1, 64, 65, 0, 128, 200, 1000, 63], [0, 0], [5000], [64]])
+def test_chains_are_not_cut(lengths):
+    """Blocks give what one pass over each whole chain gives."""
+    rng = np.random.default_rng(sum(lengths))
+    step, start = rng.normal(size=(2, 2)) * 2, -1.3
+    emissions = [rng.normal(size=n) * 3 for n in lengths]
+    got = toxicity.chain_marginals(emissions, step, start)
+    assert [len(p) for p in got] == lengths
+    for e, p in zip(emissions, got, strict=True):
+        if len(e):
+            want = toxicity.marginals(e[None], np.ones((1, len(e)), bool), step, start)[0][0]
+            assert p == pytest.approx(want, abs=1e-9)
+
+
+def test_a_neighbour_over_the_old_cut_counts():
+    step = np.array([[0.0, -3.0], [-3.0, 3.0]])
+    lone, beside = np.full(130, -6.0), np.full(130, -6.0)
+    lone[64] = beside[64] = 1.0
+    beside[63] = 6.0
+    p, q = (toxicity.chain_marginals([e], step, -4.0)[0][64] for e in (lone, beside))
+    assert q > p + 0.3
+
+
+def test_offsets_where_lower_case_is_longer():
+    model = toxicity.Model(np.zeros(toxicity.FEATURES, np.float32), np.array([[0.0, -1.0], [-1.0, 1.0]]), -3.0, np.array([-1.0, 0.5, 0.2, 1.0, 1.0]))
+    model.kept |= {"zzgrim": 9.0, "day": -9.0, "zzvile": 9.0}
+    text = "\u0130\u0130 day \u0130 zzgrim \u0130day ZZVILE day"
+    model.kept |= {w: -9.0 for w in toxicity.WORD.findall(text.lower()) if w not in model.kept}
+    ((_, spans),) = model.score_texts([text])
+    assert [text[a:b] for a, b, _ in spans] == ["zzgrim", "ZZVILE"]
+    words = toxicity.WORD.findall(text.lower())
+    p = dict(zip(words, toxicity.chain_marginals([np.array([model.kept[w] for w in words])], model.step, model.start)[0], strict=True))
+    assert [q for *_, q in spans] == pytest.approx([p["zzgrim"], p["zzvile"]])
 
 
 def test_held_out_accuracy(spark):
@@ -138,6 +173,41 @@ def test_main_text(spark, html, want):
     assert [r["text"] for r in htmltext.extract(df).collect()] == [want, want]
 
 
+def test_query_against_a_plain_reading(spark):
+    """The tables' pages have one layout: their main text is what stands between <article> and </article>, by paragraph."""
+    import html
+    import re
+
+    from tidewrack.llm.queries import op10_main_text
+
+    got = {r["page_id"]: r for r in op10_main_text(spark, LARGER).collect()}
+    pages = spark.read.parquet(f"{LARGER}/pages.parquet").select("page_id", "html").collect()
+    assert len(got) == len(pages)
+    wrong = 0
+    for r in pages:
+        body = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL)[1]
+        body = re.sub(r"<!--.*?-->|<(script|style)>.*?</\1>", "", body, flags=re.DOTALL)
+        blocks = re.split(r"</?(?:p|h[1-6]|ul|li|div|section|blockquote)\b[^>]*>", body)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+        want = "\n\n".join(b for b in blocks if b)
+        wrong += got[r["page_id"]]["text"] != want
+        assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+    assert wrong <= 0.01 * len(pages)
+
+
+def test_pages_with_very_many_blocks(spark):
+    """Features count all siblings, so a long article is kept whole."""
+    paragraphs = [f"Paragraph {i} says one thing, and then it says another thing as well." for i in range(700)]
+    page = f"<html><body><nav><ul>{''.join(f'<li><a href=/{i}>l{i}</a></li>' for i in range(200))}</ul></nav><article><h1>A long one</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article><footer>&copy; us</footer></body></html>"
+    df = spark.createDataFrame([(1, None, page, 3)], "page_id long, url string, html string, text int")
+    assert htmltext.extract(df).first()["text"] == "\n\n".join(["A long one", *paragraphs])
+    nodes = htmltext.parse(page).nodes
+    out = np.zeros((len(nodes), htmltext.WIDTH), np.float32)
+    htmltext.features(nodes, out)
+    listed = next(v for v in nodes if v.tag == "ul").children
+    assert [int(out[i, 11]) for i in listed] == list(range(200)) and all(out[i, 15] == 1 for i in listed)
+
+
 def test_decoding_never_contradicts_itself():
     r = random.Random(3)
     nodes = [htmltext.Node("div", -1, 0)]

@@ -10,13 +10,15 @@ The trees are trained here, on PAGES labelled pages that a seeded generator lays
 
 Edge cases: null or empty html gives an empty text; unclosed, stray or crossing tags are repaired; scripts,
 styles, comments and what is in the head never are text; ids and urls may be null or repeat, since each row is
-taken by itself; a page with no kept block gives an empty text; an empty table gives no rows.
+taken by itself; a very long page is one tree like any other; other columns, whatever their names, are not read; a page
+with no kept block gives an empty text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -269,16 +271,21 @@ def features(nodes: list[Node], out: np.ndarray) -> None:
                 a[v.parent] += a[i]
     total = max(chars[0], 1.0)
     before = 0.0
+    places, alike = [0] * n, [1.0] * n
+    for v in nodes:
+        tags = Counter(nodes[s].tag for s in v.children)
+        for place, s in enumerate(v.children):
+            places[s], alike[s] = place, tags[nodes[s].tag] / len(v.children)
     for i, v in enumerate(nodes):
         row = out[i]
         up = nodes[v.parent] if v.parent >= 0 else v
         sibs = up.children if v.parent >= 0 else [0]
-        place = sibs.index(i) if len(sibs) < 64 else min(i - sibs[0], 64)
+        place = places[i]
         mean = (chars[v.parent] - up.chars) / len(sibs) if v.parent >= 0 else chars[0]
         row[:NUMBERS] = (
             np.log1p(chars[i]), chars[i] / total, link[i] / (chars[i] + 1), links[i] / size[i], chars[i] / size[i], stops[i] / (chars[i] + 1),
             texts[i] / size[i], np.log1p(size[i]), v.depth, len(v.children), np.log1p(v.chars), place, place / len(sibs), len(sibs),
-            chars[i] / (mean + 1), sum(nodes[s].tag == v.tag for s in sibs[:64]) / min(len(sibs), 64), form[i], paragraphs[i], before / total,
+            chars[i] / (mean + 1), alike[i], form[i], paragraphs[i], before / total,
             v.hidden, chars[v.parent] / total if v.parent >= 0 else 1.0, link[v.parent] / (chars[v.parent] + 1) if v.parent >= 0 else 0.0,
         )
         before += v.chars

@@ -1,13 +1,15 @@
 """Toxic spans and scores from a linear-chain conditional random field.
 
-Tokens are lower-cased letter-digit runs; a sequence is a run of at most SEQUENCE tokens of one text. Each token
+Tokens are lower-cased letter-digit runs, and all tokens of a text are one chain. Each token
 has two states, clean and toxic. A token's emission weight sums hashed features of its form (the whole
 word, its prefixes and suffixes), so it depends on the word only and is kept per word; transitions tie
-neighbours. Training maximises the regularised likelihood of labelled tokens by forward-backward passes.
+neighbours. Training maximises the regularised likelihood of labelled tokens by forward-backward passes over windows
+of WINDOW tokens of the training sample.
 Where only documents are labelled, tokens are labelled from them: a word or prefix that is seen in several
 independent toxic documents and in hardly any clean one marks its tokens there.
 
-Forward-backward marginals give each token's probability. Their largest value and their sum, the expected
+Forward-backward marginals over the whole chain give each token's probability: chains are computed in blocks, whose
+2 x 2 products carry the messages from block to block, so nothing is cut. Their largest value and their sum, the expected
 number of toxic tokens, are turned into a document score by a logistic fit on the training documents;
 offsets are the character spans of tokens that are likelier toxic than not.
 
@@ -16,7 +18,10 @@ hash of their ids, up to TRAIN_CHARS characters in that proportion. Every text i
 
 Edge cases: a null or empty text has no tokens and gets the score of an expected count of 0; without labelled
 rows of both kinds every score is the share of toxic labels (0 without labels); a document with several
-labels counts as toxic if one of them says so; repeated rows get equal scores; an empty table gives no rows.
+labels counts as toxic if one of them says so; rows that share an id share its label, and in the sample they are as
+many rows; repeated rows get equal scores; rows with null ids are scored and never learned from; very long texts are one
+chain like any other; other columns, whatever their names, are not read and pass keep_clean as they are; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from tidewrack.llm.common import utf8
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1200, 2000, 16_000_000
 #: One document of the sample gives at most this part of the characters of its class: its first ones.
 PARTS = 20
-SEQUENCE, FEATURES, PREFIXES, SUFFIXES = 64, 1 << 18, range(3, 9), (3,)
+WINDOW, FEATURES, PREFIXES, SUFFIXES = 64, 1 << 18, range(3, 9), (3,)
 #: A feature marks tokens if so many independent toxic documents have it, and so large a share of all that do is toxic.
 SUPPORT, PRECISION = 4, 0.75
 STEPS, RATE, RIDGE = 80, 0.5, 1e-5
@@ -68,47 +73,99 @@ def flat(forms, values) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marginals(emit: np.ndarray, mask: np.ndarray, step: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over padded rows.
+    """Forward-backward over padded rows, each a chain of its own.
 
     emit: log odds of toxic against clean by row and place. step: 2 x 2 log potentials. Returns the
-    probability of toxic at each place, expected transitions by kind, and the log partition function."""
+    probability of toxic at each place, expected transitions by kind, and the log partition function.
+    Messages are kept as the ratio of toxic to clean."""
+    (w00, w01), (w10, w11) = np.exp(step)
     rows, places = emit.shape
-    w = np.exp(step)
-    odds = np.exp(np.clip(emit, -30, 30))
-    a = np.zeros((places, rows, 2))
-    scale = np.zeros((places, rows))
-    a[0, :, 0], a[0, :, 1] = 1.0, odds[:, 0] * np.exp(start)
-    for t in range(places):
-        if t:
-            a[t] = a[t - 1] @ w
-            a[t, :, 1] *= odds[:, t]
-        total = a[t].sum(axis=1)
-        scale[t] = total
-        a[t] /= total[:, None]
-    b = np.ones((rows, 2))
-    p = np.zeros((rows, places))
-    moves = np.zeros((2, 2))
+    odds, on = np.exp(np.clip(emit, -30, 30)).T.copy(), mask.T
+    r = np.empty((places, rows))
+    r[0] = odds[0] * np.exp(start)
+    log_z = np.zeros(rows)
+    for t in range(1, places):
+        base = w00 + r[t - 1] * w10
+        r[t] = np.where(on[t], odds[t] * (w01 + r[t - 1] * w11) / base, r[t - 1])
+        log_z += np.where(on[t], np.log(base), 0)
+    log_z += np.log1p(r[-1])
+    p, moves, s = np.empty((places, rows)), np.zeros((2, 2)), np.ones(rows)
     for t in range(places - 1, -1, -1):
-        both = a[t] * b
-        p[:, t] = both[:, 1] / both.sum(axis=1)
+        p[t] = r[t] * s / (1 + r[t] * s)
         if t:
-            e = b * np.stack([np.ones(rows), odds[:, t]], axis=1)
-            on = mask[:, t]
-            pair = a[t - 1][:, :, None] * w[None] * e[:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            moves += pair[on].sum(axis=0)
-            b = np.where(on[:, None], e @ w.T, np.ones(2))
-            b /= b.sum(axis=1, keepdims=True)
-    return p, moves, (np.log(scale) * mask.T).sum()
+            q = odds[t] * s
+            pair = np.stack([np.full(rows, w00), w01 * q, r[t - 1] * w10, r[t - 1] * w11 * q])
+            moves += (pair[:, on[t]] / pair[:, on[t]].sum(axis=0)).sum(axis=1).reshape(2, 2)
+            s = np.where(on[t], (w10 + w11 * q) / (w00 + w01 * q), 1.0)
+    return p.T, moves, log_z.sum()
 
 
 def pad(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and place of every token when texts of these lengths are cut into sequences."""
+    """Row and place of every token when texts of these lengths are laid out in rows of WINDOW tokens."""
     n = np.array(lengths, np.int64)
-    per = -(-n // SEQUENCE)
+    per = -(-n // WINDOW)
     first = np.concatenate([[0], np.cumsum(per)])
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(first[:-1], n) + inside // SEQUENCE, inside % SEQUENCE
+    return np.repeat(first[:-1], n) + inside // WINDOW, inside % WINDOW
+
+
+def chain_marginals(emissions: list[np.ndarray], step: np.ndarray, start: float) -> list[np.ndarray]:
+    """The probability of toxic at each place of each chain.
+
+    Each row of WINDOW places gets the product of its steps. Products then carry the forward message from a chain's rows to
+    the next ones and the backward message back, and a pass within all rows at once gives every place."""
+    lengths = [len(x) for x in emissions]
+    if not sum(lengths):
+        return [np.zeros(0) for _ in lengths]
+    (w00, w01), (w10, w11) = np.exp(step)
+    row, place = pad(lengths)
+    rows = int(row[-1]) + 1
+    odds, on = np.ones((WINDOW, rows)), np.zeros((WINDOW, rows), bool)
+    odds[place, row] = np.exp(np.clip(np.concatenate(emissions), -30, 30))
+    on[place, row] = True
+    per = -(-np.array(lengths, np.int64) // WINDOW)
+    per = per[per > 0]
+    first = np.zeros(rows, bool)
+    head = np.cumsum(per) - per
+    first[head] = True
+    # Products of (transition, emission); a chain's first place has no transition.
+    a, b, c, d = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
+    for t in range(WINDOW):
+        na, nb, nc, nd = a * w00 + b * w10, (a * w01 + b * w11) * odds[t], c * w00 + d * w10, (c * w01 + d * w11) * odds[t]
+        if t == 0:
+            na, nb, nc, nd = np.where(first, 1.0, na), np.where(first, 0.0, nb), np.where(first, 0.0, nc), np.where(first, odds[0], nd)
+        scale = 1 / (na + nb + nc + nd)
+        a, b, c, d = (np.where(on[t], new * scale, old) for new, old in ((na, a), (nb, b), (nc, c), (nd, d)))
+    into, back = np.full(rows, np.exp(start)), np.ones(rows)
+    for k in range(1, int(per.max())):
+        at = head[per > k] + k
+        f = into[at - 1]
+        into[at] = (b[at - 1] + f * d[at - 1]) / (a[at - 1] + f * c[at - 1])
+        at = (head + per - k)[per > k]
+        g = back[at]
+        back[at - 1] = (c[at] + d[at] * g) / (a[at] + b[at] * g)
+    r, p = np.empty((WINDOW, rows)), np.empty((WINDOW, rows))
+    before = into
+    for t in range(WINDOW):
+        after = odds[t] * (w01 + before * w11) / (w00 + before * w10)
+        if t == 0:
+            after = np.where(first, odds[0] * before, after)
+        before = r[t] = np.where(on[t], after, before)
+    s = back
+    for t in range(WINDOW - 1, -1, -1):
+        p[t] = r[t] * s / (1 + r[t] * s)
+        q = odds[t] * s
+        s = np.where(on[t], (w10 + w11 * q) / (w00 + w01 * q), s)
+    return np.split(p[place, row], np.cumsum(lengths)[:-1])
+
+
+def lowered(text: str) -> tuple[str, np.ndarray | None]:
+    """The text in lower case, and for each of its places the place in the text, None where all are the same."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, None
+    sizes = np.fromiter((len(c.lower()) for c in text), np.int64, len(text))
+    return low, np.append(np.repeat(np.arange(len(text)), sizes), len(text))
 
 
 @dataclass
@@ -136,15 +193,7 @@ class Model:
         return self.decode(np.split(emit, np.cumsum([len(x) for x in texts])[:-1])) if texts else []
 
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        lengths = [len(x) for x in emissions]
-        if not sum(lengths):
-            return [np.zeros(0) for _ in lengths]
-        row, place = pad(lengths)
-        emit, mask = np.zeros((row[-1] + 1, SEQUENCE)), np.zeros((row[-1] + 1, SEQUENCE), bool)
-        emit[row, place] = np.concatenate(emissions)
-        mask[row, place] = True
-        p = marginals(emit, mask, self.step, self.start)[0][row, place]
-        return np.split(p, np.cumsum(lengths)[:-1])
+        return chain_marginals(emissions, self.step, self.start)
 
     def score(self, p: np.ndarray) -> float:
         if not self.fit[1:].any():
@@ -163,11 +212,10 @@ class Model:
             for text, p in zip(texts[first:at], self.token_probabilities(words), strict=True):
                 spans = []
                 if len(p) and p.max() >= 0.5:
-                    low = text.lower()
-                    if len(low) == len(text):  # else lower-casing moved the offsets
-                        spans = [(*m.span(), float(q)) for m, q in zip(WORD.finditer(low), p, strict=True) if q >= 0.5]
-                    else:
-                        spans = [(*m.span(), 1.0) for m in WORD.finditer(text) if self.token_probabilities([[m[0].lower()]])[0][0] >= 0.5]
+                    low, places = lowered(text)
+                    spans = [(*m.span(), float(q)) for m, q in zip(WORD.finditer(low), p, strict=True) if q >= 0.5]
+                    if places is not None:
+                        spans = [(int(places[a]), int(places[b - 1]) + 1, q) for a, b, q in spans]
                 yield self.score(p), spans
 
 
@@ -244,7 +292,7 @@ def train(sample: Sample, tags: list[np.ndarray]) -> Model:
     form, gold = np.concatenate(sample.texts).astype(np.int64), np.concatenate(tags)
     row, place = pad([len(x) for x in sample.texts])
     rows = row[-1] + 1
-    mask, truth = np.zeros((rows, SEQUENCE), bool), np.zeros((rows, SEQUENCE), bool)
+    mask, truth = np.zeros((rows, WINDOW), bool), np.zeros((rows, WINDOW), bool)
     mask[row, place], truth[row, place] = True, gold
     # Sequences without a toxic token are many and alike; each kept one stands for `stride` of them.
     has = truth.any(axis=1)
