@@ -190,38 +190,55 @@ def blocking(findings):
     return {f["kind"] for f in findings if f["severity"] == redirects.BLOCKING}
 
 
-def suggested(findings, kind):
-    return next(f["suggestion"] for f in findings if f["kind"] == kind)
-
-
-@pytest.mark.parametrize(("text_", "want"), [
-    ("/blog/* https://b.com/:splat 301", set()), ("/blog/* https://b.com/$1 301", {"jeton-litteral"}), ("/blog/* https://b.com/ 301", {"chemin-perdu"}), ("/m/:t /media/:t 301", set()), ("/m/:t /media/ 301", {"chemin-perdu"}),
-    ("/p https://b.com/:splat 301", {"reference-hors-joker"}), ("/blog/* https://b.com/${1} 301", {"jeton-litteral"}),
-])
-def test_redirects_file(text_, want):
-    found = redirects.judge_file_line(text_)[3]
-    assert blocking(found) == want
-    for kind in want & {"jeton-litteral", "chemin-perdu"}:
-        if "*" in text_:
-            assert not blocking(redirects.judge_file_line(f"{text_.split()[0]} {suggested(found, kind)} 301")[3])
+def judge(spark, rows):
+    """Findings of (vehicle, source, target, code) rows, in their order."""
+    given = [(i, v, s, t, c, t is not None, None, None, "full_uri" if v == "single-redirects-joker" else None) for i, (v, s, t, c) in enumerate(rows)]
+    df = spark.createDataFrame(given, "n int, vehicle string, source string, target string, code int, readable boolean, many boolean, keeps boolean, field string")
+    return [r["findings"] for r in redirects.findings(df).orderBy("n").collect()]
+
+
+FILES = [
+    ("/blog/* https://b.com/:splat 301", set(), None), ("/blog/* https://b.com/$1 301", {"jeton-litteral"}, "https://b.com/:splat"), ("/blog/* https://b.com/ 301", {"chemin-perdu"}, "https://b.com/:splat"), ("/m/:t /media/:t 301", set(), None),
+    ("/m/:t /media/ 301", {"chemin-perdu"}, "/media/:t"), ("/p https://b.com/:splat 301", {"reference-hors-joker"}, None), ("/blog/* https://b.com/${1} 301", {"jeton-litteral"}, "https://b.com/:splat"), ("/p https://b.com/$1 301", {"jeton-litteral"}, None),
+    ("/a/:x/:y /b 301", {"chemin-perdu"}, "/b/:x"),
+]
+
+
+def test_redirects_file(spark):
+    lines = "\n".join(line for line, *_ in FILES)
+    rows = spark.createDataFrame([("f", lines)], "name string, text string")
+    found = [r["findings"] for r in redirects.judged(rows).orderBy(F.expr("int(substring(id, 6))")).collect()]
+    assert [blocking(f) for f in found] == [want for _, want, _ in FILES]
+    assert [next((x["suggestion"] for x in f if x["severity"] == redirects.BLOCKING), None) for f in found] == [new for *_, new in FILES]
+    mended = "\n".join(f"{line.split()[0]} {new} 301" for line, _, new in FILES if new)
+    again = redirects.judged(spark.createDataFrame([("f", mended)], "name string, text string")).collect()
+    assert len(again) == 5 and not any(r["blocking"] for r in again)
+
+
+def test_redirects_file_warnings(spark):
+    rows = spark.createDataFrame([("f", "# note\n\n  /a /b\n/a /b 301 Country=us\n/a /b 999\n/x/*/* /y/:splat 301\n/x /y/:who 301")], "name string, text string")
+    got = {r["id"]: kinds(r["findings"]) for r in redirects.judged(rows).collect()}
+    w = redirects.WARNING
+    assert got == {"line 3": {("code-non-permanent", w)}, "line 4": {("ligne-ignoree", w)}, "line 5": {("ligne-ignoree", w)}, "line 6": {("ligne-ignoree", w)}, "line 7": {("reference-hors-joker", w)}}
+    assert redirects.rules_of("# note\n\n  \n") == []
 
 
-def test_redirects_file_warnings():
-    assert kinds(redirects.judge_file_line("/a /b")[3]) == {("code-non-permanent", redirects.WARNING)}
-    assert kinds(redirects.judge_file_line("/a /b 301 Country=us")[3]) == {("ligne-ignoree", redirects.WARNING)}
-    assert redirects.rules_of("# note\n\n  \n") == []
+PATTERNS = [
+    ("example.com/*", "https://w.com/$1", 301, set(), set(), None), ("example.com/*", "https://w.com/", 301, {"chemin-perdu"}, set(), "https://w.com/$1"), ("*example.com/*", "https://w.com/$1", 301, {"chemin-perdu"}, set(), "https://w.com/$2"),
+    ("example.com/*", "https://w.com/$2", 301, {"reference-hors-joker", "chemin-perdu"}, set(), "https://w.com/$2/$1"), ("example.com/*", "https://w.com/:splat", 301, {"jeton-litteral"}, set(), "https://w.com/$1"),
+    ("example.com/*", "https://w.com/${1}", 301, set(), {"forme-non-documentee"}, None), ("example.com/*", "https://w.com/$1", 302, set(), {"code-non-permanent"}, None), ("example.com/*", "https://w.com/p\\$1", 301, {"chemin-perdu"}, set(), "https://w.com/p\\$1/$1"),
+    # The first wildcard of the path is put in, a rank of 0 is no citation, and without one in the path nothing is suggested.
+    ("*example.com/a/*/b/*", "https://w.com/$1", 301, {"chemin-perdu"}, set(), "https://w.com/$2"), ("*example.com/a/*/b/*", "https://w.com/$3", 301, set(), set(), None), ("example.com/*", "https://w.com/$0", 301, {"chemin-perdu"}, set(), "https://w.com/$0/$1"),
+    ("*.example.com/", "https://w.com/:splat", 301, {"jeton-litteral"}, set(), None), ("http*://example.com/x/*", "https://$1.w.com/$1", 301, {"chemin-perdu"}, set(), "https://$1.w.com/$2"), ("example.com*", "https://w.com/$1", 301, set(), set(), None),
+    ("*example.com/*", "https://w.com/$1/$7", 301, {"reference-hors-joker", "chemin-perdu"}, set(), "https://w.com/$2/$7"),
+]
 
 
-@pytest.mark.parametrize(("pattern", "target", "code", "want", "warned"), [
-    ("example.com/*", "https://w.com/$1", 301, set(), set()), ("example.com/*", "https://w.com/", 301, {"chemin-perdu"}, set()), ("*example.com/*", "https://w.com/$1", 301, {"chemin-perdu"}, set()),
-    ("example.com/*", "https://w.com/$2", 301, {"reference-hors-joker", "chemin-perdu"}, set()), ("example.com/*", "https://w.com/:splat", 301, {"jeton-litteral"}, set()), ("example.com/*", "https://w.com/${1}", 301, set(), {"forme-non-documentee"}),
-    ("example.com/*", "https://w.com/$1", 302, set(), {"code-non-permanent"}), ("example.com/*", "https://w.com/p\\$1", 301, {"chemin-perdu"}, set()),
-])
-def test_page_rules(pattern, target, code, want, warned):
-    found = redirects.judge_pattern(redirects.VEHICLES["page-rules"], pattern, target, code)
-    assert blocking(found) == want and {k for k, s in kinds(found) if s == redirects.WARNING} == warned
-    if want == {"chemin-perdu"} and "\\" not in target:
-        assert not blocking(redirects.judge_pattern(redirects.VEHICLES["page-rules"], pattern, suggested(found, "chemin-perdu"), 301))
+def test_page_rules(spark):
+    found = judge(spark, [("page-rules", p, t, c) for p, t, c, *_ in PATTERNS])
+    for (_, _, _, want, warned, new), f in zip(PATTERNS, found, strict=True):
+        assert blocking(f) == want and {k for k, s in kinds(f) if s == redirects.WARNING} == warned
+        assert [x["suggestion"] for x in f if x["suggestion"]] == ([new] if new else [])
 
 
 def wildcard(field, pattern, new):
@@ -229,16 +246,21 @@ def wildcard(field, pattern, new):
 
 
 URI, PATH, HOST = "http.request.full_uri", "http.request.uri.path", 'http.host eq "old.example.com"'
-
-
-@pytest.mark.parametrize(("condition", "target", "want"), [
+SINGLES = [
     (f'{URI} wildcard r"https://www.e.com/*"', wildcard(URI, "https://www.e.com/*", "https://e.com/${1}"), set()),
     (f'{URI} wildcard r"http*://www.e.com/*"', wildcard(URI, "http*://www.e.com/*", "https://e.com/${1}"), {"chemin-perdu"}),
     (f'{PATH} wildcard "/blog/*"', {"value": "https://e.com/$1"}, {"jeton-litteral"}), (HOST, {"value": "https://e.com/"}, {"chemin-perdu"}), (f'{PATH} eq "/c.html"', {"value": "https://e.com/c"}, set()),
     (f'{PATH} wildcard "/app/*"', wildcard(URI, "/app/*", "/apps/${1}"), {"motif-jamais-apparie"}), (HOST, {"expression": f'concat("https://n.com", {PATH})'}, set()), (HOST, {"expression": 'concat("https://n.com", "/x")'}, {"chemin-perdu"}),
-])
-def test_single_redirects(condition, target, want):
-    assert blocking(redirects.judge_expression(condition, target, 301)[2]) == want
+    (f'{URI} wildcard r"https://e.com/*"', wildcard(URI, "https://e.com/\\*/*", "https://e.com/${1}"), set()),
+]
+
+
+def test_single_redirects(spark):
+    listed = [{"id": str(i), "action": "redirect", "expression": c, "action_parameters": {"from_value": {"target_url": t, "status_code": 301}}} for i, (c, t, _) in enumerate(SINGLES)]
+    listed += [{"id": "off", "enabled": False, **{k: v for k, v in listed[3].items() if k != "id"}}, {"id": "skip", "action": "skip"}]
+    rows = spark.createDataFrame([("s", json.dumps({"result": {"rules": listed}}))], "name string, text string")
+    got = {r["id"]: blocking(r["findings"]) for r in redirects.judged(rows).collect()}
+    assert got == {str(i): want for i, (*_, want) in enumerate(SINGLES)}
 
 
 def test_exports_in_spark(spark):
@@ -330,9 +352,27 @@ def test_attachment(spark):
 SCHEMA = {"type": "object", "required": ["v", "n"], "additionalProperties": False, "properties": {"v": {"const": "1"}, "n": {"type": "array", "minItems": 2, "items": {"$ref": "#/$defs/node"}}, "x": {"type": ["string", "null"]}}, "$defs": {"node": {"type": "integer", "minimum": 1, "maximum": 89}}}
 
 
-@pytest.mark.parametrize(("document", "want"), [({"v": "1", "n": [1, 2]}, 0), ({"v": "2", "n": [1, 2]}, 1), ({"v": "1", "n": [True, 2]}, 1), ({"v": "1", "n": [1]}, 1), ({"v": "1", "n": [1, 90]}, 1), ({"v": "1"}, 1), ({"v": "1", "n": [1, 2], "y": 0}, 1), ({"v": "1", "n": [1, 2], "x": None}, 0)])
-def test_contract(document, want):
-    assert len(snapshot.check_document(document, SCHEMA)) == want
+CONTRACT = [
+    ('{"v": "1", "n": [1, 2]}', []), ('{"v": "2", "n": [1, 2]}', ["$.v: is not '1'"]), ('{"v": "1", "n": [true, 2]}', ["$.n[0]: is not of type 'integer'"]), ('{"v": "1", "n": [1]}', ["$.n: has fewer than 2 items"]),
+    ('{"v": "1", "n": [1, 90, 0, 1.5]}', ["$.n[1]: is above 89", "$.n[2]: is below 1", "$.n[3]: is not of type 'integer'"]), ('{"v": "1"}', ["$.n: is missing"]), ('{"v": "1", "n": [1, 2], "y": 0}', ["$.y: is unknown"]),
+    ('{"v": "1", "n": [1, 2], "x": null}', []), ('{"v": "1", "n": [1, 2], "x": 3}', ["$.x: is not of type ['string', 'null']"]), ("[1]", ["$: is not of type 'object'"]), ("{", ["$: is not readable JSON"]), (None, ["$: is not readable JSON"]),
+    ('{"v": "1", "n": [1, 2], "k": "b"}', []), ('{"v": "1", "n": [1, 2], "k": true}', []), ('{"v": "1", "n": [1, 2], "k": 1}', ["$.k: is not one of ['a', 'b', True, None, 2]"]), ('{"v": "1", "n": [1, 2], "k": 2.0}', []), ('{"v": "1", "n": [12345678901234567890, 2]}', ["$.n[0]: is above 89"]),
+]
+
+
+def test_contract(spark):
+    schema = SCHEMA | {"properties": SCHEMA["properties"] | {"k": {"enum": ["a", "b", True, None, 2]}}}
+    rows = spark.createDataFrame([(i, t, "clash") for i, (t, _) in enumerate(CONTRACT)], "i int, body string, value string")
+    got = {r["i"]: r["violations"] for r in snapshot.contract_violations(rows, schema).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(CONTRACT)}
+    with pytest.raises(ValueError, match="itself"):
+        snapshot.contract_violations(rows, {"$ref": "#/$defs/a", "$defs": {"a": {"type": "array", "items": {"$ref": "#/$defs/a"}}}})
+
+
+def test_tagged_metrics(spark):
+    body = '{"a": {"cle": "x", "preuve": "T1", "more": [{"cle": "y", "preuve": "T2"}, {"cle": "z"}]}, "cle": "top"}'
+    rows = spark.createDataFrame([(1, body), (2, "{"), (3, "[]")], "id int, body string")
+    assert sorted(map(tuple, snapshot.tagged_metrics(rows).collect())) == [(1, "$.a", "x", "T1"), (1, "$.a.more[0]", "y", "T2")]
 
 
 def test_snapshot_is_written_whole_or_not(spark, tmp_path):

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from tidewrack.functions.numbers import percent
 
@@ -116,79 +114,121 @@ def fingerprint_plan(wanted: DataFrame, registry: DataFrame, key: str, digest: s
 
 # --- contract --------------------------------------------------------------------------------------------------
 
-_KINDS = {"object": dict, "array": list, "string": str, "null": type(None), "boolean": bool}
-
-
-def _is(kind: str, value: Any) -> bool:
-    if kind == "integer":
-        return isinstance(value, int) and not isinstance(value, bool)
-    if kind == "number":
-        return isinstance(value, int | float) and not isinstance(value, bool)
-    return isinstance(value, _KINDS.get(kind, ()))
-
-
-def check_document(value: Any, schema: dict, root: dict | None = None, path: str = "$") -> list[str]:
-    """Violations of a subset of JSON Schema, each with its path. A wrong const, enum or type ends the descent."""
-    root = schema if root is None else root
-    while "$ref" in schema:
-        target: Any = root
-        for part in schema["$ref"].removeprefix("#/").split("/"):
-            target = target[part]
-        schema = target
-    if "const" in schema and value != schema["const"]:
-        return [f"{path}: is not {schema['const']!r}"]
-    if "enum" in schema and not any(value == e and isinstance(value, bool) == isinstance(e, bool) for e in schema["enum"]):
-        return [f"{path}: is not one of {schema['enum']!r}"]
-    kinds = schema.get("type", [])
-    if kinds and not any(_is(k, value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return [f"{path}: is not of type {kinds!r}"]
-    out: list[str] = []
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{path}.{k}: is missing" for k in schema.get("required", []) if k not in value]
+#: How the kinds of a contract read as the kinds of a parsed value.
+KINDS = {"object": "OBJECT.*", "array": "ARRAY.*", "string": "STRING", "null": "VOID", "boolean": "BOOLEAN", "integer": r"BIGINT|DECIMAL\((?:19|[23]\d),0\)", "number": r"BIGINT|DOUBLE|DECIMAL.*"}
+NONE = "array<string>"
+
+
+def _equals(value: Column, kind: Column, wanted: Any) -> Column:
+    """Whether a parsed value is one JSON scalar: of its kind, and equal."""
+    if wanted is None:
+        return kind == "VOID"
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
+    if isinstance(wanted, int | float):
+        return kind.rlike(f"^(?:{KINDS['number']})$") & (F.try_variant_get(value, "$", "double") == F.lit(float(wanted)))
+    return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(wanted))
+
+
+class Contract:
+    """A JSON Schema (type, const, enum, properties, required, additionalProperties, items, minItems, maxItems, minimum,
+    maximum, local $ref) compiled once into expressions over parsed JSON.
+
+    Each keyword gives an array of messages with the path of what breaks it. A value of a wrong kind, or outside its
+    const or enum, is told as that alone."""
+
+    def __init__(self, schema: dict):
+        self.root = schema
+
+    def resolve(self, schema: dict, seen: tuple[str, ...]) -> tuple[dict, tuple[str, ...]]:
+        while "$ref" in schema:
+            ref = schema["$ref"]
+            if ref in seen:
+                raise ValueError(f"a contract may not hold itself: {ref}")
+            seen, schema = (*seen, ref), reduce(lambda node, part: node[part], ref.removeprefix("#/").split("/"), self.root)
+        return schema, seen
+
+    def shape(self, schema: dict, value: Column, kind: Column) -> list[tuple[Column, str]]:
+        """Conditions that must hold before anything inside a value is looked at, each with its message."""
+        wanted = schema.get("type", [])
+        kinds = [wanted] if isinstance(wanted, str) else wanted
+        out = []
+        if "const" in schema:
+            out.append((_equals(value, kind, schema["const"]), f": is not {schema['const']!r}"))
+        if "enum" in schema:
+            out.append((reduce(Column.__or__, [_equals(value, kind, e) for e in schema["enum"]]), f": is not one of {schema['enum']!r}"))
+        if kinds:
+            out.append((kind.rlike(f"^(?:{'|'.join(KINDS[k] for k in kinds)})$"), f": is not of type {wanted!r}"))
+        return out
+
+    def violations(self, schema: dict, value: Column, path: Column, seen: tuple[str, ...] = ()) -> Column:
+        schema, seen = self.resolve(schema, seen)
+        kind = F.schema_of_variant(value)
+        says = lambda ok, text: F.when(~F.coalesce(ok, F.lit(False)), F.concat(path, F.lit(text)))
+        messages = lambda *found: F.filter(F.array(*found), lambda m: m.isNotNull())
+        inside: list[Column] = []
+        if {"properties", "required", "additionalProperties"} & schema.keys():
+            inside.append(F.when(kind.startswith("OBJECT"), self.fields(schema, F.try_variant_get(value, "$", "map<string, variant>"), path, seen)))
+        if {"items", "minItems", "maxItems"} & schema.keys():
+            inside.append(F.when(kind.startswith("ARRAY"), self.members(schema, F.try_variant_get(value, "$", "array<variant>"), path, seen)))
+        bounds = [(b, op, word) for b, op, word in (("minimum", Column.__ge__, "below"), ("maximum", Column.__le__, "above")) if b in schema]
+        if bounds:
+            number = F.try_variant_get(value, "$", "double")
+            inside.append(F.when(kind.rlike(f"^(?:{KINDS['number']})$"), messages(*[says(op(number, F.lit(float(schema[b]))), f": is {word} {schema[b]}") for b, op, word in bounds])))
+        deep = F.concat(*[F.coalesce(x, F.array().cast(NONE)) for x in inside]) if inside else F.array().cast(NONE)
+        shape = [says(ok, text) for ok, text in self.shape(schema, value, kind)]
+        if not shape:
+            return deep
+        first = F.coalesce(*shape)
+        return F.when(first.isNotNull(), F.array(first)).otherwise(deep)
+
+    def fields(self, schema: dict, entries: Column, path: Column, seen: tuple[str, ...]) -> Column:
+        known, required = schema.get("properties", {}), schema.get("required", [])
+        named = lambda keys, text: F.transform(keys, lambda k: F.concat(path, F.lit("."), k, F.lit(text)))
+        names = lambda keys: F.array(*map(F.lit, keys)).cast(NONE)
+        out = [named(F.array_except(names(required), F.map_keys(entries)), ": is missing")]
         if schema.get("additionalProperties") is False:
-            out += [f"{path}.{k}: is unknown" for k in value if k not in known]
-        for k, sub in known.items():
-            if k in value:
-                out += check_document(value[k], sub, root, f"{path}.{k}")
-    elif isinstance(value, list):
-        if len(value) < schema.get("minItems", 0):
-            out.append(f"{path}: has fewer than {schema['minItems']} items")
-        if len(value) > schema.get("maxItems", len(value)):
-            out.append(f"{path}: has more than {schema['maxItems']} items")
-        for i, item in enumerate(value):
-            out += check_document(item, schema["items"], root, f"{path}[{i}]") if "items" in schema else []
-    elif isinstance(value, int | float) and not isinstance(value, bool):
-        if value < schema.get("minimum", value):
-            out.append(f"{path}: is below {schema['minimum']}")
-        if value > schema.get("maximum", value):
-            out.append(f"{path}: is above {schema['maximum']}")
-    return out
+            out.append(named(F.array_except(F.map_keys(entries), names(known)), ": is unknown"))
+        for key, sub in known.items():
+            value = F.try_element_at(entries, F.lit(key))
+            out.append(F.when(F.map_contains_key(entries, key), self.violations(sub, value, F.concat(path, F.lit(f".{key}")), seen)).otherwise(F.array().cast(NONE)))
+        return F.concat(*out)
+
+    def members(self, schema: dict, values: Column, path: Column, seen: tuple[str, ...]) -> Column:
+        n = F.size(values)
+        out = [F.when(n < schema.get("minItems", 0), F.array(F.concat(path, F.lit(f": has fewer than {schema.get('minItems')} items"))))]
+        if "maxItems" in schema:
+            out.append(F.when(n > schema["maxItems"], F.array(F.concat(path, F.lit(f": has more than {schema['maxItems']} items")))))
+        if "items" in schema:
+            out.append(F.flatten(F.transform(values, lambda v, i: self.violations(schema["items"], v, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), seen))))
+        return F.concat(*[F.coalesce(x, F.array().cast(NONE)) for x in out])
 
 
 def contract_violations(documents: DataFrame, schema: dict, body: str = "body") -> DataFrame:
-    """Adds `violations` to rows of JSON text; unreadable text is a violation of its own."""
-    def judge(texts: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return check_document(json.loads(text), schema)
-            except (TypeError, ValueError):
-                return ["$: is not readable JSON"]
-
-        return texts.map(one)
-
-    return documents.withColumn("violations", F.pandas_udf(judge, ArrayType(StringType()))(F.col(body)))
-
-
-def tagged_metrics(document: Any, path: str = "$") -> list[tuple[str, dict]]:
-    """Every object of a document that has a key and an evidence tier, with its path."""
-    out = []
-    if isinstance(document, dict):
-        if "cle" in document and "preuve" in document:
-            out.append((path, document))
-        for k, v in document.items():
-            out += tagged_metrics(v, f"{path}.{k}")
-    elif isinstance(document, list):
-        for i, v in enumerate(document):
-            out += tagged_metrics(v, f"{path}[{i}]")
+    """Adds `violations` to rows of JSON text; text that is not JSON, or repeats a key, is a violation of its own."""
+    parsed = F.try_parse_json(F.col(body))
+    unreadable = F.array(F.lit("$: is not readable JSON"))
+    return documents.withColumn("violations", F.when(parsed.isNull(), unreadable).otherwise(Contract(schema).violations(schema, parsed, F.lit("$"))))
+
+
+def tagged_metrics(documents: DataFrame, body: str = "body", depth: int = 12) -> DataFrame:
+    """(path, cle, preuve) of every object, at most `depth` levels deep, that has a key and an evidence tier."""
+    kept = [c for c in documents.columns if c != body]
+    level = documents.select(*kept, F.lit("$").alias("path"), F.try_parse_json(F.col(body)).alias("value")).where("value is not null")
+    out = None
+    for _ in range(depth):
+        kind = F.schema_of_variant("value")
+        entries = F.when(kind.startswith("OBJECT"), F.try_variant_get("value", "$", "map<string, variant>"))
+        members = F.when(kind.startswith("ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
+        here = level.withColumn("entries", entries)
+        has = F.map_contains_key("entries", "cle") & F.map_contains_key("entries", "preuve")
+        found = here.where(has).select(*kept, "path", F.try_variant_get("value", "$.cle", "string").alias("cle"), F.try_variant_get("value", "$.preuve", "string").alias("preuve"))
+        out = found if out is None else out.unionByName(found)
+        sub = lambda name, v: F.struct(F.concat("path", name).alias("path"), v.alias("value"))
+        # A variant is no part of a map's entry array, so children are looked up by name.
+        children = F.coalesce(
+            F.transform(F.map_keys("entries"), lambda k: sub(F.concat(F.lit("."), k), F.try_element_at("entries", k))),
+            F.transform(members, lambda v, i: sub(F.concat(F.lit("["), i.cast("string"), F.lit("]")), v)),
+        )
+        level = here.select(*kept, F.explode(children).alias("child")).select(*kept, "child.path", "child.value")
     return out
