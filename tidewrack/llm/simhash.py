@@ -38,8 +38,9 @@ PROBE_COST, PAIR_COST = 1.0, 0.25
 BUCKET = 128
 #: The same for near copies, where larger buckets are compared with HEADS heads before the pairs that are left.
 PAIRED, HEADS = 32, 3
-#: How many common shingles are put last in the order of shingles, at most. Results do not depend on it.
-COMMON = 1 << 17
+#: How many common shingles are put last in the order of shingles, at most; one text in SAMPLED tells which they are, if OFTEN
+#: or more of these have them. Results do not depend on any of this.
+COMMON, SAMPLED, OFTEN = 1 << 17, 8, 4
 #: Sets of fewer shingles are compared without a look at their fingerprints; deviations by which similar sets may differ in bits.
 SKETCHED, DEVIATIONS = 64, 6
 
@@ -318,6 +319,20 @@ def _prefixes(df: DataFrame, k: int, jaccard: float, common: np.ndarray) -> Data
     return df.select(utf8().alias("data")).mapInArrow(run, "key long, node long, place int, size int").dropDuplicates(["key", "node"])
 
 
+def _common(df: DataFrame, k: int) -> np.ndarray:
+    """Hashes, sorted, of the shingles that most texts of a sample have."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(h, n) for h in (shingle_set(x.as_py(), k) for x in batch.column(0)) if (n := _node(h)) % SAMPLED == 0 and len(h)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.repeat([n for _, n in found], [len(h) for h, _ in found]))], ["key", "node"])
+
+    rows = df.select(utf8().alias("data")).mapInArrow(run, "key long, node long").dropDuplicates(["key", "node"])
+    top = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(COMMON)
+    return np.sort(np.array([r["key"] for r in top.select("key").collect()], np.int64).view(np.uint64))
+
+
 def _sets(df: DataFrame, k: int) -> DataFrame:
     """(node, f0..., hashes) of every row: its wide fingerprint and its set."""
     names = ["node", *FP, "hashes"]
@@ -364,19 +379,17 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
     that: a pair at 0.8 whose edits stand together differs in about 77 of 512 bits, more than a pigeonhole plan can
     promise. So candidates come from prefixes: with all shingles in one order, two sets that are similar enough share one of
     the first n - ceil(jaccard * n) + 1 of each. Bounds on size and place, and the distance of wide SimHash fingerprints,
-    leave most candidates out, and whole sets decide the rest. Shingles of many prefixes are put last in the order,
-    which may be any.
+    leave most candidates out, and whole sets decide the rest. Common shingles are put last in the order, which may be any:
+    a text with many shingles of its own, which come before those that it shares with a large group, meets that group too
+    late in its prefix to be a copy, and the bound on places leaves it out.
 
     Sets in a prefix bucket of PAIRED at most are compared with each other. In larger buckets they are first compared
-    with a few heads; then every two sets of one bucket that are not in one component yet are compared, linked ones
-    included, so no component is missed. Edge cases are those of near_duplicates; texts without words are copies."""
+    with a few heads, above all the one that has the fewest shingles of its own; then every two sets of one bucket that are
+    not in one component yet and that the bounds allow are compared, linked ones included, so no component is missed. Edge cases are those of near_duplicates; texts without words are copies."""
     work = WorkArea(spark, "copies")
     docs = work.write(_nodes(df, k), "docs")
     groups = work.write(docs.groupBy("node").agg(F.min(_row()).alias("rep")), "groups")
-    often = _prefixes(df, k, jaccard, np.zeros(0, np.uint64)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED)
-    top = often.orderBy(F.desc("n"), "key").limit(COMMON).select("key").collect()
-    common = np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
-    rows = work.write(_prefixes(df, k, jaccard, common), "prefixes")
+    rows = work.write(_prefixes(df, k, jaccard, _common(df, k)), "prefixes")
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Counts are written first: a join of two plain tables is one that adaptive execution can split at a frequent key.
     met = work.write(rows.join(work.write(counts, "counts"), "key"), "met")
@@ -408,8 +421,8 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
         if spread.isEmpty():
             break
         named = work.write(named.join(spread, "key"), f"large-{turn}")
-        if turn == 0:  # heads: the least members in some orders
-            order = lambda i: F.struct(F.xxhash64("root", F.lit(i)) if i else F.lit(0).cast("long"), F.col("node"))
+        if turn == 0:  # heads: the least members in some orders, the first by what stands before the shared shingle
+            order = lambda i: F.struct(F.xxhash64("root", F.lit(i)) if i else F.col("place").cast("long"), F.col("node"))
             heads = named.groupBy("key").agg(*[F.min_by(F.struct("node", "place", "size", "root"), order(i)).alias(f"h{i}") for i in range(HEADS)])
             other = heads.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("h")).select("key", "h.*")
         else:
@@ -418,7 +431,10 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
         more = work.write(paired(met_again if turn == 0 else met_again.where("node_a < node_b")), f"pairs-{turn}")
         linked = linked.union(work.write(_similar(more, sets, jaccard), f"linked-{turn}"))
         roots = connected_components(linked, work, f"cc-{turn}")
-    return _with_components(docs, groups, roots, "node", work)
+    out = _with_components(docs, groups, roots, "node", work)
+    for name in ("counts", "met", "pairs", "sets", "linked", *(f"{x}-{turn}" for turn in range(2) for x in ("spread", "large", "pairs", "linked"))):
+        work.drop(name)
+    return out
 
 
 def keep_one(spark: SparkSession, df: DataFrame, found: DataFrame) -> DataFrame:
