@@ -31,7 +31,9 @@ def normalise(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
+    """The path of a URL, "/" where it has none; a broken escape does not hide it."""
+    found = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit("/"))
 
 
 def host(url: Column) -> Column:

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.session import shared_folder
+
+#: A crawl queues so many times its page cap at most.
 QUEUE_FACTOR = 5
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint where the session names a folder for it, else keeps it."""
+    """Ends the lineage with a reliable checkpoint in the folder that the cluster shares."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return df.persist()
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def click_depth(edges: DataFrame, root: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): links from the roots to each reachable node.
 
-    edges: (src, dst); root: (node). One join of the frontier with the edges for each level; only the visited
-    set and the frontier live between levels, and each level cuts its lineage."""
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    edges: (src, dst); root: (node). One join of the frontier with the edges for each level. A level writes its own
+    nodes and nothing else; the visited set is the union of what the levels wrote."""
+    edges = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     frontier = cut_lineage(root.select("node").distinct().withColumn("depth", F.lit(0)))
     visited, depth = frontier, 0
     while max_depth is None or depth < max_depth:
@@ -33,10 +33,45 @@ def click_depth(edges: DataFrame, root: DataFrame, max_depth: int | None = None)
         frontier = cut_lineage(reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return visited
 
 
+def crawl(edges: DataFrame, root: DataFrame, cap: int, blocked: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """(node, depth, found_by, visited): what a crawl of at most `cap` pages reaches, level by level, and what it knows of but leaves.
+
+    Pages that robots rules forbid (blocked: node) are known and never visited. Of a level that does not fit, the first
+    pages by name are visited. No more than QUEUE_FACTOR x cap pages are queued; links found beyond that are not followed.
+    Declared pages that links do not reach come last, with a null depth."""
+    links = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    forbidden = root.select("node").where("false") if blocked is None else blocked.select("node").distinct()
+    none = F.lit(None).cast("int")
+
+    def level(nodes: DataFrame, depth: Column, found_by: str, left: int) -> DataFrame:
+        """Nodes with whether they are visited: the first `left` that are not forbidden."""
+        may = nodes.select("node").join(forbidden, "node", "left_anti").orderBy("node").limit(left).withColumn("visited", F.lit(True))
+        met = nodes.select("node").join(may, "node", "left")
+        return cut_lineage(met.select("node", depth.alias("depth"), F.lit(found_by).alias("found_by"), F.coalesce("visited", F.lit(False)).alias("visited")))
+
+    known, used, queued = None, 0, 0
+    todo = root.select("node").distinct()
+    for found_by in ("link", "declared"):
+        depth = 0
+        while not todo.isEmpty():
+            front = level(todo, F.lit(depth) if found_by == "link" else none, found_by, max(cap - used, 0))
+            known = front if known is None else known.unionByName(front)
+            n = front.agg(F.count_if("visited").alias("v"), F.count("*").alias("n")).first()
+            used, queued, depth = used + n["v"], queued + n["n"], depth + 1
+            if used >= cap or n["v"] == 0:
+                break
+            reached = links.join(front.where("visited"), links["src"] == front["node"]).select(F.col("dst").alias("node")).distinct()
+            todo = cut_lineage(reached.join(known.select("node"), "node", "left_anti").orderBy("node").limit(max(QUEUE_FACTOR * cap - queued, 0)))
+        if found_by == "declared" or declared is None or known is None:
+            break
+        todo = declared.select("node").distinct().join(known.select("node"), "node", "left_anti")
+    return known if known is not None else todo.select("node", none.alias("depth"), F.lit("link").alias("found_by"), F.lit(False).alias("visited"))
+
+
 def two_phase(edges: DataFrame, root: DataFrame, declared: DataFrame) -> DataFrame:
     """(node, depth, found_by): pages reached by links with their depth; then declared pages that links do not
     reach, and what only they lead to, with a null depth."""
@@ -94,6 +129,17 @@ def silo_cohesion(edges: DataFrame, silo: DataFrame) -> DataFrame:
     return met.groupBy("from_silo").agg(F.count("*").alias("links"), (F.count_if(F.col("from_silo") == F.col("to_silo")) / F.count("*")).alias("share_inside"))
 
 
+def silo_counts(edges: DataFrame, silo: DataFrame, contextual: str = "contextual", out_least: int = 5, in_least: int = 3) -> DataFrame:
+    """(node, silo, pillar, inside_out, contextual_in, ok): a pillar links to `out_least` pages of its silo, a satellite gets
+    `in_least` contextual links from it. silo: (node, silo, pillar)."""
+    a, b = silo.select(F.col("node").alias("src"), F.col("silo").alias("a")), silo.select(F.col("node").alias("dst"), F.col("silo").alias("b"))
+    inside = edges.join(a, "src").join(b, "dst").where("a = b and src <> dst")
+    out = inside.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("inside_out"))
+    into = inside.where(F.col(contextual)).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("contextual_in"))
+    met = silo.join(out, "node", "left").join(into, "node", "left").fillna(0, ["inside_out", "contextual_in"])
+    return met.withColumn("ok", F.when(F.col("pillar"), F.col("inside_out") >= out_least).otherwise(F.col("contextual_in") >= in_least))
+
+
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes that the starts lead to, themselves left out unless a cycle returns."""
     seeds = edges.join(starts.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()

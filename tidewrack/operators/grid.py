@@ -5,10 +5,13 @@ default: nothing was measured."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.numbers import ratio
+from tidewrack.operators.table import quantile, tiles
 
 
 def _verdict(df: DataFrame, value: Column, ok: Column) -> DataFrame:
@@ -54,9 +57,9 @@ def one_page_each(pages: DataFrame, query: str, depth: str, deepest: int = 2) ->
 
 
 def money_pages_in_top_decile(pages: DataFrame, links: str, money: str) -> DataFrame:
-    """Share of money pages in the tenth of pages that most links name."""
-    cut = pages.agg(F.percentile(links, 0.9).alias("_c"))
-    return share_meeting(pages.where(F.col(money)).join(F.broadcast(cut)), F.col(links) >= F.col("_c"), least=1.0)
+    """Share of money pages in the first of ten equal parts of the pages, those that most links name."""
+    ranked = tiles(pages, [F.desc(links), *[F.col(c) for c in pages.columns if c not in (links, money)]], "_tile")
+    return share_meeting(ranked.where(F.col(money)), F.col("_tile") == 1, least=1.0)
 
 
 def money_depth(pages: DataFrame, depth: str, money: str) -> DataFrame:
@@ -78,7 +81,7 @@ def long_tail(queries: DataFrame, clicks: str, below: int = 10) -> DataFrame:
 
 def rate_gaps(queries: DataFrame, band: str, rate: str, gap: float = 0.3) -> DataFrame:
     """Rows whose click rate is more than `gap` below the median of their position band."""
-    medians = queries.groupBy(band).agg(F.percentile(rate, 0.5).alias("median"))
+    medians = quantile(queries, [band], rate, 0.5, "median")
     return queries.join(medians, band).where(F.col(rate) < (1 - gap) * F.col("median"))
 
 
@@ -104,7 +107,8 @@ def chain_faults(pages: DataFrame, chain: str, most: int = 2) -> DataFrame:
 
 def index_delay(pages: DataFrame, published: str, indexed: str, most: int = 7) -> DataFrame:
     """Median days from publication to index."""
-    return _verdict(pages.where(F.col(indexed).isNotNull()), F.percentile(F.datediff(F.col(indexed), F.col(published)), 0.5), F.col("value") <= most)
+    days = pages.where(F.col(indexed).isNotNull()).select(F.datediff(F.col(indexed), F.col(published)).alias("days"))
+    return _verdict(quantile(days, [], "days", 0.5, "days"), F.max("days"), F.col("value") <= most)
 
 
 def stale_dates(pages: DataFrame, modified: str, most: float = 0.5) -> DataFrame:
@@ -121,8 +125,8 @@ def referrer_share(hits: DataFrame, domain: str, named: list[str]) -> DataFrame:
 
 def engagement_gap(pages: DataFrame, group: str, value: str) -> DataFrame:
     """Each group's median against the site's."""
-    site = pages.agg(F.percentile(value, 0.5).alias("site_median"))
-    return pages.groupBy(group).agg(F.percentile(value, 0.5).alias("median")).join(site).withColumn("above", F.col("median") > F.col("site_median"))
+    site = quantile(pages, [], value, 0.5, "site_median")
+    return quantile(pages, [group], value, 0.5, "median").join(site).withColumn("above", F.col("median") > F.col("site_median"))
 
 
 def reply_rate(reviews: DataFrame, replied: str, least: float = 0.5) -> DataFrame:
@@ -155,5 +159,65 @@ def answer_length(texts: DataFrame, text: str, most: int = 60) -> DataFrame:
     return texts.withColumn("answer_words", F.when(answer != "", words)).withColumn("ok", F.col("answer_words") <= most)
 
 
+def floor_check(rows: DataFrame, group: str, value: str, floor: float) -> DataFrame:
+    """Each group's total against a floor that the study sets itself; without one value the group is not measured (null)."""
+    return rows.groupBy(group).agg(F.sum(value).alias("total")).withColumn("ok", F.col("total") >= floor)
+
+
+def conversion_delay(events: DataFrame, start: str, end: str) -> DataFrame:
+    """Median days from publication to conversion, over what converted."""
+    days = events.where(F.col(end).isNotNull()).select(F.datediff(F.col(end), F.col(start)).alias("days"))
+    return quantile(days, [], "days", 0.5, "median_days")
+
+
+def uncovered(money: DataFrame, pages: DataFrame, key: str = "query") -> DataFrame:
+    """Money queries that no page covers; the criterion is that there are none."""
+    return money.join(pages.select(key), key, "left_anti")
+
+
+def locale_coverage(terms: DataFrame, locale: str, source: str, level: str, sources: int = 2, levels: int = 4) -> DataFrame:
+    """Lexical fit of each locale: enough sources and all levels of language."""
+    out = terms.groupBy(locale).agg(F.count_distinct(source).alias("sources"), F.count_distinct(level).alias("levels"))
+    return out.withColumn("ok", (F.col("sources") >= sources) & (F.col("levels") >= levels))
+
+
+def empty_stages(pages: DataFrame, stage: str, stages: list[str]) -> DataFrame:
+    """Stages of the journey that no page serves, from the fixed list of stages."""
+    fixed = pages.sparkSession.createDataFrame([(s,) for s in stages], f"{stage} string")
+    return fixed.join(pages.select(stage), stage, "left_anti")
+
+
+def criteria_met(rows: DataFrame, flags: list[str], least: int = 4) -> DataFrame:
+    """Adds met, how many criteria hold, and ok; a criterion that was not judged does not hold."""
+    met = reduce(Column.__add__, [F.coalesce(F.col(f), F.lit(False)).cast("int") for f in flags])
+    return rows.withColumn("met", met).withColumn("ok", F.col("met") >= least)
+
+
+def index_status(pages: DataFrame, reason: str, indexed: str, depth: str, deep: int = 4, least: float = 0.8) -> DataFrame:
+    """(indexed, pages, value, deep_value, reasons, ok): share of pages in the index, of all and of deep ones, and how many reasons keep others out."""
+    far = F.col(depth) >= deep
+    out = pages.agg(
+        F.count_if(F.col(indexed)).alias("indexed"), F.count("*").alias("pages"), ratio(F.count_if(F.col(indexed)), F.count("*")).alias("value"),
+        ratio(F.count_if(F.col(indexed) & far), F.count_if(far)).alias("deep_value"), F.count_distinct(F.when(~F.col(indexed), F.col(reason))).alias("reasons"),
+    )
+    return out.withColumn("ok", (F.col("value") >= least) & F.coalesce(F.col("deep_value") >= least, F.lit(True)))
+
+
+def entity_links(entities: DataFrame, entity: str, same_as: str, least: int = 3) -> DataFrame:
+    """Entities with how many distinct profiles they name, and whether these are enough."""
+    return entities.withColumn("profiles", F.size(F.array_distinct(same_as))).withColumn("ok", F.col("profiles") >= least).select(entity, "profiles", "ok")
+
+
+def brand_first(results: DataFrame, query: str, site: str, own: str) -> DataFrame:
+    """Brand queries with the own site's best place, and whether it is the first."""
+    return results.groupBy(query).agg(F.min(F.when(F.col(site) == own, F.col("position"))).alias("place")).withColumn("ok", F.coalesce(F.col("place") == 1, F.lit(False)))
+
+
+def declared_capabilities(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(key, missing): which of the fixed capabilities a study does not declare."""
+    held = rows.groupBy(key).agg(F.collect_set("capability").alias("held"))
+    return held.select(key, F.array_sort(F.array_except(F.array(*map(F.lit, names)), "held")).alias("missing"))
+
+
 def maturity(score: Column) -> Column:
     return F.when(score >= 0.9, 5).when(score >= 0.7, 4).when(score >= 0.5, 3).when(score >= 0.3, 2).when(score.isNotNull(), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DOMAIN = 400
+from tidewrack.operators.graph import cut_lineage
 
 
 def chains(arcs: DataFrame, start: str, most: int = 64) -> DataFrame:
@@ -17,7 +17,8 @@ def chains(arcs: DataFrame, start: str, most: int = 64) -> DataFrame:
     frontier = out
     for hop in range(1, most + 1):
         step = frontier.join(arcs, frontier["version"] == arcs["de"]).select(F.col("vers").alias("version"), F.lit(hop).alias("hops"), F.concat("path", F.array("vers")).alias("path"))
-        step = step.groupBy("version", "hops").agg(F.min("path").alias("path")).join(out.select("version"), "version", "left_anti").persist()
+        step = step.groupBy("version", "hops").agg(F.min("path").alias("path")).join(out.select("version"), "version", "left_anti")
+        step = cut_lineage(step)
         if step.isEmpty():
             return out
         out, frontier = out.unionByName(step), step
@@ -67,6 +68,16 @@ def collisions(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("new_id").agg(F.count_distinct("id").alias("n")).where("n > 1")
 
 
+def holes(mapping: DataFrame, known: DataFrame, added: DataFrame) -> DataFrame:
+    """Ids of the target version that no old id comes to and that no evolution added: nobody explains them."""
+    return known.select("id").join(mapping.select(F.col("new_id").alias("id")), "id", "left_anti").join(added.select("id"), "id", "left_anti")
+
+
+def ambiguous(mapping: DataFrame) -> DataFrame:
+    """Old ids that a registry sends to several new ones."""
+    return mapping.groupBy("id").agg(F.count_distinct("new_id").alias("n")).where("n > 1")
+
+
 def refusals(sheets: DataFrame, mapping: DataFrame, known: DataFrame, chain_found: bool) -> DataFrame:
     """(reason, id) rows; a migration is applied only if there is none.
 
@@ -92,7 +103,7 @@ def criterion_drift(old: DataFrame, new: DataFrame, key: str, fields: list[str])
 
 def cited_moves(texts: DataFrame, text: str, moves: dict[int, int]) -> DataFrame:
     """Adds `moved` and `ranges`: cited node ids that move, and cited ranges, which are flagged and never rewritten."""
-    cited = F.regexp_extract_all(F.col(text), F.lit(r"(?i)(?:nœud|noeud|node)s?\s+(\d{1,3})(?!\s*-\s*\d)"), 1)
+    cited = F.regexp_extract_all(F.col(text), F.lit(r"(?i)(?:nœud|noeud|node)s?\s+(\d{1,3})(?!\d|\s*-\s*\d)"), 1)
     ranges = F.regexp_extract_all(F.col(text), F.lit(r"(?i)(?:nœud|noeud|node)s?\s+(\d{1,3}\s*-\s*\d{1,3})"), 1)
     moved = F.filter(F.transform(cited, lambda x: x.cast("int")), lambda x: x.isin(*moves)) if moves else F.array().cast("array<int>")
     return texts.withColumn("moved", moved).withColumn("ranges", ranges)

@@ -67,12 +67,12 @@ def declared_urls(pages: DataFrame, samples: int = 6) -> DataFrame:
 
 
 def drift(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, side, fields): rows that differ, nulls being equal to nulls."""
+    """(key, side, fields): rows that differ, nulls being equal to nulls; a row on one side only differs even where it says nothing."""
     a, b = left.withColumn("_a", F.lit(True)).alias("a"), right.withColumn("_b", F.lit(True)).alias("b")
     met = a.join(b, key, "full")
     side = F.when(F.col("_b").isNull(), "only_left").when(F.col("_a").isNull(), "only_right").otherwise("both")
     changed = F.filter(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
-    return met.select(key, side.alias("side"), changed.alias("fields")).where(F.size("fields") > 0)
+    return met.select(key, side.alias("side"), changed.alias("fields")).where((F.size("fields") > 0) | (F.col("side") != "both"))
 
 
 def _blank(c: Column) -> Column:

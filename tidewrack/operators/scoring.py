@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.functions.numbers import half_even
+from tidewrack.functions.numbers import half_even, thousands
 from tidewrack.functions.text import ids_in_cell
 from tidewrack.operators.table import global_rank
 
@@ -25,6 +25,8 @@ REQUIRED = (
 COLUMNS = (*REQUIRED[:10], "score", *REQUIRED[10:], "dependance_de")
 SCALES = ("gain", "effort", "confiance")
 CUT, WATCH = 6, 2
+#: Strong points, weak points and actions that a report shows.
+STRONG, WEAK, SHOWN = 10, 15, 40
 
 
 def score(gain: Column, confidence: Column, effort: Column) -> Column:
@@ -95,7 +97,7 @@ def quadrants(actions: DataFrame, a: str, b: str, effort: str, value: str, key:
 def blocking_nodes(bridge: DataFrame, node: str, gain: str) -> DataFrame:
     """Nodes by how many actions they carry, then by gain, then by id; place 1 is the blocking one."""
     out = bridge.groupBy(node).agg(F.count("*").alias("n_actions"), F.sum(gain).alias("total_gain"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_actions"), F.desc("total_gain"), node)))
+    return global_rank(out, [F.desc("n_actions"), F.desc("total_gain"), F.col(node)], "place")
 
 
 def bridge(actions: DataFrame, ids: str = "node_ids") -> DataFrame:
@@ -110,6 +112,32 @@ def named_nodes(actions: DataFrame, nodes: DataFrame, ids: str = "node_ids") ->
     return actions.join(listed, "id", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<string>")))
 
 
+def actions_of_nodes(nodes: DataFrame, bridge_: DataFrame, key: str = "node") -> DataFrame:
+    """Adds n_actions and actions, the sorted ids of the actions that name a node; a node that none names has 0 and an empty list.
+
+    bridge_: (id, key) rows."""
+    listed = bridge_.groupBy(key).agg(F.count_distinct("id").alias("n_actions"), F.array_sort(F.collect_set("id")).alias("actions"))
+    met = nodes.join(listed, key, "left")
+    return met.withColumn("n_actions", F.coalesce("n_actions", F.lit(0))).withColumn("actions", F.coalesce("actions", F.slice(F.array(F.lit(None).cast(dict(bridge_.dtypes)["id"])), 1, 0)))
+
+
+def strong_nodes(nodes: DataFrame, n: int = STRONG) -> DataFrame:
+    """The first n finished nodes that conform, in the order of the grid."""
+    return nodes.where("etat = 'fait' and verdict = 'conforme'").orderBy("id").limit(n)
+
+
+def weak_nodes(nodes: DataFrame, bridge_: DataFrame, n: int = WEAK) -> DataFrame:
+    """The first n finished nodes that do not conform: most actions first, then plain failures before partial ones, then by id."""
+    rows = nodes.where(F.col("etat").eqNullSafe(F.lit("fait")) & F.col("verdict").isin("non-conforme", "partiel"))
+    met = actions_of_nodes(rows.withColumn("node", F.col("id")), bridge_).drop("node")
+    return met.orderBy(F.desc("n_actions"), F.col("verdict") != "non-conforme", "id").limit(n)
+
+
+def shown_actions(actions: DataFrame, n: int = SHOWN) -> DataFrame:
+    """The n best actions; equals by id."""
+    return actions.orderBy(F.desc("score"), "id").limit(n)
+
+
 def attachment(actions: DataFrame, bridge_: DataFrame, key: str) -> DataFrame:
     """Share of actions that name a node, and how many are named: all unattached actions on a non-empty list fail."""
     attached = bridge_.select(key).distinct().withColumn("_a", F.lit(1))
@@ -118,4 +146,5 @@ def attachment(actions: DataFrame, bridge_: DataFrame, key: str) -> DataFrame:
 
 
 def cost_label(euros: Column) -> Column:
-    return F.when(euros.isNull(), "à chiffrer").when(euros == 0, "gratuit").otherwise(F.concat(F.translate(F.format_number(euros, 0), ",", " "), F.lit(" €")))
+    """Not priced yet, free, or the price with its thousands apart."""
+    return F.when(euros.isNull(), "à chiffrer").when(euros == 0, "gratuit").otherwise(F.concat(thousands(euros), F.lit(" €")))

@@ -18,14 +18,15 @@ def write_snapshot(documents: DataFrame, path: str, schema: dict, body: str = "b
 
 
 def write_actions(actions: DataFrame, path: str) -> None:
-    """Scored actions as CSV with fixed columns, all or none."""
+    """Scored actions as one CSV file with fixed columns, all or none: a list that people read, in one task."""
     scoring.refuse_invalid(actions)
     rows = actions.withColumn("score", scoring.score(F.col("gain").cast("int"), F.col("confiance").cast("int"), F.col("effort").cast("int")))
     rows.select(*scoring.COLUMNS).orderBy(F.desc("score"), "id").coalesce(1).write.csv(path, header=True)
 
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
-    df.write.partitionBy(*keys).mode("append").json(path)
+    """Writes by key. A key's folder is replaced whole and others stay, so a rerun gives the same rows and no second ones."""
+    df.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
 def write_verified(df: DataFrame, path: str, before: DataFrame, ignore: list[str]) -> DataFrame:

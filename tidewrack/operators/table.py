@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.numbers import first_number
-from tidewrack.functions.text import fold_accents
+from tidewrack.functions.text import fingerprint, fold_accents
 from tidewrack.operators.graph import cut_lineage
 
 #: Tables with fewer rows get no column filters.
@@ -52,6 +54,42 @@ def tiles(df: DataFrame, order: list[Column], name: str, k: int = 10) -> DataFra
     return ranked.join(F.broadcast(ranked.agg(F.count("*").alias("_t")))).withColumn(name, tile.cast("int")).drop("_r", "_t")
 
 
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """(keys, name): each group's quantile of a value, between its two nearest values; null values are left out.
+
+    Rows are ranked over all partitions, so a group with a third of all rows is not gathered in one task."""
+    rows = global_rank(df.where(F.col(value).isNotNull()).select(*keys, value), [*map(F.col, keys), F.col(value)], "_r")
+    ends = rows.groupBy(*keys).agg(F.min("_r").alias("_a"), F.count("*").alias("_n"))
+    at = F.lit(q) * (F.col("_n") - 1)
+    met = rows.join(ends.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}), reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True)))
+    place = F.col("_r") - F.col("_a")
+    near = met.where((place >= F.floor(at)) & (place <= F.ceil(at)))
+    low, high = F.min(value).cast("double"), F.max(value).cast("double")
+    share = F.max(at - F.floor(at))
+    return near.groupBy(*keys).agg((low + (high - low) * share).alias(name))
+
+
+def uncounted(tables: DataFrame, filterable: str = "filterable", counted: str = "counted") -> DataFrame:
+    """Adds `missing` and `ok`: every table that can be filtered has a counter; a counter without filters is no fault."""
+    missing = F.array_sort(F.array_except(filterable, counted))
+    return tables.withColumn("missing", missing).withColumn("ok", F.size("missing") == 0)
+
+
+def group_fingerprint(df: DataFrame, group: str, key: str, content: str) -> DataFrame:
+    """(group, n, fingerprint): each group's content in twelve digits. Rows add up the hash of their key and text, so their
+    order does not matter and no group is gathered."""
+    row = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(content), F.lit("")))
+    number = F.conv(fingerprint(row), 16, 10).cast("decimal(38,0)")
+    out = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(number).cast("string").alias("_s"))
+    return out.select(group, "n", fingerprint(F.concat(F.col("n").cast("string"), F.lit(":"), "_s")).alias("fingerprint"))
+
+
+def by_count(df: DataFrame, value: str, n: int | None = None) -> DataFrame:
+    """Values with their rows, the most frequent first, then by value."""
+    out = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value)
+    return out if n is None else out.limit(n)
+
+
 def filter_values(df: DataFrame, column: str) -> DataFrame:
     """Values of a column and how often they occur, none if the table is small."""
     n = F.sum("n").over(Window.partitionBy())

@@ -6,32 +6,16 @@ conversations are documents of ordered sections."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions import numbers, text, urls
-from tidewrack.operators import graph, logs, migrate, rules, scoring, snapshot, table
+from tidewrack.operators import graph, grid, logs, migrate, rules, scoring, snapshot, table
+from tidewrack.plans.registry import ORACLES, QUERIES, query, read
 from tidewrack.sources import logs as log_lines
 from tidewrack.sources import pages
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- access logs -----------------------------------------------------------------------------------------------
 
@@ -69,6 +53,12 @@ def top_paths_per_agent(spark, sf_dir):
     return logs.top_paths(_hits(spark, sf_dir), "agent", "user_id", "event_id")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("event_id") % 97 == 0, "xx").otherwise((200 + F.col("event_id") % 5 * 100).cast("string"))
+    line = F.concat(F.lit("10.0.0."), F.col("user_id") % 250, F.lit(' - - [01/Jan/2026:00:00:00 +0000] "GET /p/'), F.col("user_id"), F.lit(' HTTP/1.1" '), code, F.lit(' 10 "-" "'), F.col("event_type"), F.lit('"'))
+    return read(spark, sf_dir, "events").select("event_id", line.alias("line"))
+
+
 CATALOGUE = (("buyer", "x", "trade", "purch"), ("clicker", "x", "read", "click"), ("viewer", "x", "read", "vi"), ("any-e", "x", "other", "e"))
 
 
@@ -89,15 +79,18 @@ def agent_first_match_case(spark, sf_dir):
 
 
 @query(f"""
-WITH l AS (SELECT {MAKE_LINE} AS line FROM events), g AS (SELECT *, regexp_matches(line, '{log_lines.LINE}') AS ok FROM l)
-SELECT count(*) AS read, count(*) FILTER (ok) AS recognised, count(*) FILTER (NOT ok) AS ignored,
-       CAST(sum(TRY_CAST(regexp_extract(line, '{log_lines.LINE}', 5) AS INT)) FILTER (ok) AS BIGINT) AS status_sum,
-       count(DISTINCT regexp_extract(line, '{log_lines.LINE}', 4)) FILTER (ok) AS paths FROM g""")
+WITH l AS (SELECT event_id, {MAKE_LINE} AS line FROM events), g AS (SELECT *, regexp_matches(line, '{log_lines.LINE}') AS ok FROM l)
+SELECT count(*) AS read, count(*) FILTER (ok) AS recognised, count(*) FILTER (NOT ok) AS ignored, array_to_string((SELECT list(line ORDER BY event_id) FROM (SELECT * FROM g WHERE NOT ok ORDER BY event_id LIMIT 3)), chr(10)) AS samples FROM g""")
 def log_parse_counters(spark, sf_dir):
-    code = F.when(F.col("event_id") % 97 == 0, "xx").otherwise((200 + F.col("event_id") % 5 * 100).cast("string"))
-    line = F.concat(F.lit("10.0.0."), F.col("user_id") % 250, F.lit(' - - [01/Jan/2026:00:00:00 +0000] "GET /p/'), F.col("user_id"), F.lit(' HTTP/1.1" '), code, F.lit(' 10 "-" "'), F.col("event_type"), F.lit('"'))
-    parsed = log_lines.parse(read(spark, sf_dir, "events").select(line.alias("line")))
-    return parsed.agg(F.count("*").alias("read"), F.count_if("recognised").alias("recognised"), F.count_if(~F.col("recognised")).alias("ignored"), F.sum("status").alias("status_sum"), F.countDistinct(F.when(F.col("recognised"), F.col("path"))).alias("paths"))
+    counted = log_lines.counters(log_lines.parse(_lines(spark, sf_dir)), order="event_id")
+    return counted.select("read", "recognised", "ignored", F.array_join("samples", "\n").alias("samples"))
+
+
+@query(f"""
+SELECT regexp_extract(line, '{log_lines.LINE}', 1) AS ip, regexp_extract(line, '{log_lines.LINE}', 4) AS path, TRY_CAST(regexp_extract(line, '{log_lines.LINE}', 5) AS INT) AS status, regexp_extract(line, '{log_lines.LINE}', 8) AS user_agent, count(*) AS n
+FROM (SELECT {MAKE_LINE} AS line FROM events) WHERE regexp_matches(line, '{log_lines.LINE}') GROUP BY ALL""")
+def log_fields(spark, sf_dir):
+    return log_lines.parse(_lines(spark, sf_dir)).where("recognised").groupBy("ip", "path", "status", "user_agent").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -130,10 +123,12 @@ def url_template(spark, sf_dir):
     return read(spark, sf_dir, "pages").groupBy(urls.template(urls.path(F.col("url"))).alias("template")).agg(F.count("*").alias("pages"))
 
 
-@query("""
-SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages""")
+@query(r"""
+SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS h1,
+  CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS INT) AS links, CAST(0 AS INT) AS json_ld FROM pages""")
 def page_title_h1(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+    found = pages.extract(read(spark, sf_dir, "pages"), "page_id")
+    return found.select("page_id", "title", "h1", F.size("links").alias("links"), F.size("json_ld").alias("json_ld"))
 
 
 @query("""
@@ -151,9 +146,12 @@ def thin_pages(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, CAST(p - 1 AS INT) AS position, l[p] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))""")
+SELECT page_id, CAST(p - 1 AS INT) AS position, replace(l[p], '&amp;', '&') AS href, p > framed AS contextual
+FROM (SELECT page_id, l, framed, unnest(range(1, len(l) + 1)) AS p FROM (
+  SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l, len(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<a href="')) AS framed FROM pages))""")
 def link_edges(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("position", "href"))
+    found = pages.extract(read(spark, sf_dir, "pages"), "page_id")
+    return found.select("page_id", F.posexplode("links").alias("position", "link")).select("page_id", "position", "link.href", "link.contextual")
 
 
 @query("""
@@ -163,13 +161,13 @@ def in_degree(spark, sf_dir):
     return graph.in_degree(edges)
 
 
-EDGE_SQL = "SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 17 = 0"
+# Every line links its supplier to a page of an even number, so that odd ones are orphans and depths differ.
+EDGE_SQL = "SELECT DISTINCT l_suppkey AS src, 2 * ((l_suppkey + l_linenumber % 3) % ((SELECT count(*) FROM supplier) // 2)) AS dst FROM lineitem"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "supplier").count()
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 17 = 0")
-    return rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (2 * ((F.col("l_suppkey") + F.col("l_linenumber") % 3) % (n // 2))).alias("dst")).distinct()
 
 
 @query(f"""
@@ -269,17 +267,19 @@ def top3_actions(spark, sf_dir):
 @query("""
 SELECT l_orderkey AS id, string_agg(p_brand, ',' ORDER BY l_linenumber, l_partkey, p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def action_nodes_bridge(spark, sf_dir):
-    met = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_brand")))
-    return met.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(listed, lambda x: x["p_brand"]), ",").alias("brands"))
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    actions = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(listed, lambda x: x["l_partkey"]).alias("node_ids"))
+    nodes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("name"))
+    return scoring.named_nodes(actions, nodes).where(F.size("nodes") > 0).select("id", F.array_join("nodes", ",").alias("brands"))
 
 
 @query("""
-SELECT p_partkey AS node, coalesce(n, 0) AS n_actions, actions FROM part LEFT JOIN
-  (SELECT l_partkey, count(*) AS n, string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR)) AS actions FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
+SELECT p_partkey AS node, coalesce(n, 0) AS n_actions, coalesce(actions, '') AS actions FROM part LEFT JOIN
+  (SELECT l_partkey, count(DISTINCT l_orderkey) AS n, string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR)) AS actions FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
 def node_actions_inverse(spark, sf_dir):
-    listed = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))), ",").alias("actions"))
-    return read(spark, sf_dir, "part").join(listed, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("p_partkey").alias("node"), F.coalesce("n", F.lit(0)).alias("n_actions"), "actions")
+    bridge = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_partkey").alias("node"))
+    nodes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    return scoring.actions_of_nodes(nodes, bridge).select("node", "n_actions", F.array_join("actions", ",").alias("actions"))
 
 
 @query("""
@@ -294,15 +294,15 @@ def attach_rate(spark, sf_dir):
 SELECT l_orderkey AS id, l_partkey AS node FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10)""")
 def unknown_ids(spark, sf_dir):
     known = read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("node"))
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("node")).join(known, "node", "left_anti").select("id", "node")
+    return rules.unknown_nodes(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("node")), known).select("id", "node")
 
 
 @query("""
-SELECT p_partkey AS id, p_name || ' ' || CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 2 AS VARCHAR) AS cell, CAST(list_sum(list_transform(regexp_extract_all(p_name || ' ' || CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 2 AS VARCHAR), '\\d+'), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS id_sum FROM part""")
+SELECT p_partkey AS id, CAST(2 * p_size + 2 AS BIGINT) AS id_sum, CAST(3 * p_size + 3 AS BIGINT) AS range_sum FROM part""")
 def id_list_cell(spark, sf_dir):
     cell = F.concat("p_name", F.lit(" "), "p_size", F.lit("-"), F.col("p_size") + 2)
-    ids = F.transform(F.regexp_extract_all(cell, F.lit(r"(\d+)"), 1), lambda x: x.cast("long"))
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cell.alias("cell"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+    total = lambda ids: F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), total(text.ids_in_cell(cell)).alias("id_sum"), total(text.ids_with_ranges(cell)).alias("range_sum"))
 
 
 # --- sheets, states and evidence -------------------------------------------------------------------------------
@@ -468,9 +468,9 @@ def json_props(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id FROM documents WHERE contains(translate(lower(left(text, 400)), '{text.ACCENTED}', '{text.PLAIN}'), 'ere')""")
+SELECT doc_id FROM documents WHERE contains(translate(lower(concat_ws(' ', source, text)), '{text.ACCENTED}', '{text.PLAIN}'), 'ere er')""")
 def accent_search(spark, sf_dir):
-    return table.search(read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("head")), ["head"], "érè".replace("è", "e")).select("doc_id")
+    return table.search(read(spark, sf_dir, "documents"), ["source", "text"], "ÉRÈ er").select("doc_id")
 
 
 @query("""
@@ -491,29 +491,25 @@ def link_deciles(spark, sf_dir):
 WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS median FROM events GROUP BY 1)
 SELECT event_id, event_type, median FROM events JOIN m USING (event_type) WHERE value < 0.7::DOUBLE * median""")
 def band_median_gap(spark, sf_dir):
-    events = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    middle = events.groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"))
-    return events.join(middle, "event_type").where(F.col("value") < 0.7 * F.col("median")).select("event_id", "event_type", "median")
+    return grid.rate_gaps(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_type", "value").select("event_id", "event_type", "median")
 
 
 @query("""
-WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
-SELECT CAST(sum(n) FILTER (n < 65) AS DOUBLE) / sum(n) AS share, count(*) FILTER (n < 65) AS users FROM u""")
+WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), s AS (SELECT CAST(sum(n) FILTER (n < 65) AS DOUBLE) / sum(n) AS value FROM u)
+SELECT value, CASE WHEN value >= 0.4 THEN 'healthy' WHEN value < 0.15 THEN 'dependent' WHEN value IS NOT NULL THEN 'between' END AS state FROM s""")
 def long_tail_share(spark, sf_dir):
-    per = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    small = F.col("n") < 65
-    return per.agg((F.sum(F.when(small, F.col("n"))).cast("double") / F.sum("n")).alias("share"), F.count_if(small).alias("users"))
+    return grid.long_tail(read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")), "n", below=65)
 
 
 @query("""
 WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS a, date_trunc('month', max(o_orderdate)) AS z FROM orders),
 s AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS DATE) AS month FROM b),
-n AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders WHERE o_custkey % 100 = 1 GROUP BY 1)
+n AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders WHERE o_totalprice > 498000 GROUP BY 1)
 SELECT CAST(month AS VARCHAR) AS month, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (month)""")
 def monthly_spine_gap(spark, sf_dir):
     rows = read(spark, sf_dir, "orders")
     span = rows.agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("z"))
-    return table.monthly(rows.where("o_custkey % 100 = 1"), "o_orderdate", span).select(F.col("month").cast("string").alias("month"), "n")
+    return table.monthly(rows.where("o_totalprice > 498000"), "o_orderdate", span).select(F.col("month").cast("string").alias("month"), "n")
 
 
 @query("SELECT o_orderkey AS id, round_even(o_totalprice * 365.25::DOUBLE / CAST(7 + o_orderkey % 60 AS DOUBLE), 0) AS yearly FROM orders")
@@ -543,14 +539,19 @@ def longest_gap(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT o_orderpriority AS q, o_custkey AS page, count(*) AS n FROM orders WHERE o_custkey % 50 = 1 GROUP BY 1, 2)
+WITH c AS (SELECT l_partkey AS q, l_suppkey AS page, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT a.q AS query, a.page AS page_a, b.page AS page_b FROM c a JOIN c b ON a.q = b.q AND a.page < b.page AND a.n >= 2 AND b.n >= 2""")
 def cannibalised_pairs(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").where("o_custkey % 50 = 1").select(F.col("o_orderpriority").alias("query"), F.col("o_custkey").alias("page"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("page"))
     return table.cannibalised(rows, "query", "page", 2)
 
 
-@query("SELECT source, sha256(replace(string_agg(lang, chr(10) ORDER BY doc_id), chr(13) || chr(10), chr(10)))[1:12] AS fingerprint FROM documents GROUP BY 1")
+@query("""
+SELECT source, count(*) AS documents, sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || replace(coalesce(text, ''), chr(13) || chr(10), chr(10))), 1, 12) AS BIGINT)) AS VARCHAR))[1:12] AS fingerprint
+FROM documents GROUP BY 1""")
 def content_fingerprint(spark, sf_dir):
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda x: x["lang"]), "\n")
-    return read(spark, sf_dir, "documents").groupBy("source").agg(whole.alias("w")).select("source", text.fingerprint(F.col("w")).alias("fingerprint"))
+    return table.group_fingerprint(read(spark, sf_dir, "documents"), "source", "doc_id", "text").withColumnRenamed("n", "documents")
+
+
+# Further queries register themselves.
+from tidewrack.plans import metric_queries, site_queries, study_queries  # noqa: E402, F401

@@ -23,10 +23,10 @@ def parse(lines: DataFrame, line: str = "line") -> DataFrame:
     return rows.withColumn("status", F.col("status").cast("int"))
 
 
-def counters(parsed: DataFrame, line: str = "line", agent: str | None = None) -> DataFrame:
-    """Lines read, recognised (those of a named agent, if `agent` is given) and ignored, and the first samples of ignored lines."""
+def counters(parsed: DataFrame, line: str = "line", agent: str | None = None, order: str | None = None) -> DataFrame:
+    """Lines read, recognised (those of a named agent, if `agent` is given) and ignored, and samples of ignored lines: the first by `order`, or by their text."""
     known = F.col("recognised") & F.col(agent).isNotNull() if agent else F.col("recognised")
     bad = F.when(~F.col("recognised"), F.substring(line, 1, SAMPLE_CHARS))
     totals = parsed.agg(F.count("*").alias("read"), F.count_if(known).alias("recognised"), F.count_if(~F.col("recognised")).alias("ignored"))
-    samples = parsed.select(bad.alias("s")).where("s is not null").limit(SAMPLES).agg(F.collect_list("s").alias("samples"))
-    return totals.join(samples)
+    first = parsed.where(~F.col("recognised")).select(F.col(order or line).alias("o"), bad.alias("s")).orderBy("o", "s").limit(SAMPLES)
+    return totals.join(first.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "s"))), lambda x: x["s"]).alias("samples")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tidewrack.functions import urls
+from tidewrack.operators.graph import cut_lineage
 
 MOST_FILES = 25
 
@@ -26,32 +28,37 @@ def locations(files: DataFrame) -> DataFrame:
     return files.select("sitemap", F.col("body").rlike(r"(?i)<sitemapindex").alias("is_index"), loc.alias("loc"))
 
 
-def declared_urls(robots: DataFrame, files: DataFrame, most: int = MOST_FILES) -> DataFrame:
-    """(host, url): URLs of a host's own sitemaps, indexes followed to any depth, at most `most` files for each host.
+def named_files(robots: DataFrame, files: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """(host, sitemap, place): the sitemap files that a host's own declarations name, indexes followed to any depth, in the order of reading.
 
-    The rounds end when no new file is named; what is left unread at the limit was not measured."""
+    The rounds end when no new file is named."""
     queue = declared_by_robots(robots).distinct().withColumn("_round", F.lit(0))
-    seen = queue
-    found = locations(files)
+    seen, found = queue, locations(files)
     for depth in range(1, most + 1):
         deeper = queue.join(found.where("is_index"), "sitemap").select("host", F.col("loc").alias("sitemap")).distinct()
-        queue = deeper.join(seen, ["host", "sitemap"], "left_anti").withColumn("_round", F.lit(depth)).persist()
+        queue = cut_lineage(deeper.join(seen, ["host", "sitemap"], "left_anti").withColumn("_round", F.lit(depth)))
         if queue.isEmpty():
             break
         seen = seen.unionByName(queue)
-    from pyspark.sql import Window
+    return seen.select("host", "sitemap", F.row_number().over(Window.partitionBy("host").orderBy("_round", "sitemap")).alias("place"))
+
 
-    place = F.row_number().over(Window.partitionBy("host").orderBy("_round", "sitemap"))
-    read = seen.withColumn("_n", place).where(F.col("_n") <= most).select("host", "sitemap")
+def declared_urls(robots: DataFrame, files: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """(host, url): URLs of a host's own sitemaps, of at most `most` files for each host; unread() says what that leaves."""
+    read = named_files(robots, files, most).where(F.col("place") <= most)
     url = urls.percent_decode(F.replace("loc", F.lit("&amp;"), F.lit("&")))
-    out = read.join(found.where("not is_index"), "sitemap").select("host", urls.normalise(url).alias("url"))
+    out = read.join(locations(files).where("not is_index"), "sitemap").select("host", urls.normalise(url).alias("url"))
     return out.where(urls.host(F.col("url")) == F.col("host")).distinct()
 
 
+def unread(robots: DataFrame, files: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """(host, files, unread, complete): hosts whose files were not all read have no count of declared URLs, but a lower bound."""
+    out = named_files(robots, files, most).groupBy("host").agg(F.count("*").alias("files"), F.count_if(F.col("place") > most).alias("unread"))
+    return out.withColumn("complete", F.col("unread") == 0)
+
+
 def allowed(robots: Column, url: Column, agent: str = "*") -> Column:
     """Whether the rules of a robots.txt let an agent fetch a URL; no rules forbid nothing."""
-    from pyspark.sql.types import BooleanType
-
     def judge(bodies: pd.Series, wanted: pd.Series) -> pd.Series:
         parsers: dict[str, RobotFileParser] = {}
 
