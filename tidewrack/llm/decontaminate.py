@@ -50,13 +50,15 @@ from tidewrack.llm.common import WorkArea, utf8
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.65, 0.8, 5
-BLOCK = 8
+BLOCK = 4
 #: Bytes of one index, and of the indexes that are broadcast for one scan of the texts.
 SHARD_BYTES, PASS_BYTES = 8_000_000, 64_000_000
 #: Characters of items that make about one index; words up to which items share their passages.
 SHARD_CHARACTERS, STRIDE = 1_000_000, 64
 #: Tokens that are scored together.
 SLICE = 400_000
+#: A term of one in FULL of the blocks counts as a common one.
+FULL = 4
 EPSILON = 1e-4
 find_words = re.compile(r"[^\W_]+").findall
 
@@ -117,16 +119,31 @@ class Index:
         self.maxima = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.zeros(0, np.float32)
         self.first_block = np.searchsorted(key // max(self.n_blocks, 1), np.arange(len(self.terms) + 1))
         self.largest = np.maximum.reduceat(self.impacts, self.first[:-1]) if len(self.terms) else np.zeros(0, np.float32)
+        # Terms of many blocks have their maxima in a row of all blocks as well, no more than FULL times what the lists take.
+        wide = np.nonzero(np.diff(self.first_block) * FULL >= max(self.n_blocks, 1))[0]
+        self.full = np.full(len(self.terms), -1, np.int32)
+        self.full[wide] = np.arange(len(wide))
+        self.rows = np.zeros((len(wide), self.n_blocks), np.float32)
+        for i, t in enumerate(wide):
+            own = slice(self.first_block[t], self.first_block[t + 1])
+            self.rows[i, self.blocks[own]] = self.maxima[own]
         self.stride = stride
 
     def possible(self, keys: list[np.ndarray], threshold: float) -> np.ndarray:
         """Which of some queries (arrays of distinct terms) have a block whose maxima sum to the threshold."""
         flat = np.concatenate(keys)
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        row, sums = self.full[flat], np.zeros((len(keys), self.n_blocks))
+        common = row >= 0
+        if common.any():
+            own = owner[common]
+            starts = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
+            sums[own[starts]] = np.add.reduceat(self.rows[row[common]], starts, axis=0)
+        flat, owner = flat[~common], owner[~common]
         width = (self.first_block[1:] - self.first_block[:-1])[flat]
         at = np.repeat(self.first_block[flat] - np.cumsum(width) + width, width) + np.arange(width.sum())
-        sums = np.bincount(np.repeat(owner, width) * self.n_blocks + self.blocks[at], weights=self.maxima[at], minlength=len(keys) * self.n_blocks)
-        return np.nonzero((sums.reshape(len(keys), self.n_blocks) >= threshold - EPSILON).any(axis=1))[0]
+        sums += np.bincount(np.repeat(owner, width) * self.n_blocks + self.blocks[at], weights=self.maxima[at], minlength=sums.size).reshape(sums.shape)
+        return np.nonzero((sums >= threshold - EPSILON).any(axis=1))[0]
 
     def wand(self, query: np.ndarray, threshold: float):
         """(item, score) of all items at or above the threshold, by block-max WAND over the query's posting lists."""
