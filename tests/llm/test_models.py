@@ -63,17 +63,31 @@ def test_a_neighbour_over_the_old_cut_counts():
 
 
 def test_offsets_where_lower_case_is_longer():
-    model = toxicity.Model(np.zeros(toxicity.FEATURES, np.float32), np.array([[0.0, -1.0], [-1.0, 1.0]]), -3.0, np.array([-1.0, 0.5, 0.2, 1.0, 1.0]))
-    model.kept |= {"zzgrim": 9.0, "day": -9.0, "zzvile": 9.0}
+    weights = np.zeros(toxicity.FEATURES, np.float32)
+    model = toxicity.Model(weights, np.array([[0.0, -1.0], [-1.0, 1.0]]), -3.0, np.array([-1.0, 0.5, 0.2, 1.0, 1.0]))
+    whole = lambda w: toxicity.feature_hashes([w])[0][0, 1] % toxicity.FEATURES
+    shared = toxicity.feature_hashes(["x"])[0][0, 0] % toxicity.FEATURES
+    weights[shared], weights[whole("zzgrim")], weights[whole("zzvile")] = -9.0, 18.0, 18.0
     text = "\u0130\u0130 day \u0130 zzgrim \u0130day ZZVILE day"
-    model.kept |= {w: -9.0 for w in toxicity.WORD.findall(text.lower()) if w not in model.kept}
     ((_, spans),) = model.score_texts([text])
     assert [text[a:b] for a, b, _ in spans] == ["zzgrim", "ZZVILE"]
     words = toxicity.WORD.findall(text.lower())
-    p = dict(zip(words, toxicity.chain_marginals([np.array([model.kept[w] for w in words])], model.step, model.start)[0], strict=True))
+    p = dict(zip(words, toxicity.chain_marginals([model.emissions(words)], model.step, model.start)[0], strict=True))
     assert [q for *_, q in spans] == pytest.approx([p["zzgrim"], p["zzvile"]])
 
 
+def test_words_share_the_features_they_share():
+    words = ["grim", "grimly", "grimm", "im", "\u00e9t\u00e9", "x" * 5000, "\U0001f600smile"]
+    h, has = toxicity.feature_hashes(words)
+    assert has.sum(axis=1).tolist() == [2 + sum(k < len(w) for k in toxicity.PREFIXES) + sum(k < len(w) for k in toxicity.SUFFIXES) for w in words]
+    prefix = 2 + list(toxicity.PREFIXES).index(4)
+    assert h[1, prefix] == h[2, prefix] and h[0, 1] != h[1, prefix]  # the prefix "grim" is another feature than the word
+    alone = [toxicity.feature_hashes([w])[0][0] for w in words]
+    assert all((h[i][has[i]] == alone[i][has[i]]).all() for i in range(len(words)))
+    assert len(np.unique(h[:, 1])) == len(words) and len(np.unique(h[:, 0])) == 1
+    assert toxicity.feature_hashes([])[0].shape[0] == 0
+
+
 def test_held_out_accuracy(spark):
     from tidewrack.llm.queries import op7_toxicity
 

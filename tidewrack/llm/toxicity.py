@@ -27,13 +27,11 @@ gives no rows.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,28 +46,50 @@ SUPPORT, PRECISION = 4, 0.75
 STEPS, RATE, RIDGE = 80, 0.5, 1e-5
 #: Marginals below this add nothing to the expected count, or long clean texts would gather one.
 FLOOR = 0.2
-#: Words whose weight a worker keeps, and tokens that are decoded together.
-KEPT, SLICE = 150_000, 200_000
+#: Words that are hashed together, and tokens that are decoded together.
+KEPT, SLICE = 100_000, 200_000
+ODD = np.uint64(0xD6E8FEB86659FD93)
 WORD = re.compile(r"[^\W_]+")
 
 
-def word_features(word: str) -> list[str]:
-    """The whole word, its prefixes and suffixes, and one feature that all words share, which speaks for words not seen."""
-    return ["*", f"={word}", *(f"^{word[:n]}" for n in PREFIXES if n < len(word)), *(f"${word[-n:]}" for n in SUFFIXES if n < len(word))]
-
-
-def feature_ids(word: str) -> list[int]:
-    return [xxhash.xxh32_intdigest(f.encode("utf-8", "replace")) % FEATURES for f in word_features(word)]
-
-
-def flat(forms, values) -> tuple[np.ndarray, np.ndarray]:
-    """values(form) of all forms in one array, and how many each form has."""
-    out, sizes = array("Q"), array("i")
-    for w in forms:
-        found = values(w)
-        sizes.append(len(found))
-        out.extend(found)
-    return np.array(out, np.uint64), np.array(sizes, np.int64)
+def feature_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word's features, and which of them it has: one that all words share and that speaks for words not
+    seen, the whole word, its prefixes of PREFIXES characters, its suffixes of SUFFIXES.
+
+    All words are hashed at once: a hash is the sum of character x power of ODD over places, mixed."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    first = np.cumsum(n) - n
+    power = np.cumprod(np.full(int(n.max(initial=max(SUFFIXES))) + 1, ODD, np.uint64))
+    place = np.arange(len(codes)) - np.repeat(first, n)
+    terms = np.append(np.uint64(0), np.cumsum(codes * power[place]))  # sums from the first character of all words
+    kinds = [(None, n > 0), *((k, n > k) for k in PREFIXES)]
+    sums = [np.zeros(len(words), np.uint64), *(terms[first + (n if k is None else np.minimum(k, n))] - terms[first] for k, _ in kinds)]
+    has = [np.ones(len(words), bool), *(h for _, h in kinds)]
+    for k in SUFFIXES:
+        end = first + n
+        own = np.zeros(len(words), np.uint64)
+        for i in range(k):
+            own += codes[np.maximum(end - 1 - i, 0)] * power[i] if len(codes) else np.uint64(0)
+        sums.append(own)
+        has.append(n > k)
+    h = np.stack(sums, axis=1) + np.arange(1, len(sums) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31)), np.stack(has, axis=1)
+
+
+def flat(forms, columns: slice = slice(None), kind=np.uint64, modulus: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all forms in one array, and how many each form has; made a part of the forms at a time."""
+    forms, out, sizes = list(forms), [], []
+    for i in range(0, len(forms), KEPT):
+        h, has = feature_hashes(forms[i : i + KEPT])
+        h, has = h[:, columns], has[:, columns]
+        out.append((h[has] % np.uint64(modulus) if modulus else h[has]).astype(kind))
+        sizes.append(has.sum(axis=1))
+    return (np.concatenate(out), np.concatenate(sizes)) if out else (np.zeros(0, kind), np.zeros(0, np.int64))
 
 
 def marginals(emit: np.ndarray, mask: np.ndarray, step: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,19 +194,14 @@ class Model:
     step: np.ndarray
     start: float
     fit: np.ndarray  # of the logistic score, in the order of summary()
-    kept: dict[str, float] = field(default_factory=dict)
 
-    def __getstate__(self):
-        return self.__dict__ | {"kept": {}}
+    def word_weights(self, words: list[str]) -> np.ndarray:
+        ids, sizes = flat(words, kind=np.int64, modulus=FEATURES)
+        return np.add.reduceat(self.weights[ids], np.cumsum(sizes) - sizes, dtype=np.float64) if len(words) else np.zeros(0)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        kept, missing = self.kept, [w for w in set(words) if w not in self.kept]
-        if len(kept) + len(missing) > KEPT:
-            kept.clear()
-            missing = set(words)
-        for w in missing:
-            kept[w] = float(self.weights[feature_ids(w)].sum())
-        return np.fromiter(map(kept.__getitem__, words), np.float64, len(words))
+        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        return self.word_weights(list(place))[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
     def token_probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
         emit = self.emissions([w for x in texts for w in x])
@@ -263,7 +278,7 @@ def independent(texts: list[np.ndarray]) -> list[int]:
 
 def label_tokens(sample: Sample, toxic: list[bool], scale: float = 1.0) -> list[np.ndarray]:
     """Token labels from document labels. scale: clean documents that each sampled one stands for."""
-    hashes, sizes = flat(sample.forms, lambda w: [xxhash.xxh64_intdigest(f.encode("utf-8", "replace")) for f in word_features(w) if f[0] in "=^"])
+    hashes, sizes = flat(sample.forms, slice(1, 2 + len(PREFIXES)))  # the word and its prefixes
     ends = np.cumsum(sizes)
     starts = ends - sizes
     whole = np.zeros(len(hashes), bool)
@@ -287,8 +302,8 @@ def label_tokens(sample: Sample, toxic: list[bool], scale: float = 1.0) -> list[
 
 def train(sample: Sample, tags: list[np.ndarray]) -> Model:
     """Fits weights and transitions to labelled tokens."""
-    flat_ids, sizes = flat(sample.forms, feature_ids)
-    flat_ids, owner, n_forms = flat_ids.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+    flat_ids, sizes = flat(sample.forms, kind=np.int32, modulus=FEATURES)
+    owner, n_forms = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes)
     form, gold = np.concatenate(sample.texts).astype(np.int64), np.concatenate(tags)
     row, place = pad([len(x) for x in sample.texts])
     rows = row[-1] + 1
@@ -328,7 +343,7 @@ def train(sample: Sample, tags: list[np.ndarray]) -> Model:
 
 def calibrate(model: Model, sample: Sample, toxic: list[bool], weights: np.ndarray) -> None:
     """A logistic fit of document labels on the marginals' summary (Newton steps)."""
-    of_form = np.fromiter((model.weights[feature_ids(w)].sum() for w in sample.forms), np.float64, len(sample.forms))
+    of_form = model.word_weights(list(sample.forms))
     rows, batch, held = [], [], 0
     for i, text in enumerate(sample.texts):
         batch.append(of_form[text])
