@@ -119,13 +119,19 @@ def _mix(sized: DataFrame, quality: DataFrame | None, share: float, most: float,
     targets = targets.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = buckets.withColumn("before", before).alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-    state = F.when(F.col("before") + F.col("held") <= F.col("budget"), 1).when(F.col("before") >= F.col("budget"), 0).otherwise(2)
-    plan = work.write(plan.select(F.col("b.source").alias("s"), F.col("bucket").alias("k"), "before", "source_size", "target", "copies", "budget", state.alias("state")), "plan")
-    placed = keyed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
+    # Buckets up to `full` are taken whole, and the budget ends within bucket `last`, if it ends within one.
+    whole, ends = F.col("before") + F.col("held") <= F.col("budget"), (F.col("before") < F.col("budget")) & (F.col("before") + F.col("held") > F.col("budget"))
+    plan = plan.groupBy(F.col("b.source").alias("s")).agg(
+        *[F.max(c).alias(c) for c in ("source_size", "target", "copies", "budget")], F.coalesce(F.max(F.when(whole, F.col("bucket"))), F.lit(-1)).alias("full"),
+        F.max(F.when(ends, F.col("bucket"))).alias("last"), F.max(F.when(ends, F.col("before"))).alias("before"),
+    )
+    plan = work.write(plan, "plan")  # one row for each source
+    placed = keyed.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    in_last = F.coalesce(F.col("bucket") == F.col("last"), F.lit(False))
     within = Window.partitionBy("source", "bucket").orderBy("key", "name", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = placed.where("state = 2").withColumn("prior", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    last = placed.where(in_last).withColumn("prior", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     last = last.withColumn("partial", F.col("prior") + F.col("size") / 2 <= F.col("budget")).drop("prior")
-    out = placed.where("state <> 2").withColumn("partial", F.col("state") == 1).unionByName(last)
+    out = placed.where(~in_last).withColumn("partial", F.col("bucket") <= F.col("full")).unionByName(last)
     taken = F.col("copies") * F.col("size") + F.when(F.col("partial"), F.col("size")).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "partial", taken.cast("long").alias("taken"), *more)
 
