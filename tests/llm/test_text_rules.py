@@ -36,6 +36,22 @@ def test_broken_diagonals_are_merged(spark):
     assert got[2]["labels"] == "" and 0 < got[2]["score"] < 0.6
 
 
+def test_whole_texts_with_gaps(spark):
+    """A whole license is told where words are left out or put in, and not from a few of its phrases."""
+    r = random.Random(4)
+    rows = []
+    for i, (text, _) in enumerate(licenses.TEXTS):
+        w = text.split()
+        for at in sorted(r.sample(range(len(w)), max(1, len(w) // 60)), reverse=True):
+            w[at : at + 1] = [] if r.random() < 0.5 else [w[at], "Inserted"]
+        rows.append((i, f"{filler(i, 200)} {' '.join(w)} {filler(50 + i, 3000)}", 1))
+    rows += [(100, filler(7, 20_000), 1), (101, "THE SOFTWARE IS PROVIDED as a gift, without warranty of any kind", 1)]
+    got = {x["doc_id"]: x for x in licenses.scan(frame(spark, rows, "doc_id long, text string, score int")).collect()}
+    for i, (_, label) in enumerate(licenses.TEXTS):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= 0.6
+    assert got[100]["labels"] == got[101]["labels"] == "" and got[100]["n_words"] == 20_000
+
+
 def test_license_rows_that_repeat(spark):
     df = frame(spark, [(1, "under the mit license"), (1, "under the mit license"), (1, "none"), (None, "cc by nc"), (None, None)])
     assert sorted((r["n_base"] for r in licenses.scan(df).collect())) == [0, 0, 1, 1, 1]
