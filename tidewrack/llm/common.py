@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII letters only: other letters keep their case, as bytes.lower() does.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows that a worker handles at a time.
+SLICE_ROWS = 1000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -57,6 +63,32 @@ def shuffle_cleanup(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+def in_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of SLICE_ROWS rows at most; a worker gives back the memory that it no longer needs.
+
+    Workers outlive their tasks, and what their allocators keep would add up over the steps of a pipeline."""
+
+    def whole(batches):
+        def slices():
+            for batch in batches:
+                for i in range(0, batch.num_rows, SLICE_ROWS):
+                    yield batch.slice(i, SLICE_ROWS)
+
+        try:
+            yield from run(slices())
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Frees memory that the allocators of Arrow and of the C library hold for later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

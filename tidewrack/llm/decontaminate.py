@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import WorkArea, utf8
+from tidewrack.llm.common import WorkArea, in_slices, utf8
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.65, 0.8, 5
@@ -247,7 +247,7 @@ def build(items: DataFrame, work: WorkArea) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([length_class(len(w)) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["item_id", "text", "words", "step", "terms"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = work.write(rows.mapInArrow(described, "item_id long, text string, words long, step long, terms array<string>").where("words > 0"), "items")
+    rows = work.write(rows.transform(in_slices, described, "item_id long, text string, words long, step long, terms array<string>").where("words > 0"), "items")
     total = rows.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum(F.length("text")).alias("characters")).first()
     n, mean, limit = max(total["n"], 1), (total["words"] or 1) / max(total["n"], 1), SHARD_BYTES
     shards = max(1, math.ceil((total["characters"] or 0) / SHARD_CHARACTERS))
@@ -309,7 +309,7 @@ def contaminated(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                 found = [(ids[d], *rest) for d, *rest in scan((x.as_py().decode("utf-8", "replace") for x in batch.column(1)), indexes, threshold, overlap)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
 
-        out = out.union(df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, schema))
+        out = out.union(df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).transform(in_slices, run, schema))
     return out
 
 
@@ -328,5 +328,5 @@ def keep_clean(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ov
                 hit = {d for d, *_ in scan(texts, indexes, threshold, overlap)}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
+        df = df.transform(in_slices, run, df.schema)
     return df

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.llm.common import in_slices
 from tidewrack.llm.trees import Trees, boost
 
 PAGES, SEED = 1200, 10
@@ -471,4 +472,4 @@ def extract(df: DataFrame, trees: Trees | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    return df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).transform(in_slices, run, "page_id long, url string, text string, n_chars long")

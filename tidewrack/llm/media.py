@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import WorkArea, shuffle_cleanup, utf8
+from tidewrack.llm.common import WorkArea, in_slices, shuffle_cleanup, utf8
 
 RATE, UNIT = 8000, 64
 SMALLEST, LARGEST, CUT_BITS, WINDOW = 2048, 65536, 13, 32
@@ -112,7 +112,7 @@ def manifests(df: DataFrame) -> DataFrame:
                 lists.append([hashlib.sha256(c).digest() for c in _chunks(media)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "digests"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, "doc_id long, n_bytes long, media binary, digests array<binary>")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).transform(in_slices, run, "doc_id long, n_bytes long, media binary, digests array<binary>")
 
 
 def fit_dictionary(df: DataFrame) -> bytes:
@@ -163,7 +163,7 @@ def chunk_rows(df: DataFrame, dictionary: bytes, part: int = 0, parts: int = 1)
                     digests, data, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["digest", "data"])
 
-    return df.select(utf8().alias("bytes")).mapInArrow(run, "digest binary, data binary")
+    return df.select(utf8().alias("bytes")).transform(in_slices, run, "digest binary, data binary")
 
 
 def store(df: DataFrame, dictionary: bytes, known: DataFrame | None = None, name: str | None = None) -> DataFrame:
@@ -203,7 +203,7 @@ def rebuild(files: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame
             kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return single.union(several).mapInArrow(run, schema)
+    return single.union(several).transform(in_slices, run, schema)
 
 
 def digest_columns(spark: SparkSession, df: DataFrame) -> DataFrame:

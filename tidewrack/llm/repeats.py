@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import WorkArea, utf8
+from tidewrack.llm.common import WorkArea, in_slices, utf8
 
 LENGTH, WINDOW, REACH, PIECE = 400, 32, 160, 8
 GEAR = np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -101,7 +101,7 @@ def unit_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
                     yield flush()
             yield flush()
 
-    return docs.mapInArrow(run, "stretch long, context long, doc long, own long, lo int, hi int, at int")
+    return docs.transform(in_slices, run, "stretch long, context long, doc long, own long, lo int, hi int, at int")
 
 
 def piece_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -140,7 +140,7 @@ def piece_rows(docs: DataFrame, length: int) -> DataFrame:
                     yield flush()
             yield flush()
 
-    return docs.mapInArrow(run, "stretch long, context long, doc long, own long, lo int, strings array<long>")
+    return docs.transform(in_slices, run, "stretch long, context long, doc long, own long, lo int, strings array<long>")
 
 
 def recurring(rows: DataFrame, keys: list[str], work: WorkArea, name: str) -> DataFrame:
@@ -211,7 +211,7 @@ def deduplicate(df: DataFrame, length: int = LENGTH, reach: int = REACH) -> Data
                 runs.append(len(spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return docs.join(found, ["doc", "own"], "left").select("doc_id", "data", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.join(found, ["doc", "own"], "left").select("doc_id", "data", "spans").transform(in_slices, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, str]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import utf8
+from tidewrack.llm.common import in_slices, utf8
 from tidewrack.llm.trees import Trees, forest
 
 FINDINGS, SEED, SECRET, BESIDE = 6000, 11, 0.5, 40
@@ -208,7 +208,7 @@ def scan(df: DataFrame, trees: Trees | None = None) -> DataFrame:
                 rows += [(doc_id, a, b, kind, hashlib.sha256(text[a:b].encode()).hexdigest(), s, s >= SECRET) for a, b, kind, s in findings(text, shared.value)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, "doc_id long, start int, end int, kind string, value_sha256 string, score double, is_secret boolean")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).transform(in_slices, run, "doc_id long, start int, end int, kind string, value_sha256 string, score double, is_secret boolean")
 
 
 def redact(df: DataFrame, trees: Trees | None = None, mask: str = "[SECRET]") -> DataFrame:
@@ -226,4 +226,4 @@ def redact(df: DataFrame, trees: Trees | None = None, mask: str = "[SECRET]") ->
                 out.append(text)
             yield batch.set_column(place, "text", pa.array(out, pa.string()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(in_slices, run, df.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import WorkArea, utf8
+from tidewrack.llm.common import WorkArea, in_slices, utf8
 from tidewrack.llm.components import connected_components
 
 SEED, BITS, CHUNK = 42, 64, 1 << 16
@@ -77,7 +77,7 @@ def fingerprints(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
             fps = [(fingerprint(x.as_py(), k) ^ (1 << 63)) - (1 << 63) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), utf8(text_col).alias("data")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), utf8(text_col).alias("data")).transform(in_slices, run, "doc_id long, text_hash long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -92,7 +92,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
         cells = np.concatenate([[n], both.ravel()]).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], ["cell", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = fps.select("fp").transform(in_slices, run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     cells = np.zeros(BITS * BITS + 1)
     for r in rows:
         cells[r["cell"]] = r["n"]
@@ -287,7 +287,7 @@ def _nodes(df: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(shingle_set(x.as_py(), k)) for x in batch.column(2)], pa.int64())], ["doc_id", "text_hash", "node"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), utf8().alias("data")).mapInArrow(run, "doc_id long, text_hash long, node long")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), utf8().alias("data")).transform(in_slices, run, "doc_id long, text_hash long, node long")
 
 
 def _prefixes(df: DataFrame, k: int, jaccard: float, common: np.ndarray) -> DataFrame:
@@ -316,7 +316,7 @@ def _prefixes(df: DataFrame, k: int, jaccard: float, common: np.ndarray) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, places, sizes)], ["key", "node", "place", "size"])
 
     # Rows of one key and node are the same: shuffled by both, a frequent key spreads over all tasks.
-    return df.select(utf8().alias("data")).mapInArrow(run, "key long, node long, place int, size int").dropDuplicates(["key", "node"])
+    return df.select(utf8().alias("data")).transform(in_slices, run, "key long, node long, place int, size int").dropDuplicates(["key", "node"])
 
 
 def _common(df: DataFrame, k: int) -> np.ndarray:
@@ -328,7 +328,7 @@ def _common(df: DataFrame, k: int) -> np.ndarray:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.repeat([n for _, n in found], [len(h) for h, _ in found]))], ["key", "node"])
 
-    rows = df.select(utf8().alias("data")).mapInArrow(run, "key long, node long").dropDuplicates(["key", "node"])
+    rows = df.select(utf8().alias("data")).transform(in_slices, run, "key long, node long").dropDuplicates(["key", "node"])
     top = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(COMMON)
     return np.sort(np.array([r["key"] for r in top.select("key").collect()], np.int64).view(np.uint64))
 
@@ -343,7 +343,7 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
             wide = np.stack([wide_fingerprint(h) for h in found]) if found else np.zeros((0, LANES), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found], pa.int64()), *(pa.array(wide[:, i]) for i in range(LANES)), pa.array([h.tobytes() for h in found], pa.binary())], names)
 
-    return df.select(utf8().alias("data")).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", hashes binary")
+    return df.select(utf8().alias("data")).transform(in_slices, run, ", ".join(f"{c} long" for c in names[:-1]) + ", hashes binary")
 
 
 FP = [f"f{i}" for i in range(LANES)]
@@ -369,7 +369,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in FP[1:]), F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))))
     close = pairs.join(fps["a"], "a").join(fps["b"], "b").where((F.least("na", "nb") < SKETCHED) | (apart <= sketch_radius(jaccard))).select("a", "b")
     a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"h{s}")) for s in "ab")
-    return close.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return close.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").transform(in_slices, run, "a long, b long")
 
 
 def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float = 0.8) -> DataFrame:

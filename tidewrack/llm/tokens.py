@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import utf8
+from tidewrack.llm.common import in_slices, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut into words.
@@ -142,7 +142,7 @@ def attribute(df: DataFrame, rule: str = "start", encoder: Encoder | None = None
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "section", "start", "end", "tokens", "crossing"])
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"), *([F.col(sections)] if sections else [])]
-    return df.select(*columns).mapInArrow(run, SCHEMA)
+    return df.select(*columns).transform(in_slices, run, SCHEMA)
 
 
 def join_fields(df: DataFrame, fields: list[str], separator: str = "\n") -> DataFrame:

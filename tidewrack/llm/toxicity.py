@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import utf8
+from tidewrack.llm.common import in_slices, utf8
 
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1200, 2000, 16_000_000
 #: One document of the sample gives at most this part of the characters of its class: its first ones.
@@ -404,7 +404,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 spans.append([{"start": a, "end": b, "probability": p} for a, b, p in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "score", "spans"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, "doc_id long, score double, spans array<struct<start: int, end: int, probability: double>>")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).transform(in_slices, run, "doc_id long, score double, spans array<struct<start: int, end: int, probability: double>>")
 
 
 def keep_clean(df: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -416,7 +416,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float) -> DataFrame:
             texts = [x.as_py() or "" for x in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array([s < threshold for s, _ in shared.value.score_texts(texts)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(in_slices, run, df.schema)
 
 
 def held_out(doc_id="doc_id"):
