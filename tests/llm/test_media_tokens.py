@@ -148,3 +148,8 @@ def test_attribution_in_spark(spark, encoder):
     rows = tokens.attribute(fields, "start", encoder, sections="field_spans").orderBy("section").collect()
     assert [r["tokens"] for r in rows if r["section"] >= 0] == [2, 0, 2]
     assert tokens.attribute(df.where("false")).count() == 0
+
+
+def test_a_missing_vocabulary_is_named():
+    with pytest.raises(ValueError, match="/nowhere/at.all"):
+        tokens.Encoder("/nowhere/at.all")

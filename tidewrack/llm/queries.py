@@ -21,8 +21,8 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.attribute(read_table(spark, sf_dir, "documents"), rule="majority")
+def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    return tokens.attribute(read_table(spark, sf_dir, "documents"), rule="majority", encoder=tokens.Encoder(vocabulary))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

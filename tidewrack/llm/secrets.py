@@ -10,7 +10,8 @@ checksums, commit ids, UUIDs, card numbers, versions, placeholders, paths, addre
 
 Edge cases: a null or empty text has no candidates; overlapping candidates are reduced to the one that starts
 first (the longest of those); offsets are characters; ids may be null or repeat, each row is scanned by
-itself; one very long text is scanned whole; an empty table gives no rows.
+itself, so repeated rows give the same; a score of SECRET counts as a secret; one very long text is scanned whole; other
+columns, whatever their names, are not read by scan and pass redact as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations

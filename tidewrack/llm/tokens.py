@@ -13,8 +13,9 @@ Tokens outside every section are counted under a section of their own, numbered
 sections are lines, each with the line break that ends it.
 
 Edge cases: a null or empty text has one empty line with no tokens; an empty section has none; ids may be
-null or repeat, since each row is encoded by itself; the strings of special tokens are ordinary text; an
-empty table gives no rows.
+null or repeat, since each row is encoded by itself; the strings of special tokens are ordinary text; a very long text
+is encoded whole; where two sections hold equally much of a token the earlier one gets it; other columns, whatever their
+names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,8 +53,11 @@ class Encoder:
     """A byte-level BPE vocabulary, read once on the driver and sent with the task (about 1 MB)."""
 
     def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
-        with open(path, "rb") as f:
-            self.ranks = f.read()
+        try:
+            with open(path, "rb") as f:
+                self.ranks = f.read()
+        except OSError as e:
+            raise ValueError(f"no vocabulary can be read at {path}: give the path of one in the .tiktoken format") from e
         self.pattern, self.key = pattern, hashlib.sha256(self.ranks).hexdigest()
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
