@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewrack.functions import numbers, text
-from tidewrack.operators import migrate, rules, scoring, sinks, snapshot, study, table
+from tidewrack.operators import checks, migrate, rules, scoring, sinks, snapshot, study, table
 from tidewrack.plans.registry import query, read
 from tidewrack.session import shared_folder
 from tidewrack.sources import documents
@@ -527,3 +527,59 @@ def log_files(spark, sf_dir):
     read(spark, sf_dir, "events").select(line.alias("value")).write.option("compression", "gzip").text(path)
     parsed = log_lines.parse(log_lines.read(spark, path))
     return parsed.groupBy(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("user_id")).agg(F.count("*").alias("lines"))
+
+
+# --- reference data and study as facts -------------------------------------------------------------------------
+
+
+def _grid(spark, sf_dir):
+    """Parts as nodes of a grid: every tenth has a slug that is not made from its name, sizes are branches."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("Nœud n° "), k.cast("string"))
+    return read(spark, sf_dir, "part").select(
+        k.alias("id"), F.floor(k / 100).cast("long").alias("branche"), name.alias("noeud"), F.concat(F.when(k % 10 == 0, "Nud_n-").otherwise("nud-n-"), k.cast("string")).alias("slug_noeud"), F.col("p_type").alias("source_requise"),
+        F.concat(F.lit("seo/b"), F.floor(k / 100).cast("string"), F.lit("/n"), k.cast("string")).alias("chemin"), F.col("p_size").alias("size"), F.col("p_name").alias("name"),
+    )
+
+
+CHECK_SQL = """
+WITH n AS (SELECT p_partkey AS id, p_partkey // 100 AS branche, p_type, p_size, p_name, 'seo/b' || p_partkey // 100 || '/n' || p_partkey AS chemin FROM part), t AS (SELECT count(*) AS c, count(DISTINCT branche) AS b FROM n),
+o(name, subject) AS (
+  SELECT 'counts', 'nodes: ' || c FROM t WHERE c <> 89 UNION ALL SELECT 'counts', 'branches: ' || b FROM t WHERE b <> 17
+  UNION ALL SELECT 'slugs', 'Nud_n-' || id FROM n WHERE id % 10 = 0
+  UNION ALL SELECT 'scattered', CAST(p_size % 5 AS VARCHAR) FROM n GROUP BY p_size % 5 HAVING max(id) - min(id) + 1 <> count(*)
+  UNION ALL SELECT 'client data', CAST(id AS VARCHAR) FROM n WHERE regexp_matches(p_name, '\\bring\\b')
+  UNION ALL SELECT 'bounds', id || '.size' FROM n WHERE p_size > 40
+  UNION ALL SELECT 'empty folders', 'seo/b' || b FROM (SELECT DISTINCT branche AS b FROM n) WHERE b % 2 = 1
+  UNION ALL SELECT 'versions', chemin FROM n WHERE p_size = 7
+  UNION ALL SELECT 'registry', 'v3' UNION ALL SELECT 'registry', 'v1'
+  UNION ALL SELECT 'summary', p_type FROM n GROUP BY p_type HAVING count(*) % 2 = 1
+  UNION ALL SELECT 'sources', p_type FROM (SELECT DISTINCT p_type FROM n) WHERE p_type > 'M' UNION ALL SELECT 'sources', 'NEVER NEEDED'
+  UNION ALL SELECT 'tree', chemin FROM n WHERE id % 50 = 3 UNION ALL SELECT 'tree', 'seo/extra'
+  UNION ALL SELECT 'sections', id || ': Preuves' FROM n WHERE id % 7 = 0
+  UNION ALL SELECT 'transposable', chemin FROM n WHERE id % 97 = 5
+  UNION ALL SELECT 'projections', id || ':2' FROM n WHERE id % 9 = 4)
+SELECT c.name, count(o.subject) = 0 AS ok, count(o.subject) AS n, coalesce(array_to_string((list_sort(list(o.subject)))[1:5], ','), '') AS examples
+FROM (VALUES ('counts'), ('slugs'), ('scattered'), ('client data'), ('bounds'), ('empty folders'), ('versions'), ('registry'), ('summary'), ('sources'), ('tree'), ('sections'), ('counters'), ('transposable'), ('projections')) c(name) LEFT JOIN o USING (name) GROUP BY 1"""
+
+
+@query(CHECK_SQL)
+def reference_checks(spark, sf_dir):
+    nodes = _grid(spark, sf_dir)
+    texts = nodes.select("id", F.concat(F.lit("## Constat\nup 5 "), F.when(F.col("id") % 9 == 4, "%").otherwise("% [a.csv]"), F.when(F.col("id") % 7 == 0, "").otherwise("\n## Preuves\nx")).alias("text"))
+    registry = spark.createDataFrame([("v0", "v1"), ("v1", "v2"), ("v1", "v3")], "de string, vers string")
+    counted = nodes.groupBy("source_requise").agg(F.count("*").alias("n"))
+    files = nodes.where("branche % 2 = 0").select(F.col("chemin").alias("path"))
+    folders = nodes.select(F.concat(F.lit("seo/b"), F.col("branche").cast("string")).alias("path")).distinct()
+    sheets = nodes.where("id % 50 <> 3").select("chemin").unionByName(spark.createDataFrame([("seo/extra",)], "chemin string"))
+    states = snapshot.state_counters(nodes.withColumn("state", F.lit("fait")), "state")
+    found = checks.facts({
+        "counts": checks.wrong_counts(nodes), "slugs": checks.bad_slugs(nodes), "scattered": checks.scattered_branches(nodes.withColumn("branche", F.col("size") % 5)),
+        "client data": checks.client_data(nodes, "name", ["Ring"], "id"), "bounds": checks.out_of_bounds(nodes, "id", {"size": (1, 40), "branche": (0, 10**9)}),
+        "empty folders": checks.empty_folders(folders, files), "versions": checks.other_versions(nodes.withColumn("version", F.when(F.col("size") != 7, "v2")), "v2", "chemin"), "registry": checks.stale_registry(registry, "v2"),
+        "summary": checks.wrong_summaries(counted.withColumn("n", F.col("n") - F.col("n") % 2), nodes, "source_requise"),
+        "sources": checks.unlisted_sources(nodes, nodes.where("source_requise <= 'M'").select("source_requise").unionByName(spark.createDataFrame([("NEVER NEEDED",)], "source_requise string"))),
+        "tree": checks.sheets_off_tree(nodes, sheets), "sections": checks.missing_sections(texts, "id", "text", ("Constat", "Preuves")), "counters": checks.wrong_counters(states, states),
+        "transposable": checks.not_transposable(nodes.select(F.col("chemin").alias("subject"), F.when(F.col("id") % 97 == 5, "v9").otherwise("v1").alias("version")), migrate.chains(registry, "v0")), "projections": checks.bare_projections(texts, "text", "id"),
+    })
+    return found.withColumn("examples", F.array_join("examples", ","))
