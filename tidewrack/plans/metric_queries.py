@@ -75,10 +75,10 @@ def few_inbound(spark, sf_dir):
     return grid.few_inbound(_money(spark, sf_dir).where("money"), "links", least=600).select("id", "links")
 
 
-@query("SELECT c_custkey AS query FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS query FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def uncovered_money_queries(spark, sf_dir):
     money = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("query"))
-    return grid.uncovered(money, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query")))
+    return grid.uncovered(money, read(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("query")))
 
 
 @query("SELECT count(DISTINCT l_suppkey) AS value, count(DISTINCT l_suppkey) >= 50 AS ok FROM lineitem")
@@ -153,9 +153,9 @@ def engagement_gap(spark, sf_dir):
     return grid.engagement_gap(read(spark, sf_dir, "events").select("event_type", "value"), "event_type", "value")
 
 
-@query("SELECT event_type, quantile_cont(value, 0.9) AS q FROM events GROUP BY 1")
+@query("SELECT event_type, round(quantile_cont(value, 0.9), 9) AS q FROM events GROUP BY 1")
 def value_quantiles(spark, sf_dir):
-    return table.quantile(read(spark, sf_dir, "events"), ["event_type"], "value", 0.9, "q")
+    return table.quantile(read(spark, sf_dir, "events"), ["event_type"], "value", 0.9, "q").select("event_type", F.round("q", 9).alias("q"))
 
 
 @query("SELECT count(*) FILTER (quality = 1) / CAST(count(*) AS DOUBLE) AS value, count(*) FILTER (quality = 1) / CAST(count(*) AS DOUBLE) >= 0.5 AS ok FROM labels")
@@ -172,17 +172,17 @@ def divergent_listings(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT user_id, avg((event_type = 'click')::INT::DOUBLE) AS rate, count(*) AS runs FROM events GROUP BY 1)
-SELECT avg(rate) AS rate, min(rate) AS lowest, max(rate) AS highest, stddev_samp(rate) AS spread, min(runs) AS fewest_runs FROM p""")
+SELECT round(avg(rate), 9) AS rate, round(min(rate), 9) AS lowest, round(max(rate), 9) AS highest, round(stddev_samp(rate), 9) AS spread, min(runs) AS fewest_runs FROM p""")
 def citation_rate(spark, sf_dir):
     found = grid.citation_rate(read(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "click").alias("cited")), "user_id", "cited")
     return found.select(F.round("rate", 9).alias("rate"), F.round("lowest", 9).alias("lowest"), F.round("highest", 9).alias("highest"), F.round("spread", 9).alias("spread"), "fewest_runs")
 
 
 @query("""
-SELECT s_suppkey AS url FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) AND s_acctbal <= 5000 AND s_nationkey <> 3""")
+SELECT s_suppkey AS url FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7) AND s_acctbal <= 5000 AND s_nationkey <> 3""")
 def useless_pages(spark, sf_dir):
     supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("url"), "s_acctbal", "s_nationkey")
-    clicked = read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("url"))
+    clicked = read(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_linenumber = 7").select(F.col("l_suppkey").alias("url"))
     return grid.useless_pages(supplier, clicked, supplier.where("s_acctbal > 5000"), supplier.where("s_nationkey = 3")).select("url")
 
 

@@ -289,9 +289,9 @@ def waived_redirects(spark, sf_dir):
     return redirects.waived(redirects.judged(_exports(spark, sf_dir)), waivers).select("id", "waived")
 
 
-@query(f"SELECT id FROM ({JUDGED}) WHERE k % 3 = 1 AND kinds = ''")
+@query(f"SELECT id FROM ({JUDGED}) WHERE k % 2 = 1 AND kinds = ''")
 def unused_redirect_waivers(spark, sf_dir):
-    waivers = read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 1").select(F.concat(F.element_at(F.array(*map(F.lit, "pswdbk")), (F.col("s_suppkey") % 6 + 1).cast("int")), "s_suppkey").alias("id"))
+    waivers = read(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1").select(F.concat(F.element_at(F.array(*map(F.lit, "pswdbk")), (F.col("s_suppkey") % 6 + 1).cast("int")), "s_suppkey").alias("id"))
     return redirects.unused_waivers(redirects.judged(_exports(spark, sf_dir)), waivers)
 
 
