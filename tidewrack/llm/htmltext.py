@@ -473,3 +473,13 @@ def extract(df: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     return df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).transform(in_slices, run, "page_id long, url string, text string, n_chars long")
+
+
+#: The same rows for the driver's pages, whose main text all stands between <article> and </article>, a block in each p or heading.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(body, '<br>', ' '), '</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote)(?: [^>]*)?>'), lambda x: trim(regexp_replace(
+  replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""

@@ -218,3 +218,25 @@ def digest_columns(spark: SparkSession, df: DataFrame) -> DataFrame:
     read = work.write(rebuild(files, chunks, dictionary), "read")
     spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
     return listed.drop("digests").join(read, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def _little(value: str) -> str:
+    """SQL of a number as four bytes in hexadecimal, the least first."""
+    digits = f"printf('%08x', {value})"
+    return " || ".join(f"substr({digits}, {i}, 2)" for i in (7, 5, 3, 1))
+
+
+#: The same with the file built in place: header, padded bytes, CRC-32 bit by bit, features by sample.
+ORACLE = f"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS crc),
+d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT r, doc_id, octet_length(b) AS n, b || repeat('\\x00'::BLOB, CASE WHEN octet_length(b) = 0 THEN {UNIT} ELSE ({UNIT} - octet_length(b) % {UNIT}) % {UNIT} END) AS payload FROM d),
+m AS (SELECT *, octet_length(payload) AS size, unhex('52494646' || {_little('octet_length(payload) + 36')} || '57415645666d7420' || '10000000' || '01000100' || {_little(str(RATE))} || {_little(str(RATE))} || '01000800' || '64617461' || {_little('octet_length(payload)')}) || payload AS media FROM p),
+x AS (SELECT r, i, CAST('0x' || hex(payload[i + 1 : i + 1]) AS INT) - 128 AS v FROM (SELECT r, payload, unnest(range(size)) AS i FROM m)),
+y AS (SELECT r, v, (v >= 0) <> lag(v >= 0) OVER (PARTITION BY r ORDER BY i) AS crossing FROM x),
+f AS (SELECT r, format('mean={{:.4f}};rms={{:.4f}};zcr={{:.4f}};peak={{}}', sum(v) / CAST(count(*) AS DOUBLE), sqrt(sum(v * v) / CAST(count(*) AS DOUBLE)), count(*) FILTER (crossing) / CAST(count(*) AS DOUBLE), max(abs(v))) AS feature FROM y GROUP BY r)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256,
+  xor(4294967295, list_reduce([4294967295] || list_transform(range({UNIT}), lambda j: CAST('0x' || hex(payload[size - {UNIT} + j + 1 : size - {UNIT} + j + 1]) AS BIGINT)), lambda a, c: xor(crc[(xor(a, c) & 255) + 1], a >> 8))) AS tail_crc32,
+  octet_length(media) AS media_bytes, sha256(media) AS media_sha256, feature
+FROM m JOIN f USING (r), t
+"""

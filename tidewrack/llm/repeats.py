@@ -229,3 +229,18 @@ def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int
         kept = b"".join(t[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
         out.append((len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+#: The same by counting every string of LENGTH bytes, told apart by MD5.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i + 1 : i + {LENGTH}]) AS h FROM (SELECT r, b, unnest(range(octet_length(b) - {LENGTH} + 1)) AS i FROM d WHERE octet_length(b) >= {LENGTH})),
+hit AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+fresh AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS first FROM hit),
+spans AS (SELECT r, n, min(i) AS a, max(i) + {LENGTH} AS z FROM (SELECT *, sum(first) OVER (PARTITION BY r ORDER BY i) AS n FROM fresh) GROUP BY r, n),
+runs AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS removed, count(*) AS spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM spans GROUP BY r),
+whole AS (SELECT doc_id, b, coalesce(removed, 0) AS removed, coalesce(spans, 0) AS spans, coalesce(starts, []) || [octet_length(b)] AS starts, [0] || coalesce(ends, []) AS ends FROM d LEFT JOIN runs USING (r))
+SELECT doc_id, octet_length(b) AS n_bytes, removed AS n_removed, spans AS n_spans,
+  sha256(list_reduce(list_transform(range(spans + 1), lambda j: CASE WHEN starts[j + 1] > ends[j + 1] THEN b[ends[j + 1] + 1 : starts[j + 1]] ELSE ''::BLOB END), lambda x, y: x || y)) AS kept_sha256, removed > 0 AS repeated
+FROM whole
+"""
