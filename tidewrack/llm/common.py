@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that a worker handles at a time.
 SLICE_ROWS = 1000
+#: Rows of a file of a work table whose number of rows is known.
+FILE_ROWS = 200_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,7 +45,12 @@ class WorkArea:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
+        """rows: how many there are at most, if that is known; then they go to no more files than they need.
+
+        Many files of a few rows cost more than the rows: each takes several calls to the store, and processes on some."""
+        if rows is not None:
+            df = df.coalesce(max(1, math.ceil(rows / per_file)))
         with shuffle_cleanup(self.spark):
             df.write.option("compression", codec).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")

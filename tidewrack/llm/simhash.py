@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import WorkArea, in_slices, utf8
+from tidewrack.llm.common import FILE_ROWS, WorkArea, in_slices, utf8
 from tidewrack.llm.components import connected_components
 
 SEED, BITS, CHUNK = 42, 64, 1 << 16
@@ -210,7 +210,7 @@ def _with_components(docs: DataFrame, groups: DataFrame, roots: DataFrame, key:
 
     groups: (key, rep) of each key; roots: (node, root) of the keys that have links."""
     whole = groups.join(roots.withColumnRenamed("node", "of"), F.col(key) == F.col("of"), "left").select(key, "rep", F.coalesce("root", key).alias("root"))
-    whole = work.write(whole, "roots")
+    whole = work.write(whole, "roots", rows=groups.count())
     first = whole.groupBy("root").agg(F.min("rep").alias("first"))
     named = whole.join(first, "root").select(key, "first")
     found = docs.join(named, key)
@@ -221,8 +221,9 @@ def near_duplicates(spark: SparkSession, df: DataFrame, k: int = 5, radius: int
     """(doc_id, text_hash, fp, component_id, keep) for every row: component_id is the smallest id reachable over links."""
     work = WorkArea(spark, "simhash")
     docs = work.write(fingerprints(df, k, id_col, text_col), "docs")
-    groups = work.write(docs.groupBy("fp").agg(F.min(_row()).alias("rep")), "groups")
-    roots = connected_components(links(groups.select("fp"), radius, work), work)
+    groups = work.write(docs.groupBy("fp").agg(F.min(_row()).alias("rep")), "groups", rows=docs.count())
+    edges = work.write(links(groups.select("fp"), radius, work), "links")
+    roots = connected_components(edges, work)
     return _with_components(docs, groups, roots, "fp", work)
 
 
@@ -388,11 +389,13 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
     not in one component yet and that the bounds allow are compared, linked ones included, so no component is missed. Edge cases are those of near_duplicates; texts without words are copies."""
     work = WorkArea(spark, "copies")
     docs = work.write(_nodes(df, k), "docs")
-    groups = work.write(docs.groupBy("node").agg(F.min(_row()).alias("rep")), "groups")
+    n = docs.count()
+    groups = work.write(docs.groupBy("node").agg(F.min(_row()).alias("rep")), "groups", rows=n)
     rows = work.write(_prefixes(df, k, jaccard, _common(df, k)), "prefixes")
+    n_rows = rows.count()
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Counts are written first: a join of two plain tables is one that adaptive execution can split at a frequent key.
-    met = work.write(rows.join(work.write(counts, "counts"), "key"), "met")
+    met = work.write(rows.join(work.write(counts, "counts", rows=n_rows), "key"), "met", rows=n_rows)
     work.drop("prefixes")
 
     def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
@@ -406,21 +409,23 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
         return joined.where(possible).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
     small, large = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
-    pairs = work.write(paired(side(small, "a").join(side(small, "b"), "key").where("node_a < node_b")), "pairs")
+    # A pair costs more than a row, so files of pairs and of sets are smaller.
+    pairs = work.write(paired(side(small, "a").join(side(small, "b"), "key").where("node_a < node_b")), "pairs", rows=met.count(), per_file=FILE_ROWS // 10)
+    n_pairs, n_large = pairs.count(), large.count()
     # One row of each set that is compared; a set's first row is told by its id and its text's hash.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     rep = wanted.join(groups, "node").select("rep.*").select(F.col("doc_id").alias("of"), "text_hash").distinct()
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
     texts = texts.join(rep, texts["doc_id"].eqNullSafe(rep["of"]) & (texts["text_hash"] == rep["text_hash"]), "left_semi")
-    sets = work.write(_sets(texts, k).dropDuplicates(["node"]), "sets")
-    linked = work.write(_similar(pairs, sets, jaccard), "linked")
+    sets = work.write(_sets(texts, k).dropDuplicates(["node"]), "sets", rows=2 * n_pairs + n_large, per_file=FILE_ROWS // 50)
+    linked = work.write(_similar(pairs, sets, jaccard), "linked", rows=n_pairs, per_file=FILE_ROWS // 50)
     roots = connected_components(linked, work, "cc")
     for turn in range(2):
         named = large.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
-        spread = work.write(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), f"spread-{turn}")
+        spread = work.write(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), f"spread-{turn}", rows=n_large)
         if spread.isEmpty():
             break
-        named = work.write(named.join(spread, "key"), f"large-{turn}")
+        named = work.write(named.join(spread, "key"), f"large-{turn}", rows=n_large)
         if turn == 0:  # heads: the least members in some orders, the first by what stands before the shared shingle
             order = lambda i: F.struct(F.xxhash64("root", F.lit(i)) if i else F.col("place").cast("long"), F.col("node"))
             heads = named.groupBy("key").agg(*[F.min_by(F.struct("node", "place", "size", "root"), order(i)).alias(f"h{i}") for i in range(HEADS)])
@@ -428,8 +433,8 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
         else:
             other = named
         met_again = side(named, "a", "root").join(side(other, "b", "root"), "key").where("root_a <> root_b")
-        more = work.write(paired(met_again if turn == 0 else met_again.where("node_a < node_b")), f"pairs-{turn}")
-        linked = linked.union(work.write(_similar(more, sets, jaccard), f"linked-{turn}"))
+        more = work.write(paired(met_again if turn == 0 else met_again.where("node_a < node_b")), f"pairs-{turn}", rows=n_large * (HEADS if turn == 0 else PAIRED), per_file=FILE_ROWS // 2)
+        linked = linked.union(work.write(_similar(more, sets, jaccard), f"linked-{turn}", rows=more.count(), per_file=FILE_ROWS // 50))
         roots = connected_components(linked, work, f"cc-{turn}")
     out = _with_components(docs, groups, roots, "node", work)
     for name in ("counts", "met", "pairs", "sets", "linked", *(f"{x}-{turn}" for turn in range(2) for x in ("spread", "large", "pairs", "linked"))):
@@ -442,10 +447,11 @@ def keep_one(spark: SparkSession, df: DataFrame, found: DataFrame) -> DataFrame:
     id, or the smallest hash of its text among rows that share that id or have none; of rows alike in both, one."""
     work, tag = WorkArea(spark, "keep-one"), uuid.uuid4().hex[:8]
     found = work.write(found.select(F.col("doc_id").alias(f"id_{tag}"), F.col("text_hash").alias(f"hash_{tag}"), "keep"), "found")
+    n = found.count()
     key = [f"id_{tag}", f"hash_{tag}"]
     # Which rows go, or repeat, grows with the documents, so they are never broadcast.
     gone = found.where("not keep").select(*key).distinct().hint("merge")
-    alike = work.write(found.where("keep").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "alike")
+    alike = work.write(found.where("keep").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "alike", rows=n)
     rows = df.withColumns({f"own_id_{tag}": F.col("doc_id").cast("long"), f"own_hash_{tag}": text_hash()})
     same = lambda other: rows[f"own_id_{tag}"].eqNullSafe(other[key[0]]) & (rows[f"own_hash_{tag}"] == other[key[1]])
     kept = rows.join(gone, same(gone), "left_anti")
