@@ -330,3 +330,31 @@ def keep_clean(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ov
 
         df = df.transform(in_slices, run, df.schema)
     return df
+
+
+#: The same by every score of every passage, with the constants above written out; scores have six digits.
+ORACLE = r"""
+WITH i0 AS (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark),
+i AS (SELECT row_number() OVER () AS k, item_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM i0),
+items AS (SELECT *, greatest(64, CAST(2 ** ceil(log2(len(w))) AS BIGINT)) AS step FROM i WHERE len(w) > 0),
+n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM items),
+tf AS (SELECT k, len(w) AS size, unnest(w) AS term FROM items), tfs AS (SELECT k, size, term, count(*) AS tf FROM tf GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tfs GROUP BY 1),
+raw AS (SELECT k, term, tf, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)) AS x FROM tfs JOIN df USING (term), n),
+impact AS (SELECT k, term, x / sum(x) OVER (PARTITION BY k) AS x FROM raw),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+steps AS (SELECT DISTINCT step FROM items),
+p AS (SELECT r, doc_id, step, s, w[s + 1 : s + 2 * step] AS w FROM (SELECT r, doc_id, step, w, unnest(range(0, greatest(1, len(w) - step), step)) AS s FROM d, steps)),
+pt AS (SELECT DISTINCT r, step, s, unnest(w) AS term FROM p),
+hits AS (SELECT r, t.step, s, x.k, sum(x.x) AS score FROM pt t JOIN impact x USING (term) JOIN items i ON i.k = x.k AND i.step = t.step GROUP BY ALL HAVING sum(x.x) >= 0.65 - 1e-4),
+cut AS (SELECT k, item_id, step, w, body, regexp_extract(body, '^(.*)\n', 1, 's') AS q1, regexp_extract(body, '([^\n]*)$', 1) AS a1, list_filter(string_split(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS sentences FROM items),
+halves AS (SELECT *, contains(body, chr(10)) AND regexp_matches(q1, '[\p{L}\p{N}]') AND regexp_matches(a1, '[\p{L}\p{N}]') AS by_line FROM cut),
+parts AS (SELECT k, item_id, step, w, CASE WHEN by_line THEN regexp_extract_all(lower(q1), '[\p{L}\p{N}]+') WHEN len(sentences) > 1 THEN regexp_extract_all(lower(array_to_string(sentences[1 : len(sentences) - 1], ' ')), '[\p{L}\p{N}]+') ELSE w[1 : len(w) // 2] END AS q,
+  CASE WHEN by_line THEN regexp_extract_all(lower(a1), '[\p{L}\p{N}]+') WHEN len(sentences) > 1 THEN regexp_extract_all(lower(sentences[len(sentences)]), '[\p{L}\p{N}]+') ELSE w[len(w) // 2 + 1 : len(w)] END AS a FROM halves),
+m AS (SELECT h.r, p.doc_id, h.s, h.k, item_id, round(score, 6) AS score, p.w AS pw, parts.w AS iw, q, a FROM hits h JOIN p USING (r, step, s) JOIN parts ON parts.k = h.k),
+o AS (SELECT *, list_distinct(list_transform(range(greatest(1, len(iw) - 4)), lambda j: array_to_string(iw[j + 1 : j + 5], ' '))) AS own, list_distinct(list_transform(range(greatest(1, len(pw) - 4)), lambda j: array_to_string(pw[j + 1 : j + 5], ' '))) AS have FROM m),
+v AS (SELECT r, doc_id, item_id, k, score, len(list_intersect(own, have)) / CAST(len(own) AS DOUBLE) AS sh,
+  list_sum(list_transform(list_distinct(q), lambda t: least(len(list_filter(q, lambda x: x = t)), len(list_filter(pw, lambda x: x = t))))) / CAST(len(q) AS DOUBLE) AS qo,
+  list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(pw, lambda x: x = t))))) / CAST(len(a) AS DOUBLE) AS ao FROM o),
+b AS (SELECT r, doc_id, item_id, k, max((score, sh, qo, ao)) AS best FROM v WHERE least(sh, qo, ao) >= 0.8 GROUP BY r, doc_id, item_id, k)
+SELECT doc_id, item_id, best[1] AS score, best[2] AS shingle_overlap, best[3] AS question_overlap, best[4] AS answer_overlap FROM b
+"""

@@ -18,7 +18,8 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
@@ -56,4 +57,4 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_media_chunks, op3_benchmark_decontamination, op4_token_counts, op5_license_scan, op6_simhash_near_dedup, op7_toxicity, op8_repeated_bytes, op9_source_mixing, op10_main_text)}
-ORACLES = {"op2_media_chunks": media.ORACLE, "op10_main_text": htmltext.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_repeated_bytes": repeats.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLES = {"op2_media_chunks": media.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op10_main_text": htmltext.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_repeated_bytes": repeats.ORACLE, "op9_source_mixing": mixing.ORACLE}
