@@ -106,6 +106,57 @@ def site(spark):
     return declared, edges, spark.createDataFrame([("/",)], "node string")
 
 
+def test_bounded_crawl(spark):
+    """A cap leaves pages unvisited and the coverage says so; forbidden pages are known and never visited; declared ones come last."""
+    declared, edges, root = site(spark)
+    whole = graph.crawl(edges, root, cap=50, declared=declared)
+    rows = {r["node"]: (r["depth"], r["found_by"], r["visited"]) for r in whole.collect()}
+    assert len(rows) == 12 and rows["/"] == (0, "link", True) and rows["/c"] == (1, "link", True) and rows["/o7"] == (None, "declared", True)
+    assert graph.coverage(declared, whole.where("visited"), cap=50).first()["complete"]
+    capped = graph.crawl(edges, root, cap=3, declared=declared)
+    assert {r["node"] for r in capped.where("visited").collect()} == {"/", "/a", "/b"}
+    gate = graph.coverage(declared, capped.where("visited"), cap=3).first()
+    assert not gate["complete"] and gate["reason"] == "cap_reached" and gate["unvisited"] == 9
+    blocked = spark.createDataFrame([("/a",), ("/c",)], "node string")
+    seen = graph.crawl(edges, root, cap=50, blocked=blocked)
+    assert {r["node"] for r in seen.where("visited").collect()} == {"/", "/b"} and seen.count() == 4
+    assert graph.coverage(seen, seen.where("visited"), blocked).first()["reason"] == "blocked_by_robots"
+    fan = spark.createDataFrame([("/", f"/p{i:03d}") for i in range(100)], "src string, dst string")
+    assert graph.crawl(fan, root, cap=4).count() == 1 + graph.QUEUE_FACTOR * 4 - 1
+    assert graph.crawl(edges, root.where("false"), cap=4).count() == 0
+
+
+def test_quantiles_of_hot_groups(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = [("hot", float(v)) for v in r.integers(0, 40, 500)] + [("cold", 1.0), (None, 2.0), (None, 5.0), ("hot", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {x["g"]: x["q"] for x in table.quantile(df, ["g"], "v", q, "q").collect()}
+        assert got == {g: pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], q)) for g in ("hot", "cold", None)}
+    assert table.quantile(df, [], "v", 0.5, "q").first()["q"] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.5))
+    assert table.quantile(df.where("false"), ["g"], "v", 0.5, "q").count() == 0
+
+
+def test_rerun_of_a_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    for part in (rows, rows, rows.where("k = 'a'")):
+        sinks.write_partitioned(part, str(tmp_path / "p"), "k")
+    assert spark.read.json(str(tmp_path / "p")).count() == 2
+
+
+def test_cited_ids_end_at_their_digits(spark):
+    df = spark.createDataFrame([("nodes 35-38 and node 12",)], "t string")
+    row = migrate.cited_moves(df, "t", {3: 4, 35: 36, 12: 13}).first()
+    assert row["moved"] == [12] and row["ranges"] == ["35-38"]
+
+
+def test_drift_names_rows_on_one_side(spark):
+    a, b = spark.createDataFrame([(1, None), (2, "x")], "id int, v string"), spark.createDataFrame([(2, "x"), (3, None)], "id int, v string")
+    assert {(r["id"], r["side"]) for r in rules.drift(a, b, "id", ["v"]).collect()} == {(1, "only_left"), (3, "only_right")}
+
+
 def test_orphans_and_depth(spark):
     declared, edges, root = site(spark)
     assert graph.orphans(declared, edges, F.lit("/")).count() == 8
