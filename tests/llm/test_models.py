@@ -294,3 +294,32 @@ def test_a_long_document_does_not_end_the_sample(spark):
     model = toxicity.fit(documents, spark.createDataFrame([*labels, (first, 0)], "doc_id long, toxic int"))
     got = {x["doc_id"]: x["score"] for x in toxicity.score(documents.where("doc_id < 300"), model).collect()}
     assert min(got[i] for i in got if i % 3 == 0) > 0.5 > max(got[i] for i in got if i % 3)
+
+
+def test_secret_query_against_a_plain_search(spark):
+    """The tables' secrets are forty hexadecimal digits given to a token; whatever else is told a secret would be a mistake."""
+    import hashlib
+    import re
+
+    from tidewrack.llm.queries import op1_secret_scan
+
+    got = op1_secret_scan(spark, LARGER).collect()
+    told = {(r["doc_id"], r["start"], r["end"], r["value_sha256"]) for r in got if r["is_secret"]}
+    want = set()
+    for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect():
+        want |= {(r["doc_id"], *m.span(1), hashlib.sha256(m[1].encode()).hexdigest()) for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"] or "")}
+    assert want and want <= told and len(told - want) <= 0.02 * len(want) + 1
+
+
+def test_toxicity_query_scores_are_those_of_the_model(spark):
+    """The registered query over the whole table, against one text at a time, by one pass over each whole chain."""
+    from tidewrack.llm.queries import op7_toxicity
+
+    rows = {r["doc_id"]: r for r in op7_toxicity(spark, LARGER).collect()}
+    documents = spark.read.parquet(f"{LARGER}/documents.parquet")
+    model = toxicity.fit(documents, spark.read.parquet(f"{LARGER}/labels.parquet"))
+    for r in documents.limit(150).collect():
+        words = toxicity.WORD.findall((r["text"] or "").lower())
+        e = model.emissions(words)
+        p = toxicity.marginals(e[None], np.ones((1, len(e)), bool), model.step, model.start)[0][0] if words else np.zeros(0)
+        assert rows[r["doc_id"]]["score"] == pytest.approx(model.score(p), abs=1e-9) and rows[r["doc_id"]]["predicted"] == (model.score(p) >= 0.3)

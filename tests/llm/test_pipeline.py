@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 import corpus_pipeline
 
@@ -47,3 +48,70 @@ def test_edge_rows_in_every_stage(spark):
             assert len(got) == len(rows)
         empty = stage(spark, docs.where("false"), LARGER)
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", LARGER])
+def test_near_dedup_against_every_pair(spark, folder):
+    """The stage over the whole table keeps one document of each component of pairs at 0.8 or more, of all pairs there are."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids, links = sorted(sets, key=lambda i: len(sets[i])), 0
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if len(x) < 0.8 * len(y) - 1e-9:
+                break  # longer ones are further off
+            both = len(x & y)
+            if both >= 0.8 * (len(x) + len(y) - both) - 1e-9:
+                low, high = sorted((root(a), root(b)))
+                parent[high], links = low, links + 1
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, folder).select("doc_id").collect()}
+    assert kept == {i for i in sets if root(i) == i} and links > 10
+
+
+def test_stages_one_by_one_against_plain_versions(spark):
+    """Decontamination, secrets and mixing over the whole table, each against what a plain reading of its input says."""
+    from tidewrack.llm import decontaminate, secrets
+
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{LARGER}/benchmark.parquet").collect()]
+    hit = set()
+    for i, t in texts.items():
+        words = decontaminate.tokens(t)
+        grams = decontaminate.shingles(words)
+        for item in items:
+            own = decontaminate.shingles(decontaminate.tokens(item))
+            if len(own & grams) == len(own):
+                hit.add(i)
+    clean = {r["doc_id"] for r in stages["benchmark_decontamination"](spark, docs, LARGER).collect()}
+    assert hit and not hit & clean and len(texts) - len(clean) < len(hit) + 0.02 * len(texts)
+    masked = {r["doc_id"]: r["text"] or "" for r in stages["secret_scan"](spark, docs, LARGER).collect()}
+    trees = secrets.default_forest()
+    for i, t in texts.items():
+        for a, b, _, score in reversed(secrets.findings(t, trees)):
+            t = t[:a] + "[SECRET]" + t[b:] if score >= secrets.SECRET else t
+        assert masked[i] == t
+    mixed = stages["source_mixing"](spark, docs, LARGER)
+    want = {r[0]: r[1] for r in duckdb.sql(corpus_mix()).fetchall()}
+    got = {r["doc_id"]: r["taken"] for r in mixed.collect()}
+    assert got == {i: n for i, n in want.items() if i in got} and sum(got.values()) == sum(want.values())
+
+
+def corpus_mix():
+    from tidewrack.llm import mixing
+
+    for t in ("documents", "labels"):
+        duckdb.sql(f"create or replace view {t} as select * from '{LARGER}/{t}.parquet'")
+    return f"select doc_id, taken from ({mixing.ORACLE})"
