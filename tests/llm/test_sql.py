@@ -32,6 +32,9 @@ COLUMNS = {
     "op8": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
     "op9": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op10": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op11": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+    "op12": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+    "op13": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint", "output_sha256": "string", "restored_sha256": "string"},
 }
 
 
@@ -41,5 +44,5 @@ def test_columns(spark, small, name):
     want = COLUMNS.get(name.split("_")[0], {})
     assert want.items() <= dict(got.dtypes).items()
     table = "pages" if name.startswith("op10") else "documents"
-    if want:
+    if want and not name.startswith("op12"):
         assert got.count() == spark.read.parquet(f"{small}/{table}.parquet").count()
