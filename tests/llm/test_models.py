@@ -230,18 +230,109 @@ def test_decoding_never_contradicts_itself():
     odds = np.array([r.uniform(-3, 3) for _ in nodes])
 
     def value(labels):
-        total = 0.0
-        for i, v in enumerate(nodes[1:], 1):
-            if labels[v.parent]:
-                total += -np.logaddexp(0, -odds[i] if labels[i] else odds[i])
-            elif labels[i]:
-                return -np.inf
-        return total
+        if any(labels[i] and not labels[v.parent] for i, v in enumerate(nodes[1:], 1)):
+            return -np.inf
+        return sum(-np.logaddexp(0, -odds[i] if labels[i] else odds[i]) for i in range(1, len(nodes)))
 
     best = max(value((True, *c)) for c in itertools.product((True, False), repeat=11))
     assert value(htmltext.decode(nodes, odds)) == pytest.approx(best)
 
 
+SENTENCE = "Some plain sentence with a number of words that goes on, and on."
+
+
+def framed(body):
+    return f"<html><body><nav><a href=/>Home</a> <a href=/x>About</a></nav>{body}<footer>&copy; Me</footer></body></html>"
+
+
+def main_text(page):
+    return next(htmltext.texts([page], htmltext.train()))
+
+
+@pytest.mark.parametrize("n", [1, 100, 8000, 50_000])
+def test_articles_of_any_length(n):
+    paragraphs = [f"This is paragraph number {i}, with some ordinary words in it." for i in range(n)]
+    assert main_text(framed(f"<article>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article>")) == "\n\n".join(paragraphs)
+
+
+@pytest.mark.parametrize("n", [0, 10, 1000, 3000])
+def test_wrappers_of_any_depth(n):
+    assert main_text(framed("<div>" * n + f"<p>{SENTENCE}</p><p>{SENTENCE}</p>" + "</div>" * n)) == f"{SENTENCE}\n\n{SENTENCE}"
+
+
+@pytest.mark.parametrize(("body", "n"), [
+    (f"<article><h1>Title</h1><p>{SENTENCE}</p><p>{SENTENCE}</p><section><h2>Sub</h2><p>{SENTENCE}</p><p>{SENTENCE}</p></section></article>", 4),
+    (f"<article><h1>Title</h1><p>{SENTENCE}</p><p>{SENTENCE}</p><div><p>{SENTENCE}</p></div></article>", 3),
+    (f"<article><h1>Title</h1><p>{SENTENCE}</p><p>{SENTENCE}</p><div>{SENTENCE}</div></article>", 3),
+    ("<main>" + "".join(f"<div><h2>Head {i}</h2><p>{SENTENCE}</p><p>{SENTENCE}</p></div>" for i in range(4)) + "</main>", 8),
+    (f"<article><h1>Title</h1><p>{SENTENCE}</p><ul><li><a href=/a>{SENTENCE}</a></li><li><a href=/b>{SENTENCE}</a></li></ul><p>{SENTENCE}</p></article>", 4),
+    (f"<article><p>{SENTENCE} <button>{SENTENCE}</button></p><button>Buy</button><p>{SENTENCE}</p></article>", 3),
+])
+def test_articles_of_parts(body, n):
+    found = main_text(framed(body))
+    assert found.count(SENTENCE) == n and not any(x in found for x in ("Home", "Me", "Buy"))
+
+
+def other_page(r):
+    """A page of another generator than the one that trains, and its main text."""
+    want = []
+
+    def word():
+        return "".join(r.choice("aeioukstrnmlpvdh") for _ in range(r.randint(2, 9)))
+
+    def sentence(lo=5, hi=18):
+        return " ".join(word() for _ in range(r.randint(lo, hi))).capitalize() + r.choice(".!?")
+
+    def paragraph():
+        return " ".join(sentence() for _ in range(r.randint(1, 5)))
+
+    def own(text):
+        want.append(text)
+        return text
+
+    def block(depth=0):
+        k = r.random()
+        if k < 0.45 or (k >= 0.8 and depth > 2):
+            return f"<p>{own(paragraph())}</p>"
+        if k < 0.55:
+            return f"<h2>{own(sentence(2, 6))}</h2><p>{own(paragraph())}</p>"
+        if k < 0.65:
+            return "<ul>" + "".join(f"<li>{own(sentence(3, 12))}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
+        if k < 0.72:
+            return f"<blockquote><p>{own(paragraph())}</p></blockquote>"
+        if k < 0.8:
+            return f"<div>{own(paragraph())}</div>"
+        tag = r.choice(["section", "div", "div"])
+        return f"<{tag}>" + "".join(block(depth + 1) for _ in range(r.randint(1, 4))) + f"</{tag}>"
+
+    def links(n):
+        return "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
+
+    top = r.choice([f'<header class="site-header"><a href="/">{word()}</a><nav><ul>{links(6)}</ul></nav></header>', f'<nav class="navbar"><ul>{links(8)}</ul></nav>', f'<div id="header"><div class="menu"><ul>{links(5)}</ul></div></div>'])
+    note = r.choice(["", f'<div class="cookie-consent"><p>{sentence()}</p><button>OK</button></div>', f'<div role="alert" class="notice">{sentence()}</div>'])
+    side = r.choice(["", f'<aside class="sidebar"><h3>{sentence(1, 3)}</h3><ul>{links(5)}</ul></aside>', f'<div class="related"><h4>{sentence(2, 4)}</h4><ul>{links(4)}</ul></div>'])
+    answers = r.choice(["", "", '<section id="comments"><h3>Replies</h3>' + "".join(f'<div class="comment"><p>{paragraph()}</p></div>' for _ in range(r.randint(1, 5))) + "</section>"])
+    body = f"<h1>{own(sentence(3, 8))}</h1>" + "".join(block() for _ in range(r.randint(2, 9)))
+    ad = f'<div class="advertisement"><p>{sentence()}</p></div>' if r.random() < 0.3 else ""
+    main = r.choice([f"<main><article>{body}{ad}</article>{answers}{side}</main>", f'<div class="container"><div class="row"><article class="post">{body}{ad}</article>{side}</div>{answers}</div>', f"<main>{body}</main>{side}{answers}", f'<div id="content">{body}{ad}</div>{answers}{side}'])
+    foot = r.choice([f"<footer><p>&copy; {word()}</p><ul>{links(3)}</ul></footer>", f'<div class="footer">{sentence()}</div>'])
+    form = r.choice(["", f'<form action="/s"><label>{word()}</label><input name=q><button>{word()}</button></form>'])
+    return f"<!doctype html><html><head><title>{word()}</title></head><body>{top}{note}{main}{form}{foot}</body></html>", "\n\n".join(want)
+
+
+def test_pages_of_another_generator():
+    r, exact = random.Random(77), 0
+    for _ in range(200):
+        page, want = other_page(r)
+        exact += main_text(page) == want
+    assert exact >= 190
+
+
+def test_many_kinds_of_elements_without_an_end():
+    odd = "<svg><canvas><audio><video><textarea><select><object><iframe><button><datalist>" * 3
+    assert [t for _, t in htmltext.parse(f"<body><div>{odd}<p>text</p></div><p>more</p>").blocks] == ["text", "more"]
+
+
 @pytest.mark.parametrize("html", ["<p>" * 300 + "x", "</div></p></html>text", "<table><tr><td>a<td>b<tr><td>c</table>", "<script>var x='<p>no</p>'</script><p>yes</p>", "<a href='<'>&#x110000;&nope;", "<!-- open", "<div hidden><p>no</p></div>"])
 def test_broken_markup_does_not_crash(html):
     assert isinstance(next(htmltext.texts([html], htmltext.train())), str)

@@ -3,14 +3,16 @@
 A lenient parser builds a tree of block elements; inline markup stays in the text of its block. Each node
 gets features of its tag, its attribute tokens, its depth, the density of text and links in its subtree and
 how it compares with its siblings. Boosted trees give each node's odds of belonging to the main text, or of
-holding it, if its parent does. A dynamic program then picks the likeliest labelling of the tree, in which
-everything below a rejected node is rejected, so no ancestor and descendant contradict each other. A block is kept if its node and all ancestors are.
+holding it. A dynamic program then picks the likeliest labelling of the tree among those in which
+everything below a rejected node is rejected, so no ancestor and descendant contradict each other: a node that is rejected
+pays for all nodes below it, as one that is kept does, and so the number of its children favours neither. A block is kept
+if its node and all ancestors are. Elements that hold a single element and nothing else add neither to depth nor to density.
 
 The trees are trained here, on PAGES labelled pages that a seeded generator lays out in many ways.
 
 Edge cases: null or empty html gives an empty text; unclosed, stray or crossing tags are repaired; scripts,
-styles, comments and what is in the head never are text; ids and urls may be null or repeat, since each row is
-taken by itself; a very long page is one tree like any other; other columns, whatever their names, are not read; a page
+styles, comments and what is in the head never are text, nor are buttons outside paragraphs and headings; ids and urls may be null or repeat, since each row is
+taken by itself; a very long or deep page is one tree like any other; other columns, whatever their names, are not read; a page
 with no kept block gives an empty text; an empty table gives no rows.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import in_slices
 from tidewrack.llm.trees import Trees, boost
 
-PAGES, SEED = 1200, 10
+PAGES, SEED = 1500, 10
 #: Nodes that are scored together.
 SLICE = 60_000
 #: Elements that begin and end a block, hold no content, or hold no text of the page.
@@ -40,8 +42,8 @@ SILENT = frozenset("script style noscript template head title iframe object svg
 #: Elements that may stand in a head, and those of SILENT whose text never is given back.
 HEADED = frozenset("title base basefont link meta script style noscript template".split())
 GONE = frozenset("head script style".split())
-#: Readings of a page to find its elements without an end; after them all of their tags are left open.
-READINGS = 6
+#: Blocks in which a button is part of the text.
+SENTENCES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: An element of the key closes an open one of the values, up to an element of the third set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -51,14 +53,17 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-#: Words in class, id and role attributes.
-ATTRIBUTES = (
+#: Words in class, id and role attributes of what is not main text, and of what may be.
+NOISE = (
     "nav navigation menu breadcrumb breadcrumbs header banner masthead footer sidebar side aside widget complementary contentinfo "
     "ad ads advert advertisement sponsor sponsored promo promotion cookie cookies consent notice alert modal popup overlay toast "
     "comment comments discussion reply disqus feedback form search login signup newsletter subscribe share social related recommended "
-    "tags meta author byline pagination pager toolbar hidden skip copyright legal "
+    "tags meta author byline pagination pager toolbar hidden skip copyright legal"
+).split()
+ATTRIBUTES = NOISE + (
     "article content main post entry story body text page container wrapper row col column layout prose"
 ).split()
+OUTER = "article main section nav aside header footer form ul ol table dialog details".split()
 TAGS = "html body main article section nav aside header footer div p h1 h2 h3 ul ol li table td blockquote pre figure figcaption form dl address dialog details".split()
 
 
@@ -76,11 +81,10 @@ class Node:
 class Parser(HTMLParser):
     """Block elements as a list of nodes in page order, and text blocks as (node, text)."""
 
-    def __init__(self, endless: frozenset[int] = frozenset(), open_tags: frozenset[str] = frozenset()):
+    def __init__(self, endless: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.endless, self.open_tags = endless, open_tags  # silent elements without an end, by number, and tags that count as such
+        self.endless = endless  # silent elements without an end, by number
         self.found: set[int] = set()  # more of them
-        self.seen: set[str] = set()
         self.starts: list[int] = []  # the numbers of `silent`
         self.inside: list[str] = []  # blocks that began in `silent`
         self.number = 0
@@ -121,8 +125,8 @@ class Parser(HTMLParser):
             elif tag in BLOCKS and tag not in VOID:
                 self.inside.append(tag)
             return
-        if tag in SILENT:
-            if (tag == "head" and len(self.nodes) > 1) or self.number in self.endless or tag in self.open_tags:
+        if tag in SILENT and not (tag == "button" and self.open[-1][0] in SENTENCES):
+            if (tag == "head" and len(self.nodes) > 1) or self.number in self.endless:
                 return
             self.silent.append(tag)
             self.starts.append(self.number)
@@ -219,7 +223,6 @@ class Parser(HTMLParser):
         for tag, number in zip(self.silent, self.starts, strict=True):
             if tag not in GONE:
                 self.found.add(number)
-                self.seen.add(tag)
         self.unsilence(0)
 
     def handle_data(self, data):
@@ -232,31 +235,36 @@ class Parser(HTMLParser):
 
 
 def parse(html: str) -> Parser:
-    endless, tags = frozenset(), frozenset()
-    for reading in range(READINGS + 1):
-        p = Parser(endless, tags if reading == READINGS else frozenset())
+    """Reads the page again while it finds elements without an end: what they held is text of the page.
+
+    A reading finds all elements without an end that are not within another, with those of their own tag inside them, so
+    there are about as many readings as tags that are left open within each other."""
+    endless: frozenset[int] = frozenset()
+    while True:
+        p = Parser(endless)
         p.feed(html)
         # An element whose end is missing at the end of the page must not hide what the parser still holds back.
         p.close()
         p.lost()
         p.flush()
         if not p.found:
-            break
-        # What elements without an end held is read again as text of the page.
-        endless, tags = endless | p.found, tags | p.seen
-    return p
+            return p
+        endless |= p.found
 
 
 TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
-ATTRIBUTE_NUMBER = {t: i for i, t in enumerate(ATTRIBUTES)}
+#: What passes from a node to those below it: attribute words, how many of them are NOISE, and the tag.
+PASSED = {t: i for i, t in enumerate([*ATTRIBUTES, "noise", "other", *(f"<{t}>" for t in OUTER)])}
 NUMBERS = 22
-WIDTH = NUMBERS + len(TAGS) + 2 * len(ATTRIBUTES)
+WIDTH = NUMBERS + len(TAGS) + 2 * len(PASSED)
 
 
 def features(nodes: list[Node], out: np.ndarray) -> None:
-    """Fills one row for each node. Attribute tokens count for the node, and again for its nearest ancestors."""
+    """Fills one row for each node. Attribute tokens count for the node, and again for those below it, the less the further."""
     n = len(nodes)
     chars, link, links, stops, texts, size, form, paragraphs = (np.zeros(n) for _ in range(8))
+    lone = [len(v.children) == 1 and not v.texts for v in nodes]  # a wrapper of one element
+    depth = [0] * n
     for i in range(n - 1, -1, -1):
         v = nodes[i]
         chars[i] += v.chars
@@ -265,7 +273,7 @@ def features(nodes: list[Node], out: np.ndarray) -> None:
         stops[i] += v.stops
         texts[i] += v.texts
         form[i] += v.form + (v.tag == "form")
-        size[i] += 1
+        size[i] += not lone[i]
         paragraphs[i] += v.tag == "p"
         if v.parent >= 0:
             for a in (chars, link, links, stops, texts, form, size, paragraphs):
@@ -282,32 +290,41 @@ def features(nodes: list[Node], out: np.ndarray) -> None:
         up = nodes[v.parent] if v.parent >= 0 else v
         sibs = up.children if v.parent >= 0 else [0]
         place = places[i]
+        depth[i] = depth[v.parent] + (not lone[v.parent]) if v.parent >= 0 else 0
         mean = (chars[v.parent] - up.chars) / len(sibs) if v.parent >= 0 else chars[0]
         row[:NUMBERS] = (
-            np.log1p(chars[i]), chars[i] / total, link[i] / (chars[i] + 1), links[i] / size[i], chars[i] / size[i], stops[i] / (chars[i] + 1),
-            texts[i] / size[i], np.log1p(size[i]), v.depth, len(v.children), np.log1p(v.chars), place, place / len(sibs), len(sibs),
+            np.log1p(chars[i]), chars[i] / total, link[i] / (chars[i] + 1), links[i] / max(size[i], 1), chars[i] / max(size[i], 1), stops[i] / (chars[i] + 1),
+            texts[i] / max(size[i], 1), np.log1p(size[i]), depth[i], len(v.children), np.log1p(v.chars), place, place / len(sibs), len(sibs),
             chars[i] / (mean + 1), alike[i], form[i], paragraphs[i], before / total,
             v.hidden, chars[v.parent] / total if v.parent >= 0 else 1.0, link[v.parent] / (chars[v.parent] + 1) if v.parent >= 0 else 0.0,
         )
         before += v.chars
         if v.tag in TAG_NUMBER:
             row[NUMBERS + TAG_NUMBER[v.tag]] = 1
+        own = NUMBERS + len(TAGS)
         for t in v.attributes:
-            if t in ATTRIBUTE_NUMBER:
-                row[NUMBERS + len(TAGS) + ATTRIBUTE_NUMBER[t]] = 1
+            if t in PASSED:
+                row[own + PASSED[t]] = 1
+                row[own + PASSED["noise" if PASSED[t] < len(NOISE) else "other"]] += 1
+        if v.tag in OUTER:
+            row[own + PASSED[f"<{v.tag}>"]] = 1
         if v.parent >= 0:
-            tail = NUMBERS + len(TAGS) + len(ATTRIBUTES)
-            np.maximum(out[v.parent, tail:] * 0.5, out[v.parent, NUMBERS + len(TAGS) : tail], out=row[tail:])
+            tail = own + len(PASSED)
+            np.maximum(out[v.parent, tail:] * (1.0 if lone[v.parent] else 0.5), out[v.parent, own:tail], out=row[tail:])
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
-    """The likeliest labels. odds: of keeping a node whose parent is kept; all below a rejected node is rejected."""
+    """The likeliest labels in which all below a rejected node is rejected. odds: of keeping each node."""
     keep, drop = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
     for i in range(len(nodes) - 1, 0, -1):
-        keep[nodes[i].parent] += max(keep[i], drop[i])
+        if nodes[i].hidden:
+            keep[i] = -np.inf
+        up = nodes[i].parent
+        keep[up] += max(keep[i], drop[i])
+        drop[up] += drop[i]
     kept = [False] * len(nodes)
     for i, v in enumerate(nodes):
-        kept[i] = v.parent < 0 or (kept[v.parent] and keep[i] > drop[i] and not v.hidden)
+        kept[i] = v.parent < 0 or (kept[v.parent] and bool(keep[i] > drop[i]))
     return kept
 
 
@@ -379,7 +396,9 @@ class Generator:
         if kind == "side":
             tag = r.choice(["aside", "aside", "div", "section"])
             body = "".join(self.element(["h3", "h4", "h2"], w(1, 4)) + r.choice([self.links(3, 8), f"<p>{w(6, 40, 0.1)}</p>"]) for _ in range(r.randint(1, 3)))
-            return f"<{tag}{self.attr('sidebar', 'side', 'widget', 'aside', 'related', 'recommended', 'complementary')}>{body}</{tag}>"
+            names = ("sidebar", "side", "widget", "aside", "related", "recommended", "complementary")
+            named = self.attr(*names) or (f' class="{r.choice(names)}"' if tag != "aside" else "")  # else nothing tells it from a section
+            return f"<{tag}{named}>{body}</{tag}>"
         if kind == "ad":
             name = r.choice(["ad", "ads", "advert", "ad-slot", "sponsored", "promo", "advertisement", "banner ad"])
             return self.element(["div", "div", "section", "aside"], r.choice(["", "<p>"]) + w(3, 40, 0.1), f' {r.choice(["class", "id"])}="{name}"')
@@ -397,21 +416,46 @@ class Generator:
         tag = r.choice(["section", "div", "div"])
         return f"<{tag} {r.choice(['class', 'id'])}=\"{r.choice(['comments', 'comment-list', 'discussion', 'comments-area', 'feedback', 'disqus thread'])}\">{head}{rows}{self.noise('form') if r.random() < 0.4 else ''}</{tag}>"
 
+    def wrapped(self, inside: str, names: tuple[str, ...] = ()) -> str:
+        """Wrappers around one element: none, a few, or one time in thirty many."""
+        r, k = self.r, ' data-label="keep"'
+        for _ in range(r.choice([0, 0, 0, 0, 1, 1, 2]) if r.random() < 0.97 else r.randint(5, 60)):
+            tag = r.choice(["div", "div", "section"])
+            inside = f"<{tag}{k}{self.attr(*names)}>{inside}</{tag}>"
+        return inside
+
+    def part(self) -> str:
+        """A section of an article: an unnamed or plainly named block of a heading, paragraphs, lists."""
+        r, w, k = self.r, self.words, ' data-label="keep"'
+        if r.random() < 0.3:
+            return f"<div{k}>{w(1, 80, r.choice([0, 0, 0.05]))}</div>"
+        inside = f"<{t}{k}>{w(1, 8)}</{t}>" if r.random() < 0.6 and (t := r.choice(["h2", "h3", "h4"])) else ""
+        for _ in range(r.choice([1, 1, 2, 2, 3, 6])):
+            inside += f"<p{k}>{w(1, r.choice([4, 12, 60, 140]), r.choice([0, 0, 0.04]))}</p>" if r.random() < 0.8 else f"<ul{k}>" + "".join(f"<li{k}>{w(1, 20)}</li>" for _ in range(r.randint(1, 6))) + "</ul>"
+        tag = r.choice(["section", "section", "div", "div", "div"])
+        names = self.attr("section", "chapter", "text", "block", "part", "content", "row", "col") if r.random() < 0.4 else ""
+        return self.wrapped(f"<{tag}{k}{names}>{inside}</{tag}>", ("row", "col", "block"))
+
     def article(self) -> str:
         r, w, k = self.r, self.words, ' data-label="keep"'
         parts = [f"<h1{k}>{w(2, 12)}</h1>"] if r.random() < 0.8 else []
         if parts and r.random() < 0.25:
             parts = [f"<header{k}>{parts[0]}</header>"]
-        plain = r.random() < 0.4  # nothing but paragraphs
-        for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 12, 20])):
+        plain = r.random() < 0.35  # nothing but paragraphs
+        split = not plain and r.random() < 0.2  # nothing but sections
+        for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 12, 20]) if r.random() < 0.98 else r.randint(80, 300)):
             kind = 0.0 if plain else r.random()
-            if kind < 0.66:
+            if split or 0.56 < kind < 0.66:
+                parts.append(self.part())
+            elif kind < 0.66:
                 parts.append(f"<p{k}>{r.choice(['', '<b>', ''])}{w(1, r.choice([2, 4, 12, 60, 140, 300]), r.choice([0, 0, 0.04]))}{r.choice(['</p>', '</p>', '<br>', ''])}")
-            elif kind < 0.76:
+            elif kind < 0.74:
                 parts.append(f"<{t}{k}>{w(1, 8)}</{t}>" if (t := r.choice(["h2", "h3", "h4"])) else "")
             elif kind < 0.84:
                 t = r.choice(["ul", "ol"])
-                parts.append(f"<{t}{k}>" + "".join(f"<li{k}>{w(1, 25, r.choice([0, 0, 0.1]))}{r.choice(['</li>', ''])}" for _ in range(r.randint(2, 8))) + f"</{t}>")
+                whole = r.random() < 0.35  # items that are links
+                items = [f"<a href='/x'>{w(1, r.choice([3, 14]))}</a>" if whole else w(1, 25, r.choice([0, 0, 0.1])) for _ in range(r.randint(1, 8))]
+                parts.append(f"<{t}{k}>" + "".join(f"<li{k}>{x}{r.choice(['</li>', ''])}" for x in items) + f"</{t}>")
             elif kind < 0.89:
                 parts.append(f"<blockquote{k}><p{k}>{w(5, 60)}</p></blockquote>")
             elif kind < 0.93:
@@ -427,8 +471,7 @@ class Generator:
     def page(self) -> str:
         r, k = self.r, ' data-label="keep"'
         body = self.article()
-        for _ in range(r.choice([0, 0, 0, 1])):
-            body = f"<{r.choice(['div', 'section'])}{k}{self.attr('content', 'text', 'entry-content', 'body', 'prose', 'article-body')}>{body}</div>"
+        body = self.wrapped(body, ("content", "text", "entry-content", "body", "prose", "article-body"))
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         names = self.attr("content", "article", "post", "entry", "story", "main", "page-content") if tag != "article" or r.random() < 0.4 else ""
         if tag in ("div", "section") and not names:
@@ -436,15 +479,14 @@ class Generator:
         after = self.noise("comments") if r.random() < 0.3 else ""
         inside = r.random() < 0.3
         body = f"<{tag}{k}{names}>{body}{after if inside else ''}</{tag}>{'' if inside else after}"
-        if r.random() < 0.3:
+        if r.random() < 0.3 and tag != "main":
             body = f"<main{k}>{body}{self.noise('side') if r.random() < 0.3 else ''}</main>"
         tops = [self.noise(x) for x in r.choice([["nav", "ad"], ["nav"], ["header"], ["header", "nav"], ["nav", "ad"], ["notice", "header"], ["header", "nav", "ad"], ["nav", "notice", "form"], []])]
         ends = [self.noise(x) for x in r.choice([["footer"], ["footer"], ["side", "footer"], ["share", "footer"], ["ad", "footer"], ["side", "form", "footer"], ["footer", "notice"], []])]
         if r.random() < 0.06:  # a page without a main text
             body = "" if tops or ends else self.noise("nav")
         body = "".join(tops) + body + "".join(ends)
-        for _ in range(r.choice([0, 0, 1, 2])):
-            body = f"<div{k}{self.attr('wrapper', 'container', 'page', 'row', 'layout', 'site')}>{body}</div>"
+        body = self.wrapped(body, ("wrapper", "container", "page", "row", "layout", "site"))
         return f"<!DOCTYPE html><html{k}><head><title>{self.words(2, 9)}</title></head><body{k}>{body}{r.choice(['</body></html>', '</body></html>', ''])}"
 
 
@@ -456,9 +498,8 @@ def train(pages: int = PAGES, seed: int = SEED) -> Trees:
         nodes[0].label = True
         x = np.zeros((len(nodes), WIDTH), np.float32)
         features(nodes, x)
-        below = [i for i, v in enumerate(nodes) if v.parent >= 0 and nodes[v.parent].label]
-        rows.append(x[below])
-        labels += [nodes[i].label for i in below]
+        rows.append(x[1:])
+        labels += [v.label for v in nodes[1:]]
     return boost(np.concatenate(rows), np.array(labels, float))
 
 

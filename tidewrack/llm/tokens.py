@@ -14,7 +14,7 @@ sections are lines, each with the line break that ends it.
 
 Edge cases: a null or empty text has one empty line with no tokens; an empty section has none; ids may be
 null or repeat, since each row is encoded by itself; the strings of special tokens are ordinary text; a very long text
-is encoded whole; where two sections hold equally much of a token the earlier one gets it; other columns, whatever their
+is encoded whole, with its long runs of blanks apart, as PATTERN cuts them; where two sections hold equally much of a token the earlier one gets it; other columns, whatever their
 names, are not read; an empty table gives no rows.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,9 @@ from tidewrack.llm.common import in_slices, utf8
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of blanks this long are encoded by themselves: the pattern's search for what stands behind them needs a stack as deep
+#: as the run. The tokens are the same, as the pattern cuts a run off too: whole at the text's end, else without its last blank.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 RULES = ("start", "majority", "share")
 SCHEMA = "doc_id long, section int, start int, end int, tokens double, crossing long"
 
@@ -49,6 +53,16 @@ def _encoder(ranks: bytes, pattern: str, _key: str):
     return tiktoken.Encoding("offsets", pat_str=pattern, mergeable_ranks=table, special_tokens={}), sizes
 
 
+def encode(encoding, text: str) -> list[int]:
+    """The tokens of a text that may hold long runs of blanks."""
+    out, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        out += encoding.encode_ordinary(text[at : run.start()])
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding._encode_single_piece(text[run.start() : at])
+    return out + encoding.encode_ordinary(text[at:])
+
+
 class Encoder:
     """A byte-level BPE vocabulary, read once on the driver and sent with the task (about 1 MB)."""
 
@@ -63,7 +77,7 @@ class Encoder:
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Character starts and ends of the tokens."""
         encoding, sizes = _encoder(self.ranks, self.pattern, self.key)
-        ids = np.array(encoding.encode_ordinary(text), np.int64)
+        ids = np.array(encode(encoding, text), np.int64)
         ends = np.cumsum(sizes[ids])
         starts = ends - sizes[ids]
         raw = np.frombuffer(text.encode(), np.uint8)

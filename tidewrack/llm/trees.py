@@ -33,19 +33,29 @@ def _bin(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1), edges
 
 
-def _grow(bins, edges, g, h, depth: int, ridge: float, least: float, chooser, rate: float):
+def _entries(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and cells of what is not in the first bin of its column: few, as most columns are mostly zero."""
+    row, column = np.nonzero(bins)
+    return row, column * BINS + bins[row, column]
+
+
+def _grow(bins, edges, entries, g, h, depth: int, ridge: float, least: float, chooser, rate: float):
     """One tree that lowers sum(g * v + h * v^2 / 2) over leaf values v."""
     n, width = bins.shape
+    row, place = entries
     inner = 2**depth - 1
     feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
     at = np.zeros(n, np.int64)
-    columns = np.arange(width)[None, :] * BINS + bins
     for d in range(depth):
         first, count = 2**d - 1, 2**d
-        cell = ((at - first)[:, None] * (width * BINS) + columns).ravel()
-        shape = (count, width, BINS)
-        sg = np.bincount(cell, np.repeat(g, width), count * width * BINS).reshape(shape).cumsum(axis=2)
-        sh = np.bincount(cell, np.repeat(h, width), count * width * BINS).reshape(shape).cumsum(axis=2)
+        cell = (at - first)[row] * (width * BINS) + place
+
+        def summed(v, cell=cell, first=first, count=count):
+            out = np.bincount(cell, v[row], count * width * BINS).reshape(count, width, BINS)
+            out[:, :, 0] = np.bincount(at - first, v, count)[:, None] - out.sum(axis=2)
+            return out.cumsum(axis=2)
+
+        sg, sh = summed(g), summed(h)
         tg, th = sg[:, :, -1:], sh[:, :, -1:]
         gain = sg**2 / (sh + ridge) + (tg - sg) ** 2 / (th - sh + ridge) - tg**2 / (th + ridge)
         gain[(sh < least) | (th - sh < least)] = 0
@@ -67,10 +77,10 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 5, rate: f
     """Gradient-boosted trees on the logistic loss; total() gives log odds."""
     bins, edges = _bin(x)
     base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    score, grown = np.full(len(y), base), []
+    entries, score, grown = _entries(bins), np.full(len(y), base), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        f, t, v, leaf = _grow(bins, edges, p - y, p * (1 - p), depth, ridge, 1.0, lambda count, width: np.ones((count, width), bool), rate)
+        f, t, v, leaf = _grow(bins, edges, entries, p - y, p * (1 - p), depth, ridge, 1.0, lambda count, width: np.ones((count, width), bool), rate)
         score += v[leaf]
         grown.append((f, t, v))
     return Trees(*(np.stack(z) for z in zip(*grown, strict=True)), base)
@@ -80,10 +90,11 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 8, seed:
     """A random forest: bootstrap rows, and a random square root of the features at each split; total() gives the mean vote."""
     rng = np.random.default_rng(seed)
     bins, edges = _bin(x)
+    entries = _entries(bins)
     share = max(1, round(np.sqrt(x.shape[1]) * 1.5)) / x.shape[1]
     grown = []
     for _ in range(trees):
         w = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
-        f, t, v, _leaf = _grow(bins, edges, -y * w, w, depth, 1e-3, 1.0, lambda count, width: rng.random((count, width)) < share, 1.0)
+        f, t, v, _leaf = _grow(bins, edges, entries, -y * w, w, depth, 1e-3, 1.0, lambda count, width: rng.random((count, width)) < share, 1.0)
         grown.append((f, t, v / trees))
     return Trees(*(np.stack(z) for z in zip(*grown, strict=True)), 0.0)
