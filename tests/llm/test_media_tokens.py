@@ -153,3 +153,56 @@ def test_attribution_in_spark(spark, encoder):
 def test_a_missing_vocabulary_is_named():
     with pytest.raises(ValueError, match="/nowhere/at.all"):
         tokens.Encoder("/nowhere/at.all")
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "x", "\u3000"])
+@pytest.mark.parametrize("around", [("", ""), ("word ", "word"), ("word", "\nword  "), ("\n", "'s")])
+def test_long_runs_give_the_same_tokens(run, around):
+    encoder = tokens.Encoder()
+    encoding, _ = tokens._encoder(encoder.ranks, encoder.pattern, encoder.key)
+    for n in (9_999, 10_000, 30_000):
+        text = around[0] + run * n + around[1]
+        assert tokens.encode(encoding, text) == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "x"])
+def test_two_million_of_one_character(spark, run):
+    n = 2_000_000
+    df = spark.createDataFrame([(1, "a" + run * n)], "doc_id long, text string")
+    encoder = tokens.Encoder()
+    encoding, _ = tokens._encoder(encoder.ranks, encoder.pattern, encoder.key)
+    # What merges depends on few neighbours, so longer runs add the same tokens for each further stretch.
+    small = [len(encoding.encode_ordinary("a" + run * k)) for k in (100_000, 200_000)]
+    assert tokens.attribute(df).agg({"tokens": "sum"}).first()[0] == small[0] + (small[1] - small[0]) * (n - 100_000) / 100_000
+
+
+def test_registered_query_against_a_plain_version(spark):
+    """Tokens of the whole table of sf0.01, token by token and character by character."""
+    from tidewrack.llm.queries import op4_token_counts
+
+    folder = "/root/testdata/sf0.01"
+    got = {}
+    for r in op4_token_counts(spark, folder).collect():
+        got.setdefault(r["doc_id"], {})[r["section"]] = (r["start"], r["end"], r["tokens"], r["crossing"])
+    encoder = tokens.Encoder()
+    encoding, _ = tokens._encoder(encoder.ranks, encoder.pattern, encoder.key)
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        text = r["text"] or ""
+        line_of, owner, line = [], [], 0  # of characters, and the character of each byte
+        for i, c in enumerate(text):
+            line_of.append(line)
+            owner += [i] * len(c.encode())
+            line += c == "\n"
+        lines = line + (not text.endswith("\n"))
+        counts, crossing, at = [0] * lines, [0] * lines, 0
+        for t in encoding.encode_ordinary(text):
+            size = len(encoding.decode_single_token_bytes(t))
+            held = [line_of[i] for i in sorted({owner[b] for b in range(at, at + size)})]
+            at += size
+            counts[max(sorted(set(held)), key=held.count)] += 1
+            if len(set(held)) > 1:
+                for k in set(held):
+                    crossing[k] += 1
+        mine = got[r["doc_id"]]
+        assert [(mine[i][2], mine[i][3]) for i in range(lines)] == list(zip(counts, crossing, strict=True)) and len(mine) == lines
+        assert "".join(text[mine[i][0] : mine[i][1]] for i in range(lines)) == text

@@ -98,9 +98,9 @@ def test_stages_one_by_one_against_plain_versions(spark):
     clean = {r["doc_id"] for r in stages["benchmark_decontamination"](spark, docs, LARGER).collect()}
     assert hit and not hit & clean and len(texts) - len(clean) < len(hit) + 0.02 * len(texts)
     masked = {r["doc_id"]: r["text"] or "" for r in stages["secret_scan"](spark, docs, LARGER).collect()}
-    trees = secrets.default_forest()
+    scanner = secrets.fit(docs)
     for i, t in texts.items():
-        for a, b, _, score in reversed(secrets.findings(t, trees)):
+        for a, b, _, score in reversed(scanner.findings(t)):
             t = t[:a] + "[SECRET]" + t[b:] if score >= secrets.SECRET else t
         assert masked[i] == t
     mixed = stages["source_mixing"](spark, docs, LARGER)

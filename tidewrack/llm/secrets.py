@@ -1,9 +1,9 @@
 """Secret scans with a random forest that removes false positives.
 
 Patterns find candidates: private key blocks, tokens with known prefixes, quoted or bare values assigned to
-names, and long runs of token characters with a digit. A random forest then scores each candidate on its
+names, passwords in addresses, and long runs of token characters with a digit. A random forest then scores each candidate on its
 length, its character transitions (class changes, and how likely its character pairs are in words and in
-random strings), how much of it dictionary words cover, whether it is part of a path or address, and the words
+random strings), how much of it dictionary words cover (a short English list and the commonest words of the corpus), whether it is part of a path or address, and the words
 beside it. The forest is trained on labelled findings: those the caller gives, at most FINDINGS of them, or
 else as many that a seeded generator writes: keys of several alphabets in assignments and headers against
 checksums, commit ids, UUIDs, card numbers, versions, placeholders, paths, addresses and long words.
@@ -21,30 +21,35 @@ import math
 import random
 import re
 import string
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import in_slices, utf8
+from tidewrack.llm.common import ascii_lower, in_slices, utf8
 from tidewrack.llm.trees import Trees, forest
 
 FINDINGS, SEED, SECRET, BESIDE = 6000, 11, 0.5, 40
+#: Words that are taken from a corpus at most, and their lengths.
+WORDS, SHORTEST_WORD, LONGEST_WORD = 5000, 3, 14
 #: Names that secrets go by, and names of harmless long values.
 NAMES = "token secret password passwd pwd apikey api_key api-key access_key access-key auth authorization bearer credential credentials private_key client_secret".split()
 HARMLESS = "sha sha1 sha256 md5 checksum digest hash commit revision rev uuid guid etag version build id isbn doi serial example sample placeholder test dummy public integrity fingerprint".split()
 #: A small dictionary of common words and parts of names.
 DICTIONARY = "the and for that with this from have not are was but all can had her one our out day get has him his how man new now old see two way who did its let put say she too use about after again also back because been before being between both came come could each even find first give good great hand here high home into just know large last life like line little live long look made make many more most much must name never next number only other over part people place right same should small some such take tell than them then there these they thing think time under until very water well went were what when where which while will work world would write year your user file data page list item type value index config default local system server client image style class main content".split()
 _NAMED = "|".join(sorted({re.sub("[_-]", "[_-]?", n) for n in NAMES}, key=lambda n: (-len(n), n)))
-_FIRST = "".join(sorted({c for n in NAMES for c in n[0] + n[0].upper()}))
+#: Alternatives: key blocks, tokens with known prefixes, values assigned to a name that holds one of NAMES, bearer headers,
+#: passwords in addresses, long runs. Names and runs begin where an identifier does and are read once, so time grows with the text.
 PATTERN = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN).)*?-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Z][A-Za-z-]*: [^\n]*)*(?:(?:\\[rn]|\s)+[A-Za-z0-9+/=]{32,})*(?:(?:\\[rn]|\s)+[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*(?:\n|\Z)))?)"
     r"|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bxox[abpr]-[A-Za-z0-9-]{10,}|\bsk[-_][A-Za-z0-9_-]{20,}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
-    r"|(?=[" + _FIRST + r"])(?i:(?:" + _NAMED + r")s?(?:[_-][a-z0-9_-]{0,64}|[0-9]{1,9})?\\?[\"']?)[^\w\s\"']*\s*[:=][^\w\s\"'\\]*\s*(?i:(?:bearer|basic)\s+)?(?:\\\"((?:[^\"\\\n]|\\[^\"\n]){8,})\\\"|\"((?:[^\"\\\n]|\\.){8,})\"|'((?:[^'\\\n]|\\.){8,})'|([^\s\"',;]{8,}))"
+    r"|(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?i:" + _NAMED + r")s?(?:[0-9]{1,9})?(?![A-Za-z0-9]))[A-Za-z0-9_-]++\\?[\"']?[^\w\s\"']*\s*[:=][^\w\s\"'\\]*\s*(?i:(?:bearer|basic)\s+)?(?:\\\"((?:[^\"\\\n]|\\[^\"\n]){8,})\\\"|\"((?:[^\"\\\n]|\\.){8,})\"|'((?:[^'\\\n]|\\.){8,})'|([^\s\"',;]{8,}))"
     r"|(?i:\bbearer)[ \t]+([A-Za-z0-9._~+/=-]{8,})"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})(?=[A-Za-z+/_=-]*[0-9])(?!(?i:[a-z0-9_-]*?(?:" + _NAMED + r")s?(?:[_-][a-z0-9_-]{0,64}|[0-9]{1,9})?=[^\s,;]{8}))[A-Za-z0-9+/_=-]{16,}",
+    r"|://[^\s/:@\"'<>]*+:(?P<address>[^\s@/\"'<>]{3,})@"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}",
     re.DOTALL,
 )
 KINDS = ((re.compile(r"-----BEGIN"), "private-key"), (re.compile(r"(?:AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk[-_])"), "prefixed"), (re.compile(r"eyJ"), "web-token"))
@@ -54,42 +59,55 @@ WORD = re.compile(r"[a-z][a-z0-9_-]*")
 def candidates(text: str):
     """(start, end, kind) of disjoint candidates."""
     for m in PATTERN.finditer(text):
-        group = next((g for g in range(1, 6) if m[g]), 0)
+        group = m.lastindex or 0
         start, end = m.span(group)
-        yield start, end, "assigned" if group else next((kind for p, kind in KINDS if p.match(text, start)), "run")
+        yield start, end, "address" if m.lastgroup else "assigned" if group else next((kind for p, kind in KINDS if p.match(text, start)), "run")
 
 
 def _classes(value: str) -> list[int]:
     return [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value]
 
 
-@lru_cache(maxsize=1)
-def _pairs() -> dict[str, float]:
-    """Log odds of character pairs in dictionary words against uniform letters."""
-    count: dict[str, int] = {}
-    for w in DICTIONARY:
-        for a, b in zip(w, w[1:], strict=False):
-            count[a + b] = count.get(a + b, 0) + 1
-    total = sum(count.values())
-    return {a + b: math.log((count.get(a + b, 0) + 0.3) / (total + 0.3 * 676) * 676) for a in string.ascii_lowercase for b in string.ascii_lowercase}
+class Lexicon:
+    """Words, and the log odds of character pairs in them against uniform letters."""
 
+    def __init__(self, words: Iterable[str]):
+        self.words = frozenset(words)
+        count = Counter(w[i : i + 2] for w in self.words for i in range(len(w) - 1))
+        total = sum(count.values())
+        self.pairs = {a + b: math.log((count[a + b] + 0.3) / (total + 0.3 * 676) * 676) for a in string.ascii_lowercase for b in string.ascii_lowercase}
 
-@lru_cache(maxsize=1)
-def _dictionary() -> re.Pattern:
-    return re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))))
+    def covered(self, low: str) -> int:
+        """Characters that words cover, read from the left, the longest word first."""
+        at = found = 0
+        while at < len(low):
+            n = next((n for n in range(min(LONGEST_WORD, len(low) - at), SHORTEST_WORD - 1, -1) if low[at : at + n] in self.words), 0)
+            found += n
+            at += n or 1
+        return found
 
 
-def describe(text: str, start: int, end: int) -> list[float]:
+ENGLISH = Lexicon(DICTIONARY)
+
+
+def lexicon(df: DataFrame, most: int = WORDS) -> Lexicon:
+    """DICTIONARY and the `most` commonest words of (text), of ASCII letters alone: so many rows come to the driver at most."""
+    word = F.explode(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit("[a-zÀ-ÿ]+"), 0)).alias("word")
+    counted = df.select(word).where(F.char_length("word").between(SHORTEST_WORD, LONGEST_WORD) & F.col("word").rlike("^[a-z]+$")).groupBy("word").count()
+    return Lexicon({*DICTIONARY, *(r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(most).collect())})
+
+
+def describe(text: str, start: int, end: int, known: Lexicon = ENGLISH) -> list[float]:
     """Features of a candidate."""
     value, low = text[start:end], text[start:end].lower()
     n = len(value)
     kinds = _classes(value)
     share = [kinds.count(k) / n for k in range(4)]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1)
-    odds = [_pairs()[p] for p in map("".join, zip(low, low[1:], strict=False)) if p in _pairs()]
+    odds = [known.pairs[p] for p in map("".join, zip(low, low[1:], strict=False)) if p in known.pairs]
     counts = [low.count(c) / n for c in set(low)]
     entropy = -sum(p * math.log2(p) for p in counts)
-    covered = sum(len(m) for m in _dictionary().findall(low)) / n
+    covered = known.covered(low) / n
     longest = max((len(x) for x in re.findall(r"[a-z]+", low)), default=0)
     left, right = text[max(0, start - BESIDE) : start].lower(), text[end : end + BESIDE].lower()
     before, after = WORD.findall(left)[-4:], WORD.findall(right)[:3]
@@ -103,22 +121,41 @@ def describe(text: str, start: int, end: int) -> list[float]:
         glued[0] == "/" or glued[1] == "/" or "://" in left[-30:], bool(re.search(r"\.[a-z]{1,4}$", low)), glued[0] in "\"'" and glued[1] in "\"'" and "" not in glued,
         assigned, any(w in NAMES or w in ("key", "keys") for w in (*before, *parts)), bool(before) and any(p in NAMES for p in (before[-1], *re.split(r"[_-]", before[-1]))),
         any(w in HARMLESS for w in (*before, *parts)), bool(before) and any(p in HARMLESS for p in (before[-1], *re.split(r"[_-]", before[-1]))), any(w in HARMLESS for w in after),
-        bool(re.search(r"(.)\1{4,}|1234|abcd|xxxx|example|change|your|placeholder|dummy|sample|redacted", low)), low.startswith(("akia", "asia", "ghp_", "gho_", "xox", "sk_", "sk-", "eyj", "-----begin")), value.count("$") + value.count("{") + value.count("<"),
+        bool(re.search(r"(.)\1{4,}|1234|abcd|xxxx|example|change|your|placeholder|dummy|sample|redacted", low)), low.startswith(("akia", "asia", "ghp_", "gho_", "xox", "sk_", "sk-", "eyj", "-----begin")), value.count("$") + value.count("{") + value.count("<"), glued == (":", "@"),
     ]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, bool]]:
-    """(text, start, end, secret): generated findings, about half of them secrets."""
-    r = random.Random(seed)
+def labelled_findings(n: int = FINDINGS, seed: int = SEED, known: Lexicon = ENGLISH) -> list[tuple[str, int, int, bool]]:
+    """(text, start, end, secret): generated findings, about half of them secrets, with words of the lexicon."""
+    r, listed = random.Random(seed), sorted(known.words)
     hexa, base = "0123456789abcdef", string.ascii_letters + string.digits
     rand = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
 
     def word() -> str:
-        return r.choice(DICTIONARY) if r.random() < 0.5 else "".join(r.choice("bcdfghlmnprstv") + r.choice("aeiou") + r.choice(["", "n", "r", "st"]) for _ in range(r.randint(1, 3)))
+        return r.choice(listed) if r.random() < 0.5 else "".join(r.choice("bcdfghlmnprstv") + r.choice("aeiou") + r.choice(["", "n", "r", "st"]) for _ in range(r.randint(1, 3)))
 
     def words(lo: int, hi: int) -> str:
         return " ".join(word() for _ in range(r.randint(lo, hi)))
 
+    def password() -> str:
+        """As people make them: words with digits and signs, letters replaced."""
+        w, sign, digits = word(), r.choice("!@#$%^&*?-_."), str(r.randint(1, r.choice([9, 99, 9999])))
+        v = r.random()
+        if v < 0.35:
+            out = f"{w.capitalize()}{digits}{sign}{word()}"
+        elif v < 0.6:
+            out = f"{w}{sign}{word().capitalize()}{digits}"
+        elif v < 0.85:
+            out = f"{w.capitalize()}{word()}{digits}".translate(str.maketrans({"o": "0", "e": "3", "a": "@", "s": "5", "i": "1"})) + r.choice(["", sign])
+        else:
+            out = rand(base + "!@#%^*", r.randint(8, 14))
+        return out + "".join(r.choice(base) for _ in range(8 - len(out)))
+
+    def named() -> str:
+        name, prefix, suffix = r.choice(NAMES), word(), word()
+        name = r.choice([name, name, f"{prefix}_{name}", f"{name}s", f"{name}_{suffix}", f"{prefix}_{name}_{suffix}", f"{prefix}-{name}"])
+        return name.upper() if r.random() < 0.3 else name
+
     def random_value() -> str:
         v = r.random()
         if v < 0.35:
@@ -138,13 +175,18 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
             return r.choice(["", "key: ", "token = ", "Authorization: Bearer "]), value, ""
         if v < 0.18:
             return "", f"-----BEGIN RSA PRIVATE KEY-----\n{rand(base + '+/', 200)}\n-----END RSA PRIVATE KEY-----", ""
-        name = r.choice(NAMES)
-        name = r.choice([name, name, f"{word()}_{name}", f"{name}s"])
+        if v < 0.24:
+            return f"{r.choice(['postgres', 'mysql', 'https', 'redis', 'amqp', 'ftp'])}://{r.choice([word(), 'admin', 'root', ''])}:", r.choice([password(), password()[: r.randint(5, 9)], random_value()]).replace("@", "a").replace("/", "b"), f"@{word()}.{word()}.com/{word()}"
         quote = r.choice(['"', '"', "'", ""])
-        return f"{name}{r.choice([' = ', '=', ': ', ' := '])}{quote}", random_value(), quote
+        value = password() if r.random() < 0.3 else random_value()
+        if quote and r.random() < 0.06:
+            value = " ".join(word() for _ in range(r.randint(3, 6)))
+        return f"{named()}{r.choice([' = ', '=', '=', ': ', ' := ', chr(34) + ': '])}{quote}", value, quote
 
     def harmless() -> tuple[str, str, str]:
         v = r.random()
+        if v < 0.04:
+            return f"{r.choice(['postgres', 'https', 'mysql'])}://{r.choice(['user', 'username', word()])}:", r.choice(["password", "pass", "${PASSWORD}", "xxxx", "<password>", "$PASS"]), "@localhost"
         if v < 0.2:
             return f"{r.choice(HARMLESS)}{r.choice([' ', ': ', ' = ', '=', '-'])}{r.choice(['', chr(34)])}", rand(hexa, r.choice([32, 40, 64])), ""
         if v < 0.3:
@@ -154,9 +196,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         if v < 0.5:
             return r.choice(["/", "https://", "see "]), "/".join(word() for _ in range(r.randint(2, 6))) + f"/{word()}{r.randint(1, 99)}", r.choice([".html", ".py", "/", ""])
         if v < 0.62:
-            return f"{r.choice(NAMES)}{r.choice([' = ', ': ', '='])}{chr(34)}", r.choice(["xxxxxxxxxxxxxxxx", "your_" + word() + "_here", "changeme123456", "EXAMPLE" + word().upper() + "KEY1234", "${" + word().upper() + "_TOKEN}", "<" + word() + "-" + word() + ">", "0" * 32, "1234567890abcdef", "dummy-" + word() + "-value"]), '"'
+            return f"{named()}{r.choice([' = ', ': ', '='])}{chr(34)}", r.choice(["xxxxxxxxxxxxxxxx", "your_" + word() + "_here", "changeme123456", "EXAMPLE" + word().upper() + "KEY1234", "${" + word().upper() + "_TOKEN}", "<" + word() + "-" + word() + ">", "0" * 32, "1234567890abcdef", "dummy-" + word() + "-value"]), '"'
         if v < 0.72:
-            return f"{r.choice(NAMES)}{r.choice([' = ', ': '])}", r.choice([f"get_{word()}_{word()}()", f"os.environ[{word()}]", f"config.{word()}.{word()}", f"{word()}{word()}{word()}"]), ""
+            return f"{named()}{r.choice([' = ', ': ', '='])}", r.choice([f"get_{word()}_{word()}()", f"os.environ[{word()}]", f"config.{word()}.{word()}", f"{word()}{word()}{word()}"]), ""
         if v < 0.82:
             return f"{word()} ", "".join(word().capitalize() for _ in range(r.randint(3, 5))) + str(r.randint(1, 99)), " "
         if v < 0.9:
@@ -174,30 +216,37 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
     return out
 
 
-def train(findings: list[tuple[str, int, int, bool]]) -> Trees:
-    """A forest of labelled findings (text, start, end, secret); at most FINDINGS are used."""
-    used = findings[:FINDINGS]
-    x = np.array([describe(t, a, b) for t, a, b, _ in used], np.float64)
-    return forest(x, np.array([bad for *_, bad in used], float))
+class Scanner:
+    """A forest and the words that its features look for."""
+
+    def __init__(self, trees: Trees, known: Lexicon = ENGLISH):
+        self.trees, self.known = trees, known
 
+    def findings(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, kind, score) of each candidate of one text."""
+        found = list(candidates(text))
+        if not found:
+            return []
+        scores = self.trees.total(np.array([describe(text, a, b, self.known) for a, b, _ in found], np.float64))
+        return [(a, b, kind, float(min(max(s, 0), 1))) for (a, b, kind), s in zip(found, scores, strict=True)]
 
-@lru_cache(maxsize=1)
-def default_forest() -> Trees:
-    return train(labelled_findings())
+
+def train(findings: list[tuple[str, int, int, bool]], known: Lexicon = ENGLISH) -> Scanner:
+    """A forest of labelled findings (text, start, end, secret); at most FINDINGS are used."""
+    used = findings[:FINDINGS]
+    x = np.array([describe(t, a, b, known) for t, a, b, _ in used], np.float64)
+    return Scanner(forest(x, np.array([bad for *_, bad in used], float)), known)
 
 
-def findings(text: str, trees: Trees) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, score) of each candidate of one text."""
-    found = list(candidates(text))
-    if not found:
-        return []
-    scores = trees.total(np.array([describe(text, a, b) for a, b, _ in found], np.float64))
-    return [(a, b, kind, float(min(max(s, 0), 1))) for (a, b, kind), s in zip(found, scores, strict=True)]
+def fit(df: DataFrame) -> Scanner:
+    """Learns from generated findings, with the commonest words of (text) as its dictionary."""
+    known = lexicon(df)
+    return train(labelled_findings(known=known), known)
 
 
-def scan(df: DataFrame, trees: Trees | None = None) -> DataFrame:
+def scan(df: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """(doc_id, start, end, kind, value_sha256, score, is_secret) for each candidate of (doc_id, text)."""
-    shared = df.sparkSession.sparkContext.broadcast(trees or default_forest())
+    shared = df.sparkSession.sparkContext.broadcast(scanner or fit(df))
     names = ["doc_id", "start", "end", "kind", "value_sha256", "score", "is_secret"]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.bool_())
 
@@ -206,22 +255,22 @@ def scan(df: DataFrame, trees: Trees | None = None) -> DataFrame:
             rows = []
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = data.as_py().decode("utf-8", "replace")
-                rows += [(doc_id, a, b, kind, hashlib.sha256(text[a:b].encode()).hexdigest(), s, s >= SECRET) for a, b, kind, s in findings(text, shared.value)]
+                rows += [(doc_id, a, b, kind, hashlib.sha256(text[a:b].encode()).hexdigest(), s, s >= SECRET) for a, b, kind, s in shared.value.findings(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).transform(in_slices, run, "doc_id long, start int, end int, kind string, value_sha256 string, score double, is_secret boolean")
 
 
-def redact(df: DataFrame, trees: Trees | None = None, mask: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, scanner: Scanner | None = None, mask: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with each secret of `text` replaced by the mask; null stays null."""
-    shared = df.sparkSession.sparkContext.broadcast(trees or default_forest())
+    shared = df.sparkSession.sparkContext.broadcast(scanner or fit(df))
 
     def run(batches):
         for batch in batches:
             place, out = batch.schema.get_field_index("text"), []
             for x in batch.column(place):
                 text = x.as_py()
-                for a, b, _, s in reversed(findings(text or "", shared.value)):
+                for a, b, _, s in reversed(shared.value.findings(text or "")):
                     if s >= SECRET:
                         text = text[:a] + mask + text[b:]
                 out.append(text)
