@@ -67,7 +67,8 @@ def deduplicate(df: DataFrame, least_documents: int = 10, least_chars: int = 1)
     lines = work.write(hashed_lines(df, least_chars), "hashed")
     shared = work.write(shared_keys(lines, least_documents), "shared")
     gone = work.write(dropped(lines, shared), "dropped").withColumnsRenamed({"name": "of", "own": "same"})
-    met = split_lines(df).join(gone, (F.col("name") == F.col("of")) & (F.col("own") == F.col("same")), "left")
+    # What is dropped grows with the documents, so it is never broadcast, and the plan is the same at every size.
+    met = split_lines(df).join(gone.hint("merge"), (F.col("name") == F.col("of")) & (F.col("own") == F.col("same")), "left")
     # The positions that stay, by a hash set; `lines` is a column of the join and is not split again for each of them.
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     kept = F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
