@@ -554,4 +554,4 @@ def content_fingerprint(spark, sf_dir):
 
 
 # Further queries register themselves.
-from tidewrack.plans import metric_queries, site_queries, study_queries  # noqa: E402, F401
+from tidewrack.plans import hop_queries, metric_queries, site_queries, study_queries  # noqa: E402, F401
