@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.numbers import percent
+from tidewrack.operators.graph import cut_lineage
 
 #: States of a sheet, verdicts that assert something, reasons by instrumentation status, fields of a sheet.
 STATES = ("a-faire", "en-cours", "fait", "hors-perimetre")
@@ -117,6 +118,7 @@ def fingerprint_plan(wanted: DataFrame, registry: DataFrame, key: str, digest: s
 #: How the kinds of a contract read as the kinds of a parsed value.
 KINDS = {"object": "OBJECT.*", "array": "ARRAY.*", "string": "STRING", "null": "VOID", "boolean": "BOOLEAN", "integer": r"BIGINT|DECIMAL\((?:19|[23]\d),0\)", "number": r"BIGINT|DOUBLE|DECIMAL.*"}
 NONE = "array<string>"
+PENDING = "array<struct<path: string, ref: string, value: variant>>"
 
 
 def _equals(value: Column, kind: Column, wanted: Any) -> Column:
@@ -135,18 +137,55 @@ class Contract:
     maximum, local $ref) compiled once into expressions over parsed JSON.
 
     Each keyword gives an array of messages with the path of what breaks it. A value of a wrong kind, or outside its
-    const or enum, is told as that alone."""
+    const or enum, is told as that alone. Where a schema holds itself, its expressions stop: what lies there is `pending`, as
+    (path, ref, value), and is judged in a further round by the schema that the ref names."""
 
     def __init__(self, schema: dict):
         self.root = schema
 
-    def resolve(self, schema: dict, seen: tuple[str, ...]) -> tuple[dict, tuple[str, ...]]:
+    def named(self, ref: str) -> dict:
+        return reduce(lambda node, part: node[part], [p for p in ref.removeprefix("#").split("/") if p], self.root)
+
+    def resolve(self, schema: dict, seen: tuple[str, ...]) -> tuple[dict | None, tuple[str, ...], str | None]:
+        """The schema behind the refs; or none and the ref that is seen a second time."""
+        here: tuple[str, ...] = ()
         while "$ref" in schema:
             ref = schema["$ref"]
+            if ref in here:
+                raise ValueError(f"a ref that names itself: {ref}")
             if ref in seen:
-                raise ValueError(f"a contract may not hold itself: {ref}")
-            seen, schema = (*seen, ref), reduce(lambda node, part: node[part], ref.removeprefix("#/").split("/"), self.root)
-        return schema, seen
+                return None, seen, ref
+            here, seen, schema = (*here, ref), (*seen, ref), self.named(ref)
+        return schema, seen, None
+
+    def pending_refs(self, schema: dict | None = None, seen: tuple[str, ...] = ()) -> set[str]:
+        """The refs at which the expressions of a schema stop."""
+        schema, seen, again = self.resolve(self.root if schema is None else schema, seen)
+        if again:
+            return {again}
+        inner = [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]
+        return set().union(*[self.pending_refs(x, seen) for x in inner])
+
+    def pending(self, schema: dict, value: Column, path: Column, seen: tuple[str, ...] = ()) -> Column | None:
+        """What the expressions of `violations` leave to a further round; null where there is nothing such."""
+        schema, seen, again = self.resolve(schema, seen)
+        if again:
+            return F.array(F.struct(path.alias("path"), F.lit(again).alias("ref"), value.alias("value")))
+        kind, out = F.schema_of_variant(value), []
+        for key, sub in schema.get("properties", {}).items():
+            if self.pending_refs(sub, seen):
+                entries = F.try_variant_get(value, "$", "map<string, variant>")
+                inner = self.pending(sub, F.try_element_at(entries, F.lit(key)), F.concat(path, F.lit(f".{key}")), seen)
+                out.append(F.when(kind.startswith("OBJECT") & F.map_contains_key(entries, key), inner))
+        if "items" in schema and self.pending_refs(schema["items"], seen):
+            values = F.try_variant_get(value, "$", "array<variant>")
+            each = F.transform(values, lambda v, i: self.pending(schema["items"], v, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), seen))
+            out.append(F.when(kind.startswith("ARRAY"), F.flatten(each)))
+        if not out:
+            return None
+        whole = F.concat(*[F.coalesce(x, F.array().cast(PENDING)) for x in out]) if len(out) > 1 else F.coalesce(out[0], F.array().cast(PENDING))
+        broken = self.shape(schema, value, kind)
+        return F.when(reduce(Column.__and__, [F.coalesce(ok, F.lit(False)) for ok, _ in broken]), whole).otherwise(F.array().cast(PENDING)) if broken else whole
 
     def shape(self, schema: dict, value: Column, kind: Column) -> list[tuple[Column, str]]:
         """Conditions that must hold before anything inside a value is looked at, each with its message."""
@@ -162,7 +201,9 @@ class Contract:
         return out
 
     def violations(self, schema: dict, value: Column, path: Column, seen: tuple[str, ...] = ()) -> Column:
-        schema, seen = self.resolve(schema, seen)
+        schema, seen, again = self.resolve(schema, seen)
+        if again:
+            return F.array().cast(NONE)
         kind = F.schema_of_variant(value)
         says = lambda ok, text: F.when(~F.coalesce(ok, F.lit(False)), F.concat(path, F.lit(text)))
         messages = lambda *found: F.filter(F.array(*found), lambda m: m.isNotNull())
@@ -205,30 +246,68 @@ class Contract:
 
 
 def contract_violations(documents: DataFrame, schema: dict, body: str = "body") -> DataFrame:
-    """Adds `violations` to rows of JSON text; text that is not JSON, or repeats a key, is a violation of its own."""
-    parsed = F.try_parse_json(F.col(body))
-    unreadable = F.array(F.lit("$: is not readable JSON"))
-    return documents.withColumn("violations", F.when(parsed.isNull(), unreadable).otherwise(Contract(schema).violations(schema, parsed, F.lit("$"))))
+    """Adds `violations` to rows of JSON text; text that is not JSON, or repeats a key, is a violation of its own.
 
-
-def tagged_metrics(documents: DataFrame, body: str = "body", depth: int = 12) -> DataFrame:
-    """(path, cle, preuve) of every object, at most `depth` levels deep, that has a key and an evidence tier."""
+    A contract that holds itself is judged in rounds, one for each time that a document goes round it."""
+    contract, parsed = Contract(schema), F.try_parse_json(F.col(body))
+    unreadable = F.array(F.lit("$: is not readable JSON"))
+    first = F.when(parsed.isNull(), unreadable).otherwise(contract.violations(schema, parsed, F.lit("$")))
+    refs = contract.pending_refs()
+    if not refs:
+        return documents.withColumn("violations", first)
+    names = [F.xxhash64(F.lit(i), body).alias(n) for i, n in enumerate(("_a", "_b"))]  # texts that are alike are judged once
+    texts = documents.select(F.col(body).alias("_text")).where("_text is not null").distinct().select(*[F.xxhash64(F.lit(i), "_text").alias(n) for i, n in enumerate(("_a", "_b"))], F.try_parse_json("_text").alias("value"))
+    start = contract.pending(schema, F.col("value"), F.lit("$"))
+    level = texts.where("value is not null").select("_a", "_b", F.explode(start).alias("p")).select("_a", "_b", "p.*")
+    told = None
+    while True:
+        level = cut_lineage(level)
+        if level.isEmpty():
+            break
+        messages, beyond = F.array().cast(NONE), F.array().cast(PENDING)
+        for ref in sorted(refs | set().union(*[contract.pending_refs(contract.named(r), (r,)) for r in refs])):
+            own = F.col("ref") == ref
+            messages = F.when(own, contract.violations(contract.named(ref), F.col("value"), F.col("path"), (ref,))).otherwise(messages)
+            more = contract.pending(contract.named(ref), F.col("value"), F.col("path"), (ref,))
+            beyond = beyond if more is None else F.when(own, more).otherwise(beyond)
+        found = level.select("_a", "_b", F.explode(messages).alias("message"))
+        told = found if told is None else told.unionByName(found)
+        level = level.select("_a", "_b", F.explode(beyond).alias("p")).select("_a", "_b", "p.*")
+    judged = documents.withColumn("violations", first).withColumns({c: n for c, n in zip(("_a", "_b"), names, strict=True)})
+    if told is None:
+        return judged.drop("_a", "_b")
+    later = told.groupBy(F.col("_a").alias("_x"), F.col("_b").alias("_y")).agg(F.array_sort(F.collect_list("message")).alias("_later"))
+    met = judged.join(later, (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")), "left")
+    return met.withColumn("violations", F.concat("violations", F.coalesce("_later", F.array().cast(NONE)))).select(*documents.columns, "violations")
+
+
+#: Levels of nesting that a round of `tagged_metrics` opens.
+LEVELS = 4
+
+
+def tagged_metrics(documents: DataFrame, body: str = "body") -> DataFrame:
+    """(path, cle, preuve) of every object, at any depth, that has a key and an evidence tier.
+
+    A round opens some levels of nesting; the objects and lists below them are written to the shared folder for the next
+    round, until there are none."""
     kept = [c for c in documents.columns if c != body]
+    is_kind = lambda k: F.schema_of_variant("value").startswith(k)
     level = documents.select(*kept, F.lit("$").alias("path"), F.try_parse_json(F.col(body)).alias("value")).where("value is not null")
     out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("value")
-        entries = F.when(kind.startswith("OBJECT"), F.try_variant_get("value", "$", "map<string, variant>"))
-        members = F.when(kind.startswith("ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
-        here = level.withColumn("entries", entries)
-        has = F.map_contains_key("entries", "cle") & F.map_contains_key("entries", "preuve")
-        found = here.where(has).select(*kept, "path", F.try_variant_get("value", "$.cle", "string").alias("cle"), F.try_variant_get("value", "$.preuve", "string").alias("preuve"))
-        out = found if out is None else out.unionByName(found)
-        sub = lambda name, v: F.struct(F.concat("path", name).alias("path"), v.alias("value"))
-        # A variant is no part of a map's entry array, so children are looked up by name.
-        children = F.coalesce(
-            F.transform(F.map_keys("entries"), lambda k: sub(F.concat(F.lit("."), k), F.try_element_at("entries", k))),
-            F.transform(members, lambda v, i: sub(F.concat(F.lit("["), i.cast("string"), F.lit("]")), v)),
-        )
-        level = here.select(*kept, F.explode(children).alias("child")).select(*kept, "child.path", "child.value")
-    return out
+    while True:
+        level = cut_lineage(level.where(is_kind("OBJECT") | is_kind("ARRAY")))
+        if out is not None and level.isEmpty():
+            return out
+        for _ in range(LEVELS):
+            here = level.withColumn("entries", F.when(is_kind("OBJECT"), F.try_variant_get("value", "$", "map<string, variant>")))
+            members = F.when(is_kind("ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
+            has = F.map_contains_key("entries", "cle") & F.map_contains_key("entries", "preuve")
+            found = here.where(has).select(*kept, "path", F.try_variant_get("value", "$.cle", "string").alias("cle"), F.try_variant_get("value", "$.preuve", "string").alias("preuve"))
+            out = found if out is None else out.unionByName(found)
+            sub = lambda name, v: F.struct(F.concat("path", name).alias("path"), v.alias("value"))
+            # A variant is no part of a map's entry array, so children are looked up by name.
+            children = F.coalesce(
+                F.transform(F.map_keys("entries"), lambda k: sub(F.concat(F.lit("."), k), F.try_element_at("entries", k))),
+                F.transform(members, lambda v, i: sub(F.concat(F.lit("["), i.cast("string"), F.lit("]")), v)),
+            )
+            level = here.select(*kept, F.explode(children).alias("child")).select(*kept, "child.path", "child.value").where(is_kind("OBJECT") | is_kind("ARRAY"))

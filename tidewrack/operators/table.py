@@ -31,6 +31,37 @@ def sort(df: DataFrame, by: str, numeric: bool, descending: bool, group: str | N
     return df.orderBy(*first, order, *([key] if key else []))
 
 
+#: Letters alike but for case and accents are the same, ligatures and sharp s are the letters they stand for.
+ALIKE = "UNICODE_CI_AI"
+
+
+def locale_search(df: DataFrame, columns: list[str], wanted: str, collation: str = ALIKE) -> DataFrame:
+    """Rows whose visible text contains the words as a reader of any language takes them: by collation, not by a list of letters."""
+    seen = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
+    return df.where(F.contains(F.collate(seen, collation), F.collate(F.lit(wanted), collation)))
+
+
+def locale_sort(df: DataFrame, by: str, descending: bool = False, group: str | None = None, key: str | None = None, locale: str = "fr") -> DataFrame:
+    """Sorted by group and column in the order of a language; in a group or column numbers come first, by their size; rows
+    without a value come last in either direction."""
+
+    def order(c: str, down: bool) -> list[Column]:
+        text = F.nullif(F.col(c).cast("string"), F.lit(""))
+        number, word = first_number(F.regexp_extract(text, r"^\s*([+-]?\d[\d\s.,]*)", 1)), F.collate(text, locale)
+        return [text.isNull().asc(), number.desc_nulls_last() if down else number.asc_nulls_last(), word.desc_nulls_last() if down else word.asc_nulls_last()]
+
+    first = order(group, False) if group else []
+    return df.orderBy(*first, *order(by, descending), *([key] if key else []))
+
+
+def locale_groups(df: DataFrame, column: str, collation: str = ALIKE) -> DataFrame:
+    """(column, n, forms): values that are the same under a collation, under the least of them in code-point order, with how many
+    rows and how many distinct values they are."""
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    grouped = values.groupBy(F.collate(F.col(column), collation).alias("_g")).agg(F.min(F.col(column)).alias(column), F.sum("n").alias("n"), F.count("*").alias("forms"))
+    return grouped.drop("_g")
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds the place of each row in a total order, from 1.
 
@@ -166,6 +197,31 @@ def rolling_year(df: DataFrame, date: str) -> DataFrame:
     return counts.withColumn("_p", place).withColumn("rolling", F.sum("n").over(w)).drop("_p")
 
 
+def seasonal(series: DataFrame, key: str, month: str, value: str, ratio: bool = False) -> DataFrame:
+    """Adds trend, seasonal and remainder to monthly series (key, month, value), a month of a key being one row.
+
+    The trend is the centred mean of twelve months, the outer two of its thirteen counting half; it is null where one of
+    them is not there, since a gap is no zero. The seasonal index of a calendar month is the mean of what the trend leaves over,
+    moved so that the indices of a whole year sum up to none (ratio: multiplied, so that they have a mean of one); it is null
+    for series without all twelve. Windows order one row for each month of a key."""
+    place, tag = F.year(month) * 12 + F.month(month), ("_p", "_c", "_m", "_i", "_y")
+    p, c, m, index, year = tag
+    around = lambda lo, hi: Window.partitionBy(key).orderBy(p).rangeBetween(lo, hi)
+    rows = series.withColumn(p, place).withColumn(c, F.month(month))
+    ends = F.sum(value).over(around(-6, -6)) + F.sum(value).over(around(6, 6))
+    whole = F.count(value).over(around(-6, 6)) == 13
+    rows = rows.withColumn("trend", F.when(whole, (F.sum(value).over(around(-5, 5)) + ends / 2) / 12))
+    left = F.col(value) / F.nullif("trend", F.lit(0)) if ratio else F.col(value) - F.col("trend")
+    rows = rows.withColumn(m, left)
+    means = rows.where(F.col(m).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(c).alias("_d")).agg(F.avg(m).alias(index))
+    whole_year = Window.partitionBy("_k")
+    balanced = F.col(index) / F.col(year) if ratio else F.col(index) - F.col(year)
+    means = means.withColumn(year, F.avg(index).over(whole_year)).withColumn("seasonal", F.when(F.count(index).over(whole_year) == 12, balanced))
+    met = rows.join(means.select("_k", "_d", "seasonal"), F.col(key).eqNullSafe(F.col("_k")) & (F.col(c) == F.col("_d")), "left")
+    rest = F.col(value) / (F.col("trend") * F.col("seasonal")) if ratio else F.col(value) - F.col("trend") - F.col("seasonal")
+    return met.select(*series.columns, "trend", "seasonal", rest.alias("remainder"))
+
+
 def breaks(series: DataFrame, order: str, value: str, window: int = 6, sigmas: float = 3.0) -> DataFrame:
     """Marks values that leave the mean of the `window` before them by more than `sigmas` deviations; too short a past is not judged."""
     w = Window.orderBy(order).rowsBetween(-window, -1)

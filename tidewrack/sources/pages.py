@@ -30,8 +30,13 @@ def token(value: str | None) -> str:
     return " ".join((value or "").lower().split())
 
 
+def given(value: str | None) -> str | None:
+    """An attribute's value without blanks around it; null for none."""
+    return value.strip() or None if value else None
+
+
 class Signals(HTMLParser):
-    """First title, h1, canonical and Open Graph values, last robots rule, all alternates, links, words and JSON-LD blocks."""
+    """First title, h1, canonical and Open Graph values, last robots rule, all alternates (a missing href is null), links, words and JSON-LD blocks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -54,15 +59,18 @@ class Signals(HTMLParser):
             self.links.append({"href": a["href"], "contextual": self.frames == 0})
         elif tag == "link":
             rel = token(a.get("rel")).split()
-            if "canonical" in rel and self.canonical is None and a.get("href"):
-                self.canonical = a["href"]
-            if "alternate" in rel and a.get("hreflang") and a.get("href"):
-                self.hreflang.append({"lang": token(a["hreflang"]), "href": a["href"]})
+            if "canonical" in rel and self.canonical is None:
+                self.canonical = given(a.get("href"))
+            if "alternate" in rel and a.get("hreflang"):
+                self.hreflang.append({"lang": token(a["hreflang"]), "href": given(a.get("href"))})
         elif tag == "meta":
             if token(a.get("name")) == "robots":
                 self.robots = token(a.get("content"))
-            if token(a.get("property")).startswith("og:"):
-                self.og.setdefault(token(a["property"]), a.get("content", ""))
+            for name in ("property", "name"):  # some sites write the second in place of the first
+                if key := token(a.get(name)):
+                    if key.startswith("og:") and given(a.get("content")):
+                        self.og.setdefault(key, given(a["content"]))
+                    break
 
     def handle_endtag(self, tag):
         if tag in FRAMES:
@@ -122,6 +130,75 @@ def extract(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     return df.select(key, F.col(html).cast("string")).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")
 
 
+#: Elements that text belongs to, those without an end, and those whose text is not shown.
+BLOCKS = frozenset("html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption form fieldset address details summary".split())
+ENDLESS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+UNSEEN = frozenset("head script style noscript template".split())
+
+
+class Blocks(HTMLParser):
+    """(path, text) of the block elements of a page, in order; inline elements belong to the block around them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.unseen: list[str] = []
+        self.held: list[str] = []
+        self.found: list[tuple[str, str]] = []
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        self.held.clear()
+        if text:
+            self.found.append(("/".join(self.open), text))
+
+    def handle_starttag(self, tag, attrs):
+        if self.unseen == ["head"] and tag in BLOCKS:
+            self.unseen.clear()  # the end of a head may be left out
+        if tag in UNSEEN:
+            self.unseen.append(tag)
+        if self.unseen or tag in ENDLESS:
+            self.held.append(" " if tag == "br" and not self.unseen else "")
+            return
+        if tag in BLOCKS:
+            self.flush()
+            if self.open and self.open[-1] == "p" or tag == "li" and self.open and self.open[-1] == "li":
+                self.open.pop()  # their ends may be left out too
+            if tag not in ("html", "body") or tag not in self.open:
+                self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.unseen:
+            del self.unseen[self.unseen.index(tag) :]
+        elif not self.unseen and tag in self.open:
+            self.flush()
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.unseen:
+            self.held.append(data)
+
+
+def blocks(df: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, position, path, text): the blocks of each page, in order."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for i, page in enumerate(batch.column(1)):
+                p = Blocks()
+                p.feed(page.as_py() or "")
+                p.close()
+                p.flush()
+                at += [i] * len(p.found)
+                rows += [(n, *x) for n, x in enumerate(p.found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string())))], [key, "position", "path", "text"])
+
+    return df.select(key, F.col(html).cast("string")).mapInArrow(run, f"`{key}` {kind}, position int, path string, text string")
+
+
 def indexable(status: Column, robots: Column, canonical: Column, url: Column) -> Column:
     """True, false, or null where the page did not answer 200: it was not measured."""
     own = canonical.isNull() | (urls.normalise(urls.resolve(url, canonical)) == urls.normalise(url))
