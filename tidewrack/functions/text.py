@@ -66,10 +66,18 @@ def ids_with_ranges(cell: Column) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.element_at(F.split(p, "-"), -1).cast("int"))))
 
 
+#: Where a whole unit of sense ends, and the marks that are not kept at its ends.
+UNIT_ENDS = (" : ", " — ", " – ", ". ", " ; ")
+UNIT_MARKS = " .;:—–"
+
+
 def first_sentence(text: Column, longest: int = 170) -> Column:
-    """The text up to its first sentence end, if that is at most `longest` characters in; otherwise the whole text."""
-    head = F.regexp_extract(text, rf"^(.{{1,{longest - 1}}}?[.!?;:])(?:\s|$)", 1)
-    return F.when(F.length(head) > 0, head).otherwise(text)
+    """A text's first whole unit of sense, runs of blanks as one: up to the earliest of UNIT_ENDS that stands at most `longest`
+    characters in, without the mark; the whole text where none does. Null gives an empty text."""
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    ends = F.array(*[F.locate(e, plain) - 1 for e in UNIT_ENDS])
+    first = F.array_min(F.filter(ends, lambda i: (i > 0) & (i <= longest)))
+    return F.when(first.isNull(), plain).otherwise(F.btrim(F.substring(plain, F.lit(1), first), F.lit(UNIT_MARKS)))
 
 
 def status_code(cell: Column) -> Column:
@@ -93,13 +101,18 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+#: What proves that a file was read (a quotation, or a count of what it holds), and what says that there is none.
+READ = r"«[^»]{3,}»|`[^`]{3,}`|\b\d+\s*(?:URL|lien|entr[ée]e|section|ligne|item|rubrique)s?\b"
+ABSENT = r"\b(absent|introuvable|n'existe pas|404|non servi|aucun llms)\b"
+
+
 def read_evidence(text: Column) -> Column:
     """Whether a finding quotes a file or counts what it holds."""
-    return text.rlike(r"(?i)«[^»]{3,}»|`[^`]{3,}`|\b\d+\s*(?:URL|lien|link|entr[ée]e|entry|section|ligne|line|item|rubrique)s?\b")
+    return text.rlike(f"(?iU){READ}")
 
 
 def says_absent(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(absent|introuvable|not found|n'existe pas|404|non servi|aucun llms)\b")
+    return text.rlike(f"(?iU){ABSENT}")
 
 
 def enumeration(text: Column, least: int = 3) -> Column:

@@ -19,10 +19,12 @@ def facts(offending: dict[str, DataFrame], samples: int = 5) -> DataFrame:
     """(name, ok, n, examples): how many rows break each check, and the first of them. Each table has a column `subject`."""
     parts = [df.select(F.lit(name).alias("name"), F.col("subject").cast("string").alias("subject")) for name, df in offending.items()]
     rows = reduce(DataFrame.unionByName, parts)
-    first = F.row_number().over(Window.partitionBy("name").orderBy("subject"))
-    found = rows.withColumn("_n", first).groupBy("name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.col("subject")))).alias("examples"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("subject"))
+    # The filter on the place lets every task keep its own first rows only, before any check's rows come together.
+    first = rows.withColumn("_n", place).where(F.col("_n") <= samples).groupBy("name").agg(F.array_sort(F.collect_list("subject")).alias("examples"))
+    found = rows.groupBy("name").agg(F.count("*").alias("n"))
     names = rows.sparkSession.createDataFrame([(n,) for n in offending], "name string")
-    out = names.join(found, "name", "left")
+    out = names.join(found, "name", "left").join(first, "name", "left")
     return out.select("name", F.col("n").isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 

@@ -21,8 +21,9 @@ def _verdict(df: DataFrame, value: Column, ok: Column) -> DataFrame:
 def theme_concentration(pages: DataFrame, theme: str, top: int = 3, least: float = 0.7) -> DataFrame:
     """Share of pages in the `top` largest themes."""
     counts = pages.groupBy(theme).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("_p", F.row_number().over(Window.orderBy(F.desc("n"), theme)))
-    return _verdict(ranked, ratio(F.sum(F.when(F.col("_p") <= top, F.col("n"))), F.sum("n")), F.col("value") >= least)
+    first = counts.orderBy(F.desc("n"), theme).limit(top).agg(F.sum("n").alias("first"))
+    both = counts.agg(F.sum("n").alias("all")).join(F.broadcast(first))  # one row each
+    return _verdict(both, ratio(F.sum("first"), F.sum("all")), F.col("value") >= least)
 
 
 def share_meeting(rows: DataFrame, condition: Column, least: float | None = None, most: float | None = None) -> DataFrame:
@@ -120,7 +121,8 @@ def stale_dates(pages: DataFrame, modified: str, most: float = 0.5) -> DataFrame
 def referrer_share(hits: DataFrame, domain: str, named: list[str]) -> DataFrame:
     """Hits of each referrer, and whether it is one of the named domains."""
     counts = hits.groupBy(domain).agg(F.count("*").alias("n"))
-    return counts.withColumn("named", F.col(domain).isin(*named)).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    whole = F.broadcast(counts.agg(F.sum("n").alias("_all")))  # one row
+    return counts.join(whole).withColumn("named", F.col(domain).isin(*named)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
 def engagement_gap(pages: DataFrame, group: str, value: str) -> DataFrame:

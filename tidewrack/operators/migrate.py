@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.operators.graph import cut_lineage
 
 
-def chains(arcs: DataFrame, start: str, most: int = 64) -> DataFrame:
+def chains(arcs: DataFrame, start: str) -> DataFrame:
     """(version, hops, path): the shortest chain from a version to each one it leads to, itself by the empty one.
 
     The registry is a few rows for each version; of equal chains the first by name is taken."""
     spark = arcs.sparkSession
     out = spark.createDataFrame([(start, 0, [start])], "version string, hops int, path array<string>")
-    frontier = out
-    for hop in range(1, most + 1):
+    frontier, hop = out, 0
+    while True:
+        hop += 1
         step = frontier.join(arcs, frontier["version"] == arcs["de"]).select(F.col("vers").alias("version"), F.lit(hop).alias("hops"), F.concat("path", F.array("vers")).alias("path"))
         step = step.groupBy("version", "hops").agg(F.min("path").alias("path")).join(out.select("version"), "version", "left_anti")
         step = cut_lineage(step)
         if step.isEmpty():
             return out
         out, frontier = out.unionByName(step), step
-    return out
 
 
 def _mapped(old: Column, moves: dict[int, int]) -> Column:
@@ -112,5 +112,23 @@ def cited_moves(texts: DataFrame, text: str, moves: dict[int, int]) -> DataFrame
 def lossless(before: DataFrame, after: DataFrame, ignore: list[str]) -> bool:
     """Whether two tables hold the same rows, some columns aside: no row is only on one side."""
     columns = [c for c in before.columns if c not in ignore]
-    a, b = before.select(columns), after.select(columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    side = lambda df, n: df.select(*columns, F.lit(n).alias("_side"))
+    both = side(before, 1).unionAll(side(after, -1))  # each side is read once
+    return both.groupBy(*columns).agg(F.sum("_side").alias("_left")).where("_left <> 0").isEmpty()
+
+
+def refuse_filled(spark: SparkSession, path: str) -> None:
+    """Raises if there is anything at a path: a migration writes to a new place only."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place) and (fs.getFileStatus(place).isFile() or len(fs.listStatus(place))):
+        raise ValueError(f"the target is not empty: {path}")
+
+
+def write_migrated(sheets: DataFrame, path: str, told: DataFrame) -> None:
+    """Writes migrated sheets to an empty place if nothing was refused. told: the rows of `refusals`."""
+    refuse_filled(sheets.sparkSession, path)
+    reasons = told.groupBy("reason").agg(F.count("*").alias("n"), F.min("id").alias("id")).orderBy("reason").collect()  # a row for each kind of reason
+    if reasons:
+        raise ValueError("the migration is refused: " + ", ".join(f"{r['reason']} ({r['n']}, first {r['id']})" for r in reasons))
+    sheets.write.parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import NULL_PLAN, read_evidence, says_absent
@@ -51,7 +51,7 @@ def declared_urls(pages: DataFrame, samples: int = 6) -> DataFrame:
     known = pages.select("url", "status", "redirects")
     sets = {
         "U1": pages.where("canonical is not null").select("url", F.col("canonical").alias("target")),
-        "U2": pages.select("url", F.explode("hreflang").alias("h")).select("url", F.col("h.href").alias("target")),
+        "U2": pages.select("url", F.explode("hreflang").alias("h")).select("url", F.col("h.href").alias("target")).where("target is not null"),
         "U3": pages.where("in_sitemap").select("url", F.col("url").alias("target")),
     }
     rules = pages.sparkSession.createDataFrame([(r,) for r in sets], "rule string")
@@ -59,9 +59,10 @@ def declared_urls(pages: DataFrame, samples: int = 6) -> DataFrame:
     for rule, declared in sets.items():
         part = judge_targets(declared, known).select(F.lit(rule).alias("rule"), "target", "verdict")
         rows = part if rows is None else rows.unionByName(part)
-    unseen = F.count_if(F.col("verdict") == "UNSEEN").alias("unseen")
-    examples = F.slice(F.array_sort(F.collect_set(F.when(F.col("verdict") == "FAIL", F.col("target")))), 1, samples).alias("examples")
-    more = rows.groupBy("rule").agg(unseen, examples)
+    failing = rows.where("verdict = 'FAIL'").select("rule", "target").distinct()
+    first = failing.withColumn("_n", F.row_number().over(Window.partitionBy("rule").orderBy("target"))).where(F.col("_n") <= samples)  # tasks keep their first ones only
+    examples = first.groupBy("rule").agg(F.array_sort(F.collect_list("target")).alias("examples"))
+    more = rows.groupBy("rule").agg(F.count_if(F.col("verdict") == "UNSEEN").alias("unseen")).join(examples, "rule", "left")
     folded = rules.join(fold(rows, ["rule"]), "rule", "left").join(more, "rule", "left")
     return folded.select("rule", F.coalesce("verdict", F.lit("SANS_OBJET")).alias("verdict"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("subjects", "failed", "unseen")], F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 

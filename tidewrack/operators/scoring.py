@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.functions.numbers import half_even, thousands
-from tidewrack.functions.text import ids_in_cell
+from tidewrack.functions.numbers import half_even
+from tidewrack.functions.text import first_sentence, ids_in_cell
 from tidewrack.operators.table import global_rank
 
 #: Closed vocabularies and required fields of an action.
@@ -94,6 +94,18 @@ def quadrants(actions: DataFrame, a: str, b: str, effort: str, value: str, key:
     return actions.groupBy(a, b).agg(F.count("*").alias("n"), F.sum(effort).alias("effort"), head.alias("head"))
 
 
+def fixed_quadrants(actions: DataFrame, order: str = "id") -> DataFrame:
+    """(quadrant, n, effort, head) of the four quadrants that there are, empty ones included.
+
+    effort adds up whole numbers, other values being none; head is the best-scored action, of equals the first by `order`, or a dash."""
+    rows = actions.select("axe_execution", "axe_cout", F.col("effort").cast("string").try_cast("double").try_cast("int").alias("e"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"), F.col(order).alias("o"), F.coalesce("action", "libelle").alias("a"))
+    found = rows.groupBy(F.col("axe_execution").alias("x"), F.col("axe_cout").alias("c")).agg(F.count("*").alias("n"), F.sum("e").alias("effort"), F.min(F.struct((-F.col("s")).alias("s"), "o", "a")).alias("best"))
+    axes = actions.sparkSession.createDataFrame([(x, c) for x in VOCABULARIES["axe_execution"] for c in VOCABULARIES["axe_cout"]], "execution string, cost string")
+    met = axes.join(found, (F.col("execution") == F.col("x")) & (F.col("cost") == F.col("c")), "left")
+    head = F.when(F.col("n").isNull(), "—").otherwise(F.coalesce(first_sentence(F.col("best.a")), F.lit("")))
+    return met.select(channel_label(F.col("execution"), F.col("cost")).alias("quadrant"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("effort", F.lit(0)).cast("long").alias("effort"), head.alias("head"))
+
+
 def blocking_nodes(bridge: DataFrame, node: str, gain: str) -> DataFrame:
     """Nodes by how many actions they carry, then by gain, then by id; place 1 is the blocking one."""
     out = bridge.groupBy(node).agg(F.count("*").alias("n_actions"), F.sum(gain).alias("total_gain"))
@@ -145,6 +157,23 @@ def attachment(actions: DataFrame, bridge_: DataFrame, key: str) -> DataFrame:
     return out.withColumn("rate", F.try_divide(F.col("n_attached").cast("double"), F.col("n"))).withColumn("ok", (F.col("n") == 0) | (F.col("n_attached") > 0))
 
 
-def cost_label(euros: Column) -> Column:
-    """Not priced yet, free, or the price with its thousands apart."""
-    return F.when(euros.isNull(), "à chiffrer").when(euros == 0, "gratuit").otherwise(F.concat(thousands(euros), F.lit(" €")))
+#: How an action without a cost is written down.
+NO_COST = ("", "0", "0.0", "-")
+
+
+def cost_label(cost: Column, axis: Column) -> Column:
+    """An action's cost as it was written; without one it is free, or, if its axis says that it is paid, not known."""
+    text = F.trim(F.coalesce(cost.cast("string"), F.lit("")))
+    return F.when(~text.isin(*NO_COST), text).when(axis.eqNullSafe(F.lit("PAYANT")), "—").otherwise("gratuit")
+
+
+def delay_label(*delays: Column) -> Column:
+    """The first of some delays that is given; a bare number is one of days."""
+    text = F.coalesce(*[F.nullif(F.trim(d.cast("string")), F.lit("")) for d in delays], F.lit(""))
+    return F.when(text.rlike(r"^\d+([.,]\d+)?$"), F.concat(text, F.lit(" jours"))).otherwise(text)
+
+
+def channel_label(execution: Column, cost: Column) -> Column:
+    """Who carries an action out and what it costs, a question mark for what is not said."""
+    told = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("?"))
+    return F.concat(told(execution), F.lit(" + "), told(cost))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.operators import rules, scoring, snapshot
+from tidewrack.operators.graph import cut_lineage
 from tidewrack.operators.migrate import lossless
 
 
 def write_snapshot(documents: DataFrame, path: str, schema: dict, body: str = "body") -> None:
     """JSON documents, if all of them meet the contract; otherwise nothing is written."""
+    documents = cut_lineage(documents)  # judged and written from the same rows
     bad = snapshot.contract_violations(documents, schema, body).where(F.size("violations") > 0).select("violations").limit(5).collect()
     if bad:
         raise ValueError(f"the contract is broken: {[v for r in bad for v in r['violations']][:10]}")

@@ -23,10 +23,14 @@ SHEET_FIELDS = (
 )
 
 
-def state_counters(sheets: DataFrame, state: str) -> DataFrame:
-    """Sheets in each state. A null state is still to do; unknown states count in the total only."""
+#: Fixed value: nodes of the grid, which a study's counters are out of.
+GRID_NODES = 89
+
+
+def state_counters(sheets: DataFrame, state: str, total: int | None = GRID_NODES) -> DataFrame:
+    """Sheets in each state, out of the grid's nodes, or of the rows if total is None. A null state is still to do; unknown states count in the total only."""
     n = lambda s: F.count_if(F.col(state) == s)
-    return sheets.agg(F.count("*").alias("total"), n("fait").alias("fait"), n("en-cours").alias("en_cours"), n("hors-perimetre").alias("hors_perimetre"), F.count_if(F.col(state).isNull() | (F.col(state) == "a-faire")).alias("a_faire"))
+    return sheets.agg((F.count("*") if total is None else F.lit(total).cast("long")).alias("total"), n("fait").alias("fait"), n("en-cours").alias("en_cours"), n("hors-perimetre").alias("hors_perimetre"), F.count_if(F.col(state).isNull() | (F.col(state) == "a-faire")).alias("a_faire"))
 
 
 def tier_distribution(rows: DataFrame, tier: str, not_measured: str) -> DataFrame:

@@ -123,8 +123,9 @@ def by_count(df: DataFrame, value: str, n: int | None = None) -> DataFrame:
 
 def filter_values(df: DataFrame, column: str) -> DataFrame:
     """Values of a column and how often they occur, none if the table is small."""
-    n = F.sum("n").over(Window.partitionBy())
-    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("_t", n).where(F.col("_t") >= FILTER_ROWS).drop("_t")
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    enough = df.limit(FILTER_ROWS).agg((F.count("*") >= FILTER_ROWS).alias("_e"))  # one row
+    return counts.join(F.broadcast(enough), F.col("_e")).drop("_e")
 
 
 def counter(shown: DataFrame, total: DataFrame, searching: bool) -> str:
@@ -142,9 +143,12 @@ def local_rank(df: DataFrame, keys: list[str], order: str, name: str) -> DataFra
 
 
 def group_headers(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Each row with its group's size, and whether it is the group's first."""
-    own = Window.partitionBy(group)
-    return df.withColumn("group_size", F.count("*").over(own)).withColumn("is_header", F.row_number().over(own.orderBy(order)) == 1)
+    """Each row with its group's size, and whether it is the group's first; `order` tells the rows of a group apart.
+
+    Groups are counted and their first rows found by partial aggregates, so a large one is not gathered."""
+    own = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("group_size"), F.min(order).alias("_first"))
+    met = df.join(own, F.col(group).eqNullSafe(F.col("_g")))
+    return met.withColumn("is_header", F.col(order).eqNullSafe(F.col("_first"))).drop("_g", "_first")
 
 
 def running_offset(df: DataFrame, keys: list[str], order: list[str], size: str, name: str) -> DataFrame:
@@ -158,9 +162,9 @@ def first_use(df: DataFrame, term: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(term).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def dominant(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Each group's most frequent value; of equals, the greatest."""
-    counts = df.groupBy(group, value).agg(F.count("*").alias("n"))
+def dominant(df: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
+    """Each group's most frequent value; of equals, the greatest. weight: how many rows a row stands for."""
+    counts = df.groupBy(group, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     return counts.groupBy(group).agg(F.max_by(value, F.struct("n", value)).alias("dominant"))
 
 

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.operators import snapshot, table, templates, versions
+from tidewrack.functions import text, urls
+from tidewrack.operators import redirects, scoring, snapshot, table, templates, versions
 from tidewrack.plans.registry import query, read
 from tidewrack.session import shared_folder
-from tidewrack.sources import documents, pages
+from tidewrack.sources import documents, pages, sitemaps
 
 # --- templates -------------------------------------------------------------------------------------------------
 
@@ -182,3 +183,117 @@ def discovered_folders(spark, sf_dir):
     markers.repartition("kind", "run").write.partitionBy("kind", "run").parquet(folder)
     found = documents.scan(spark, folder, r"^part-.*\.parquet$", excluded=("kind=2",))
     return found.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
+
+
+# --- texts and labels over whole columns -----------------------------------------------------------------------
+
+#: Blanks of any script, as one.
+BLANKS_SQL = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{BLANKS_SQL}', ' ', 'g')) AS t FROM documents),
+e AS (SELECT doc_id, t, list_min(list_filter([instr(t, ' : '), instr(t, ' — '), instr(t, ' – '), instr(t, '. '), instr(t, ' ; ')], lambda i: i BETWEEN 2 AND 171)) AS e FROM p)
+SELECT doc_id, CASE WHEN e IS NULL THEN t ELSE trim(substr(t, 1, e - 1), ' .;:—–') END AS head FROM e""")
+def document_heads(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("head"))
+
+
+FOUND_TEXT = "CASE WHEN n_chars % 2 = 0 THEN n_chars || ' Lignes lues' WHEN n_chars % 3 = 0 THEN '`' || source || '`' ELSE 'ligne ' || n_chars END || CASE WHEN lang = 'fr' THEN ', fichier INTROUVABLE' WHEN lang = 'de' THEN ' code 404' ELSE ' absente' END"
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, {FOUND_TEXT} AS t FROM documents)
+SELECT doc_id, regexp_matches(t, '(?i)«[^»]{{3,}}»|`[^`]{{3,}}`|\b\d+\s*(?:URL|lien|entr[ée]e|section|ligne|item|rubrique)s?\b') AS read, regexp_matches(t, '(?i)\b(absent|introuvable|n''existe pas|404|non servi|aucun llms)\b') AS absent FROM t""")
+def evidence_of_reading(spark, sf_dir):
+    told = F.expr(FOUND_TEXT)
+    return read(spark, sf_dir, "documents").select("doc_id", text.read_evidence(told).alias("read"), text.says_absent(told).alias("absent"))
+
+
+#: Conditions of redirect rules; KEY stands for a supplier's number.
+CONDITIONS = (
+    'http.host eq "aKEY.com"', 'http.request.uri.path eq "/p/KEY"', 'http.request.full_uri wildcard r"https://*/KEY/*"', 'starts_with(http.request.uri.path, "/KEY")', 'http.request.uri in {"/KEY"}', 'http.cookie contains "KEY" and http.request.uri.path eq "/a"',
+    'http.request.uri.path ne "/KEY"', 'http.request.uri.path wildcard "/KEY"', 'http.request.uri.path eq "/x" and http.user_agent ~ "KEY"', 'http.request.uri.path matches "KEY"',
+)
+CONDITION_SQL = "replace([" + ", ".join(f"'{c}'" for c in CONDITIONS) + f"][s_suppkey % {len(CONDITIONS)} + 1], 'KEY', CAST(s_suppkey AS VARCHAR))"
+
+
+@query(rf"""
+WITH c AS (SELECT s_suppkey AS id, {CONDITION_SQL} AS c FROM supplier)
+SELECT id, CASE WHEN NOT regexp_matches(c, 'http\.request\.(uri\.path|uri\b|full_uri)') THEN true
+  WHEN regexp_matches(c, '\bwildcard\b\s*r?#?"[^"]*\*|\b(starts_with|ends_with)\(\s*http\.request\.(uri\.path|uri|full_uri)|\b(matches|contains)\b|\s~\s') THEN true
+  WHEN regexp_matches(c, 'http\.request\.(uri\.path|uri|full_uri)\s+(eq|==|in\b)') THEN false END AS many FROM c""")
+def paths_covered(spark, sf_dir):
+    condition = F.replace(F.element_at(F.array(*map(F.lit, CONDITIONS)), (F.col("s_suppkey") % len(CONDITIONS) + 1).cast("int")), F.lit("KEY"), F.col("s_suppkey").cast("string"))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), redirects.covers_many(condition).alias("many"))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'IA' WHEN 'O' THEN 'MANUEL' ELSE 'autre' END AS x, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 250000 THEN 'PAYANT' ELSE 'GRATUIT' END AS c, o_orderkey % 6 AS effort, o_totalprice AS score FROM orders),
+g AS (SELECT x, c, count(*) AS n, CAST(sum(CASE WHEN effort > 0 THEN effort END) AS BIGINT) AS effort, arg_min(id, (-score, id)) AS best FROM a GROUP BY 1, 2)
+SELECT v.x || ' + ' || w.c AS quadrant, coalesce(n, 0) AS n, coalesce(effort, 0) AS effort, CASE WHEN n IS NULL THEN '—' ELSE 'Action ' || best END AS head
+FROM (VALUES ('IA'), ('MANUEL')) v(x) CROSS JOIN (VALUES ('GRATUIT'), ('PAYANT')) w(c) LEFT JOIN g ON g.x = v.x AND g.c = w.c""")
+def four_quadrants(spark, sf_dir):
+    """The four quadrants of a fixed matrix; the paid one of the first axis has no action."""
+    k = F.col("o_orderkey")
+    axis = F.when(F.col("o_orderstatus") == "F", "IA").when(F.col("o_orderstatus") == "O", "MANUEL").otherwise("autre")
+    cost = F.when((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 250000), "PAYANT").otherwise("GRATUIT")
+    effort = F.when(k % 6 == 0, "soon").otherwise((k % 6).cast("string"))
+    rows = read(spark, sf_dir, "orders").select(k.alias("id"), axis.alias("axe_execution"), cost.alias("axe_cout"), effort.alias("effort"), F.col("o_totalprice").alias("score"), F.lit(None).cast("string").alias("action"), F.concat(F.lit("Action "), k.cast("string"), F.lit(" : then more")).alias("libelle"))
+    return scoring.fixed_quadrants(rows)
+
+
+@query("""
+SELECT CAST(89 AS BIGINT) AS total, count(*) FILTER (l_returnflag = 'R') AS fait, count(*) FILTER (l_returnflag = 'N') AS en_cours, CAST(0 AS BIGINT) AS hors_perimetre, count(*) FILTER (l_returnflag = 'A') AS a_faire FROM lineitem""")
+def counters_of_the_grid(spark, sf_dir):
+    state = F.when(F.col("l_returnflag") == "R", "fait").when(F.col("l_returnflag") == "N", "en-cours")
+    return snapshot.state_counters(read(spark, sf_dir, "lineitem").select(state.alias("state")), "state")
+
+
+@query("""
+SELECT page_id, CASE WHEN path = '' THEN '/' ELSE path END AS path, safe, decoded FROM (
+SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(regexp_replace(url, '^https?://', ''), '[^a-zA-Z0-9._-]+', '-', 'g') AS safe, replace(replace(url, '+', '%2B'), '%2B', '+') AS decoded FROM pages)""")
+def page_url_parts(spark, sf_dir):
+    url = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", urls.path(url).alias("path"), urls.file_safe(url).alias("safe"), urls.percent_decode(url).alias("decoded"))
+
+
+@query("""
+WITH r AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), 'href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, href, base || href AS target, count(*) AS n FROM r WHERE starts_with(href, '/') GROUP BY ALL""")
+def resolved_links(spark, sf_dir):
+    """Links of the pages' menus, as whole addresses."""
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.regexp_extract_all(F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1), F.lit('href="([^"]*)"'), 1)).alias("href"))
+    met = rows.where(F.startswith("href", F.lit("/"))).select("page_id", "href", urls.resolve(F.col("url"), F.col("href")).alias("target"))
+    return met.groupBy("page_id", "href", "target").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(replace(coalesce(text, ''), 'ß', ''), '''', ' '), '’', ' '))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
+def document_slugs(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.slug(F.coalesce("text", F.lit(""))).alias("slug"))
+
+
+ROBOTS = """User-agent: other
+Disallow: /
+
+User-agent: crawler
+User-agent: *
+Allow: /p/1
+Disallow: /p/KEY # own
+Disallow: /p/9%30
+
+Disallow: /p/2
+User-agent: *
+Disallow: /"""
+
+
+@query("""
+SELECT h.n_nationkey AS host, p.s_suppkey AS page, starts_with('/p/' || p.s_suppkey, '/p/1') OR NOT (starts_with('/p/' || p.s_suppkey, '/p/' || h.n_nationkey) OR starts_with('/p/' || p.s_suppkey, '/p/90')) AS allowed
+FROM nation h JOIN supplier p ON p.s_nationkey % 5 = h.n_regionkey""")
+def robots_groups(spark, sf_dir):
+    """Pages under robots rules with groups, comments, encoded paths and rules outside any group."""
+    nation, supplier = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    robots = nation.select(F.col("n_nationkey").alias("host"), F.replace(F.lit(ROBOTS), F.lit("KEY"), F.col("n_nationkey").cast("string")).alias("body"))
+    rows = nation.join(supplier, F.col("s_nationkey") % 5 == F.col("n_regionkey")).select(F.col("n_nationkey").alias("host"), F.col("s_suppkey").alias("page"), F.concat(F.lit("https://a.com/p/"), "s_suppkey").alias("url"))
+    return sitemaps.judge_robots(rows, robots).drop("url")

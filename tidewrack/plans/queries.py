@@ -178,10 +178,10 @@ def orphans(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE e AS ({EDGE_SQL}), w(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 6)
+WITH RECURSIVE e AS ({EDGE_SQL}), w(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < (SELECT count(*) FROM supplier))
 SELECT node, min(depth) AS depth FROM w GROUP BY 1""")
 def bfs_depth(spark, sf_dir):
-    return graph.click_depth(_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node long"), max_depth=6)
+    return graph.click_depth(_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node long"))
 
 
 @query(f"""
@@ -329,7 +329,7 @@ SELECT count(*) AS total, count(*) FILTER (s = 'fait') AS fait, count(*) FILTER
 FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'fait' WHEN 'O' THEN 'en-cours' WHEN 'P' THEN 'hors-perimetre' END AS s FROM orders)""")
 def state_counters(spark, sf_dir):
     state = F.when(F.col("o_orderstatus") == "F", "fait").when(F.col("o_orderstatus") == "O", "en-cours").when(F.col("o_orderstatus") == "P", "hors-perimetre")
-    return snapshot.state_counters(read(spark, sf_dir, "orders").select(state.alias("state")), "state")
+    return snapshot.state_counters(read(spark, sf_dir, "orders").select(state.alias("state")), "state", total=None)
 
 
 @query("""
@@ -376,8 +376,11 @@ def running_offset(spark, sf_dir):
 @query("""
 SELECT s_nationkey AS branch, arg_max(c_mktsegment, (n, c_mktsegment)) AS dominant FROM (SELECT s_nationkey, c_mktsegment, count(*) AS n FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY 1, 2) GROUP BY 1""")
 def dominant_value(spark, sf_dir):
-    met = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
-    return table.dominant(met.select(F.col("s_nationkey").alias("branch"), "c_mktsegment"), "branch", "c_mktsegment")
+    # Each side is counted by nation first: the pairs of a nation are as many as the product.
+    suppliers = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("branch")).agg(F.count("*").alias("s"))
+    customers = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n"), "c_mktsegment").agg(F.count("*").alias("c"))
+    met = suppliers.join(customers, F.col("branch") == F.col("n")).withColumn("weight", F.col("s") * F.col("c"))
+    return table.dominant(met, "branch", "c_mktsegment", weight="weight")
 
 
 @query("""
@@ -502,14 +505,14 @@ def long_tail_share(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS a, date_trunc('month', max(o_orderdate)) AS z FROM orders),
+WITH b AS (SELECT date_trunc('month', min(o_orderdate) - INTERVAL 5 MONTH) AS a, date_trunc('month', max(o_orderdate) + INTERVAL 5 MONTH) AS z FROM orders),
 s AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS DATE) AS month FROM b),
-n AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders WHERE o_totalprice > 498000 GROUP BY 1)
+n AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1)
 SELECT CAST(month AS VARCHAR) AS month, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (month)""")
 def monthly_spine_gap(spark, sf_dir):
     rows = read(spark, sf_dir, "orders")
-    span = rows.agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("z"))
-    return table.monthly(rows.where("o_totalprice > 498000"), "o_orderdate", span).select(F.col("month").cast("string").alias("month"), "n")
+    span = rows.agg(F.add_months(F.min("o_orderdate"), -5).alias("a"), F.add_months(F.max("o_orderdate"), 5).alias("z"))
+    return table.monthly(rows, "o_orderdate", span).select(F.col("month").cast("string").alias("month"), "n")
 
 
 @query("SELECT o_orderkey AS id, round_even(o_totalprice * 365.25::DOUBLE / CAST(7 + o_orderkey % 60 AS DOUBLE), 0) AS yearly FROM orders")

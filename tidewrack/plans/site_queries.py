@@ -44,7 +44,7 @@ def sitemap_unread(spark, sf_dir):
 def robots_allowed(spark, sf_dir):
     robots, _ = _site_files(spark, sf_dir)
     s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), "s_nationkey", F.lit(".com")).alias("host"), F.concat(F.lit("https://h"), "s_nationkey", F.lit(".com/p/"), "s_suppkey").alias("url"))
-    return s.join(robots, "host").select("url", sitemaps.allowed(F.col("body"), F.col("url")).alias("allowed"))
+    return sitemaps.judge_robots(s, robots).select("url", "allowed")
 
 
 # --- pages -----------------------------------------------------------------------------------------------------

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.robotparser import RobotFileParser
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tidewrack.functions import urls
 from tidewrack.operators.graph import cut_lineage
@@ -34,7 +30,9 @@ def named_files(robots: DataFrame, files: DataFrame, most: int = MOST_FILES) ->
     The rounds end when no new file is named."""
     queue = declared_by_robots(robots).distinct().withColumn("_round", F.lit(0))
     seen, found = queue, locations(files)
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         deeper = queue.join(found.where("is_index"), "sitemap").select("host", F.col("loc").alias("sitemap")).distinct()
         queue = cut_lineage(deeper.join(seen, ["host", "sitemap"], "left_anti").withColumn("_round", F.lit(depth)))
         if queue.isEmpty():
@@ -57,19 +55,36 @@ def unread(robots: DataFrame, files: DataFrame, most: int = MOST_FILES) -> DataF
     return out.withColumn("complete", F.col("unread") == 0)
 
 
-def allowed(robots: Column, url: Column, agent: str = "*") -> Column:
-    """Whether the rules of a robots.txt let an agent fetch a URL; no rules forbid nothing."""
-    def judge(bodies: pd.Series, wanted: pd.Series) -> pd.Series:
-        parsers: dict[str, RobotFileParser] = {}
-
-        def one(body, u):
-            if body is None or u is None:
-                return True
-            if body not in parsers:
-                parsers[body] = RobotFileParser()
-                parsers[body].parse(body.splitlines())
-            return parsers[body].can_fetch(agent, u)
-
-        return pd.Series([one(b, u) for b, u in zip(bodies, wanted, strict=True)])
-
-    return F.pandas_udf(judge, BooleanType())(robots, url)
+def robots_rules(robots: DataFrame) -> DataFrame:
+    """(host, group_no, agents, rules array<struct<position, allow, path>>): the groups of (host, body) that have a rule, in their order.
+
+    Lines that name agents and follow each other begin a group, and the rules behind them are its own; a blank line ends it, and
+    what stands outside a group says nothing. Comments go; agents and paths are decoded; an empty Disallow allows everything."""
+    lines = robots.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n", -1)).alias("position", "line"))
+    plain = F.trim(F.regexp_replace("line", "#.*$", ""))
+    name, value = F.lower(F.trim(F.regexp_extract(plain, r"^([^:]*):", 1))), urls.percent_decode(F.trim(F.regexp_extract(plain, r"^[^:]*:(.*)$", 1)))
+    kind = F.when(F.trim("line") == "", "blank").when(name == "user-agent", "agent").when(name.isin("allow", "disallow"), "rule")
+    # A line that is a comment alone, or of another name, leaves the group as it is.
+    rows = lines.select("host", "position", kind.alias("kind"), (name == "allow").alias("allow"), value.alias("value")).where("kind is not null")
+    order = Window.partitionBy("host").orderBy("position")
+    begins = (F.col("kind") == "blank") | ((F.col("kind") == "agent") & ~F.lag("kind").over(order).eqNullSafe(F.lit("agent")))
+    marked = rows.withColumn("begins", begins.cast("int"))
+    grouped = marked.withColumn("group_no", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rule = F.when(F.col("kind") == "rule", F.struct("position", (F.col("allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("path")))
+    out = grouped.groupBy("host", "group_no").agg(F.collect_set(F.when(F.col("kind") == "agent", F.lower("value"))).alias("agents"), F.array_sort(F.collect_list(rule)).alias("rules"))
+    return out.where((F.size("agents") > 0) & (F.size("rules") > 0))
+
+
+def judge_robots(pages: DataFrame, robots: DataFrame, agent: str = "*", host: str = "host", url: str = "url") -> DataFrame:
+    """Adds `allowed` to (host, url): whether the host's rules let an agent fetch it; a host without rules forbids nothing.
+
+    The first group that names a part of the agent's name counts, else the first for all agents; of its rules the first
+    whose path the URL's begins with, else it is allowed. A host has one row of rules, which meets its pages by a join."""
+    own = agent.split("/")[0].lower()
+    everybody = F.array_contains("agents", "*")
+    rank = F.when(everybody, 1).when(F.exists("agents", lambda a: F.contains(F.lit(own), a)), 0)
+    first = robots_rules(robots).withColumn("rank", rank).where("rank is not null").groupBy(F.col("host").alias("_h")).agg(F.min(F.struct("rank", "group_no", "rules"))["rules"].alias("_r"))
+    rest = F.regexp_replace(urls.percent_decode(F.col(url)), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|^//[^/?#]*", "")
+    met = pages.join(first, F.col(host).eqNullSafe(F.col("_h")), "left").withColumn("_p", F.when(rest == "", "/").otherwise(rest))
+    fits = F.filter("_r", lambda r: (r["path"] == "*") | F.startswith(F.col("_p"), r["path"]))
+    return met.withColumn("allowed", F.coalesce(F.get(fits, 0)["allow"], F.lit(True))).drop("_h", "_r", "_p")
