@@ -56,14 +56,15 @@ def unread(robots: DataFrame, files: DataFrame, most: int = MOST_FILES) -> DataF
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """(host, group_no, agents, rules array<struct<position, allow, path>>): the groups of (host, body) that have a rule, in their order.
+    """(host, group_no, agents, rules array<struct<position, allow, path>>): the groups of (host, body) that have a rule or a pace, in their order.
 
     Lines that name agents and follow each other begin a group, and the rules behind them are its own; a blank line ends it, and
     what stands outside a group says nothing. Comments go; agents and paths are decoded; an empty Disallow allows everything."""
     lines = robots.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n", -1)).alias("position", "line"))
-    plain = F.trim(F.regexp_replace("line", "#.*$", ""))
-    name, value = F.lower(F.trim(F.regexp_extract(plain, r"^([^:]*):", 1))), urls.percent_decode(F.trim(F.regexp_extract(plain, r"^[^:]*:(.*)$", 1)))
-    kind = F.when(F.trim("line") == "", "blank").when(name == "user-agent", "agent").when(name.isin("allow", "disallow"), "rule")
+    bare = lambda c: F.btrim(c, F.lit(" \t\x0b\x0c"))
+    plain = bare(F.regexp_replace("line", "#.*$", ""))
+    name, value = F.lower(bare(F.regexp_extract(plain, r"^([^:]*):", 1))), urls.percent_decode(bare(F.regexp_extract(plain, r"^[^:]*:(.*)$", 1)))
+    kind = F.when(F.col("line") == "", "blank").when(name == "user-agent", "agent").when(name.isin("allow", "disallow"), "rule").when(name.isin("crawl-delay", "request-rate"), "pace")
     # A line that is a comment alone, or of another name, leaves the group as it is.
     rows = lines.select("host", "position", kind.alias("kind"), (name == "allow").alias("allow"), value.alias("value")).where("kind is not null")
     order = Window.partitionBy("host").orderBy("position")
@@ -71,8 +72,8 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     marked = rows.withColumn("begins", begins.cast("int"))
     grouped = marked.withColumn("group_no", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rule = F.when(F.col("kind") == "rule", F.struct("position", (F.col("allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("path")))
-    out = grouped.groupBy("host", "group_no").agg(F.collect_set(F.when(F.col("kind") == "agent", F.lower("value"))).alias("agents"), F.array_sort(F.collect_list(rule)).alias("rules"))
-    return out.where((F.size("agents") > 0) & (F.size("rules") > 0))
+    out = grouped.groupBy("host", "group_no").agg(F.collect_set(F.when(F.col("kind") == "agent", F.lower("value"))).alias("agents"), F.array_sort(F.collect_list(rule)).alias("rules"), F.bool_or(F.col("kind").isin("rule", "pace")).alias("_said"))
+    return out.where(F.col("_said") & (F.size("agents") > 0)).drop("_said")
 
 
 def judge_robots(pages: DataFrame, robots: DataFrame, agent: str = "*", host: str = "host", url: str = "url") -> DataFrame:
@@ -86,5 +87,5 @@ def judge_robots(pages: DataFrame, robots: DataFrame, agent: str = "*", host: st
     first = robots_rules(robots).withColumn("rank", rank).where("rank is not null").groupBy(F.col("host").alias("_h")).agg(F.min(F.struct("rank", "group_no", "rules"))["rules"].alias("_r"))
     rest = F.regexp_replace(urls.percent_decode(F.col(url)), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|^//[^/?#]*", "")
     met = pages.join(first, F.col(host).eqNullSafe(F.col("_h")), "left").withColumn("_p", F.when(rest == "", "/").otherwise(rest))
-    fits = F.filter("_r", lambda r: (r["path"] == "*") | F.startswith(F.col("_p"), r["path"]))
+    fits = F.filter("_r", lambda r: F.startswith(F.col("_p"), r["path"]))
     return met.withColumn("allowed", F.coalesce(F.get(fits, 0)["allow"], F.lit(True))).drop("_h", "_r", "_p")
