@@ -77,6 +77,16 @@ def test_offsets_where_lower_case_is_longer():
     assert [q for *_, q in spans] == pytest.approx([p["zzgrim"], p["zzvile"]])
 
 
+def test_a_weighted_row_counts_as_several():
+    r = np.random.default_rng(5)
+    emit, mask, step = r.normal(size=(3, 6)), r.random((3, 6)) < 0.9, r.normal(size=(2, 2))
+    mask = np.sort(mask, axis=1)[:, ::-1]
+    weight = np.array([1.0, 3.0, 2.0])
+    times = np.repeat(np.arange(3), weight.astype(int))
+    one, many = toxicity.marginals(emit, mask, step, -1.0, weight), toxicity.marginals(emit[times], mask[times], step, -1.0)
+    assert np.allclose(one[1], many[1]) and np.isclose(one[2], many[2]) and np.allclose(one[0][times], many[0])
+
+
 def test_words_share_the_features_they_share():
     words = ["grim", "grimly", "grimm", "im", "\u00e9t\u00e9", "x" * 5000, "\U0001f600smile"]
     h, has = toxicity.feature_hashes(words)
@@ -172,7 +182,8 @@ def test_candidates_of_very_long_runs(part):
 
 def test_dictionary_of_a_corpus(spark):
     df = spark.createDataFrame([(i, "Alpha alpha beta été gamma1 zz abcdefghijklmnopq" + " delta" * (i == 0)) for i in range(3)] + [(None, None)], "doc_id long, text string")
-    assert secrets.lexicon(df, 3).words - set(secrets.DICTIONARY) == {"alpha", "beta", "gamma"}
+    assert secrets.lexicon(df, 10).words - set(secrets.DICTIONARY) == {"alpha", "beta", "gamma"}  # of 13 places each has more than a tenth, "delta" has not
+    assert secrets.lexicon(df.where("false")).words == set(secrets.DICTIONARY)
     known = secrets.Lexicon(["alp", "alpha", "bet"])
     assert known.covered("xalphabetalpx") == 11 and known.covered("") == 0
 

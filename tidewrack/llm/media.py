@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import WorkArea, in_slices, shuffle_cleanup, utf8
+from tidewrack.llm.common import WorkArea, in_slices, shared_root, shuffle_cleanup, utf8
 
 RATE, UNIT = 8000, 64
 SMALLEST, LARGEST, CUT_BITS, WINDOW = 2048, 65536, 13, 32
@@ -167,7 +167,7 @@ def chunk_rows(df: DataFrame, dictionary: bytes, part: int = 0, parts: int = 1)
 
 
 def store(df: DataFrame, dictionary: bytes, known: DataFrame | None = None, name: str | None = None) -> DataFrame:
-    """Writes the chunks of (doc_id, text) that are not in `known` (digest, data) to a table of the warehouse, bucketed by digest."""
+    """Writes the chunks of (doc_id, text) that are not in `known` (digest, data) to a table below the shared folder, bucketed by digest."""
     spark = df.sparkSession
     name, n = name or f"tidewrack_chunks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     for part in range(PARTS):
@@ -176,10 +176,17 @@ def store(df: DataFrame, dictionary: bytes, known: DataFrame | None = None, name
             new = new.join(known.select("digest"), "digest", "left_anti")
         with shuffle_cleanup(spark):
             # The chunks are compressed already.
-            new.write.format("parquet").option("compression", "uncompressed").bucketBy(n, "digest").sortBy("digest").mode("append").saveAsTable(name)
+            new.write.format("parquet").option("compression", "uncompressed").option("path", f"{shared_root(spark)}/{name}").bucketBy(n, "digest").sortBy("digest").mode("append").saveAsTable(name)
     return spark.table(name)
 
 
+def drop_store(spark: SparkSession, name: str) -> None:
+    """Forgets a store's table and deletes its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def rebuild(files: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame:
     """(media, digests) distinct, and (digest, data) -> (media, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
 
@@ -209,14 +216,16 @@ def rebuild(files: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame
 def digest_columns(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Stores every text of (doc_id, text), reads it back, and returns one row for each.
 
-    The store of this call goes when all has been read back."""
+    The store of this call goes when all has been read back, or when that fails."""
     work, name = WorkArea(spark, "media"), f"tidewrack_chunks_{uuid.uuid4().hex}"
     dictionary = fit_dictionary(df)
     listed = work.write(manifests(df), "manifests")
-    chunks = store(df, dictionary, name=name)
-    files = listed.groupBy("media").agg(F.first("digests").alias("digests"))
-    read = work.write(rebuild(files, chunks, dictionary), "read")
-    spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+    try:
+        chunks = store(df, dictionary, name=name)
+        files = listed.groupBy("media").agg(F.first("digests").alias("digests"))
+        read = work.write(rebuild(files, chunks, dictionary), "read")
+    finally:
+        drop_store(spark, name)
     return listed.drop("digests").join(read, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

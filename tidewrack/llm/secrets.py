@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import ascii_lower, in_slices, utf8
+from tidewrack.llm.common import WorkArea, ascii_lower, in_slices, utf8
 from tidewrack.llm.trees import Trees, forest
 
 FINDINGS, SEED, SECRET, BESIDE = 6000, 11, 0.5, 40
-#: Words that are taken from a corpus at most, and their lengths.
-WORDS, SHORTEST_WORD, LONGEST_WORD = 5000, 3, 14
+#: A corpus gives its words with more than 1/WORDS of all places, fewer than WORDS words; and their lengths.
+WORDS, SHORTEST_WORD, LONGEST_WORD = 50_000, 3, 14
 #: Names that secrets go by, and names of harmless long values.
 NAMES = "token secret password passwd pwd apikey api_key api-key access_key access-key auth authorization bearer credential credentials private_key client_secret".split()
 HARMLESS = "sha sha1 sha256 md5 checksum digest hash commit revision rev uuid guid etag version build id isbn doi serial example sample placeholder test dummy public integrity fingerprint".split()
@@ -91,10 +91,12 @@ ENGLISH = Lexicon(DICTIONARY)
 
 
 def lexicon(df: DataFrame, most: int = WORDS) -> Lexicon:
-    """DICTIONARY and the `most` commonest words of (text), of ASCII letters alone: so many rows come to the driver at most."""
+    """DICTIONARY and the words of (text), of ASCII letters alone, that have more than 1/most of the places: fewer than `most` rows come to the driver."""
     word = F.explode(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit("[a-zÀ-ÿ]+"), 0)).alias("word")
     counted = df.select(word).where(F.char_length("word").between(SHORTEST_WORD, LONGEST_WORD) & F.col("word").rlike("^[a-z]+$")).groupBy("word").count()
-    return Lexicon({*DICTIONARY, *(r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(most).collect())})
+    counted = WorkArea(df.sparkSession, "lexicon").write(counted, "words")
+    places = counted.agg(F.sum("count")).first()[0] or 0
+    return Lexicon({*DICTIONARY, *(r["word"] for r in counted.where(F.col("count") * most > places).collect())})
 
 
 def describe(text: str, start: int, end: int, known: Lexicon = ENGLISH) -> list[float]:

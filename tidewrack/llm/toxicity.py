@@ -92,14 +92,15 @@ def flat(forms, columns: slice = slice(None), kind=np.uint64, modulus: int | Non
     return (np.concatenate(out), np.concatenate(sizes)) if out else (np.zeros(0, kind), np.zeros(0, np.int64))
 
 
-def marginals(emit: np.ndarray, mask: np.ndarray, step: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(emit: np.ndarray, mask: np.ndarray, step: np.ndarray, start: float, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over padded rows, each a chain of its own.
 
     emit: log odds of toxic against clean by row and place. step: 2 x 2 log potentials. Returns the
     probability of toxic at each place, expected transitions by kind, and the log partition function.
-    Messages are kept as the ratio of toxic to clean."""
+    weight: how many rows each row stands for, in the last two. Messages are kept as the ratio of toxic to clean."""
     (w00, w01), (w10, w11) = np.exp(step)
     rows, places = emit.shape
+    weight = np.ones(rows) if weight is None else weight
     odds, on = np.exp(np.clip(emit, -30, 30)).T.copy(), mask.T
     r = np.empty((places, rows))
     r[0] = odds[0] * np.exp(start)
@@ -115,9 +116,9 @@ def marginals(emit: np.ndarray, mask: np.ndarray, step: np.ndarray, start: float
         if t:
             q = odds[t] * s
             pair = np.stack([np.full(rows, w00), w01 * q, r[t - 1] * w10, r[t - 1] * w11 * q])
-            moves += (pair[:, on[t]] / pair[:, on[t]].sum(axis=0)).sum(axis=1).reshape(2, 2)
+            moves += (pair[:, on[t]] / pair[:, on[t]].sum(axis=0) @ weight[on[t]]).reshape(2, 2)
             s = np.where(on[t], (w10 + w11 * q) / (w00 + w01 * q), 1.0)
-    return p.T, moves, log_z.sum()
+    return p.T, moves, log_z @ weight
 
 
 def pad(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -319,14 +320,14 @@ def train(sample: Sample, tags: list[np.ndarray]) -> Model:
     mask, truth, weight = mask[keep], truth[keep], np.where(has[keep], 1.0, stride)
     pairs = mask[:, 1:] & mask[:, :-1]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (truth[:, :-1][pairs].astype(int), truth[:, 1:][pairs].astype(int)), 1.0)
+    np.add.at(seen, (truth[:, :-1][pairs].astype(int), truth[:, 1:][pairs].astype(int)), np.broadcast_to(weight[:, None], pairs.shape)[pairs])
     theta, step, start = np.zeros(FEATURES), np.zeros((2, 2)), -4.0
     speed, speed_step, speed_start = np.zeros(FEATURES), np.zeros((2, 2)), 0.0
     of_form = np.bincount(form, weights=gold.astype(float), minlength=n_forms)
     for _ in range(STEPS):
         emit = np.zeros(mask.shape)
         emit[row, place] = np.bincount(owner, weights=theta[flat_ids], minlength=n_forms)[form]
-        p, moves, _z = marginals(emit, mask, step, start)
+        p, moves, _z = marginals(emit, mask, step, start, weight)
         slope = of_form - np.bincount(form, weights=p[row, place] * weight[row], minlength=n_forms)
         slope = np.bincount(flat_ids, weights=slope[owner], minlength=FEATURES) - RIDGE * len(form) * theta
         speed += slope**2
