@@ -223,3 +223,99 @@ def declared_capabilities(rows: DataFrame, key: str, names: list[str]) -> DataFr
 
 def maturity(score: Column) -> Column:
     return F.when(score >= 0.9, 5).when(score >= 0.7, 4).when(score >= 0.5, 3).when(score >= 0.3, 2).when(score.isNotNull(), 1)
+
+
+def crawler_hits(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """(agent, template, depth, hits, pages_hit, wasted): where crawlers spend their visits; wasted are those of pages that are not indexable.
+
+    hits: (agent, url); pages: (url, template, depth, indexable). Hits of pages that no crawl knows have no template."""
+    counted = hits.groupBy("agent", "url").agg(F.count("*").alias("n"))  # a page may have a third of all hits
+    met = counted.join(pages, "url", "left")
+    out = met.groupBy("agent", "template", "depth").agg(F.sum("n").alias("hits"), F.count("*").alias("pages_hit"), F.coalesce(F.sum(F.when(~F.col("indexable"), F.col("n"))), F.lit(0)).alias("wasted"))
+    return out.select("agent", "template", "depth", "hits", "pages_hit", "wasted")
+
+
+def markup_by_template(pages: DataFrame, eligible: list[str]) -> DataFrame:
+    """(template, pages, marked, errors, value, ok) of each eligible template: all of its pages carry valid structured data and none a broken block.
+
+    pages: (template, blocks, errors), numbers of valid and broken blocks. A template without pages is not measured."""
+    fixed = pages.sparkSession.createDataFrame([(t,) for t in eligible], "template string")
+    found = pages.groupBy("template").agg(F.count("*").alias("pages"), F.count_if(F.col("blocks") > 0).alias("marked"), F.sum("errors").alias("errors"))
+    out = fixed.join(found, "template", "left").withColumn("value", F.col("marked") / F.col("pages"))
+    return out.select("template", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("marked", F.lit(0)).alias("marked"), F.coalesce("errors", F.lit(0)).alias("errors"), "value", ((F.col("value") == 1) & (F.col("errors") == 0)).alias("ok"))
+
+
+def sitemap_health(pages: DataFrame, least: float = 0.95) -> DataFrame:
+    """(declared, not_200, noindex, canonical_away, not_seen, present, ok) of a sitemap: none of its URLs fails, is kept out of the
+    index or names another page as its own, and nearly all pages of value are in it.
+
+    pages: (url, status, noindex, away, in_sitemap, valued); a declared page that was not crawled has a null status and is named, not judged."""
+    inside = F.coalesce(F.col("in_sitemap"), F.lit(False))
+    n = lambda c: F.count_if(inside & F.coalesce(c, F.lit(False)))
+    out = pages.agg(
+        F.count_if(inside).alias("declared"), n(F.col("status") != 200).alias("not_200"), n(F.col("noindex")).alias("noindex"), n(F.col("away")).alias("canonical_away"),
+        n(F.col("status").isNull()).alias("not_seen"), ratio(F.count_if(F.col("valued") & inside), F.count_if(F.col("valued"))).alias("present"),
+    )
+    clean = (F.col("not_200") == 0) & (F.col("noindex") == 0) & (F.col("canonical_away") == 0)
+    return out.withColumn("ok", clean & (F.col("present") >= least))
+
+
+#: Fixed value: an address in a directive file.
+CITED = r"https?://[^\s<>()\[\]\"']+[^\s<>()\[\]\"'.,;:!?]"
+
+
+def directive_urls(files: DataFrame, pages: DataFrame, declared: DataFrame) -> DataFrame:
+    """(host, cited, answering, unseen, undeclared, ok) of each host's directive file: every URL that it cites answers, and is in the sitemap.
+
+    files: (host, body); pages: (url, status); declared: (url). What was not crawled is counted apart and not judged."""
+    cited = files.select("host", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(CITED), 0))).alias("url"))
+    met = cited.join(pages.select("url", "status"), "url", "left").join(declared.select("url", F.lit(True).alias("listed")).distinct(), "url", "left")
+    found = met.groupBy(F.col("host").alias("h")).agg(
+        F.count("*").alias("cited"), F.count_if(F.col("status") == 200).alias("answering"), F.count_if(F.col("status").isNull()).alias("unseen"), F.count_if(F.col("listed").isNull()).alias("undeclared")
+    )
+    out = files.select("host").distinct().join(found, F.col("host") == F.col("h"), "left").drop("h").fillna(0, ["cited", "answering", "unseen", "undeclared"])
+    return out.withColumn("ok", (F.col("answering") + F.col("unseen") == F.col("cited")) & (F.col("undeclared") == 0))
+
+
+def minimum_counts(candidates: DataFrame, minimums: dict[int, int], qualities: list[str]) -> DataFrame:
+    """(node, n, least, ok): how many distinct candidates of each judgement have all of the qualities, against its minimum.
+
+    candidates: (node, name, qualities...)."""
+    whole = reduce(Column.__and__, [F.coalesce(F.nullif(F.trim(F.col(q).cast("string")), F.lit("")).isNotNull(), F.lit(False)) for q in qualities])
+    fixed = candidates.sparkSession.createDataFrame(list(minimums.items()), "node int, least int")
+    found = candidates.where(whole).groupBy(F.col("node").alias("_n")).agg(F.count_distinct("name").alias("n"))
+    out = fixed.join(found, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("n", F.lit(0)).alias("n"), "least")
+    return out.withColumn("ok", F.col("n") >= F.col("least"))
+
+
+def unjustified(recommendations: DataFrame, reason: str, admitted: list[str]) -> DataFrame:
+    """Recommendations whose reason is none of the admitted ones, or missing."""
+    return recommendations.where(~F.coalesce(F.col(reason).isin(*admitted), F.lit(False)))
+
+
+def lead_cost(channels: DataFrame, group: str, spent: str, leads: str) -> DataFrame:
+    """(group, spent, leads, value): what a lead cost; null where either was not declared, or there was no lead."""
+    out = channels.groupBy(group).agg(F.sum(spent).alias("spent"), F.sum(leads).alias("leads"))
+    return out.withColumn("value", F.when(F.col("leads") > 0, F.col("spent") / F.col("leads")))
+
+
+def customer_value(sales: DataFrame, group: str, customer: str, amount: str) -> DataFrame:
+    """(group, customers, basket, recurrence, value): mean sale, sales a customer, and what a customer brings."""
+    by_customer = sales.groupBy(group, customer).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
+    out = by_customer.groupBy(group).agg(F.count("*").alias("customers"), F.sum("n").alias("sales"), F.sum("total").alias("total"))
+    return out.select(group, "customers", (F.col("total") / F.col("sales")).alias("basket"), (F.col("sales") / F.col("customers")).alias("recurrence"), (F.col("total") / F.col("customers")).alias("value"))
+
+
+def link_gap(links: DataFrame, own: str) -> DataFrame:
+    """(domain, competitors): domains that link to competitors and not to the own site, and to how many of them. links: (site, domain)."""
+    sites = links.select("site", "domain").distinct()
+    mine = sites.where(F.col("site") == own).select("domain")
+    return sites.where(F.col("site") != own).join(mine, "domain", "left_anti").groupBy("domain").agg(F.count("*").alias("competitors"))
+
+
+def domains_against(links: DataFrame, own: str) -> DataFrame:
+    """(own, competitors, median, best, ok): referring domains of the own site against those of its competitors; ok is not less than their median."""
+    counts = links.groupBy("site").agg(F.count_distinct("domain").alias("n"))
+    middle = quantile(counts.where(F.col("site") != own), [], "n", 0.5, "median")
+    out = counts.agg(F.coalesce(F.max(F.when(F.col("site") == own, F.col("n"))), F.lit(0)).alias("own"), F.count_if(F.col("site") != own).alias("competitors"), F.max(F.when(F.col("site") != own, F.col("n"))).alias("best"))
+    return out.join(F.broadcast(middle)).select("own", "competitors", "median", "best", (F.col("own") >= F.col("median")).alias("ok"))

@@ -88,6 +88,13 @@ def not_measurable(spark: SparkSession, source: str, missing: str, remedy: str)
     return spark.createDataFrame([(source, "non-mesurable", None, None, None, missing, remedy)], "source string, verdict string, read long, recognised long, ignored long, missing string, remedy string")
 
 
+def unmeasured(sources: DataFrame, measured: DataFrame, missing: str, remedy: str) -> DataFrame:
+    """not_measurable rows, one for each (source) that has no (source) row among the measured ones."""
+    left = sources.select("source").distinct().join(measured.select("source"), "source", "left_anti")
+    none = F.lit(None).cast("long")
+    return left.select("source", F.lit("non-mesurable").alias("verdict"), none.alias("read"), none.alias("recognised"), none.alias("ignored"), F.lit(missing).alias("missing"), F.lit(remedy).alias("remedy"))
+
+
 def latest_measured(runs: DataFrame, key: list[str], date: str = "date", measured: str = "measured") -> DataFrame:
     """The latest measured row of each key, or the latest row where nothing was ever measured."""
     w = Window.partitionBy(*key).orderBy(F.col(measured).desc(), F.col(date).desc())

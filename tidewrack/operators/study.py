@@ -81,3 +81,12 @@ def content_rows(documents: DataFrame, body: str = "body") -> DataFrame:
     """(id, content) of JSON documents that map node ids to content. Code is never run to get content."""
     parsed = F.from_json(F.col(body), "map<string, string>")
     return documents.select(F.explode(parsed).alias("id", "content")).withColumn("id", F.col("id").try_cast("int"))
+
+
+def content_list(documents: DataFrame, body: str = "body", key: str = "id") -> DataFrame:
+    """(position, id, fields map) of JSON lists of objects, in their order; an object without the key is an error, and so is a text that is no list."""
+    parsed = F.from_json(F.col(body), "array<map<string, string>>")
+    known = F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit("the content is no list of objects")).cast("array<map<string, string>>"))
+    rows = documents.select(F.posexplode(known).alias("position", "fields"))
+    named = F.coalesce(F.try_element_at("fields", F.lit(key)), F.raise_error(F.concat(F.lit("an object without a key at "), F.col("position").cast("string"))).cast("string"))
+    return rows.select("position", named.alias("id"), "fields")

@@ -557,4 +557,4 @@ def content_fingerprint(spark, sf_dir):
 
 
 # Further queries register themselves.
-from tidewrack.plans import further_queries, hop_queries, metric_queries, site_queries, study_queries  # noqa: E402, F401
+from tidewrack.plans import further_queries, grid_queries, hop_queries, metric_queries, site_queries, study_queries  # noqa: E402, F401
