@@ -104,12 +104,16 @@ def field_evidence(sheets: DataFrame, usable: bool) -> DataFrame:
     return sheets.withColumn("ok", ~subject | F.lit(usable))
 
 
+#: How a source says that a connector read it and on which day, and how dates are written.
+CONNECTOR, READ_ON, ISO_DATE = "connecteur", r"\blue?\s+le\s+\d{4}-\d{2}-\d{2}\b", r"\b(\d{4}-\d{2}-\d{2})\b"
+
+
 def connector_metrics(metrics: DataFrame) -> DataFrame:
-    """Adds `violations`: a metric read by connector is T1, and its source gives the day it was read and the period."""
+    """Adds `violations`: a metric read by connector is T1, and its source gives the day it was read and the period, three dates in all."""
     source = F.coalesce("source", F.lit(""))
-    dated = source.rlike(r"lu le \d{4}-\d{2}-\d{2}")
-    found = F.array(F.when(F.coalesce(F.col("preuve"), F.lit("")) != "T1", F.lit("tier is not T1")), F.when(~dated, F.lit("no read date")), F.when(F.size(F.regexp_extract_all(source, F.lit(r"(\d{4}-\d{2}-\d{2})"), 1)) < 3, F.lit("no period")))
-    subject = F.contains(F.lower(source), F.lit("connecteur")) | F.contains(F.lower(source), F.lit("connector"))
+    dated = source.rlike(f"(?iU){READ_ON}")
+    found = F.array(F.when(F.coalesce(F.col("preuve"), F.lit("")) != "T1", F.lit("tier is not T1")), F.when(~dated, F.lit("no read date")), F.when(F.size(F.regexp_extract_all(source, F.lit(ISO_DATE), 1)) < 3, F.lit("no period")))
+    subject = F.contains(F.lower(source), F.lit(CONNECTOR))
     return metrics.withColumn("violations", F.when(subject, F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")))
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewrack.operators import graph, grid, logs, migrate, study
+from tidewrack.operators import graph, grid, logs, migrate, rules, study
 from tidewrack.plans.registry import query, read
 from tidewrack.session import shared_folder
 from tidewrack.sources import documents, pages
@@ -159,3 +159,17 @@ def content_lists(spark, sf_dir):
     lists = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("body"))
     found = study.content_list(lists)
     return found.select(F.col("fields")["nation"].cast("long").alias("nation"), "position", "id", F.col("fields")["name"].alias("name"))
+
+
+READING = "CASE WHEN o_orderstatus = 'P' THEN 'export ' ELSE 'Connecteur, ' END || CASE WHEN o_totalprice > 200000 THEN 'lue le ' ELSE 'vu le ' END || CAST(o_orderdate AS STRING) || CASE WHEN o_orderkey % 5 > 1 THEN ', du ' || CAST(o_orderdate AS STRING) || ' au 2026-01-01' ELSE '' END"
+
+
+@query(rf"""
+WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority < '3' THEN 'T1' ELSE 'T2' END AS tier, {READING.replace("STRING", "VARCHAR")} AS s FROM orders)
+SELECT id, CASE WHEN contains(lower(s), 'connecteur') THEN concat_ws(';', CASE WHEN tier <> 'T1' THEN 'tier is not T1' END, CASE WHEN NOT regexp_matches(s, '(?i)\blue?\s+le\s+\d{{4}}-\d{{2}}-\d{{2}}\b') THEN 'no read date' END,
+  CASE WHEN len(regexp_extract_all(s, '\b\d{{4}}-\d{{2}}-\d{{2}}\b')) < 3 THEN 'no period' END) ELSE '' END AS violations FROM s""")
+def dated_readings(spark, sf_dir):
+    """Metrics whose sources say in words of the table who read them, when and for which period."""
+    orders = read(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    rows = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") < "3", "T1").otherwise("T2").alias("preuve"), F.expr(READING).alias("source"))
+    return rules.connector_metrics(rows).select("id", F.array_join("violations", ";").alias("violations"))

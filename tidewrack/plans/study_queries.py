@@ -392,7 +392,7 @@ SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 1 THEN 'tier is not T1' WHEN 2
 def connector_reads(spark, sf_dir):
     k, day = F.col("o_orderkey") % 5, F.date_format("o_orderdate", "yyyy-MM-dd")
     full = F.concat(F.lit("Connecteur, lu le "), day, F.lit(", période 2025-01-01 / 2025-12-31"))
-    source = F.when(k == 2, F.concat(F.lit("connector, lu le "), day)).when(k == 3, "connecteur, hier").when(k == 4, "export").otherwise(full)
+    source = F.when(k == 2, F.concat(F.lit("CONNECTEUR, Lue  le "), day)).when(k == 3, "connecteur, hier").when(k == 4, "export").otherwise(full)
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(k == 1, "T2").otherwise("T1").alias("preuve"), source.alias("source"))
     return rules.connector_metrics(rows).select("id", F.array_join("violations", ";").alias("violations"))
 
