@@ -118,10 +118,12 @@ def test_variants_against_brute_force(spark):
                 w = r.choice(sorted(edits(w, "aeéß")))
             some.append(w.upper() if r.random() < 0.2 else w)
         rows.append((None if i % 50 == 7 else i // 2, r.choice([" ", "-", "1", "×", "\n"]).join(some) if i % 40 else None))
-    for length, count, ratio, every in ((6, 5, 5, 199), (4, 2, 2, 7), (1, 1, 1, 3)):
+    for length, count, ratio, every in ((6, 5, 5, 199), (4, 2, 2, 7), (1, 1, 3, 3)):
         want = plain_groups(rows, length, count, ratio, every)
-        got = sorted(map(tuple, variants.group(frame(spark, rows), length, count, ratio, every).select("word", "form", "root", "n", "n_near", "form_n").collect()), key=repr) if ratio > 1 else want
+        got = sorted(map(tuple, variants.group(frame(spark, rows), length, count, ratio, every).select("word", "form", "root", "n", "n_near", "form_n").collect()), key=repr)
         assert got == want and len(want) > 20
+    with pytest.raises(ValueError, match="above 1"):
+        variants.group(frame(spark, rows), ratio=1)
 
 
 def test_pairs_do_not_depend_on_the_table(spark, monkeypatch):

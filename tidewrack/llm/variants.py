@@ -184,6 +184,8 @@ def last_of(spark: SparkSession, steps: DataFrame, work: WorkArea) -> DataFrame:
 
 def group(df: DataFrame, least_length: int = 6, least_count: int = 5, ratio: int = 5, misprint_every: int | None = None) -> DataFrame:
     """Gives (word, form, root, n, n_near, form_n) for each word of (doc_id, text) of that length and count."""
+    if ratio <= 1:
+        raise ValueError("the ratio must be above 1: words of one count would be each other's forms")
     spark = df.sparkSession
     work = WorkArea(spark, "variants")
     counted = words(df, misprint_every).where((F.char_length("word") >= least_length) & (F.col("n") >= least_count))
