@@ -526,3 +526,22 @@ def test_stream(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(hits) from agents").first()[0] == schema.count()
+
+
+def test_references_left_as_written(spark, tmp_path):
+    """page_title_h1 reads "&amp;" alone, as its SQL; the reader itself reads all, and scripts stay as they are either way."""
+    duckdb = pytest.importorskip("duckdb")
+    from tidewrack.plans import queries
+
+    heads = ["a &amp; b &amp", "x = &quot;1&quot;", "caf&eacute; &#233; & co &am", "", "&amp;amp;"]
+    rows = [(i, f'<html><head><title>{t}</title></head><body><h1>{t}</h1><a href="/x?a=1&amp;b=2">l</a></body></html>') for i, t in enumerate(heads)] + [(9, "<p>none</p>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in queries.QUERIES["page_title_h1"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(queries.ORACLES["page_title_h1"]).fetchall())
+    assert pages.signals(rows[1][1])["title"] == 'x = "1"'
+    block = '{"@type": "A&B", "u": "?a&amp;b"}'
+    html = f'<!-- & --><script type="application/ld+json">{block}</script><h1>R&D &lt;</h1>'
+    assert [pages.signals(html, loose)["json_ld"] for loose in (False, True)] == [[block]] * 2
+    assert [pages.signals(html, loose)["h1"] for loose in (False, True)] == ["R&D <", "R&D &lt;"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -104,9 +105,13 @@ def entity_types(block) -> list[str]:
     return [str(x) for x in out]
 
 
-def signals(html: str) -> dict:
+#: An ampersand that begins no "&amp;", outside of comments, scripts and styles.
+LOOSE = re.compile(r"(<!--.*?-->|<(script|style)\b.*?</\2\s*>)|&(?!amp;)", re.DOTALL | re.IGNORECASE)
+
+
+def signals(html: str, amp_only: bool = False) -> dict:
     p = Signals()
-    p.feed(html)
+    p.feed(LOOSE.sub(lambda m: m[1] or "&amp;", html) if amp_only else html)
     p.close()
     good, bad, types = [], [], []
     for block in p.blocks:
@@ -118,13 +123,14 @@ def signals(html: str) -> dict:
     return {"title": p.title, "h1": p.h1, "canonical": p.canonical, "robots": p.robots, "hreflang": p.hreflang, "og": list(p.og.items()), "links": p.links, "words": p.words, "json_ld": good, "json_ld_errors": bad, "types": types}
 
 
-def extract(df: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, signals...) for each page."""
+def extract(df: DataFrame, key: str, html: str = "html", amp_only: bool = False) -> DataFrame:
+    """(key, signals...) for each page. Character references are read as browsers do, also without their semicolon; with
+    amp_only all but "&amp;" stay as they are written."""
     kind = dict(df.dtypes)[key]
 
     def run(batches):
         for batch in batches:
-            rows = [signals(x.as_py() or "") for x in batch.column(1)]
+            rows = [signals(x.as_py() or "", amp_only) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[n] for r in rows], t) for n, t in SIGNALS.items())], [key, *SIGNALS])
 
     return df.select(key, F.col(html).cast("string")).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")
