@@ -213,3 +213,20 @@ def test_near_copies_in_large_buckets(spark, monkeypatch):
         parent[at : at + 15] = fresh(r, 15)
         chain.append(parent)
     same_as_jaccard(spark, chain + [fresh(r, 40) + passage + fresh(r, 40) for _ in range(60)])
+
+
+def test_near_copies_by_fingerprints_first(spark, monkeypatch):
+    """Links of fingerprints are candidates by themselves, without any prefix; sets decide, so unlike texts are not linked."""
+    r, prefixes = random.Random(37), simhash._prefixes
+    base = [fresh(r, 3000) for _ in range(4)]
+    texts = base + [[*b[:at], *fresh(r, 1), *b[at + 1 :]] for b in base for at in (5, 1500, 2990)] + [list(reversed(base[0])), [], ["one"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    fps = {i: plain(t, 5) for i, t in rows}
+    close = [(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 2]
+    nodes = simhash._nodes(frame(spark, rows), 5)
+    own = {x["node"]: x["doc_id"] for x in nodes.collect()}
+    found = [(own[x["a"]], own[x["b"]]) for x in simhash.fingerprint_pairs(nodes, 2, len(rows)).collect()]
+    assert len(close) > 3 and roots(found, fps) == roots(close, fps)
+    monkeypatch.setattr(simhash, "_prefixes", lambda *args: prefixes(*args).where("false"))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark, frame(spark, rows)).collect()}
+    assert got == {i: min(j for j in fps if roots(close, fps)[j] == roots(close, fps)[i]) for i in fps}

@@ -282,13 +282,27 @@ def _least(n: float, share: float) -> int:
 
 
 def _nodes(df: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_hash, node) of every row: equal nodes have equal sets of shingles."""
+    """(doc_id, text_hash, node, fp) of every row: equal nodes have equal sets of shingles; fp is the fingerprint."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(shingle_set(x.as_py(), k)) for x in batch.column(2)], pa.int64())], ["doc_id", "text_hash", "node"])
+            texts = [x.as_py() for x in batch.column(2)]
+            fps = [(fingerprint(x, k) ^ (1 << 63)) - (1 << 63) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(shingle_set(x, k)) for x in texts], pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "node", "fp"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), utf8().alias("data")).transform(in_slices, run, "doc_id long, text_hash long, node long")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), utf8().alias("data")).transform(in_slices, run, "doc_id long, text_hash long, node long, fp long")
+
+
+def fingerprint_pairs(nodes: DataFrame, radius: int, n: int) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of (node, fp), of which there are n at most, whose fingerprints differ in at most `radius`
+    bits, with the same components as all of them: each fingerprint's least node stands for its others."""
+    work = WorkArea(nodes.sparkSession, "fingerprints")
+    nodes = work.write(nodes.select("node", "fp").distinct(), "nodes", rows=n)
+    low = work.write(nodes.groupBy("fp").agg(F.min("node").alias("low")), "low", rows=n)
+    found = work.write(links(low.select("fp"), radius, work), "links")
+    end = lambda s: low.select(F.col("fp").alias(s), F.col("low").alias(f"low_{s}"))
+    between = found.join(end("a"), "a").join(end("b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
+    return nodes.join(low, "fp").select(F.col("low").alias("a"), F.col("node").alias("b")).union(between).where("a < b").distinct()
 
 
 def _prefixes(df: DataFrame, k: int, jaccard: float, common: np.ndarray) -> DataFrame:
@@ -373,12 +387,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     return close.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").transform(in_slices, run, "a long, b long")
 
 
-def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float = 0.8) -> DataFrame:
+def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, text_hash, node, component_id, keep): documents whose sets of k-word shingles have at least the Jaccard similarity are linked.
 
-    Exact at every size of the input, but for equal 64-bit hashes of unequal shingles or sets. Fingerprints alone cannot do
-    that: a pair at 0.8 whose edits stand together differs in about 77 of 512 bits, more than a pigeonhole plan can
-    promise. So candidates come from prefixes: with all shingles in one order, two sets that are similar enough share one of
+    The first candidates are those of `links`: fingerprints that differ in `radius` bits at most, by partitions of correlated
+    bits with thresholds of their own. Whole sets decide, and the fingerprints of many copies are further apart: a pair at
+    0.8 whose edits stand together differs in about 77 of 512 bits, more than a pigeonhole plan can promise. So an exact
+    way for the rest follows, and the result is exact at every size of the input, but for equal 64-bit hashes of unequal
+    shingles or sets. Its candidates come from prefixes: with all shingles in one order, two sets that are similar enough share one of
     the first n - ceil(jaccard * n) + 1 of each. Bounds on size and place, and the distance of wide SimHash fingerprints,
     leave most candidates out, and whole sets decide the rest. Common shingles are put last in the order, which may be any:
     a text with many shingles of its own, which come before those that it shares with a large group, meets that group too
@@ -410,7 +426,8 @@ def near_copies(spark: SparkSession, df: DataFrame, k: int = 5, jaccard: float =
 
     small, large = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
     # A pair costs more than a row, so files of pairs and of sets are smaller.
-    pairs = work.write(paired(side(small, "a").join(side(small, "b"), "key").where("node_a < node_b")), "pairs", rows=met.count(), per_file=FILE_ROWS // 10)
+    pairs = fingerprint_pairs(docs, radius, n).union(paired(side(small, "a").join(side(small, "b"), "key").where("node_a < node_b"))).distinct()
+    pairs = work.write(pairs, "pairs", rows=n + met.count(), per_file=FILE_ROWS // 10)
     n_pairs, n_large = pairs.count(), large.count()
     # One row of each set that is compared; a set's first row is told by its id and its text's hash.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
